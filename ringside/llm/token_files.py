@@ -24,6 +24,8 @@ their texts; a null document id comes first.  No other columns than the id and t
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +42,7 @@ BLOCK = 4096
 #: A file is closed when it holds so many ids; a longer document has a file of its own.
 FILE_IDS = 2_000_000
 #: A worker forgets its known words beyond this number.
-MEMO = 300_000
+MEMO = 500_000
 
 
 def width_of(vocab_size: int) -> int:
@@ -104,32 +106,78 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: ASCII punctuation without the apostrophe, which starts suffixes such as 's, and without the signs that may modify a letter.
+_SIGNS = r"!-&(-/:-@\[-\]{-}"
+#: Where the vocabulary's splitter always cuts: between a letter or digit and such a sign.
+_CUTS = re.compile(rf"(?<=[^\W_])(?=[{_SIGNS}])|(?<=[{_SIGNS}])(?=[^\W_])")
+#: So many pieces are encoded as one text.
+_JOINED = 256
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library.
 
-    The vocabulary's normalizer and splitter drop white space and never join across it, so that the library encodes each
-    distinct word (a run without space, tab, LF or CR) once and a text is the joined ids of its words.
+    The vocabulary's normalizer and splitter drop white space and never join across it, nor between a letter and a sign, so
+    the library encodes each distinct word (a run without space, tab, LF or CR), or each distinct piece of one, once, and a
+    text is the joined ids of its words.  Pieces of letters only are one split each and are encoded many at a time, joined by
+    spaces: the ids that end a split tell them apart.
     """
 
     def __init__(self, config: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
-        self.gap = str.maketrans("\n\t\r", "   ")
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _letters(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of letters only."""
+        out = []
+        for low in range(0, len(pieces), _JOINED):
+            part = pieces[low : low + _JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            end = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(end) != len(part):  # a letter whose lower case is a letter and a mark
+                out += self._each(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for stop in end.tolist():
+                out.append(raw[at:stop])
+                at = stop
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         memo, end = self.memo, np.array([end_id], "<u4").tobytes()
         if len(memo) > MEMO:
             memo.clear()
-        words = [t.translate(self.gap).split(" ") if t else [] for t in texts]
-        fresh = list({w for ws in words for w in ws}.difference(memo))
-        for low in range(0, len(fresh), 50_000):
-            part = fresh[low : low + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(memo.__getitem__, ws)) + end, "<u4") for ws in words]
+        words = []
+        whole = {i: t for i, t in enumerate(texts) if t and "\u0130" in t}  # its lower case is two characters, which the library splits by context
+        for i, t in enumerate(texts):
+            low = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if t and i not in whole else ""  # ASCII only; the library does the rest
+            words.append(low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if low else [])
+        fresh = set().union(*words).difference(memo)
+        split = {w: _CUTS.split(w) for w in fresh}
+        pieces = {p for ps in split.values() for p in ps}.difference(memo)
+        letters = [p for p in pieces if p.isalpha()]
+        memo.update(zip(letters, self._letters(letters), strict=True))
+        rest = list(pieces.difference(letters))
+        for low in range(0, len(rest), 5000):
+            part = rest[low : low + 5000]
+            memo.update(zip(part, self._each(part), strict=True))
+        for w, ps in split.items():
+            if len(ps) > 1:
+                memo[w] = b"".join([memo[p] for p in ps])
+        ids = [b"".join(map(memo.__getitem__, ws)) for ws in words]
+        for i, raw in zip(whole, self._each(list(whole.values())), strict=True):
+            ids[i] = raw
+        return [np.frombuffer(raw + end, "<u4") for raw in ids]
 
 
 @lru_cache(maxsize=2)

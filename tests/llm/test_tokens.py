@@ -19,7 +19,7 @@ WORDS = P.path("word_bpe_49k.json")
 
 def texts():
     r = random.Random(3)
-    made = ["".join(r.choice("aé ß\n\t1!x日本👍 the<|endoftext|>\x1c\xa0́") for _ in range(r.randint(0, 120))) for _ in range(300)]
+    made = ["".join(r.choice("aé ß\n\t1!x日本👍 theİ.,-_.<|endoftext|>\x1c\xa0́") for _ in range(r.randint(0, 120))) for _ in range(300)]
     return [None, "", " ", "\n\n", "a", "Hello world, it's 2024!", "a" * 700, "ab" * 2000, "<|endoftext|>", "The cat. The cat."] + made * 2
 
 
