@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringside.llm import bpe, jaccard, token_files
+from ringside.llm import bpe, fingerprint, jaccard, licenses, mixing, token_files
 from ringside.llm.common import read_table
 
 
@@ -22,6 +22,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(read_table(spark, sf_dir, "documents"), words=4, threshold=(85, 100))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,9 +47,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_fingerprints": op3_fingerprints,
+        "op7_mix_sources": op7_mix_sources,
+        "op8_license_scan": op8_license_scan,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix_sources": mixing.SQL, "op8_license_scan": licenses.sql()}
