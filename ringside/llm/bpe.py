@@ -204,7 +204,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     def make():
         own = codec(ranks.value, pattern)
-        return lambda texts: {out: [i.tolist() for i in own.encode(texts)]}
+        return lambda texts: {out: own.encode(texts)}
 
     return spread(with_struct(df, text_col, "__bpe", f"`{out}` array<int>", make), "__bpe")
 

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch between the JVM and Python, unless the session sets its own number; texts may be long.
+BATCH_ROWS = 1000
+
 #: Texts are handled in slices of about so many characters, which bounds what a Python worker holds at once.
 SLICE_CHARS = 4_000_000
 
@@ -38,6 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower Spark's default of 10,000 rows in an Arrow batch to BATCH_ROWS; a number set by the user stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +75,7 @@ def with_struct(df: DataFrame, text_col: str, out: str, schema: str, make: Calla
     ``make`` runs once per task and returns a function from a list of texts (None for null) to the lists of the fields.
     All rows and other columns stay as they are; a column that already has the name ``out`` is replaced.
     """
+    small_batches(df.sparkSession)
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     @F.pandas_udf(schema)

@@ -51,7 +51,7 @@ EXTRA = 0.05
 PIVOTS, GROWTH = 8, 4
 #: Up to so many ids the search for the texts that stay is a broadcast join (8 bytes an id); beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
-MEMO = 400_000
+MEMO = 200_000
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def _summaries(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
                 "n_shingles": [len(h) for h in sets],
                 "sig": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets],
                 "probe": [_pack(h[: t.probe(len(h))]) for h in sets],
-                "small": [h.tolist() if len(h) <= SMALL_MOST else None for h in sets],
+                "small": [h if len(h) <= SMALL_MOST else None for h in sets],
             }
 
         return run
@@ -316,7 +316,7 @@ def _full_sets(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
 
         def run(batch):
             sets = [shingler.hashes(x) for x in batch]
-            return {"sig": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], "members": [h.tolist() for h in sets]}
+            return {"sig": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], "members": sets}
 
         return run
 

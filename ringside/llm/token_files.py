@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringside.llm.common import materialize, slices
+from ringside.llm.common import materialize, slices, small_batches
 
 MAGIC = b"RTK1"
 BLOCK = 4096
@@ -198,6 +198,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
         config = f.read()
     from tokenizers import Tokenizer
 
+    small_batches(docs.sparkSession)
     width = width_of(Tokenizer.from_str(config).get_vocab_size(with_added_tokens=True))
     shipped = docs.sparkSession.sparkContext.broadcast(config)  # the vocabulary, some MB whatever the input
 
@@ -256,7 +257,7 @@ READ = "doc_id long, start long, ids array<int>"
 
 def read(files: DataFrame) -> DataFrame:
     """The documents of the token files: doc_id, start, ids."""
-    return _read(files, READ, lambda ids: {"ids": [i.astype(np.int64).tolist() for i in ids]})
+    return _read(files, READ, lambda ids: {"ids": [i.astype(np.int32) for i in ids]})
 
 
 def read_digests(files: DataFrame) -> DataFrame:
