@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringside.llm import bpe, fingerprint, jaccard, licenses, mixing, token_files
+from ringside.llm import bpe, fingerprint, jaccard, licenses, media, mixing, token_files
 from ringside.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": op3_fingerprints,
         "op7_mix_sources": op7_mix_sources,
         "op8_license_scan": op8_license_scan,
+        "op9_webp_media": op9_webp_media,
         "op10_token_files": op10_token_files,
     }
 
