@@ -48,7 +48,7 @@ SMALL_MOST = 24
 #: So much of a set is counted beyond what the prefix filter needs.
 EXTRA = 0.05
 #: Pivots of a list in the first round, and by how much they grow each round.
-PIVOTS, GROWTH = 8, 4
+PIVOTS, GROWTH = 2, 4
 #: Up to so many ids the search for the texts that stay is a broadcast join (8 bytes an id); beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
 MEMO = 200_000
@@ -236,13 +236,17 @@ def _survivors(probes: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _lists(sets: DataFrame, t: Threshold) -> DataFrame:
-    """(token, v, n): the inverted lists of the prefixes, rarest members first; members that one set has alone head each prefix."""
+    """(token, v, n, rest): the inverted lists of the prefixes, rarest members first; members that one set has alone head each prefix.
+
+    rest counts the members of the set from this one on.
+    """
     rows = sets.select("v", "n", F.explode("members").alias("token"))
     df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = rows.join(df, "token").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # bounded by one set
     prefix = F.col("n") - F.ceil(F.lit(t.num) * F.col("n") / F.lit(t.den)) + 1
     entries = prefix - (F.col("n") - F.size("shared"))
-    return shared.filter(entries > 0).select("v", "n", F.explode(F.slice("shared", 1, entries.cast("int"))).alias("e")).select(F.col("e.token").alias("token"), "v", "n")
+    each = shared.filter(entries > 0).select("v", "n", F.size("shared").alias("k"), F.posexplode(F.slice("shared", 1, entries.cast("int"))).alias("i", "e"))
+    return each.select(F.col("e.token").alias("token"), "v", "n", (F.col("k") - F.col("i")).alias("rest"))
 
 
 def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) -> DataFrame:
@@ -250,15 +254,16 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
     comp, k = components(edges), PIVOTS
     tested = None
     while True:
-        labelled = lists.join(comp, "v", "left").select("token", "v", "n", F.coalesce("root", "v").alias("root"))
+        labelled = lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root"))
         live = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
         lists = materialize(labelled.join(live, "token"), "lists")
         if lists.isEmpty():
             return comp
         order = F.row_number().over(_by_token())
         pivots = materialize(lists.withColumn("k", order).filter(F.col("k") <= k).drop("k"), "pivots")
-        other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"))
-        fits = (F.col("root") != F.col("other")) & (F.lit(t.den) * F.least("n", "m") >= F.lit(t.num) * F.greatest("n", "m"))
+        other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("other"))
+        # By size; and at the first member that both have, which is in both prefixes, what is left of either must be enough.
+        fits = (F.col("root") != F.col("other")) & (F.lit(t.den) * F.least("n", "m") >= F.lit(t.num) * F.greatest("n", "m")) & (F.lit(t.num + t.den) * F.least("rest", "left") >= F.lit(t.num) * (F.col("n") + F.col("m")))
         pairs = _ordered(pivots.join(other, "token").filter(fits), "v", "w")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -266,7 +271,7 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
         tested = pairs if tested is None else tested.union(pairs)
         links = _verified(pairs, sets, t)
         comp = components(links.union(comp.select(F.col("v").alias("a"), F.col("root").alias("b"))))
-        lists = lists.join(pivots.select("token", "v"), ["token", "v"], "left_anti").select("token", "v", "n")
+        lists = lists.join(pivots.select("token", "v"), ["token", "v"], "left_anti").select("token", "v", "n", "rest")
         k *= GROWTH
 
 
