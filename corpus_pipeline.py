@@ -1,24 +1,63 @@
-"""The corpus pipeline: documents in, token ids out, one stage after the other."""
+"""The corpus pipeline: documents in, token ids out, one stage after the other.
+
+Each stage takes the documents that the one before kept.  All but the last return the columns of documents.  A null doc_id is a
+document like any other; documents with equal ids are kept or left out together where a stage decides by id.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ringside.llm import bpe
+from ringside.llm import bpe, jaccard, mixing, quality, toxicity
 from ringside.llm.common import materialize, read_table
 
 #: Not expressible in SQL (trained models, byte-pair merges); tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
 
+#: A document is good from this probability on, and toxic from this one.
+GOOD, TOXIC = 0.7, 0.7
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules accept."""
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, out="__score").filter(F.col("__score") >= GOOD).drop("__score")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without enough evidence of toxic passages."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.with_scan(docs, model).filter(F.col("__toxic")["score"] < TOXIC).drop("__toxic")
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of documents linked by five-word shingle sets of similarity 0.8, the one with the smallest id."""
+    groups = jaccard.link_components(docs, words=5, threshold=(80, 100))
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    return with_id.select(docs.columns).union(docs.filter("doc_id is null"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate asks for."""
+    return mixing.emit(mixing.plan(docs))
+
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document that is left, and how many."""
     ids = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.drop("text")
+    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("byte_bpe", tokens)]
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard_join", near_duplicates_stage),
+    ("mix_sources", mixing_stage),
+    ("byte_bpe", tokens_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringside.llm import bpe, fingerprint, jaccard, licenses, media, mixing, token_files
-from ringside.llm.common import read_table
+from ringside.llm import bpe, fingerprint, html_text, jaccard, licenses, media, mixing, quality, token_files, toxicity
+from ringside.llm.common import fold, read_table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,27 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    return _predicted(toxicity.scan(docs, model).drop("text", "passages"), folds=3, held_out=1)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    return _predicted(quality.score(docs, model).drop("text"), folds=4, held_out=2)
+
+
+def _predicted(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
+    apart = F.coalesce(fold("doc_id", folds) == held_out, F.lit(False))
+    return scored.withColumn("held_out", apart).withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -52,6 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_fingerprints": op3_fingerprints,
+        "op4_toxic_passages": op4_toxic_passages,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_html_text": op6_html_text,
         "op7_mix_sources": op7_mix_sources,
         "op8_license_scan": op8_license_scan,
         "op9_webp_media": op9_webp_media,
