@@ -1,0 +1 @@
+"""Granular combat-sports analytics on Spark DataFrames."""
