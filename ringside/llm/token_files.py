@@ -110,6 +110,7 @@ class TokenFile:
 _SIGNS = r"!-&(-/:-@\[-\]{-}"
 #: Where the vocabulary's splitter always cuts: between a letter or digit and such a sign.
 _CUTS = re.compile(rf"(?<=[^\W_])(?=[{_SIGNS}])|(?<=[{_SIGNS}])(?=[^\W_])")
+_ENDS = frozenset(".,;:!?%&#$*|()\"")  # of them, those that often end a word
 #: So many pieces are encoded as one text.
 _JOINED = 256
 
@@ -118,7 +119,7 @@ class WordEncoder:
     """Encodes texts with the tokenizers library.
 
     The vocabulary's normalizer and splitter drop white space and never join across it, nor between a letter and a sign, so
-    the library encodes each distinct word (a run without space, tab, LF or CR), or each distinct piece of one, once, and a
+    the library encodes each distinct word (a run without ASCII white space), or each distinct piece of one, once, and a
     text is the joined ids of its words.  Pieces of letters only are one split each and are encoded many at a time, joined by
     spaces: the ids that end a split tell them apart.
     """
@@ -132,7 +133,7 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -153,28 +154,46 @@ class WordEncoder:
                 at = stop
         return out
 
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Put the ids of new words into the memo."""
+        memo, split = self.memo, {}
+        for raw in fresh:
+            w = raw.decode("utf-8", "surrogatepass")
+            if w.isalpha():
+                split[raw] = (w,)
+            elif w[-1] in _ENDS and w[:-1].isalpha():
+                split[raw] = (w[:-1], w[-1])
+            else:
+                split[raw] = _CUTS.split(w)
+        pieces = {p for ps in split.values() for p in ps}
+        known = {p: ids for p in pieces if (ids := memo.get(p.encode("utf-8", "surrogatepass"))) is not None}
+        letters = [p for p in pieces if p not in known and p.isalpha()]
+        known.update(zip(letters, self._letters(letters), strict=True))
+        rest = [p for p in pieces if p not in known]
+        for low in range(0, len(rest), 5000):
+            part = rest[low : low + 5000]
+            known.update(zip(part, self._each(part), strict=True))
+        for raw, ps in split.items():
+            memo[raw] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         memo, end = self.memo, np.array([end_id], "<u4").tobytes()
         if len(memo) > MEMO:
             memo.clear()
-        words = []
         whole = {i: t for i, t in enumerate(texts) if t and "\u0130" in t}  # its lower case is two characters, which the library splits by context
-        for i, t in enumerate(texts):
-            low = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if t and i not in whole else ""  # ASCII only; the library does the rest
-            words.append(low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if low else [])
-        fresh = set().union(*words).difference(memo)
-        split = {w: _CUTS.split(w) for w in fresh}
-        pieces = {p for ps in split.values() for p in ps}.difference(memo)
-        letters = [p for p in pieces if p.isalpha()]
-        memo.update(zip(letters, self._letters(letters), strict=True))
-        rest = list(pieces.difference(letters))
-        for low in range(0, len(rest), 5000):
-            part = rest[low : low + 5000]
-            memo.update(zip(part, self._each(part), strict=True))
-        for w, ps in split.items():
-            if len(ps) > 1:
-                memo[w] = b"".join([memo[p] for p in ps])
-        ids = [b"".join(map(memo.__getitem__, ws)) for ws in words]
+        # Lower case and splits by ASCII only, which the library's own steps don't undo; it does the rest.
+        words = [t.encode("utf-8", "surrogatepass").lower().split() if t and i not in whole else [] for i, t in enumerate(texts)]
+        flat = [w for ws in words for w in ws]
+        found = list(map(memo.get, flat))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            self._learn({flat[i] for i in missing})
+            for i in missing:
+                found[i] = memo[flat[i]]
+        ids, at = [], 0
+        for ws in words:
+            ids.append(b"".join(found[at : at + len(ws)]))
+            at += len(ws)
         for i, raw in zip(whole, self._each(list(whole.values())), strict=True):
             ids[i] = raw
         return [np.frombuffer(raw + end, "<u4") for raw in ids]
