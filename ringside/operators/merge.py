@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.sources.files import ORDINAL
+from ringside.sources.scratch import cut
 
 
 def first_by_key(rows: DataFrame, keys: list[str], ordinal: str = ORDINAL) -> DataFrame:
@@ -45,7 +46,7 @@ def with_ids(new: DataFrame, old: DataFrame, order: list, key: str = "id") -> Da
     """
     start = old.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
     sorted_rows = new.drop(key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    sorted_rows = sorted_rows.withColumn("__i", F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    sorted_rows = cut(sorted_rows.withColumn("__i", F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))))
     before, sizes = start, {}
     for r in sorted(sorted_rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()):
         sizes[r["__p"]], before = before, before + r["n"]

@@ -16,6 +16,7 @@ from ringside.functions.names import normalize_name
 from ringside.operators import merge
 from ringside.schema import BASE_STATS, SPLIT_KINDS, SPLIT_STATS, STATS, Tables
 from ringside.sources.files import ORDINAL
+from ringside.sources.scratch import cut
 
 #: Suffixes of the CSV columns of a corner, by statistic.
 STAT_SUFFIX = {"knockdowns": "kd", "sig_strikes_landed": "sig_str_landed", "sig_strikes_attempted": "sig_str_atmpted", "takedowns_landed": "td_landed", "takedowns_attempted": "td_atmpted", "submission_attempts": "sub_att", "control_time_seconds": "ctrl"}
@@ -96,7 +97,7 @@ def wide_to_long(fights: DataFrame, stats: dict[str, str], strict: bool = True)
 
 def load_bouts(t: Tables, fights: DataFrame, events_csv: DataFrame, source: str = "files") -> tuple[Tables, DataFrame]:
     """The tables with the resolved fights and their corners, and the fights that were not resolved."""
-    rows = resolved_fights(fights, events_csv, t.fighters, t.events).persist()
+    rows = cut(resolved_fights(fights, events_csv, t.fighters, t.events))
     good, rejects = rows.filter(is_resolved()), rows.filter(~is_resolved())
     keyed = good.select("*", *expr.pair_key(F.col("event_key"), F.col("red_id"), F.col("blue_id"))[1:])
     keyed = merge.first_by_key(keyed.withColumn("__event", F.col("event_key")), ["__event", "low_id", "high_id"])
@@ -107,7 +108,7 @@ def load_bouts(t: Tables, fights: DataFrame, events_csv: DataFrame, source: str
         F.col("__event").cast("int").alias("event_id"), F.col("winner_id").cast("int").alias("winner_id"), F.col("method_kind").alias("method"), expr.int_strict(F.col("finish_round")).alias("round"),
         expr.int_strict(F.col("match_time_sec")).alias("ending_time_seconds"), expr.text_or_null(F.col("division")).alias("weight_class"), *context(new), F.lit(source).alias("source"), "low_id", "high_id",
     )
-    core = merge.with_ids(core, t.bouts, ["event_id", "low_id", "high_id"]).persist()
+    core = cut(merge.with_ids(core, t.bouts, ["event_id", "low_id", "high_id"]))
     bouts = t.bouts.unionByName(core.drop("low_id", "high_id"), allowMissingColumns=True)
     every = index.union(core.select(F.col("id").alias("bout_id"), "event_id", "low_id", "high_id"))
     placed = keyed.join(every.withColumnRenamed("event_id", "__event"), ["__event", "low_id", "high_id"])
@@ -167,11 +168,13 @@ def take_in_event(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataF
     """
     heads = event.select(F.trim("event_name").alias("name"), F.col("event_date").alias("date"), F.lit(None).cast("string").alias("location"), F.lit(source).alias("source")).distinct()
     keyed_events = t.events.withColumn("name_key", normalize_name(F.col("name")))
-    events = merge.insert_absent(keyed_events, heads.withColumn("name_key", normalize_name(F.col("name"))), ["name_key", "date"]).persist()
+    events = merge.insert_absent(keyed_events, heads.withColumn("name_key", normalize_name(F.col("name"))), ["name_key", "date"])
+    events = cut(events)
     candidates = fighters.select(F.col("slug").alias("candidate"), normalize_name(F.col("name")).alias("name_normalized"), "date_of_birth", F.struct("*").alias("doc")).dropDuplicates(["candidate"])
-    matched = no_ambiguous(match_fighters(candidates.drop("doc"), t.fighters)).join(candidates.select("candidate", "doc"), "candidate").persist()
+    matched = no_ambiguous(match_fighters(candidates.drop("doc"), t.fighters)).join(candidates.select("candidate", "doc"), "candidate")
+    matched = cut(matched)
     fresh = matched.filter("status = 'new'").select(F.trim("doc.name").alias("name"), "name_normalized", "doc.nickname", "date_of_birth", "doc.height_cm", "doc.reach_cm", expr.stance_of(F.col("doc.stance")).alias("stance"), F.lit(None).cast("double").alias("weight_kg"), "doc.wins", "doc.losses", "doc.draws", F.lit(source).alias("source"))
-    all_fighters = merge.insert_absent(t.fighters, fresh, ["name_normalized", "date_of_birth"]).persist()
+    all_fighters = cut(merge.insert_absent(t.fighters, fresh, ["name_normalized", "date_of_birth"]))
     new_ids = all_fighters.select("name_normalized", F.col("date_of_birth").alias("__born"), F.col("id").alias("new_id"))
     slugs = matched.join(new_ids, (matched["name_normalized"] == new_ids["name_normalized"]) & matched["date_of_birth"].eqNullSafe(new_ids["__born"]) & (matched["status"] == "new"), "left").select(F.col("candidate").alias("slug"), F.coalesce("fighter_id", "new_id").alias("fighter_id"))
     rows = event.select("event_name", "event_date", "bout.*").withColumn("red_slug", F.col("corners")[0]["slug"]).withColumn("blue_slug", F.col("corners")[1]["slug"]).withColumn("name_key", normalize_name(F.col("event_name"))).withColumn(ORDINAL, F.monotonically_increasing_id())
@@ -179,12 +182,12 @@ def take_in_event(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataF
     rows = rows.join(slugs.select(F.col("slug").alias("red_slug"), F.col("fighter_id").alias("red_id")), "red_slug").join(slugs.select(F.col("slug").alias("blue_slug"), F.col("fighter_id").alias("blue_id")), "blue_slug")
     rows = rows.withColumn("method_kind", expr.method_of(F.col("method"), expr.JSON_METHODS)).withColumn("low_id", F.least("red_id", "blue_id")).withColumn("high_id", F.greatest("red_id", "blue_id"))
     side = winner_corner(F.col("winner_slug"), F.col("red_slug"), F.col("blue_slug"), F.col("method_kind"))
-    rows = rows.withColumn("winner_id", F.when(side == "red", F.col("red_id")).when(side == "blue", F.col("blue_id"))).persist()
+    rows = cut(rows.withColumn("winner_id", F.when(side == "red", F.col("red_id")).when(side == "blue", F.col("blue_id"))))
     index = bout_index(t.bouts, t.bout_fighters)
     keyed = merge.first_by_key(rows, ["__event", "low_id", "high_id"])
     new = merge.absent(keyed, index.withColumnRenamed("event_id", "__event"), ["__event", "low_id", "high_id"])
     core = new.select(F.col("__event").cast("int").alias("event_id"), F.col("winner_id").cast("int").alias("winner_id"), F.col("method_kind").alias("method"), F.col("finish_round").alias("round"), F.col("finish_time_seconds").alias("ending_time_seconds"), "weight_class", F.lit(source).alias("source"), "low_id", "high_id")
-    core = merge.with_ids(core, t.bouts, ["event_id", "low_id", "high_id"]).persist()
+    core = cut(merge.with_ids(core, t.bouts, ["event_id", "low_id", "high_id"]))
     every = index.union(core.select(F.col("id").alias("bout_id"), "event_id", "low_id", "high_id")).withColumnRenamed("event_id", "__event").withColumnRenamed("bout_id", "own_bout")
     placed = keyed.join(every, ["__event", "low_id", "high_id"])
     seats = placed.select("own_bout", "bout_id", F.explode(F.array(F.struct(F.lit("red").alias("corner"), F.col("red_id").alias("fighter_id")), F.struct(F.lit("blue").alias("corner"), F.col("blue_id").alias("fighter_id")))).alias("c")).select("own_bout", "bout_id", "c.*")
