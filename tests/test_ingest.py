@@ -181,3 +181,24 @@ def test_pages():
         with pytest.raises(ValueError):
             reads.page_bounds(*bad)
     assert reads.page_bounds() == (50, 0)
+
+
+def test_events_as_they_arrive(spark, tmp_path):
+    from ringside.streaming.documents import follow_events, read_tables
+
+    for d in ("events", "fighters", "stats"):
+        (tmp_path / d).mkdir()
+    ingest.publish(empty_tables(spark), str(tmp_path / "tables"))
+    for i, slug in enumerate(("a-a", "b-b", "c-c")):
+        (tmp_path / "fighters" / f"{slug}.json").write_text(json.dumps({"slug": slug, "name": slug.replace("-", " "), "date_of_birth": f"199{i}-01-01"}))
+    (tmp_path / "stats" / "s.json").write_text(json.dumps({"bout_id": "x1", "fighters": [{"corner": "red", "fighter_slug": "a-a", "knockdowns": 2}]}))
+
+    def arrive(name, day, a, b):
+        (tmp_path / "events" / f"{name}.json").write_text(json.dumps({"event_id": name, "name": name, "date": day, "bouts": [{"bout_id": "x1", "method": "KO/TKO", "winner_slug": a, "corners": [{"slug": a, "name": a}, {"slug": b, "name": b}]}]}))
+        follow_events(spark, *[str(tmp_path / x) for x in ("events", "fighters", "stats", "tables", "checkpoint")]).awaitTermination()
+        return read_tables(spark, str(tmp_path / "tables"))
+
+    t = arrive("one", "2024-01-01", "a-a", "b-b")
+    assert (t.fighters.count(), t.bouts.count(), t.bout_fighters.filter("knockdowns = 2").count()) == (2, 1, 1)
+    t = arrive("two", "2024-02-01", "c-c", "a-a")
+    assert (t.fighters.count(), t.events.count(), t.bouts.count(), t.bout_fighters.count()) == (3, 2, 2, 4)
