@@ -41,8 +41,8 @@ MAGIC = b"RTK1"
 BLOCK = 4096
 #: A file is closed when it holds so many ids; a longer document has a file of its own.
 FILE_IDS = 2_000_000
-#: A worker forgets its known words beyond this number.
-MEMO = 500_000
+#: A worker keeps so many words, and as many again that it knew before; those not seen since are forgotten.
+MEMO = 600_000
 
 
 def width_of(vocab_size: int) -> int:
@@ -134,6 +134,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -177,9 +178,9 @@ class WordEncoder:
             memo[raw] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        if len(self.memo) > MEMO:
+            self.former, self.memo = self.memo, {}
         memo, end = self.memo, np.array([end_id], "<u4").tobytes()
-        if len(memo) > MEMO:
-            memo.clear()
         whole = {i: t for i, t in enumerate(texts) if t and "\u0130" in t}  # its lower case is two characters, which the library splits by context
         # Lower case and splits by ASCII only, which the library's own steps don't undo; it does the rest.
         words = [t.encode("utf-8", "surrogatepass").lower().split() if t and i not in whole else [] for i, t in enumerate(texts)]
@@ -187,7 +188,9 @@ class WordEncoder:
         found = list(map(memo.get, flat))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            self._learn({flat[i] for i in missing})
+            fresh = {flat[i] for i in missing}
+            memo.update((w, ids) for w in fresh if (ids := self.former.get(w)) is not None)
+            self._learn(fresh.difference(memo))
             for i in missing:
                 found[i] = memo[flat[i]]
         ids, at = [], 0
