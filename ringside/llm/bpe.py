@@ -28,7 +28,7 @@ from ringside.llm.common import spread, with_struct
 BUCKETS = (4, 8, 16, 32, 64, 128)
 LONGEST_ROW = BUCKETS[-1]
 #: A worker forgets its known pieces beyond this number, which bounds its memory.
-MEMO = 400_000
+MEMO = 200_000
 NONE = np.int32(2**31 - 1)
 
 

@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 
 #: Texts are handled in slices of about so many characters, which bounds what a Python worker holds at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:

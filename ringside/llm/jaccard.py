@@ -51,7 +51,7 @@ EXTRA = 0.05
 PIVOTS, GROWTH = 2, 4
 #: Up to so many ids the search for the texts that stay is a broadcast join (8 bytes an id); beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
-MEMO = 200_000
+MEMO = 100_000
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,7 @@ FEWEST = 3
 PRIOR, LEAST, CLEAN, DRIFT, CONFIDENCE = 0.05, 0.5, 1.0, 0.25, 1.96
 SIGNIFICANT = 0.05
 BEGINNINGS = range(3, 10)
-MEMO = 300_000
+MEMO = 150_000
 
 _words = re.compile(r"\w+").findall
 
