@@ -246,7 +246,11 @@ def _lists(sets: DataFrame, t: Threshold) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.lit(t.num) * F.col("n") / F.lit(t.den)) + 1
     entries = prefix - (F.col("n") - F.size("shared"))
     each = shared.filter(entries > 0).select("v", "n", F.size("shared").alias("k"), F.posexplode(F.slice("shared", 1, entries.cast("int"))).alias("i", "e"))
-    return each.select(F.col("e.token").alias("token"), "v", "n", (F.col("k") - F.col("i")).alias("rest"))
+    lists = materialize(each.select(F.col("e.token").alias("token"), "v", "n", (F.col("k") - F.col("i")).alias("rest")), "entries")
+    # An entry needs a partner no smaller than the list's smallest set, with enough members left for it.
+    smallest = lists.groupBy("token").agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("entries")).filter("entries > 1").drop("entries")
+    enough = F.lit(t.num + t.den) * F.col("rest") >= F.lit(t.num) * (F.col("n") + F.greatest(F.col("smallest"), F.ceil(F.lit(t.num) * F.col("n") / F.lit(t.den))))
+    return lists.join(smallest, "token").filter(enough).drop("smallest")
 
 
 def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) -> DataFrame:
@@ -254,7 +258,7 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
     comp, k = components(edges), PIVOTS
     tested = None
     while True:
-        labelled = lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root"))
+        labelled = materialize(lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root")), "labelled")
         live = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
         lists = materialize(labelled.join(live, "token"), "lists")
         if lists.isEmpty():
