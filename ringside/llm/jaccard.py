@@ -48,7 +48,7 @@ SMALL_MOST = 24
 #: So much of a set is counted beyond what the prefix filter needs.
 EXTRA = 0.05
 #: Pivots of a list in the first round, and by how much they grow each round.
-PIVOTS, GROWTH = 2, 4
+PIVOTS, GROWTH = 8, 8
 #: Up to so many ids the search for the texts that stay is a broadcast join (8 bytes an id); beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
 MEMO = 100_000
@@ -273,8 +273,9 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        links = _verified(pairs, sets, t)
-        comp = components(links.union(comp.select(F.col("v").alias("a"), F.col("root").alias("b"))))
+        links = materialize(_verified(pairs, sets, t), "links")
+        if not links.isEmpty():
+            comp = components(links.union(comp.select(F.col("v").alias("a"), F.col("root").alias("b"))))
         lists = lists.join(pivots.select("token", "v"), ["token", "v"], "left_anti").select("token", "v", "n", "rest")
         k *= GROWTH
 
