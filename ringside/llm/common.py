@@ -89,7 +89,8 @@ def with_struct(df: DataFrame, text_col: str, out: str, schema: str, make: Calla
                     cols[n].extend(v)
             yield pd.DataFrame({n: pd.Series(cols[n], dtype=object) for n in names})
 
-    return df.withColumn(out, apply(F.col(text_col)))
+    # As if it weren't deterministic: otherwise a condition on a field, such as a join infers, would run the function once more.
+    return df.withColumn(out, apply.asNondeterministic()(F.col(text_col)))
 
 
 def spread(df: DataFrame, struct: str) -> DataFrame:
