@@ -39,7 +39,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ringside.llm.common import materialize, spread, with_struct
 

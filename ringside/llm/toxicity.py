@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.common import slices, small_batches, spread, with_struct
+from ringside.llm.common import small_batches, spread, with_struct
 from ringside.llm.labels import training_rows
 
 #: Labelled rows that are learned from, about; more are sampled by hash of id.
@@ -139,7 +139,8 @@ def log_odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> tuple[fl
     """The log-odds ratio of a feature with the pooled prior, and its standard error."""
     prior = PRIOR * (all_toxic + all_clean)
     a = max(prior * (toxic + clean) / (all_toxic + all_clean), 1e-9)
-    ratio = math.log((toxic + a) / (all_toxic + prior - toxic - a)) - math.log((clean + a) / (all_clean + prior - clean - a))
+    odds = lambda n, total: math.log((n + a) / max(total + prior - n - a, 1e-9))  # noqa: E731  a feature may be in all documents
+    ratio = odds(toxic, all_toxic) - odds(clean, all_clean)
     return ratio, math.sqrt(1 / (toxic + a) + 1 / (clean + a))
 
 

@@ -101,3 +101,9 @@ def test_labels_of_the_held_out_fold_are_not_read(corpus):
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit(docs, labels), quality.fit(docs, flipped)
     assert a.rules == b.rules and a.intercept == b.intercept
+
+
+def test_log_odds_of_features_in_all_or_no_documents():
+    assert abs(toxicity.log_odds(10, 20, 10, 20)[0]) < 1
+    assert toxicity.log_odds(5, 0, 10, 20)[0] > 2 and toxicity.log_odds(0, 5, 10, 20)[0] < 0
+    assert all(map(math.isfinite, toxicity.log_odds(0, 0, 10, 20)))
