@@ -9,10 +9,9 @@ A third of the labelled documents is kept from this and used for calibration: cl
 distribution of the best segment, E(S) = K n exp(-lambda S), and a logistic curve turns a document's evidence into the
 probability of its label.
 
-Scoring.  The linear-time scan for all maximal scoring segments (Ruzzo and Tompa) runs over a text's words; a word that was
-there before counts as any other word.  A segment is a toxic
-passage if its expected number E in as many clean words is below ``SIGNIFICANT``; the document's evidence is the sum of ln(1 / E)
-over its passages.
+Scoring.  The linear-time scan for all maximal scoring segments (Ruzzo and Tompa) runs over a text's words; every occurrence of
+a word has its score, here and in the calibration.  A segment is a toxic passage if its expected number E in as many clean words
+is below ``SIGNIFICANT``; the document's evidence is the sum of ln(1 / E) over its passages.
 
 Null and empty texts have no passages and the score of a document without evidence.  With no toxic or no clean training rows
 every document scores 0.0.  Rows and other columns stay; columns that the scan adds replace older ones of their names.  What the
@@ -85,34 +84,33 @@ class Scanner(dict):
         found = self[word] = next((s for f in features(word) if (s := self.scores.get(f)) is not None), -DRIFT)
         return found
 
-    def firsts(self, words: list[str]) -> list[tuple[int, float]]:
-        """Places and scores of the words with a score above 0, each word once."""
+    def hits(self, words: list[str]) -> list[tuple[int, float]]:
+        """Places and scores of all words with a score above 0."""
         v = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
-        first: dict[str, int] = {}
-        for i in np.flatnonzero(v > 0).tolist():
-            first.setdefault(words[i], i)
-        return [(i, float(v[i])) for i in first.values()]
+        at = np.flatnonzero(v > 0)
+        return list(zip(at.tolist(), v[at].tolist(), strict=True))
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """(first word, word after the last, score) of all maximal scoring segments, in order."""
-        stack: list[tuple[int, int, float, float]] = []  # first, after, sum before, sum after
+        # first, after, sum before, sum after, the nearest one below it with a smaller sum before
+        stack: list[tuple[int, int, float, float, int]] = []
         total, before = 0.0, 0
-        for i, s in self.firsts(words):
+        for i, s in self.hits(words):
             total -= DRIFT * (i - before)
             first, low = i, total
             total += s
             before = i + 1
-            own = (first, before, low, total)
+            j = len(stack) - 1
             while True:
-                j = len(stack) - 1
-                while j >= 0 and stack[j][2] >= own[2]:
-                    j -= 1
-                if j < 0 or stack[j][3] >= own[3]:
-                    stack.append(own)
+                while j >= 0 and stack[j][2] >= low:
+                    j = stack[j][4]
+                if j < 0 or stack[j][3] >= total:
+                    stack.append((first, before, low, total, j))
                     break
-                own = (stack[j][0], own[1], stack[j][2], own[3])
+                first, _, low, _, below = stack[j]
                 del stack[j:]
-        return [(a, b, high - low) for a, b, low, high in stack]
+                j = below
+        return [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
 def _counts(rows: DataFrame, wanted: dict[str, None] | None) -> DataFrame:
@@ -183,7 +181,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
             out = []
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 words = _words(text.lower())
-                hits = [s for _, s in scanner.firsts(words)]
+                hits = [] if y else [s for _, s in scanner.hits(words)]
                 out.append((int(y), len(words), hits, [s for *_, s in scanner.segments(words)]))
             yield pd.DataFrame(out, columns=["y", "n", "hits", "segments"])
 

@@ -33,6 +33,29 @@ def test_segments_equal_brute_force():
         assert all(math.isclose(s, sum(values[a:b]), abs_tol=1e-9) for a, b, s in got)
 
 
+def test_segments_with_repeated_words_equal_brute_force():
+    r = random.Random(5)
+    for _ in range(300):
+        scores = {f"t{i}": r.uniform(0.1, 2.0) for i in range(4)}
+        scanner = toxicity.Scanner(scores)
+        words = [f"t{r.randrange(4)}" if r.random() < 0.3 else f"c{r.randrange(4)}" for _ in range(30)]
+        values = [scores.get(w, -toxicity.DRIFT) for w in words]
+        got = scanner.segments(words)
+        assert [(a, b) for a, b, _ in got] == maximal_segments(values)
+        assert all(math.isclose(s, sum(values[a:b]), abs_tol=1e-9) for a, b, s in got)
+
+
+def test_passages_of_words_seen_before(spark):
+    """A passage of one repeated word, and a second one of the same words after early single uses."""
+    model = toxicity.Model({"grumbo": 2.0, "snarkel": 2.0}, lam=1.0, log_k=0.0, slope=1.0)
+    clean = " plain" * 100
+    texts = ["grumbo" + " grumbo" * 5, "grumbo" + clean + " snarkel" + clean + " grumbo snarkel" * 4, "grumbo snarkel" + " grumbo snarkel" * 3 + clean + " grumbo snarkel" * 4]
+    got = toxicity.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
+    assert [r["n_passages"] for r in got] == [1, 1, 2]
+    assert got[0]["passages"][0]["score"] == 12.0 and got[0]["passages"][0]["end"] == len(texts[0])
+    assert texts[1][got[1]["passages"][0]["start"] :] == "grumbo snarkel" + " grumbo snarkel" * 3
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     r = random.Random(8)
