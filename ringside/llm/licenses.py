@@ -1,9 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; a sentence is lower-cased and everything but letters and digits becomes one space.  Sentences
-that are known license sentences become their identifiers, all others are dropped, and the sequence of identifiers is
-matched against the licenses' rules: a rule is an ordered list of identifiers that must appear one after the other, whatever
-stands between.  The first rule that matches in the order below gives the document's license; all that match are listed too.
+A text is cut into pieces at sentence signs and line ends; a piece is lower-cased and everything but letters and digits becomes
+one space.  A known license sentence is a piece, or several lines of a paragraph one after the other, as texts are wrapped; it
+ends at a sentence sign, an empty line or a line end, and the longest that begins at a piece counts.  Known sentences become
+their identifiers, all others are dropped, and the sequence of identifiers is matched against the licenses' rules: a rule is an
+ordered list of identifiers that must appear one after the other, whatever stands between.  The first rule that matches in the
+order below gives the document's license; all that match are listed too.  n_sentences counts pieces.
 
 Everything is made of SQL functions.  Null and empty texts have no sentences and no license; repeated rows give equal
 results; other columns stay, but for the four that the scan adds.
@@ -91,6 +93,14 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-work"]),
 ]
 
+#: Sentences that join two of the above by a comma, and their rules, which go before the others.
+#: sql() knows neither these nor wrapped sentences.
+JOINED = {
+    "gpl-free-2-later": f"{SENTENCES['gpl-free']} {SENTENCES['gpl-2-later']}",
+    "gpl-free-3-later": f"{SENTENCES['gpl-free']} {SENTENCES['gpl-3-later']}",
+}
+JOINED_RULES = [("GPL-3.0-or-later", ["gpl-free-3-later"]), ("GPL-2.0-or-later", ["gpl-free-2-later"])]
+
 ADDED = ["n_sentences", "sentence_ids", "license", "licenses"]
 
 #: A sentence ends with one of these signs before white space, or with a line.
@@ -98,11 +108,15 @@ _ENDS = r"([.!?;:])[\x20\x09-\x0D]+"
 _OTHER = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, empty ones left out."""
-    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _ENDS, "$1\n")
-    plain = F.split(F.regexp_replace(cut, _OTHER, " "), "\n")
-    return F.array_remove(F.transform(plain, lambda s: F.trim(s)), "")
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text: a line feed between the lines of a paragraph, two or more at sentence signs and empty lines."""
+    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _ENDS, "$1\n\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(cut, _OTHER, " "), " ?\n ?", "\n"))
+
+
+def _known(known: list[str]) -> str:
+    """Matches a known sentence over one or more lines of a paragraph, the longest first."""
+    return "(?<![^\n])(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted(known, key=len, reverse=True)) + ")(?![^\n])"
 
 
 def _pattern(ids: list[str]) -> str:
@@ -112,11 +126,14 @@ def _pattern(ids: list[str]) -> str:
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_sentences, sentence_ids (|a||b|..., in order), license and licenses (sorted, joined by a space)."""
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    found = docs.drop(*[c for c in ADDED if c != text_col]).withColumn("__sentences", sentences(F.col(text_col)))
-    matched = F.filter("__sentences", lambda s: s.isin(*SENTENCES.values()))
-    found = found.select("*", F.size("__sentences").cast("long").alias("n_sentences"), F.array_join(F.transform(matched, lambda s: F.concat(F.lit("|"), F.element_at(known, s), F.lit("|"))), "").alias("sentence_ids")).drop("__sentences")
-    hits = [F.when(F.col("sentence_ids").rlike(_pattern(ids)), F.lit(name)) for name, ids in RULES]
+    known = SENTENCES | JOINED
+    ids = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
+    found = docs.drop(*[c for c in ADDED if c != text_col]).withColumn("__pieces", pieces(F.col(text_col)))
+    matched = F.regexp_extract_all("__pieces", F.lit(_known(list(known.values()))), F.lit(0))
+    named = F.transform(matched, lambda s: F.concat(F.lit("|"), F.element_at(ids, F.translate(s, "\n", " ")), F.lit("|")))
+    n_pieces = F.size(F.array_remove(F.split("__pieces", "\n+"), "")).cast("long")
+    found = found.select("*", n_pieces.alias("n_sentences"), F.array_join(named, "").alias("sentence_ids")).drop("__pieces")
+    hits = [F.when(F.col("sentence_ids").rlike(_pattern(ids)), F.lit(name)) for name, ids in JOINED_RULES + RULES]
     every = F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.array(*hits)))), " ")
     return found.select("*", F.coalesce(*hits).alias("license"), F.when(F.col("sentence_ids") != "", every).otherwise("").alias("licenses"))
 

@@ -74,6 +74,55 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+def test_wrapped_licenses(spark):
+    commented = "".join(f" * {line}".rstrip() + "\n" for line in BSD.splitlines())
+    rows = [(MIT, "MIT"), (MIT.replace("\n", "\r\n"), "MIT"), (BSD, "BSD-2-Clause"), (BSD + NAMES, "BSD-3-Clause"), (f"/*\n{commented} */", "BSD-2-Clause"), (GPL, "GPL-3.0-or-later"),
+            (" ".join(GPL.split()), "GPL-3.0-or-later"), (GPL.replace("Foundation, either version 3", "Foundation; either version 2"), "GPL-2.0-or-later"),
+            ("A line before\nReleased under the MIT License\nand a line after", "MIT"), ("A line before\n" + MIT.split("\n\n", 1)[1], "MIT"),
+            ("Released under\n\nthe MIT License", None), ("Released under. The MIT License", None), ("not released under\nthe MIT License", None), (MIT.replace("charge", "no charge"), None)]
+    df = spark.createDataFrame(rows, "text string, want string")
+    got = licenses.scan(df).collect()
+    assert [r["license"] for r in got] == [w for _, w in rows]
+    assert got[3]["sentence_ids"] == "|bsd-grant||bsd-source||bsd-binary||bsd-names|"
+
+
 def fill(sizes, weights=(1, 2, 3), cap=3):
     """Targets by sharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
