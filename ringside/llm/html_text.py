@@ -43,6 +43,11 @@ SIDE_NAMES = {
     "subscribe", "toolbar", "widget",
 }
 
+#: A class, id or role that begins so says what a page has, or lacks, elsewhere: no-sidebar, with-sidebar.
+ABOUT_OTHERS = {"has", "no", "with", "without"}
+#: With one of these a class, id or role doesn't name a main element: post-meta, entry-tags.
+NOT_MAIN_NAMES = {"author", "byline", "date", "image", "info", "meta", "tag", "tags", "thumbnail"}
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^'\"<>]|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _KIND = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -52,21 +57,42 @@ FEATURES = ["main", "side", "page_main", "words", "links", "words_before", "link
 BLOCKS = "blocks array<struct<" + ",".join(["text:string", *[f"{f}:double" for f in FEATURES]]) + ">>"
 
 
-def _standing(name: str, tag: str, within_main: bool) -> tuple[bool, bool]:
-    """(whether it is a main element, whether one beside the text)."""
-    names = {p.lower() for m in _KIND.finditer(tag) for p in _PARTS.findall(m[2] or m[3] or m[4] or "")}
-    side = name in SIDE_TAGS or bool(names & SIDE_NAMES) or (name == "header" and not within_main)
-    return not side and (name in MAIN_TAGS or bool(names & MAIN_NAMES)), side
+def _standing(name: str, tag: str, within_main: bool) -> tuple[bool, bool, bool]:
+    """(whether it is a main element, whether one beside the text, whether beside the text by its tag and not only by a name)."""
+    main = side = False
+    if name not in ("body", "html"):  # they hold the text as well as all that is beside it
+        for m in _KIND.finditer(tag):
+            for kind in (m[2] or m[3] or m[4] or "").split():
+                parts = [p.lower() for p in _PARTS.findall(kind)]
+                side = side or not SIDE_NAMES.isdisjoint(parts) and parts[0] not in ABOUT_OTHERS
+                main = main or not MAIN_NAMES.isdisjoint(parts) and NOT_MAIN_NAMES.isdisjoint(parts)
+    by_tag = name in SIDE_TAGS or (name == "header" and not within_main)
+    return not (side or by_tag) and (name in MAIN_TAGS or main), side or by_tag, by_tag
 
 
 def blocks(page: str | None) -> list[dict]:
-    """The text blocks of a page with their features, in order."""
+    """The text blocks of a page with their features, in order.
+
+    What holds a main element isn't beside the text for its name: the main element ends that.  An article ends it only on pages
+    that have no main element otherwise, as sidebars have articles too.
+    """
+    found, page_main, held = _blocks(page, False)
+    if held and not page_main:
+        found, page_main, _ = _blocks(page, True)
+    return _features(found, page_main)
+
+
+def _blocks(page: str | None, articles: bool) -> tuple[list[list], bool, bool]:
+    """(blocks, whether the page has a main element, whether an article stands in a side that is one by name only).
+
+    articles: whether articles end such a side.
+    """
     found: list[list] = []  # text, words, linked words, main, side
     parts: list[str] = []
     words = linked = links = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, main, side, hidden: of the element or one around it
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, main, side, side by a tag: of the element or one around it
     hidden_until = None
-    page_main = False
+    page_main = held = False
 
     def close():
         nonlocal words, linked
@@ -129,11 +155,18 @@ def blocks(page: str | None) -> list[dict]:
                     while stack.pop()[0] != name:
                         pass
             elif not tag.endswith("/>"):
-                _, main, side, _ = stack[-1] if stack else ("", False, False, False)
-                own_main, own_side = _standing(name, tag, main)
+                _, main, side, by_tag = stack[-1] if stack else ("", False, False, False)
+                own_main, own_side, own_tag = _standing(name, tag, main)
+                if side and not by_tag and not main and own_main and name in MAIN_TAGS:
+                    held = True
+                    side = not (articles or name == "main")
                 page_main = page_main or own_main and not side
-                stack.append((name, main or own_main, side or own_side, False))
+                stack.append((name, main or own_main, side or own_side, by_tag or own_tag))
     close()
+    return found, page_main, held
+
+
+def _features(found: list[list], page_main: bool) -> list[dict]:
     out = []
     for i, (t, n, k, main, side) in enumerate(found):
         before, after = (found[j] if 0 <= j < len(found) else ["", 0, 0, False, False] for j in (i - 1, i + 1))

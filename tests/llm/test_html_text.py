@@ -48,6 +48,36 @@ def test_pages_without_an_article(spark, paths):
     assert got == "\n\n".join([long.strip()] * 3)
 
 
+ARTICLE = "<article><h1>A head</h1><p>Some words of the text.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body class='no-sidebar'>{ARTICLE}<div class='sidebar'>Other things</div></body></html>",
+        f"<html class='menu'><body class='post has-comments menu'>{ARTICLE}<div>Other things</div></body></html>",
+        f"<body><div class='layout with-sidebar'>{ARTICLE}<div class='sidebar'><p>Other things</p></div></div></body>",
+        f"<body><div class='sidebar layout'>{ARTICLE}<p>Other things</p></div></body>",
+        f"<body><div id='menu'><main>{ARTICLE}</main><p>Other things</p></div></body>",
+        f"<body>{ARTICLE}<div class='sidebar'><article><p>Other things</p></article></div></body>",
+        f"<body>{ARTICLE}<div id='comments'><article><p>Other things</p></article></div></body>",
+        f"<body><div class='post-body'>{ARTICLE}<div class='comments'><article><p>Other things</p></article></div></div></body>",
+        f"<body>{ARTICLE}<aside><article><p>Other things</p></article></aside></body>",
+        f"<body>{ARTICLE}<div class='post-meta'>Other things</div></body>",
+    ],
+)
+def test_holders_of_the_text_are_not_beside_it(spark, paths, page):
+    got = html_text.extract(spark.createDataFrame([(page,)], "html string"), paths).first()["text"]
+    assert got == "A head\n\nSome words of the text."
+
+
+def test_names_of_a_box_below_a_headline_leave_pages_without_an_article_alone(spark, paths):
+    long = ("Word " * 60).strip()
+    page = f"<body><div class='post-meta'>by someone</div><div><p>{long}</p><p>{long}</p><p>{long}</p></div></body>"
+    got = html_text.extract(spark.createDataFrame([(page,)], "html string"), paths).first()["text"]
+    assert got.endswith("\n\n".join([long] * 3))
+
+
 def test_tree_follows_the_element(spark, paths):
     """Whatever its words and links: text inside an article is kept, what stands beside it is not."""
     grid = itertools.product((0, 1), (0, 1), (1, 3, 9, 14, 22, 80, 500), (0.0, 0.3, 0.6, 1.0), (0, 2, 7, 15, 90), (0.0, 1.0), (0, 2, 7, 15, 90), (0.0, 1.0))
