@@ -21,6 +21,9 @@ different components is compared.  Each candidate pair is verified on the full s
 Exact copies of a set are one vertex throughout.  Connected components come from alternating large-star and small-star rounds.
 All steps are joins and aggregations keyed by hash, list or vertex; intermediate tables are written to the shared folder.
 
+``link_components`` gives components only; ``links`` compares all candidates, without the shortcuts by component, and gives every
+verified pair of distinct sets and the set of each document.
+
 Null, empty and white-space-only texts have an empty set and are linked with nothing; texts shorter than a shingle are one
 shingle as a whole.  Rows are documents: repeated rows are exact copies.  A null id takes part but never is a component's id,
 unless all ids in it are null.  Of the input, only the id and the text are read.
@@ -152,8 +155,8 @@ def boundary(sizes: dict[int, int], t: Threshold) -> int:
     return min(range(1, SMALL_MOST + 2), key=lambda x: (cost(x), x))
 
 
-def _small_pairs(classes: DataFrame, x: int, t: Threshold) -> DataFrame:
-    """Candidate pairs (a, b) of small sets: enough of those with a subset in common to connect all of them."""
+def _small_pairs(classes: DataFrame, x: int, t: Threshold, every: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) of small sets: enough of those with a subset in common to connect all of them, or every one."""
     sizes = {n: t.subset_sizes(n, x) for n in range(1, x)}
 
     def subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,6 +174,9 @@ def _small_pairs(classes: DataFrame, x: int, t: Threshold) -> DataFrame:
 
     small = classes.filter((F.col("n") > 0) & (F.col("n") < x)).select("v", "small")
     rows = small.mapInPandas(subsets, "v long, n int, s int, key long")
+    if every:
+        other = rows.select("key", "s", F.col("n").alias("m"), F.col("v").alias("b"))
+        return _ordered(rows.join(other, ["key", "s"]).filter((F.col("s") == t.overlap(F.col("n"), F.col("m"))) & (F.col("v") < F.col("b"))), "v", "b")
     firsts = rows.groupBy("key", "s", "n").agg(F.min("v").alias("first"), F.max("v").alias("last"))
     more = firsts.groupBy("key", "s").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).filter("lo < hi").select("key", "s")
     firsts = firsts.join(more, ["key", "s"]).select("key", "s", F.col("n").alias("m"), F.col("first").alias("b"))  # at most a row for each small size
@@ -279,31 +285,65 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
         k *= GROWTH
 
 
+def _list_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
+    """All candidate pairs (a, b) of sets that are in a list together."""
+    other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("rest").alias("left"))
+    fits = (F.col("v") < F.col("w")) & (F.lit(t.den) * F.least("n", "m") >= F.lit(t.num) * F.greatest("n", "m")) & (F.lit(t.num + t.den) * F.least("rest", "left") >= F.lit(t.num) * (F.col("n") + F.col("m")))
+    return _ordered(lists.join(other, "token").filter(fits), "v", "w")
+
+
 def _by_token():
     from pyspark.sql import Window
 
     return Window.partitionBy("token").orderBy(F.xxhash64("v"), "v")
 
 
-def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id that its links reach, its own included)."""
-    t = Threshold(*threshold)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _prepared(docs: DataFrame, words: int, t: Threshold) -> tuple[DataFrame, DataFrame, int]:
+    """(documents with their summaries, classes of equal sets, the boundary)."""
     own = materialize(_summaries(docs, words, t).drop("text"), "summaries")
     filled = own.filter("n_shingles > 0")
     classes = filled.groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("n_shingles").cast("int").alias("n"), F.first("small").alias("small"))
     classes = materialize(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
 
     sizes = {r["n"]: r["k"] for r in classes.filter(F.col("n") <= SMALL_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-    x = boundary(sizes, t)
+    return own, classes, boundary(sizes, t)
+
+
+def _large_sets(docs: DataFrame, own: DataFrame, classes: DataFrame, x: int, words: int, t: Threshold) -> DataFrame:
+    """(v, n, members) of the large sets and their possible partners that may have links."""
+    large = classes.filter(F.col("n") >= t.least(x)).select("sig", "low", "v", "n")
+    probes = own.filter("n_shingles > 0").select("doc_id", "sig", "probe").join(large, "sig").filter(F.col("doc_id").eqNullSafe(F.col("low"))).select("v", "n", "probe")
+    stay = materialize(_survivors(probes, t).join(large.select("v", "sig", "low"), "v").select("v", "n", "sig", "low"), "survivors")
+    return materialize(_full_sets(docs, stay, words), "sets")
+
+
+def links(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): doc_id, n_shingles and set_id of every document, and (a, b), a < b, of all similar pairs of distinct sets.
+
+    Documents with equal sets have one set_id and are linked with each other; documents without shingles have none.  All pairs
+    of a group of many distinct near copies are compared and given, which is quadratic in the group.
+    """
+    t = Threshold(*threshold)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own, classes, x = _prepared(docs, words, t)
+    small_sets = classes.filter(F.col("n") < x).select("v", F.col("small").alias("members"))
+    small = _verified(_small_pairs(classes, x, t, every=True), small_sets, t)
+    sets = _large_sets(docs, own, classes, x, words, t)
+    large = _verified(materialize(_list_pairs(materialize(_lists(sets, t), "lists"), t), "pairs"), sets, t)
+    members = own.select("doc_id", "n_shingles", "sig").join(classes.select("sig", F.col("v").alias("set_id")), "sig", "left")
+    return members.select("doc_id", "n_shingles", "set_id"), small.union(large).distinct()
+
+
+def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id that its links reach, its own included)."""
+    t = Threshold(*threshold)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own, classes, x = _prepared(docs, words, t)
     # Small sets.
     small_sets = classes.filter(F.col("n") < x).select("v", F.col("small").alias("members"))
     edges = materialize(_verified(_small_pairs(classes, x, t), small_sets, t), "small-links")
     # Large sets and their possible partners.
-    large = classes.filter(F.col("n") >= t.least(x)).select("sig", "low", "v", "n")
-    probes = filled.select("doc_id", "sig", "probe").join(large, "sig").filter(F.col("doc_id").eqNullSafe(F.col("low"))).select("v", "n", "probe")
-    stay = materialize(_survivors(probes, t).join(large.select("v", "sig", "low"), "v").select("v", "n", "sig", "low"), "survivors")
-    sets = materialize(_full_sets(docs, stay, words), "sets")
+    sets = _large_sets(docs, own, classes, x, words, t)
     roots = _scan(materialize(_lists(sets, t), "lists"), sets, edges, t)
 
     found = classes.select("sig", "v", "low").join(roots, "v", "left").select("sig", "low", F.coalesce("root", "v").alias("root"))

@@ -70,6 +70,31 @@ def test_components_equal_brute_force(spark, monkeypatch, words, num, den, pivot
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, words, num, den)
 
 
+@pytest.mark.parametrize("words,num,den,most", [(4, 85, 100, 24), (1, 80, 100, 24), (5, 80, 100, 1)])
+def test_links_equal_brute_force(spark, monkeypatch, words, num, den, most):
+    """Every pair, also of sets that other links connect."""
+    if most == 1:
+        monkeypatch.setattr(jaccard, "boundary", lambda sizes, t: 1)
+    rows = [(i, text) for i, (_, text) in enumerate(corpus(words + 7))]
+    members, pairs = jaccard.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words, (num, den))
+    of = {r["doc_id"]: r["set_id"] for r in members.collect()}
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(of) == len(rows) and len(found) == len(set(found)) and all(a < b for a, b in found)
+    linked, want = set(found), set()
+    sets = []
+    for _, text in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(ws[i : i + words]) for i in range(len(ws) - words + 1)} if len(ws) >= words else ({tuple(ws)} if ws else set()))
+    for i, a in enumerate(sets):
+        assert (of[i] is None) == (not a)
+        for j, b in enumerate(sets[:i]):
+            if a and b:
+                assert (of[i] == of[j]) == (a == b)
+                if a != b and den * len(a & b) >= num * len(a | b):
+                    want.add((min(of[i], of[j]), max(of[i], of[j])))
+    assert linked == want and want
+
+
 def test_boundary_follows_cost():
     t = jaccard.Threshold(85, 100)
     assert jaccard.boundary({13: 1000}, t) > 13
