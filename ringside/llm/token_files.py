@@ -121,7 +121,8 @@ class WordEncoder:
     The vocabulary's normalizer and splitter drop white space and never join across it, nor between a letter and a sign, so
     the library encodes each distinct word (a run without ASCII white space), or each distinct piece of one, once, and a
     text is the joined ids of its words.  Pieces of letters only are one split each and are encoded many at a time, joined by
-    spaces: the ids that end a split tell them apart.
+    spaces: the ids that end a split tell them apart.  Texts with an added token's string, which the library cuts out before
+    all else, or with U+0130, whose lower case is two characters, are encoded whole.
     """
 
     def __init__(self, config: str):
@@ -129,7 +130,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = re.compile("|".join(["\u0130", *added])).search
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -181,7 +183,7 @@ class WordEncoder:
         if len(self.memo) > MEMO:
             self.former, self.memo = self.memo, {}
         memo, end = self.memo, np.array([end_id], "<u4").tobytes()
-        whole = {i: t for i, t in enumerate(texts) if t and "\u0130" in t}  # its lower case is two characters, which the library splits by context
+        whole = {i: t for i, t in enumerate(texts) if t and self.apart(t)}
         # Lower case and splits by ASCII only, which the library's own steps don't undo; it does the rest.
         words = [t.encode("utf-8", "surrogatepass").lower().split() if t and i not in whole else [] for i, t in enumerate(texts)]
         flat = [w for ws in words for w in ws]

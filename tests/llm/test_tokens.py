@@ -20,7 +20,7 @@ WORDS = P.path("word_bpe_49k.json")
 def texts():
     r = random.Random(3)
     made = ["".join(r.choice("aé ß\n\t1!x日本👍 theİ.,-_.<|endoftext|>\x1c\xa0́") for _ in range(r.randint(0, 120))) for _ in range(300)]
-    return [None, "", " ", "\n\n", "a", "Hello world, it's 2024!", "a" * 700, "ab" * 2000, "<|endoftext|>", "The cat. The cat."] + made * 2
+    return [None, "", " ", "\n\n", "a", "Hello world, it's 2024!", "a" * 700, "ab" * 2000, "<|endoftext|>", "a <|startoftext|>b", "The cat. The cat."] + made * 2
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +61,16 @@ def test_long_and_short_pieces_merge_alike():
     assert codec.encode_rows(pieces) == [codec.encode_long(p) for p in pieces]
 
 
+def test_words_equal_library_beside_special_tokens():
+    t, r = Tokenizer.from_file(WORDS), random.Random(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "hello", "It's", " ", "\n", "\u0130", "e\u0301", "\u212a", "12", "...", "\xa0", "\u3000", "\u65e5\u672c"]
+    made = ["hello <|endoftext|> world", "a<|startoftext|>b"] + ["".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(3000)]
+    with open(WORDS, encoding="utf-8") as f:
+        got = token_files.WordEncoder(f.read()).encode(made, 1)
+    assert [g.tolist() for g in got] == [e.ids + [1] for e in t.encode_batch(made, add_special_tokens=False)]
+    assert got[0].tolist() == [3306, 49407, 1002, 1]
+
+
 def test_bit_packing_round_trip():
     r = np.random.default_rng(1)
     for width in (1, 7, 13, 16, 17, 31, 32):
@@ -75,7 +85,6 @@ def test_bit_packing_round_trip():
 def test_token_files_equal_library(spark, docs, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_IDS", 500)
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
     files = token_files.write(docs, WORDS, end_id=1)
     got = {r["start"]: r for r in token_files.read(files).collect()}
