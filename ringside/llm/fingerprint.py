@@ -20,12 +20,8 @@ from ringside.llm.common import materialize
 #: Hashes in a sketch; the error of a resemblance is about sqrt(r * (1 - r) / K), at most 0.045.
 K = 128
 WORDS = 5
-#: Rows in a bucket of neighbours, about.
-BUCKET_ROWS = 1000
-#: Quantiles between which buckets divide the ids evenly.
-QUANTILES = 32
-#: Up to so many first ids of buckets (8 bytes each) are broadcast; beyond, a shuffle join.
-BROADCAST_HEADS = 2_000_000
+#: Rows in a bucket of neighbours, about, and the most buckets by quantiles of the ids; with more rows buckets grow instead.
+BUCKET_ROWS, MOST_BUCKETS = 1000, 8192
 
 
 def words(text: Column) -> Column:
@@ -93,19 +89,41 @@ def merge_parts(parts: DataFrame, key: str, sketch_col: str, k: int = K) -> Data
     return joined.select(F.col("__key").alias(key), F.coalesce(sketch_col, empty).alias(sketch_col))
 
 
+def _order() -> Column:
+    """The order of documents: ids fall, null ids come last; equal ids stand by a hash of their texts."""
+    return F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down"), F.col("tie"))
+
+
+def _at(bounds: list[int]) -> Column:
+    """How many of the sorted bounds are no larger than doc_id, by binary search."""
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(F.get(table, n + step - 1) <= F.col("doc_id"), n + step).otherwise(n))
+
+
 def _bucket(ids: DataFrame) -> Column:
-    """A number for each id that doesn't fall as ids rise; about BUCKET_ROWS ids have the same one."""
-    bounds, n = ids.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000), F.count("doc_id")).first()
-    if not bounds:
-        return F.lit(0).cast("long")
-    bounds = sorted(set(bounds))
-    fine = max(1, -(-n // (BUCKET_ROWS * max(1, len(bounds) - 1))))
-    low = F.array(*[F.lit(b).cast("long") for b in bounds])
-    at = F.greatest(F.size(F.filter(low, lambda b: b <= F.col("doc_id"))), F.lit(1))  # as many quantiles are no larger
-    start = F.get(low, at - 1)
-    width = F.coalesce(F.get(low, at), start + 1) - start
-    part = F.least(F.greatest(F.floor((F.col("doc_id") - start) * fine / width), F.lit(0)), F.lit(fine - 1))
-    return F.coalesce((at * fine + part).cast("long"), F.lit(-1).cast("long"))
+    """A number for each (doc_id, tie) that doesn't fall in their order; about BUCKET_ROWS rows, or n / MOST_BUCKETS, have the same one.
+
+    Buckets lie between quantiles of the ids.  An id that fills more than one of these, and null, is divided by its hashes.
+    """
+    n, filled = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    each = max(BUCKET_ROWS, -(-n // MOST_BUCKETS))
+    q = -(-filled // each)
+    found = ids.agg(F.percentile_approx("doc_id", [i / q for i in range(q)], max(10_000, 20 * q))).first()[0] if q else []
+    bounds = sorted(set(found))
+    parts = {b: k for b in bounds if (k := found.count(b)) > 1}
+    nulls = max(1, -(-(n - filled) // each))
+    most = max([nulls, *parts.values()]) + 1
+
+    def part(k: Column) -> Column:
+        return F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * k).cast("long"), k - 1)
+
+    own = F.lit(0).cast("long")
+    if parts:
+        k = F.element_at(F.create_map(*[F.lit(x).cast("long") for b in parts.items() for x in b]), F.col("doc_id"))
+        own = F.coalesce(part(k) + 1, own)  # after the larger ids below the next bound
+    place = (F.lit(len(bounds)) - F.greatest(_at(bounds), F.lit(1))).cast("long") if bounds else F.lit(0).cast("long")
+    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) * most).cast("long") + part(F.lit(nulls).cast("long"))).otherwise(place * most + own)
 
 
 def with_next(docs: DataFrame, finish) -> DataFrame:
@@ -113,24 +131,22 @@ def with_next(docs: DataFrame, finish) -> DataFrame:
 
     docs has doc_id and text.  ``finish(frame, following)`` gets the frame with doc_id, text and next_text, and a function that
     gives the value of an expression on ``text`` for the next document; it returns the columns to select.  Equal ids are ordered
-    by text, null ids come last.
+    by a hash of the text and the text, null ids come last.
 
     The texts move once, to buckets of neighbouring ids; what follows a bucket is looked up in the table of the buckets' first
-    documents.
+    documents, of which there are no more than about twice MOST_BUCKETS.
     """
-    ids = docs.select("doc_id")
-    bucket = _bucket(ids)
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    bucket = _bucket(docs.select("doc_id"))
     docs = docs.withColumn("bucket", bucket)
-    down = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    # The first document of each bucket, from the ids alone, then its text.
-    tops = materialize(ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("doc_id").alias("doc_id")), "tops")
-    few = tops.count() <= BROADCAST_HEADS
-    heads = docs.join(F.broadcast(tops) if few else tops, (docs["bucket"] == tops["bucket"]) & docs["doc_id"].eqNullSafe(tops["doc_id"])).select(docs["bucket"], "text")
-    heads = heads.groupBy("bucket").agg(F.min_by("text", F.struct(F.col("text").isNotNull(), "text")).alias("head"))
-    after = F.lead("bucket").over(Window.orderBy(F.col("bucket").desc()))
-    follows = tops.select("bucket", F.coalesce(after, F.max("bucket").over(Window.partitionBy())).alias("following"))
+    # The first document of each bucket, without its text, then its text.
+    tops = materialize(docs.groupBy("bucket").agg(F.min(_order()).alias("top")), "tops")
+    heads = docs.withColumn("top", _order()).join(F.broadcast(tops), ["bucket", "top"])
+    heads = heads.groupBy("bucket").agg(F.min("text").alias("head"))
+    after = F.lead("bucket").over(Window.orderBy("bucket"))
+    follows = tops.select("bucket", F.coalesce(after, F.min("bucket").over(Window.partitionBy())).alias("following"))
     heads = follows.join(heads.withColumnRenamed("bucket", "following"), "following").select("bucket", "head")
-    w = Window.partitionBy("bucket").orderBy(*down)
+    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie", "text")
     frame = docs.withColumn("is_last", F.lead(F.lit(False), 1, True).over(w)).withColumn("next_text", F.lead("text").over(w))
     frame = frame.join(heads, "bucket").withColumn("next_text", F.when(F.col("is_last"), F.col("head")).otherwise(F.col("next_text")))
     return finish(frame, w)
@@ -143,13 +159,13 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and distinct_shingles per document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, distinct_shingles and in_edited (containment of the text in the edited one) per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def finish(frame: DataFrame, w) -> DataFrame:
         frame = frame.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-        sketched = frame.select("bucket", "doc_id", "text", "is_last", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text"), k).alias("a"), sketch(F.col("edited"), k).alias("e"), F.when(F.col("is_last"), sketch(F.col("head"), k)).alias("h"))
+        sketched = frame.select("bucket", "doc_id", "tie", "text", "is_last", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text"), k).alias("a"), sketch(F.col("edited"), k).alias("e"), F.when(F.col("is_last"), sketch(F.col("head"), k)).alias("h"))
         sketched = sketched.withColumn("n", F.when(F.col("is_last"), F.col("h")).otherwise(F.lead("a").over(w)))
-        return sketched.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), resemblance(F.col("a"), F.col("e"), k).alias("near_edited"), resemblance(F.col("a"), F.col("n"), k).alias("near_next"), distinct_shingles(F.col("a"), k).alias("distinct_shingles"))
+        return sketched.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), resemblance(F.col("a"), F.col("e"), k).alias("near_edited"), resemblance(F.col("a"), F.col("n"), k).alias("near_next"), distinct_shingles(F.col("a"), k).alias("distinct_shingles"), containment(F.col("a"), F.col("e"), k).alias("in_edited"))
 
     return with_next(docs, finish)

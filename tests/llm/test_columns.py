@@ -19,7 +19,7 @@ def jaccard(a, b):
     return 1.0 if not a | b else len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("rows_in_bucket", [1, 7, 1000])
+@pytest.mark.parametrize("rows_in_bucket", [1, 7, 1000])  # null and 77 fill many buckets, or one
 def test_fingerprints(spark, monkeypatch, rows_in_bucket):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", rows_in_bucket)
     r = random.Random(rows_in_bucket)
@@ -27,10 +27,11 @@ def test_fingerprints(spark, monkeypatch, rows_in_bucket):
     base = [r.choice(vocab) for _ in range(40)]
     texts = [None, "", " ", "one", "a b c d e"] + [" ".join(base[: r.randint(5, 40)]) for _ in range(30)] + [" ".join(r.choice(vocab) for _ in range(r.randint(1, 600))) for _ in range(20)]
     ids = r.sample(range(-50, 10_000), len(texts) - 1) + [None]
-    rows = list(zip(ids, texts)) + [(ids[7], texts[8])]
+    rows = list(zip(ids, texts)) + [(ids[7], texts[8])] + [(r.choice([None, 77]), " ".join(r.choices(vocab, k=12))) for _ in range(60)]
     df = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], "doc_id long, text string, fingerprint string, bucket int").repartition(3)
     got = fingerprint.fingerprints(df).collect()
-    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    hashes = {t: h for t, h in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]], x[1]))
     assert len(got) == len(order)
     found = {(x["doc_id"], x["n_chars"], x["edited_sha256"]): x for x in got}
     for i, (d, t) in enumerate(order):
@@ -45,6 +46,7 @@ def test_fingerprints(spark, monkeypatch, rows_in_bucket):
             assert abs(x["near_edited"] - jaccard(a, e)) < 0.2
         assert abs(x["near_next"] - jaccard(a, n)) < (1e-9 if len(a | n) <= fingerprint.K else 0.2)
         assert abs(x["distinct_shingles"] - len(a)) <= 0.4 * len(a)
+        assert abs(x["in_edited"] - (len(a & e) / len(a) if a else 1.0)) < (1e-9 if len(a | e) <= fingerprint.K else 0.4)
         assert len(x["fingerprint"]) == 16 * min(len(a), fingerprint.K)
     assert fingerprint.fingerprints(df.limit(0)).count() == 0
     assert fingerprint.fingerprints(df.filter("text = 'one'")).first()["near_next"] == 1.0
