@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, token ids out, one stage after the other.
 
-Each stage takes the documents that the one before kept.  All but the last return the columns of documents.  A null doc_id is a
-document like any other; documents with equal ids are kept or left out together where a stage decides by id.
+Each stage takes the documents that the one before kept.  All but the last return the columns of documents.  Rows are documents,
+whether their doc_id is null, repeated or neither.
 """
 
 from __future__ import annotations
@@ -34,10 +34,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of documents linked by five-word shingle sets of similarity 0.8, the one with the smallest id."""
-    groups = jaccard.link_components(docs, words=5, threshold=(80, 100))
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return with_id.select(docs.columns).union(docs.filter("doc_id is null"))
+    return jaccard.representatives(docs, words=5, threshold=(80, 100))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
