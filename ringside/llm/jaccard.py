@@ -22,7 +22,7 @@ Exact copies of a set are one vertex throughout.  Connected components come from
 All steps are joins and aggregations keyed by hash, list or vertex; intermediate tables are written to the shared folder.
 
 ``link_components`` gives components only; ``links`` compares all candidates, without the shortcuts by component, and gives every
-verified pair of distinct sets and the set of each document.
+verified pair of distinct sets and the set of each document.  ``representatives`` keeps one row of each component.
 
 Null, empty and white-space-only texts have an empty set and are linked with nothing; texts shorter than a shingle are one
 shingle as a whole.  Rows are documents: repeated rows are exact copies.  A null id takes part but never is a component's id,
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.common import materialize, spread, with_struct
+from ringside.llm.common import WORD, materialize, spread, with_struct
 
 #: Sets of more members are never small, whatever their number.
 SMALL_MOST = 24
@@ -51,8 +51,8 @@ SMALL_MOST = 24
 EXTRA = 0.05
 #: Pivots of a list in the first round, and by how much they grow each round.
 PIVOTS, GROWTH = 8, 8
-#: Up to so many ids the search for the texts that stay is a broadcast join (8 bytes an id); beyond, a shuffle join.
-BROADCAST_IDS = 2_000_000
+#: Up to so many rows of two ids are broadcast (some 10 MB); beyond, they take a shuffle join.
+BROADCAST_ROWS = 200_000
 MEMO = 100_000
 
 
@@ -85,8 +85,8 @@ class Threshold:
         return min(n, n - self.least(n) + 1 + math.ceil(EXTRA * n))
 
     def probe_shared(self, n: int) -> int:
-        """How many of a set's probe members another set must hold, whichever partner it has."""
-        return 1 + math.ceil(EXTRA * self.least(n))
+        """How many of a set's probe members another set must hold, whichever partner it has; no more than they share at least."""
+        return min(self.least(n), 1 + math.ceil(EXTRA * self.least(n)))
 
 
 class Shingler:
@@ -184,6 +184,14 @@ def _small_pairs(classes: DataFrame, x: int, t: Threshold, every: bool = False)
     return _ordered(rows.join(firsts, ["key", "s"]).filter(fits), "v", "b")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has no more than BROADCAST_ROWS rows.
+
+    A larger one is joined as it is read from files, not behind an aggregation, so that Spark can split hot keys of the other side.
+    """
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -207,9 +215,11 @@ def components(edges: DataFrame) -> DataFrame:
         out = e.select(F.col("a").alias("u"), F.col("b").alias("w"))
         back = e.select(F.col("b").alias("u"), F.col("a").alias("w"))
         near = out.union(back) if large else out.union(back).filter("w < u")
-        low = near.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
+        low = near.groupBy("u").agg(F.min("w").alias("m"))
+        # What has no smaller neighbour keeps its edges, so a large star that is done isn't looked up; nor is its hub's task split.
+        low = _small(materialize(low.filter("m < u") if large else low, "lowest"))
         moved = near.filter("w > u") if large else near
-        moved = moved.join(low, "u").select(F.col("w").alias("a"), F.col("m").alias("b"))
+        moved = moved.join(low, "u", "left").select(F.col("w").alias("a"), F.coalesce("m", "u").alias("b"))
         if not large:
             moved = moved.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return moved.filter("a <> b").distinct()
@@ -236,7 +246,7 @@ def _survivors(probes: DataFrame, t: Threshold) -> DataFrame:
             yield pd.DataFrame({"token": np.concatenate(parts), "v": np.repeat(batch["v"].to_numpy(np.int64), count), "n": np.repeat(batch["n"].to_numpy(np.int32), count), "need": np.repeat(np.array(need, np.int32), count)})
 
     tokens = probes.mapInPandas(rows, "token long, v long, n int, need int")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
+    shared = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"), "shared")
     return tokens.join(shared, "token").groupBy("v", "n", "need").agg(F.count(F.lit(1)).alias("held")).filter("held >= need").select("v", "n")
 
 
@@ -246,14 +256,14 @@ def _lists(sets: DataFrame, t: Threshold) -> DataFrame:
     rest counts the members of the set from this one on.
     """
     rows = sets.select("v", "n", F.explode("members").alias("token"))
-    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    df = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
     shared = rows.join(df, "token").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # bounded by one set
     prefix = F.col("n") - F.ceil(F.lit(t.num) * F.col("n") / F.lit(t.den)) + 1
     entries = prefix - (F.col("n") - F.size("shared"))
     each = shared.filter(entries > 0).select("v", "n", F.size("shared").alias("k"), F.posexplode(F.slice("shared", 1, entries.cast("int"))).alias("i", "e"))
     lists = materialize(each.select(F.col("e.token").alias("token"), "v", "n", (F.col("k") - F.col("i")).alias("rest")), "entries")
     # An entry needs a partner no smaller than the list's smallest set, with enough members left for it.
-    smallest = lists.groupBy("token").agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("entries")).filter("entries > 1").drop("entries")
+    smallest = materialize(lists.groupBy("token").agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("entries")).filter("entries > 1").drop("entries"), "smallest")
     enough = F.lit(t.num + t.den) * F.col("rest") >= F.lit(t.num) * (F.col("n") + F.greatest(F.col("smallest"), F.ceil(F.lit(t.num) * F.col("n") / F.lit(t.den))))
     return lists.join(smallest, "token").filter(enough).drop("smallest")
 
@@ -264,8 +274,8 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
     tested = None
     while True:
         labelled = materialize(lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root")), "labelled")
-        live = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-        lists = materialize(labelled.join(live, "token"), "lists")
+        live = materialize(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "live")
+        lists = materialize(labelled.join(_small(live), "token"), "lists")
         if lists.isEmpty():
             return comp
         order = F.row_number().over(_by_token())
@@ -338,14 +348,7 @@ def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     """One row per document: doc_id, n_shingles, component_id (the smallest id that its links reach, its own included)."""
     t = Threshold(*threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own, classes, x = _prepared(docs, words, t)
-    # Small sets.
-    small_sets = classes.filter(F.col("n") < x).select("v", F.col("small").alias("members"))
-    edges = materialize(_verified(_small_pairs(classes, x, t), small_sets, t), "small-links")
-    # Large sets and their possible partners.
-    sets = _large_sets(docs, own, classes, x, words, t)
-    roots = _scan(materialize(_lists(sets, t), "lists"), sets, edges, t)
-
+    own, classes, roots = _rooted(docs, words, t)
     found = classes.select("sig", "v", "low").join(roots, "v", "left").select("sig", "low", F.coalesce("root", "v").alias("root"))
     lows = found.groupBy("root").agg(F.min("low").alias("component_id"))
     found = found.join(lows, "root").select("sig", "component_id")
@@ -353,11 +356,50 @@ def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one of each component, and all without shingles.
+
+    That with the smallest id stays, null being the largest; of rows with one id, that whose text has the smallest hash; of
+    rows equal in both, any one.  Columns stay as they are.
+    """
+    t = Threshold(*threshold)
+    text, names = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), [f"__row{i}" for i in range(3)]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    key = [F.col(f"`{id_col}`").cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    own, classes, roots = _rooted(docs.select(key[0].alias("doc_id"), F.col(f"`{text_col}`").alias("text"), key[1].alias("k1"), key[2].alias("k2")), words, t)
+    rooted = classes.select("sig", "v").join(roots, "v", "left").select("sig", F.coalesce("root", "v").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")
+    firsts = own.filter("n_shingles > 0").groupBy("sig").agg(F.min(order).alias("first"))
+    firsts = firsts.join(rooted, "sig").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.k1", "first.k2")
+    copies = own.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    chosen = firsts.alias("f").join(copies.alias("c"), F.col("f.k1").eqNullSafe(F.col("c.k1")) & (F.col("f.k2") == F.col("c.k2")) & F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")))
+    chosen = materialize(chosen.select(*[F.col(f"f.{c}").alias(n) for c, n in zip(("doc_id", "k1", "k2"), names)], "c.copies"), "chosen")
+
+    worded = text.rlike(WORD)
+    keyed = docs.filter(worded).withColumns(dict(zip(names, key)))
+    same = lambda x: [keyed[names[0]].eqNullSafe(x[names[0]]), *(keyed[n] == x[n] for n in names[1:])]
+    one, more = chosen.filter("copies = 1"), chosen.filter("copies > 1")
+    kept = keyed.join(one, same(one), "left_semi").union(keyed.join(more, same(more), "left_semi").dropDuplicates(names))
+    return kept.drop(*names).union(docs.filter(~worded))
+
+
+def _rooted(docs: DataFrame, words: int, t: Threshold) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their summaries, classes of equal sets, (v, root) of classes with links)."""
+    own, classes, x = _prepared(docs, words, t)
+    # Small sets.
+    small_sets = classes.filter(F.col("n") < x).select("v", F.col("small").alias("members"))
+    edges = materialize(_verified(_small_pairs(classes, x, t), small_sets, t), "small-links")
+    # Large sets and their possible partners.
+    sets = _large_sets(docs.select("doc_id", "text"), own, classes, x, words, t)
+    return own, classes, _scan(materialize(_lists(sets, t), "lists"), sets, edges, t)
+
+
 def _full_sets(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
     """(v, n, members) of the classes that stay, from the texts of their first documents."""
-    ids = stay.select(F.col("low").alias("doc_id"))
-    if stay.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids.distinct())
+    ids = stay.select(F.col("low").alias("doc_id")).distinct()
+    if stay.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
     texts = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
 
     def make():

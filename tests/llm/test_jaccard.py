@@ -9,6 +9,11 @@ from ringside.llm import jaccard
 
 
 def brute(rows, words, num, den):
+    return sorted(brute_rows(rows, words, num, den), key=str)
+
+
+def brute_rows(rows, words, num, den):
+    """(id, size of the set, smallest id of the component) of each row."""
     sets = []
     for _, text in rows:
         ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -28,7 +33,7 @@ def brute(rows, words, num, den):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             low[find(i)] = min(d, low.get(find(i), d))
-    return sorted(((d, len(s), low.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
+    return [(d, len(s), low.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
 def corpus(seed):
@@ -59,7 +64,7 @@ def corpus(seed):
     return rows + rows[9:12] + [(None, texts[9]), (None, "a text without an id that is alone here")]
 
 
-@pytest.mark.parametrize("words,num,den,pivots,most", [(4, 85, 100, 8, 24), (5, 80, 100, 1, 24), (1, 80, 100, 2, 24), (4, 85, 100, 1, 1)])
+@pytest.mark.parametrize("words,num,den,pivots,most", [(4, 85, 100, 8, 24), (5, 80, 100, 1, 24), (1, 80, 100, 2, 24), (4, 85, 100, 1, 1), (1, 1, 10, 8, 24), (1, 1, 10, 2, 1), (2, 40, 100, 2, 24)])
 def test_components_equal_brute_force(spark, monkeypatch, words, num, den, pivots, most):
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     if most == 1:
@@ -95,6 +100,32 @@ def test_links_equal_brute_force(spark, monkeypatch, words, num, den, most):
     assert linked == want and want
 
 
+def test_low_threshold_keeps_links(spark):
+    rows = [(1, "a b c d e f g h i j"), (2, "a"), (3, "z a y x"), (4, "q")]
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, (1, 10))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert all(t.probe_shared(n) <= t.overlap(n, m) for t in (jaccard.Threshold(1, 10), jaccard.Threshold(1, 2), jaccard.Threshold(85, 100)) for n in range(1, 60) for m in range(t.least(n), t.den * n // t.num + 1))
+
+
+def test_representatives(spark):
+    """One row of each component, whether ids are null or repeated; every column stays."""
+    rows = [(i, text, i) for i, (_, text) in enumerate(corpus(3))]
+    rows += [(None, rows[9][1], -1), (None, "a null id that stands alone here", -2), (None, "a null id that stands alone here", -3), (5, rows[5][1], -4), (5, "another text with id five", -5), (None, None, -6), (None, "", -7)]
+    df = spark.createDataFrame([(d, t, n, "x") for d, t, n in rows], "doc_id long, text string, n int, __row1 string").repartition(3)
+    kept = jaccard.representatives(df, 5, (80, 100))
+    assert kept.columns == df.columns
+    kept = kept.collect()
+    groups = {}
+    for i, (_, size, low) in enumerate(brute_rows([(n, t) for _, t, n in rows], 5, 80, 100)):
+        groups.setdefault(("empty", i) if not size else low, []).append(rows[i])
+    assert len(kept) == len(groups)
+    at = {r["n"] for r in kept}
+    for members in groups.values():
+        chosen = [m for m in members if m[2] in at]
+        ids = [m[0] for m in members if m[0] is not None]
+        assert len(chosen) == 1 and chosen[0][0] == (min(ids) if ids else None)
+
+
 def test_boundary_follows_cost():
     t = jaccard.Threshold(85, 100)
     assert jaccard.boundary({13: 1000}, t) > 13

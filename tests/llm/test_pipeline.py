@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path):
             assert sum(kept[r["doc_id"]] > 0 for r in rows if not r["quality"]) <= 0.3 * sum(not r["quality"] for r in rows)
         if name == "ngram_jaccard_join":
             rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-            want = sorted(str(d) for d, _, c in brute(rows, 5, 80, 100) if d is None or d == c)
+            want = sorted(str(d) for d, n, c in brute(rows, 5, 80, 100) if not n or d == c)
             assert sorted(str(r["doc_id"]) for r in after.collect()) == want
         docs = after
     assert sizes["ngram_jaccard_join"][1] < sizes["ngram_jaccard_join"][0]
