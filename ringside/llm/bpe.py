@@ -17,13 +17,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from ringside.llm.common import spread, with_struct
+from ringside.llm.common import kept, with_fields
 
 BUCKETS = (4, 8, 16, 32, 64, 128)
 LONGEST_ROW = BUCKETS[-1]
@@ -184,10 +183,8 @@ class Codec:
         return " ".join(map(self.decimal.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(ranks: bytes, pattern: str) -> Codec:
-    """One per Python worker and vocabulary."""
-    return Codec(ranks, pattern)
+    return kept(("bpe", ranks, pattern), lambda: Codec(ranks, pattern))
 
 
 def _shipped(df: DataFrame, ranks_path: str):
@@ -206,7 +203,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         own = codec(ranks.value, pattern)
         return lambda texts: {out: own.encode(texts)}
 
-    return spread(with_struct(df, text_col, "__bpe", f"`{out}` array<int>", make), "__bpe")
+    return with_fields(df, text_col, f"`{out}` array<int>", make)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
@@ -217,7 +214,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
         own = codec(ranks.value, pattern)
         return lambda rows: {out: [own.decode(np.asarray([] if r is None else r, np.int64)) for r in rows]}
 
-    return spread(with_struct(df, ids_col, "__bpe", f"`{out}` binary", make), "__bpe")
+    return with_fields(df, ids_col, f"`{out}` binary", make)
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -240,4 +237,4 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text"
 
         return run
 
-    return spread(with_struct(df, text_col, "__bpe", "n_tokens long, ids_sha256 string, decoded_sha256 string", make), "__bpe")
+    return with_fields(df, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

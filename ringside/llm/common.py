@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +24,10 @@ SLICE_CHARS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors: ``spark.checkpoint.dir`` of the session, or, where that is unset, a local one."""
+    """The folder shared by all executors, ``spark.checkpoint.dir`` of the session; an error where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="ringside-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -69,6 +70,35 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[list]:
         yield run
 
 
+_kept: dict = {}
+
+
+def kept(key: Hashable, build: Callable):
+    """What ``build`` makes for ``key``, kept by the Python worker for its next tasks until a task asks for another key."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Hand memory that a task no longer uses back to the system: workers live on and share an executor's memory with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, with underscores in front of it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def with_struct(df: DataFrame, text_col: str, out: str, schema: str, make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
     """``df`` with the struct column ``out``, computed from ``text_col``.
 
@@ -87,14 +117,23 @@ def with_struct(df: DataFrame, text_col: str, out: str, schema: str, make: Calla
             for part in slices(texts):
                 for n, v in run(part).items():
                     cols[n].extend(v)
-            yield pd.DataFrame({n: pd.Series(cols[n], dtype=object) for n in names})
+            yield pd.DataFrame({n: pd.Series(cols.pop(n), dtype=object) for n in names})
+        del run
+        give_back()
 
     # As if it weren't deterministic: otherwise a condition on a field, such as a join infers, would run the function once more.
-    return df.withColumn(out, apply.asNondeterministic()(F.col(text_col)))
+    return df.withColumn(out, apply.asNondeterministic()(F.col(f"`{text_col}`")))
+
+
+def with_fields(df: DataFrame, text_col: str, schema: str, make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+    """``df`` with the fields of with_struct() as columns; each replaces an older column of its name, all others stay."""
+    struct = free_name("__fields", df)
+    return spread(with_struct(df, text_col, struct, schema, make), struct)
 
 
 def spread(df: DataFrame, struct: str) -> DataFrame:
     """Turn the fields of a struct column into columns; a field replaces an older column of its name."""
     fields = [f.name for f in df.schema[struct].dataType.fields]
-    keep = [c for c in df.columns if c != struct and c not in fields]
+    lower = {f.lower() for f in fields}  # Spark's names don't tell cases apart
+    keep = [c for c in df.columns if c != struct and c.lower() not in lower]
     return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(struct)[f].alias(f) for f in fields])

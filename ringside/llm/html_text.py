@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringside.llm.common import with_struct
+from ringside.llm.common import free_name, with_struct
 
 #: Elements of HTML whose text is not shown, or is no text.
 HIDDEN = {"script", "style", "head", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "canvas", "audio", "video", "map"}
@@ -446,7 +446,8 @@ def with_blocks(pages: DataFrame, html_col: str = "html", out: str = "__page") -
 def extract(pages: DataFrame, paths: list[list[tuple[str, bool, float]]] | None = None, html_col: str = "html") -> DataFrame:
     """``pages`` with text and n_chars."""
     paths = fit(pages.sparkSession) if paths is None else paths
-    kept = F.filter(F.col("__page")["blocks"], lambda b: is_text(b, paths))
-    found = with_blocks(pages, html_col).withColumn("__text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
-    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")]
-    return found.select(*rest, F.coalesce("__text", F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    struct = free_name("__page", pages)
+    kept = F.filter(F.col(struct)["blocks"], lambda b: is_text(b, paths))
+    text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"), F.lit(""))
+    rest = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    return with_blocks(pages, html_col, struct).select(*rest, text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -19,7 +19,9 @@ different components is compared.  Each candidate pair is verified on the full s
 (shingles are 64-bit hashes; two different shingles of one pair of documents are taken for one with odds of about 1e-13).
 
 Exact copies of a set are one vertex throughout.  Connected components come from alternating large-star and small-star rounds.
-All steps are joins and aggregations keyed by hash, list or vertex; intermediate tables are written to the shared folder.
+All steps are joins and aggregations keyed by hash, list or vertex; intermediate tables are written to the shared folder.  What is
+looked up by token or vertex is such a table, never an aggregation in the task of the join: Spark broadcasts small ones, and splits the
+hot tokens and vertices of the other side when it joins large ones.
 
 ``link_components`` gives components only; ``links`` compares all candidates, without the shortcuts by component, and gives every
 verified pair of distinct sets and the set of each document.  ``representatives`` keeps one row of each component.
@@ -43,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.common import WORD, materialize, spread, with_struct
+from ringside.llm.common import WORD, free_name, give_back, materialize, with_fields
 
 #: Sets of more members are never small, whatever their number.
 SMALL_MOST = 24
@@ -51,8 +53,8 @@ SMALL_MOST = 24
 EXTRA = 0.05
 #: Pivots of a list in the first round, and by how much they grow each round.
 PIVOTS, GROWTH = 8, 8
-#: Up to so many rows of two ids are broadcast (some 10 MB); beyond, they take a shuffle join.
-BROADCAST_ROWS = 200_000
+#: Up to so many ids the search for the texts that stay is a broadcast join (some 16 MB); beyond, a shuffle join.
+BROADCAST_IDS = 1_000_000
 MEMO = 100_000
 
 
@@ -141,7 +143,7 @@ def _summaries(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
 
         return run
 
-    return spread(with_struct(docs, "text", "__set", "n_shingles long, sig binary, probe binary, small array<long>", make), "__set")
+    return with_fields(docs, "text", "n_shingles long, sig binary, probe binary, small array<long>", make)
 
 
 def boundary(sizes: dict[int, int], t: Threshold) -> int:
@@ -171,6 +173,7 @@ def _small_pairs(classes: DataFrame, x: int, t: Threshold, every: bool = False)
                         s.append(size)
                         key.append(xxhash.xxh3_64_intdigest(np.array(c, "<i8").tobytes(), seed=size) - (1 << 63))
             yield pd.DataFrame({"v": np.array(v, np.int64), "n": np.array(n, np.int32), "s": np.array(s, np.int32), "key": np.array(key, np.int64)})
+        give_back()
 
     small = classes.filter((F.col("n") > 0) & (F.col("n") < x)).select("v", "small")
     rows = small.mapInPandas(subsets, "v long, n int, s int, key long")
@@ -184,14 +187,6 @@ def _small_pairs(classes: DataFrame, x: int, t: Threshold, every: bool = False)
     return _ordered(rows.join(firsts, ["key", "s"]).filter(fits), "v", "b")
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has no more than BROADCAST_ROWS rows.
-
-    A larger one is joined as it is read from files, not behind an aggregation, so that Spark can split hot keys of the other side.
-    """
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -216,8 +211,8 @@ def components(edges: DataFrame) -> DataFrame:
         back = e.select(F.col("b").alias("u"), F.col("a").alias("w"))
         near = out.union(back) if large else out.union(back).filter("w < u")
         low = near.groupBy("u").agg(F.min("w").alias("m"))
-        # What has no smaller neighbour keeps its edges, so a large star that is done isn't looked up; nor is its hub's task split.
-        low = _small(materialize(low.filter("m < u") if large else low, "lowest"))
+        # What has no smaller neighbour keeps its edges: of stars that are done nothing is looked up.
+        low = materialize(low.filter("m < u") if large else low, "lowest")
         moved = near.filter("w > u") if large else near
         moved = moved.join(low, "u", "left").select(F.col("w").alias("a"), F.coalesce("m", "u").alias("b"))
         if not large:
@@ -244,6 +239,7 @@ def _survivors(probes: DataFrame, t: Threshold) -> DataFrame:
             count = [len(p) for p in parts]
             need = [t.probe_shared(n) for n in batch["n"].tolist()]
             yield pd.DataFrame({"token": np.concatenate(parts), "v": np.repeat(batch["v"].to_numpy(np.int64), count), "n": np.repeat(batch["n"].to_numpy(np.int32), count), "need": np.repeat(np.array(need, np.int32), count)})
+        give_back()
 
     tokens = probes.mapInPandas(rows, "token long, v long, n int, need int")
     shared = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"), "shared")
@@ -275,7 +271,7 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
     while True:
         labelled = materialize(lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root")), "labelled")
         live = materialize(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "live")
-        lists = materialize(labelled.join(_small(live), "token"), "lists")
+        lists = materialize(labelled.join(live, "token"), "lists")
         if lists.isEmpty():
             return comp
         order = F.row_number().over(_by_token())
@@ -363,9 +359,7 @@ def representatives(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     rows equal in both, any one.  Columns stay as they are.
     """
     t = Threshold(*threshold)
-    text, names = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), [f"__row{i}" for i in range(3)]
-    while set(names) & set(docs.columns):
-        names = [f"_{n}" for n in names]
+    text, names = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), [free_name(f"__row{i}", docs) for i in range(3)]
     key = [F.col(f"`{id_col}`").cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
     own, classes, roots = _rooted(docs.select(key[0].alias("doc_id"), F.col(f"`{text_col}`").alias("text"), key[1].alias("k1"), key[2].alias("k2")), words, t)
     rooted = classes.select("sig", "v").join(roots, "v", "left").select("sig", F.coalesce("root", "v").alias("root"))
@@ -398,7 +392,7 @@ def _rooted(docs: DataFrame, words: int, t: Threshold) -> tuple[DataFrame, DataF
 def _full_sets(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
     """(v, n, members) of the classes that stay, from the texts of their first documents."""
     ids = stay.select(F.col("low").alias("doc_id")).distinct()
-    if stay.count() <= BROADCAST_ROWS:
+    if stay.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
 
@@ -411,6 +405,6 @@ def _full_sets(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
 
         return run
 
-    full = spread(with_struct(texts, "text", "__set", "sig binary, members array<long>", make), "__set").drop("text")
+    full = with_fields(texts, "text", "sig binary, members array<long>", make).drop("text")
     matched = full.join(stay, "sig").filter(F.col("doc_id").eqNullSafe(F.col("low")))
     return matched.groupBy("v", "n").agg(F.first("members").alias("members"))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ringside.llm import webp
-from ringside.llm.common import spread, with_struct
+from ringside.llm.common import with_fields
 
 UNIT = 64
 ROW = 16  # pixels
@@ -61,7 +61,7 @@ def feature(pixels: np.ndarray) -> str:
 
 def store(df: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
     """``df`` with the binary column ``out``: the payload as a lossless WebP image."""
-    return spread(with_struct(df, text_col, "__media", f"`{out}` binary", lambda: lambda texts: {out: [webp.encode(to_pixels(payload(t))) for t in texts]}), "__media")
+    return with_fields(df, text_col, f"`{out}` binary", lambda: lambda texts: {out: [webp.encode(to_pixels(payload(t))) for t in texts]})
 
 
 def read(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -76,7 +76,7 @@ def read(df: DataFrame, media_col: str = "media") -> DataFrame:
             "feature": [None if p is None else feature(p) for p in images],
         }
 
-    return spread(with_struct(df, media_col, "__media", "width int, height int, pixels binary, feature string", lambda: run), "__media")
+    return with_fields(df, media_col, "width int, height int, pixels binary, feature string", lambda: run)
 
 
 DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -93,4 +93,4 @@ def digests(df: DataFrame, text_col: str = "text") -> DataFrame:
         return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)
 
     names = [c.split()[0] for c in DIGESTS.split(", ")]
-    return spread(with_struct(df, text_col, "__media", DIGESTS, lambda: lambda texts: dict(zip(names, zip(*map(one, texts), strict=True), strict=True)) if texts else {n: [] for n in names}), "__media")
+    return with_fields(df, text_col, DIGESTS, lambda: lambda texts: dict(zip(names, zip(*map(one, texts), strict=True), strict=True)) if texts else {n: [] for n in names})

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringside.llm.common import WORD, materialize
+from ringside.llm.common import WORD, free_name, materialize
 
 #: Up to so many sources their table is broadcast (about 50 bytes a source); beyond, it is a shuffle join.
 BROADCAST_SOURCES = 50_000
@@ -51,27 +51,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and rate of its source, and copies.
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "") -> DataFrame:
+    """``docs`` with size, source_size, target and rate of its source, and copies; ``prefix`` goes before these names.
 
     All rows and columns stay; older columns of these names are replaced.
     """
-    docs = docs.drop(*[c for c in PLAN if c not in (id_col, text_col, source_col)])
+    size, source_size, target, rate, copies = names = [prefix + n for n in PLAN]
+    docs = docs.drop(*[c for c in names if c not in (id_col, text_col, source_col)])
+    own = free_name("__source", docs)
     sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    table = materialize(targets(sizes, weights, cap), "sources").select(F.col("source").alias("__source"), "source_size", "target", F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("rate"))
+    table = materialize(targets(sizes, weights, cap), "sources")
+    table = table.select(F.col("source").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target), F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias(rate))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    sized = docs.withColumn("size", word_count(F.col(text_col)))
-    joined = sized.join(table, F.col(source_col).eqNullSafe(F.col("__source"))).drop("__source")
-    whole = F.floor("rate")
-    more = F.when(chance(F.col(id_col), F.col(text_col), seed) < F.col("rate") - whole, 1).otherwise(0)
-    return joined.withColumn("copies", (whole + more).cast("int"))
+    sized = docs.withColumn(size, word_count(F.col(text_col)))
+    joined = sized.join(table, sized[source_col].eqNullSafe(table[own])).drop(own)
+    whole = F.floor(rate)
+    more = F.when(chance(F.col(id_col), F.col(text_col), seed) < F.col(rate) - whole, 1).otherwise(0)
+    return joined.withColumn(copies, (whole + more).cast("int"))
 
 
-def emit(planned: DataFrame) -> DataFrame:
+def emit(planned: DataFrame, prefix: str = "") -> DataFrame:
     """Each row of a plan as often as its copies say; the plan's columns are left out."""
-    rest = [F.col(f"`{c}`") for c in planned.columns if c not in PLAN]
-    return planned.filter("copies > 0").select(*rest, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    names, copy = [prefix + n for n in PLAN], free_name("__copy", planned)
+    rest = [F.col(f"`{c}`") for c in planned.columns if c not in names]
+    copies = F.col(f"{prefix}copies")
+    return planned.filter(copies > 0).select(*rest, F.explode(F.sequence(F.lit(1), copies)).alias(copy)).drop(copy)
+
+
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """The mix: ``docs``, all columns and no others, each row as often as its copies in plan() say."""
+    prefix = "__"
+    while {prefix + n for n in PLAN} & {c.lower() for c in docs.columns}:
+        prefix += "_"
+    return emit(plan(docs, prefix=prefix, **parameters), prefix)
 
 
 #: DuckDB SQL for the query op7: the plan over ``documents`` with the parameters above.

@@ -20,12 +20,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.common import materialize, with_struct
+from ringside.llm.common import free_name, materialize, with_struct
 from ringside.llm.labels import training_rows
 
 #: Labelled rows that are learned from, about; more are sampled by hash of id.
 MOST_ROWS = 20_000
 TREES, DEPTH, PENALTY, SEED = 16, 3, 0.002, 7
+#: Partitions of the training rows.
+PARTS = 8
 
 #: Names of the statistics.
 STATISTICS = [
@@ -149,30 +151,66 @@ def tree_rules(tree) -> list[Rule]:
     return found
 
 
+def lasso(hits: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 3000, tolerance: float = 1e-7) -> tuple[np.ndarray, float]:
+    """Weights of the columns of ``hits`` (0 or 1) and the intercept that minimise the mean log loss plus ``penalty`` times the
+    sum of the absolute weights, each weight times its column's deviation; by accelerated proximal gradient steps."""
+    rows, count = np.unique(np.column_stack([y, hits]).astype(np.uint8), axis=0, return_counts=True)
+    y, share = rows[:, 0].astype(float), count / count.sum()
+    x = rows[:, 1:].astype(float)
+    mean = share @ x
+    deviation = np.sqrt(np.maximum(share @ (x * x) - mean * mean, 0))
+    use = np.flatnonzero(deviation > 1e-9)
+    x = (x[:, use] - mean[use]) / deviation[use]
+    w, b = np.zeros(len(use)), math.log(max(share @ y, 1e-9) / max(1 - share @ y, 1e-9))
+    rate = 4 / max(1.0, np.linalg.eigvalsh((x * share[:, None]).T @ x)[-1] if len(use) else 1.0)
+    ahead, ahead_b, momentum = w, b, 1.0
+    for _ in range(steps):
+        miss = share * (1 / (1 + np.exp(-np.clip(x @ ahead + ahead_b, -500, 500))) - y)
+        moved = ahead - rate * (x.T @ miss)
+        new, new_b = np.sign(moved) * np.maximum(np.abs(moved) - rate * penalty, 0), ahead_b - rate * miss.sum()
+        follow = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+        if (ahead - new) @ (new - w) + (ahead_b - new_b) * (new_b - b) > 0:
+            follow = 1.0  # the momentum points uphill
+        ahead, ahead_b = new + (momentum - 1) / follow * (new - w) if follow > 1 else new, new_b + (momentum - 1) / follow * (new_b - b) if follow > 1 else new_b
+        change = max(np.abs(new - w).max(initial=0), abs(new_b - b))
+        w, b, momentum = new, new_b, follow
+        if change < tolerance:
+            break
+    out = np.zeros(hits.shape[1])
+    out[use] = w / deviation[use]
+    return out, float(b - out @ mean)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int | None = 4, held_out: int | None = 2, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from the labelled documents outside the held-out fold (all, if folds is None)."""
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    """Learn from the labelled documents outside the held-out fold (all, if folds is None).
+
+    The statistics are computed where the texts are read; the few numbers of each training row are then put together.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     rows = training_rows(docs, labels, label, folds, held_out, most_rows, id_col, text_col)
-    rows = with_statistics(rows).select(F.col("y").cast("double").alias("label"), "__statistics")
-    rows = materialize(rows.coalesce(8), "training")  # about MOST_ROWS short rows
+    rows = with_statistics(rows).select("doc_id", F.col("y").cast("double").alias("label"), "__statistics")
+    rows = materialize(rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "__statistics"), "training")  # about MOST_ROWS short rows
     seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         return Model([], math.inf if 0.0 not in seen else -math.inf)
     s = F.col("__statistics")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, subsamplingRate=0.5, seed=SEED, maxBins=64)
     trees = forest.fit(rows.select("label", array_to_vector(F.array(*[s[n] for n in STATISTICS])).alias("features"))).trees
-    rules = sorted({r for t in trees for r in tree_rules(t)}, key=lambda r: r.terms)
+    rules = sorted({r for t in trees for r in tree_rules(t)}, key=lambda r: (len(r.terms), r.terms))
     if not rules:
         return Model([], math.log(seen[1.0] / seen[0.0]))
-    hits = F.array(*[F.when(r.column(s), 1.0).otherwise(0.0) for r in rules])
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, maxIter=100)
-    fitted = lasso.fit(rows.select("label", array_to_vector(hits).alias("features")).coalesce(2))
-    weights = fitted.coefficients.toArray()
-    return Model([(r, w) for r, w in zip(rules, weights.tolist(), strict=True) if w], float(fitted.intercept))
+    hits = F.concat(*[F.when(r.column(s), "1").otherwise("0") for r in rules])
+    found = rows.select("label", hits.alias("hits")).groupBy("label", "hits").agg(F.count(F.lit(1)).alias("n")).collect()  # at most about MOST_ROWS
+    bits = np.frombuffer("".join(r["hits"] for r in found).encode(), np.uint8).reshape(len(found), len(rules)) - 48
+    _, first = np.unique(bits, axis=1, return_index=True)  # of rules that hold for the same rows, the shortest
+    bits, rules, times = bits[:, np.sort(first)], [rules[i] for i in np.sort(first)], [r["n"] for r in found]
+    weights, intercept = lasso(np.repeat(bits, times, axis=0), np.repeat([r["label"] for r in found], times))
+    return Model([(r, w) for r, w in zip(rules, weights.tolist(), strict=True) if w], intercept)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1."""
-    return with_statistics(docs, text_col).withColumn(out, model.column(F.col("__statistics"))).drop("__statistics")
+    struct = free_name("__statistics", docs)
+    return with_statistics(docs, text_col, struct).withColumn(out, model.column(F.col(struct))).drop(struct)

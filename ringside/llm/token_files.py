@@ -28,14 +28,13 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringside.llm.common import materialize, slices, small_batches
+from ringside.llm.common import give_back, kept, materialize, slices, small_batches
 
 MAGIC = b"RTK1"
 BLOCK = 4096
@@ -204,9 +203,8 @@ class WordEncoder:
         return [np.frombuffer(raw + end, "<u4") for raw in ids]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(config: str) -> WordEncoder:
-    return WordEncoder(config)
+    return kept(("words", config), lambda: WordEncoder(config))
 
 
 FILES = "shard int, seq int, doc_ids binary, nulls binary, first long, n_ids long, content binary"
@@ -256,6 +254,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
                 at += len(texts)
         if held:
             yield close()
+        give_back()
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -301,5 +300,6 @@ def _read(files: DataFrame, schema: str, columns) -> DataFrame:
                 out = {"doc_id": pd.array(ids, "Int64"), "start": f.starts[:-1] + row.base + row.first}
                 out["doc_id"][nulls] = pd.NA
                 yield pd.DataFrame(out | columns([every[a:b] for a, b in zip(f.starts[:-1], f.starts[1:], strict=True)]))
+        give_back()
 
     return files.join(base, "shard").select("doc_ids", "nulls", "first", "content", "base").mapInPandas(unpack, schema)

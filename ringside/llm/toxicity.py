@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.common import small_batches, spread, with_struct
+from ringside.llm.common import free_name, give_back, kept, materialize, small_batches, spread, with_struct
 from ringside.llm.labels import training_rows
 
 #: Labelled rows that are learned from, about; more are sampled by hash of id.
@@ -129,6 +129,7 @@ def _counts(rows: DataFrame, wanted: dict[str, None] | None) -> DataFrame:
                     found.update(own if shipped is None else own & shipped.value)
                     found[""] += 1
                 yield pd.DataFrame({"feature": list(found), "y": int(y), "n": list(found.values())})
+        give_back()
 
     return rows.mapInPandas(count, "feature string, y int, n long").groupBy("feature", "y").agg(F.sum("n").alias("n"))
 
@@ -172,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int | N
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """lambda, K and the logistic curve, from at most a third of MOST_ROWS documents."""
+    """lambda, K and the logistic curve, from at most a third of MOST_ROWS documents.
+
+    The driver gets how often each score comes up, and a number for each of these documents.
+    """
     shipped = rows.sparkSession.sparkContext.broadcast(model.scores)  # at most MOST_FEATURES
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,26 +188,29 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
                 hits = [] if y else [s for _, s in scanner.hits(words)]
                 out.append((int(y), len(words), hits, [s for *_, s in scanner.segments(words)]))
             yield pd.DataFrame(out, columns=["y", "n", "hits", "segments"])
+        give_back()
 
-    found = rows.mapInPandas(scan, "y int, n long, hits array<double>, segments array<double>").filter("n > 0").collect()
-    hits = [s for r in found if r["y"] == 0 for s in r["hits"]]
-    tokens = sum(r["n"] for r in found if r["y"] == 0)
+    scanned = materialize(rows.mapInPandas(scan, "y int, n long, hits array<double>, segments array<double>").filter("n > 0"), "calibration")
+    clean = scanned.filter("y = 0")
+    counts = sorted(clean.select(F.explode("hits").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k")).collect())
+    tokens = (clean.agg(F.sum("n")).first()[0] or 0) + 1
     up = sorted(s for s in model.scores.values() if s > 0)
-    usual = up[len(up) // 2] if up else 1.0
-    hits.append(usual)  # a clean word as toxic as that may always come up
-    tokens += 1
-    s, rate = np.array(hits), len(hits) / tokens
+    counts.append((up[len(up) // 2] if up else 1.0, 1))  # a clean word as toxic as that may always come up
+    s, k = np.array([c[0] for c in counts]), np.array([c[1] for c in counts], float)
+    rate = k.sum() / tokens
     low, high = 1e-6, 50.0
     for _ in range(100):  # sum of p exp(lambda s) = 1 has one root above 0, as scores are negative on average
         mid = (low + high) / 2
-        if (1 - rate) * math.exp(-mid * DRIFT) + float(np.minimum(np.exp(np.minimum(mid * s, 600)), 1e250).sum()) / tokens > 1:
+        if (1 - rate) * math.exp(-mid * DRIFT) + float((k * np.minimum(np.exp(np.minimum(mid * s, 600)), 1e250)).sum()) / tokens > 1:
             high = mid
         else:
             low = mid
-    model.rate, model.lam = rate, low
+    model.rate, model.lam = float(rate), low
     model.log_k = math.log(rate) + low * float(s.min())
-    y = np.array([r["y"] for r in found], float)
-    x = np.array([model.evidence(list(r["segments"]), r["n"]) for r in found], float)
+    each = lambda x: F.lit(model.lam) * x - F.lit(model.log_k) - F.log(F.col("n").cast("double"))  # noqa: E731  as in Model.evidence
+    evidence = F.aggregate("segments", F.lit(0.0), lambda total, x: total + F.when(each(x) > -math.log(SIGNIFICANT), each(x)).otherwise(0.0))
+    found = sorted(tuple(r) for r in scanned.select("y", evidence.alias("x")).collect())
+    y, x = np.array([r[0] for r in found], float), np.array([r[1] for r in found], float)
     if y.sum() == 0 or y.sum() == len(y):
         return
     model.slope, model.intercept = logistic(x, y)
@@ -230,7 +237,8 @@ RESULT = "score double, n_passages int, passages array<struct<start:int,end:int,
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score, n_passages and passages: character offsets, segment score and expected number of each toxic passage."""
-    return spread(with_scan(docs, model, text_col, "__toxic"), "__toxic")
+    struct = free_name("__toxic", docs)
+    return spread(with_scan(docs, model, text_col, struct), struct)
 
 
 def with_scan(docs: DataFrame, model: Model, text_col: str = "text", out: str = "__toxic") -> DataFrame:
@@ -239,7 +247,7 @@ def with_scan(docs: DataFrame, model: Model, text_col: str = "text", out: str =
 
     def make():
         model = shipped.value
-        scanner = Scanner(model.scores)
+        scanner = kept(("scores", id(model.scores)), lambda: Scanner(model.scores))  # which holds them, so no other has that id
 
         def one(text):
             low = text.lower() if text else ""

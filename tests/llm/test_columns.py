@@ -160,3 +160,6 @@ def test_mixing(spark):
     out = mixing.emit(plan)
     assert out.count() == plan.agg(F.sum("copies")).first()[0] and out.columns == ["doc_id", "text", "source"]
     assert mixing.plan(df.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "s", 5, 6, "x")], "doc_id long, text string, source string, size int, __size int, __copy string")
+    mixed = mixing.mix(clash)
+    assert mixed.columns == clash.columns and mixed.collect() == clash.collect()

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,92 @@ def test_quality(corpus, spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_scores_equal_brute_force(corpus, spark):
+    """Every document's passages by their definition, its evidence and its probability."""
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels)
+    got = toxicity.scan(docs, model).collect()
+    checked = 0
+    for r in got:
+        words = toxicity._words((r["text"] or "").lower())
+        values = [next((model.scores[f] for f in toxicity.features(w) if f in model.scores), -toxicity.DRIFT) for w in words]
+        expected = [(sum(values[a:b]), math.exp(model.log_k + math.log(len(words)) - model.lam * sum(values[a:b]))) for a, b in maximal_segments(values)] if len(words) < 60 or r["n_passages"] else []
+        passages = [(s, e) for s, e in expected if e < toxicity.SIGNIFICANT]
+        if len(words) < 60 or r["n_passages"]:
+            checked += 1
+            assert r["n_passages"] == len(passages)
+            assert all(math.isclose(p["score"], s, abs_tol=1e-9) for p, (s, _) in zip(r["passages"], passages))
+            assert math.isclose(r["score"], model.probability(sum(-math.log(e) for _, e in passages)), rel_tol=1e-6, abs_tol=1e-12)
+    assert checked > 200
+
+
+def test_very_long_and_repeated_texts(corpus, spark):
+    docs, labels = corpus
+    long = " ".join(["plain words of no kind"] * 60_000)
+    df = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (2, long + " grumbo snarkel vextor grumbo", "a")], "doc_id long, text string, __toxic string")
+    rows = toxicity.scan(df, toxicity.fit(docs, labels)).collect()
+    assert rows[0] == rows[1] and rows[2]["n_passages"] == 1 and rows[0]["__toxic"] == "a"
+    scores = quality.score(df.withColumnRenamed("__toxic", "__statistics"), quality.fit(docs, labels)).collect()
+    assert scores[0] == scores[1] and scores[0]["__statistics"] == "a"
+
+
+def test_rules_equal_brute_force(corpus, spark):
+    """The paths of trees against the trees' own nodes, and the expression against the rules in Python."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    docs, labels = corpus
+    rows = quality.with_statistics(docs.filter("doc_id < 900").dropDuplicates(["doc_id"]).join(labels.filter("quality is not null"), "doc_id"), out="s")
+    data = rows.select(F.col("quality").cast("double").alias("label"), array_to_vector(F.array(*[F.col("s")[n] for n in quality.STATISTICS])).alias("features"))
+    tree = DecisionTreeClassifier(maxDepth=3, seed=1).fit(data)
+    rules = quality.tree_rules(tree)
+    # By the text that the library prints: the conditions above each "Predict".
+    leaves, above = [], []
+    for line in tree.toDebugString.splitlines()[1:]:
+        depth, line = len(line) - len(line.lstrip()) - 2, line.strip()
+        if line.startswith("Predict"):
+            leaves.append([c for d, c in above if d < depth])
+            continue
+        words = line.replace("(", " ").replace(")", " ").split()  # If feature 3 <= 0.5, Else feature 3 > 0.5
+        above = [(d, c) for d, c in above if d < depth] + [(depth, (quality.STATISTICS[int(words[2])], words[3] == "<=", float(words[4])))]
+    want = set()
+    for leaf in leaves:
+        for i in range(1, len(leaf) + 1):
+            bounds = {}
+            for name, low, t in leaf[:i]:
+                bounds[name, low] = min(t, bounds.get((name, low), t)) if low else max(t, bounds.get((name, low), t))
+            want.add(tuple(sorted((n, low, t) for (n, low), t in bounds.items())))
+    assert {r.terms for r in rules} == want and want
+
+    model = quality.fit(docs, labels)
+    for r in quality.score(quality.with_statistics(docs, out="s"), model).collect():
+        s = dict(zip(quality.STATISTICS, quality.statistics(r["text"])))
+        assert all(r["s"][n] == v for n, v in s.items())
+        z = model.intercept + sum(w for rule, w in model.rules if all(s[n] <= t if low else s[n] > t for n, low, t in rule.terms))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_lasso_equals_library(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    r = np.random.default_rng(4)
+    x = (r.random((600, 12)) < r.random(12)).astype(float)
+    x[:, 11], x[:, 10] = x[:, 0], 1.0
+    y = (r.random(600) < 1 / (1 + np.exp(-(2 * x[:, 0] - 1.5 * x[:, 1] + x[:, 2] - 0.5)))).astype(float)
+    for penalty in (0.002, 0.02, 0.5):
+        w, b = quality.lasso(x, y, penalty)
+        deviation = x.std(axis=0)
+
+        def loss(w, b):
+            z = x @ w + b
+            return np.mean(np.logaddexp(0, z) - y * z) + penalty * np.abs(w * deviation).sum()
+
+        fitted = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=500, tol=1e-10).fit(spark.createDataFrame([(t, Vectors.dense(v)) for t, v in zip(y.tolist(), x.tolist())], ["label", "features"]))
+        assert loss(w, b) <= loss(fitted.coefficients.toArray(), fitted.intercept) + 1e-6
+    assert not np.any(quality.lasso(x, y, 0.5)[0])
+
+
 def test_statistics():
     assert quality.statistics(None) == quality.statistics("") == quality.statistics(" \n") == (0.0,) * len(quality.STATISTICS)
     s = dict(zip(quality.STATISTICS, quality.statistics("Ab ab ab, x!\n\nAb ab ab, x!"), strict=True))
