@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringside.llm import bpe, jaccard, mixing, quality, toxicity
-from ringside.llm.common import materialize, read_table
+from ringside.llm.common import free_name, materialize, read_table
 
 #: Not expressible in SQL (trained models, byte-pair merges); tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
@@ -22,14 +22,14 @@ GOOD, TOXIC = 0.7, 0.7
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept."""
-    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="__score").filter(F.col("__score") >= GOOD).drop("__score")
+    model, score = quality.fit(docs, read_table(spark, sf_dir, "labels")), free_name("__score", docs)
+    return quality.score(docs, model, out=score).filter(F.col(score) >= GOOD).drop(score)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without enough evidence of toxic passages."""
-    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.with_scan(docs, model).filter(F.col("__toxic")["score"] < TOXIC).drop("__toxic")
+    model, found = toxicity.fit(docs, read_table(spark, sf_dir, "labels")), free_name("__toxic", docs)
+    return toxicity.with_scan(docs, model, out=found).filter(F.col(found)["score"] < TOXIC).drop(found)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate asks for."""
-    return mixing.emit(mixing.plan(docs))
+    return mixing.mix(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
