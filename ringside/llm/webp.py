@@ -2,9 +2,12 @@
 
 The decoder reads everything the format has: prefix codes (simple, normal, and groups of them chosen by an entropy image),
 back-references with the two-dimensional distance codes, the colour cache, and the predictor, cross-colour, subtract-green and
-palette transforms.  Images with one group of codes and no colour cache, such as the encoder writes by default, are decoded
-for all bit positions at once: table lookups give every position the symbols that would start there and where they end, and
-following these ends from the first bit marks the pixels.  Other images are decoded pixel by pixel.
+palette transforms.  Images with one group of codes, such as the encoder writes, are decoded for all bit positions at once: table
+lookups give every position the symbols that would start there and where they end, and following these ends from the first bit
+marks the pixels.  Other images are decoded pixel by pixel.
+
+The encoder chooses by estimated bits, for each image: a palette, else a predictor, cross-colour or subtract-green transform or
+none; then literal pixels, back-references to the nearest earlier place with the same two pixels, or a colour cache.
 
 Pixels are arrays of shape (height, width, 4), 8-bit samples in the order red, green, blue, alpha.  All samples are kept, those
 of transparent pixels too.
@@ -20,7 +23,8 @@ import numpy as np
 
 LONGEST = 15  # bits of a prefix code
 MOST = 1 << 14  # pixels of a side
-SHORTEST_RUN = 24  # equal pixels that the encoder stores as a copy; fewer aren't worth the symbols for lengths
+SHORTEST = 2  # pixels that the encoder stores as a copy
+WINDOW = (1 << 20) - 120  # the farthest pixel that a copy reaches back to
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 
 #: Fixed values of the format: the order in which lengths of the code-length code are stored.
@@ -372,12 +376,12 @@ def _image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         n_groups = int(group_of.max()) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[_get_code(r, n) for n in sizes] for _ in range(n_groups)]
-    if n_groups == 1 and not cache_bits:
-        return _all_at_once(r, groups[0], width, height)
+    if n_groups == 1:
+        return _all_at_once(r, groups[0], cache_bits, width, height)
     return _one_by_one(r, groups, group_of, bits, cache_bits, width, height)
 
 
-def _all_at_once(r: Reader, tables: list, width: int, height: int) -> np.ndarray:
+def _all_at_once(r: Reader, tables: list, cache_bits: int, width: int, height: int) -> np.ndarray:
     n = width * height
     green, red, blue, alpha, far = tables
     out = np.empty((n, 4), np.uint8)
@@ -410,18 +414,22 @@ def _all_at_once(r: Reader, tables: list, width: int, height: int) -> np.ndarray
     at_alpha = then(at_blue, ends(blue))
     following = then(at_alpha, ends(alpha))
     following = following.copy() if following is here or any(following is e for e in known.values()) else following
-    first = green[1][peek & np.uint32((1 << green[0]) - 1)] if green[0] else None
-    copies = np.flatnonzero(first >= 256) if first is not None else here if green[1][0] >= 256 else here[:0]
-    if len(copies):
-        length, distance, end = _copies(peek, at_red[copies], (first[copies] if first is not None else np.full(len(copies), green[1][0])) - 256, far, last)
-        following[copies] = end
-        longer = np.zeros(len(peek), np.int64)
-        longer[copies] = length
-        farther = np.zeros(len(peek), np.int64)
-        farther[copies] = distance
+    first = green[1][peek & np.uint32((1 << green[0]) - 1)] if green[0] else np.full(len(peek), green[1][0]) if green[1][0] >= 256 else None
+    others = np.flatnonzero(first >= 256) if first is not None else here[:0]
+    longer = None
+    if len(others):
+        following[others] = at_red[others]
+        copies = others[first[others] < 280]
+        if len(copies):
+            length, distance, end = _copies(peek, at_red[copies], first[copies] - 256, far, last)
+            following[copies] = end
+            longer = np.zeros(len(peek), np.int64)
+            longer[copies] = length
+            farther = np.zeros(len(peek), np.int64)
+            farther[copies] = distance
     # Follow the ends.
     hop, p, starts, done = memoryview(following), r.at - 8 * base, [], 0
-    if len(copies):
+    if longer is not None:
         lengths = memoryview(longer)
         while done < n:
             starts.append(p)
@@ -439,19 +447,53 @@ def _all_at_once(r: Reader, tables: list, width: int, height: int) -> np.ndarray
     def values(table, at):
         return table[1][peek[at] & np.uint32((1 << table[0]) - 1)] if table[0] else np.full(len(at), table[1][0])
 
-    if not len(copies):
+    if not len(others):
         out[:, 1], out[:, 0], out[:, 2], out[:, 3] = values(green, s), values(red, at_red[s]), values(blue, at_blue[s]), values(alpha, at_alpha[s])
         return out.reshape(height, width, 4)
-    long = longer[s]
+    symbol = first[s]
+    long = longer[s] if longer is not None else np.zeros(len(s), np.int64)
     place = np.cumsum(np.maximum(long, 1)) - np.maximum(long, 1)
-    lit = long == 0
+    lit = symbol < 256
     q, to = s[lit], place[lit]
     out[to, 1], out[to, 0], out[to, 2], out[to, 3] = values(green, q), values(red, at_red[q]), values(blue, at_blue[q]), values(alpha, at_alpha[q])
-    for to, k, code in zip(place[~lit].tolist(), long[~lit].tolist(), farther[s[~lit]].tolist(), strict=True):
-        _copy(out, to, k, _distance(code, width))
+    held = symbol >= 280
+    if held.any() and not long.any() and _fill_held(out, lit, np.where(held, symbol - 280, 0), cache_bits):
+        return out.reshape(height, width, 4)
+    cache, filled = np.zeros((1 << cache_bits, 4), np.uint8), 0
+    codes = farther[s] if longer is not None else long
+    for to, k, code, x in zip(place[~lit].tolist(), long[~lit].tolist(), codes[~lit].tolist(), symbol[~lit].tolist(), strict=True):
+        if k:
+            _copy(out, to, k, _distance(code, width))
+        else:
+            cache[_slots(out[filled:to], cache_bits)] = out[filled:to]
+            filled = to
+            out[to] = cache[x - 280]
     return out.reshape(height, width, 4)
 
 
+def _slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Where the colour cache holds pixels."""
+    p = pixels.astype(np.uint32)
+    key = (p[:, 3] << np.uint32(24)) | (p[:, 0] << np.uint32(16)) | (p[:, 1] << np.uint32(8)) | p[:, 2]
+    return (key * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)
+
+
+def _fill_held(out: np.ndarray, lit: np.ndarray, slot: np.ndarray, cache_bits: int) -> bool:
+    """Put the pixels that the cache holds into ``out``, which has the literal ones; False if one asks for an empty slot.
+
+    A pixel from the cache is the last literal one of the same slot.
+    """
+    slot[lit] = _slots(out[lit], cache_bits)
+    order = np.argsort(slot, kind="stable")
+    own, here = lit[order], np.arange(len(order))
+    begins = np.maximum.accumulate(np.where(np.diff(slot[order], prepend=-1) != 0, here, 0))
+    source = np.maximum.accumulate(np.where(own, here, -1))
+    if (source < begins).any():
+        return False
+    out[order[~own]] = out[order[source[~own]]]
+    return True
+
+
 def _copies(peek: np.ndarray, at: np.ndarray, symbol: np.ndarray, far: tuple, last: int):
     """(length, distance code, end) of the back-references whose length symbols end at ``at``."""
 
@@ -491,9 +533,7 @@ def _one_by_one(r: Reader, groups: list, group_of, bits: int, cache_bits: int, w
     def fill(upto):
         nonlocal cached
         if cache_bits and upto > cached:
-            p = out[cached:upto].astype(np.uint64)
-            key = (p[:, 3] << np.uint64(24)) | (p[:, 0] << np.uint64(16)) | (p[:, 1] << np.uint64(8)) | p[:, 2]
-            cache[((key * np.uint64(0x1E35A7BD)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)] = out[cached:upto]
+            cache[_slots(out[cached:upto], cache_bits)] = out[cached:upto]
         cached = upto
 
     while i < n:
@@ -613,11 +653,12 @@ _INVERSE = {PREDICTOR: _undo_predictor, CROSS_COLOUR: _undo_cross_colour, SUBTRA
 # ---------------------------------------------------------------- encoding
 
 
-def encode(pixels: np.ndarray, *, palette: bool = True, subtract_green: bool = False, predictor: int | None = None, cross_colour: tuple[int, int, int] | None = None, cache_bits: int = 0) -> bytes:
+def encode(pixels: np.ndarray, *, palette: bool = True, subtract_green: bool = False, predictor: int | None = None, cross_colour: tuple[int, int, int] | None = None, cache_bits: int | None = None) -> bytes:
     """A lossless WebP file.
 
     palette: index the colours if there are at most 256.  predictor: a mode of the format for the whole image.  cross_colour:
-    (green to red, green to blue, red to blue) for the whole image.  cache_bits: use a colour cache of so many bits.
+    (green to red, green to blue, red to blue) for the whole image.  Without any of these three and a palette they are chosen.
+    cache_bits: 0 for no colour cache, None for a choice.
     """
     height, width = pixels.shape[:2]
     if not 0 < width <= MOST or not 0 < height <= MOST:
@@ -638,22 +679,19 @@ def encode(pixels: np.ndarray, *, palette: bool = True, subtract_green: bool = F
         w.put(len(colours) - 1, 8)
         _put_image(w, np.diff(colours, axis=0, prepend=np.zeros((1, 4), np.uint8))[None], False)
         pixels = _bundle(index.reshape(height, width), len(colours))
+    elif predictor is None and cross_colour is None and not subtract_green:
+        predictor, cross_colour, subtract_green = _transforms(pixels)
     if predictor is not None:
         block = np.zeros(4, np.uint8)
         block[1] = predictor
         pixels = _put_blocks(w, PREDICTOR, pixels, block, _residual(pixels, predictor))
     if cross_colour is not None:
-        to_red, to_blue, red_blue = (np.uint8(x & 255) for x in cross_colour)
-        out = pixels.copy()
-        out[:, :, 2] -= _scaled(to_blue, pixels[:, :, 1]) + _scaled(red_blue, pixels[:, :, 0])
-        out[:, :, 0] -= _scaled(to_red, pixels[:, :, 1])
-        pixels = _put_blocks(w, CROSS_COLOUR, pixels, np.array([red_blue, to_blue, to_red, 255], np.uint8), out)
+        block = np.array([*(x & 255 for x in reversed(cross_colour)), 255], np.uint8)
+        pixels = _put_blocks(w, CROSS_COLOUR, pixels, block, _crossed(pixels, cross_colour))
     if subtract_green:
         w.put(1, 1)
         w.put(SUBTRACT_GREEN, 2)
-        pixels = pixels.copy()
-        pixels[:, :, 0] -= pixels[:, :, 1]
-        pixels[:, :, 2] -= pixels[:, :, 1]
+        pixels = _less_green(pixels)
     w.put(0, 1)
     _put_image(w, pixels, True, cache_bits)
     body = w.bytes()
@@ -661,6 +699,81 @@ def encode(pixels: np.ndarray, *, palette: bool = True, subtract_green: bool = F
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
+#: Bits for which a used symbol's code length is stored, about.
+CODE_BITS = 4
+
+
+#: What other tokens than literal pixels must save, as their codes take time: a twentieth of the bits.
+WORTH = 0.95
+_N_LOG_N = np.concatenate([[0.0], np.arange(1, 1 << 16) * np.log2(np.arange(1, 1 << 16))])
+
+
+def _n_log_n(n: np.ndarray) -> np.ndarray:
+    return _N_LOG_N[n] if n.max(initial=0) < len(_N_LOG_N) else n * np.log2(np.maximum(n, 1))
+
+
+def _total(counts: np.ndarray) -> np.ndarray:
+    """Bits of the symbols in a prefix code and of the code, about; of each row."""
+    return _n_log_n(counts.sum(axis=-1)) - _n_log_n(counts).sum(axis=-1) + CODE_BITS * np.count_nonzero(counts, axis=-1)
+
+
+_CHANNEL = np.arange(0, 1024, 256)
+
+
+def _histograms(flat: np.ndarray) -> np.ndarray:
+    """Counts of the samples of each channel."""
+    return np.bincount((flat + _CHANNEL).ravel(), minlength=1024).reshape(4, 256)
+
+
+def _cost(counts: np.ndarray) -> np.ndarray:
+    """Bits of literal pixels with these counts, in one code for all channels or one for each."""
+    every = _total(np.concatenate([counts, counts.sum(axis=-2, keepdims=True)], axis=-2))
+    return np.minimum(every[..., :4].sum(axis=-1), every[..., 4])
+
+
+def _transforms(pixels: np.ndarray) -> tuple[int | None, tuple[int, int, int] | None, bool]:
+    """(predictor, cross-colour, subtract-green): what takes the fewest bits, none of them included."""
+
+    def best(candidates):
+        """The cheapest of (pixels, predictor, cross-colour, subtract-green); a transform takes some 64 bits."""
+        bits = _cost(np.stack([_histograms(c[0].reshape(-1, 4)) for c in candidates]))
+        bits = bits + [64 * sum(x is not None and x is not False for x in c[1:]) for c in candidates]
+        return candidates[int(bits.argmin())]
+
+    found = best([(pixels, None, None, False), (_less_green(pixels), None, None, True), *((_residual(pixels, m), m, None, False) for m in (1, 2))])
+    if found[1] is not None:  # steps are small: the other modes may be better
+        found = best([found, *((_residual(pixels, m), m, None, False) for m in (5, 7, 11, 12))])
+    if found[1] is not None or found[3]:  # samples go together, and may by more or less than green alone says
+        own = _residual(pixels, found[1]) if found[1] is not None else pixels
+        cross = _multipliers(own)
+        found = best([found, (_less_green(own), found[1], None, True), *([(_crossed(own, cross), found[1], cross, False)] if any(cross) else [])])
+    return found[1:]
+
+
+def _multipliers(pixels: np.ndarray) -> tuple[int, int, int]:
+    """Cross-colour multipliers by least squares, in 32nds: green to red, green to blue, red to blue."""
+    p = pixels.reshape(-1, 4).astype(np.int8).astype(float)
+    red, green, blue = p[:, 0], p[:, 1], p[:, 2]
+    fit = lambda a, b: int(np.clip(round(32 * (a @ b) / max(a @ a, 1.0)), -128, 127))
+    to_blue = fit(green, blue)
+    return fit(green, red), to_blue, fit(red, blue - green * to_blue / 32)
+
+
+def _crossed(pixels: np.ndarray, multipliers: tuple[int, int, int]) -> np.ndarray:
+    to_red, to_blue, red_blue = (np.uint8(x & 255) for x in multipliers)
+    out = pixels.copy()
+    out[:, :, 2] -= _scaled(to_blue, pixels[:, :, 1]) + _scaled(red_blue, pixels[:, :, 0])
+    out[:, :, 0] -= _scaled(to_red, pixels[:, :, 1])
+    return out
+
+
+def _less_green(pixels: np.ndarray) -> np.ndarray:
+    out = pixels.copy()
+    out[:, :, 0] -= pixels[:, :, 1]
+    out[:, :, 2] -= pixels[:, :, 1]
+    return out
+
+
 def _palette(words: np.ndarray):
     """The colours and each pixel's index, where a palette pays: at most 256 colours, and each for four pixels on average."""
     flat = words.ravel()
@@ -705,100 +818,150 @@ def _put_blocks(w: Writer, kind: int, pixels: np.ndarray, block: np.ndarray, out
     return out
 
 
-#: Lengths of the distance code: the one symbol that is used means the pixel before.
-_BEFORE = (np.arange(40) == 1).astype(np.uint8)
-
-
-def _put_image(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0) -> None:
+def _put_image(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int | None = 0) -> None:
     flat = np.ascontiguousarray(pixels).reshape(-1, 4)
+    cache_bits, literal, symbol, copies = _tokens(flat, pixels.shape[1], cache_bits)
     w.put(1 if cache_bits else 0, 1)
     if cache_bits:
         w.put(cache_bits, 4)
     if main:
         w.put(0, 1)  # one group of codes
-    words = flat.view("<u4").ravel()
-    # Runs of a pixel are copies from the pixel before: of every run, all but the first.
-    change = np.flatnonzero(np.diff(words, prepend=words[0] ^ np.uint32(1)))
-    run = np.diff(change, append=len(words))
-    symbol, extra, extra_bits, at = flat[:, 1].astype(np.int64), None, None, None
-    long = run >= SHORTEST_RUN
-    if long.any():
-        at, symbol, extra, extra_bits = _run_tokens(flat, change[long], run[long])
-    literal = np.ones(len(symbol), bool) if at is None else at >= 0
-    kept = flat if at is None else flat[at[literal]]
-    if cache_bits:
-        symbol, literal = _cache_tokens(flat, symbol, literal, at, extra, cache_bits)
-        kept = flat[(np.arange(len(flat)) if at is None else at)[literal]]
+    kept = flat[literal]
     counts = np.bincount(symbol, minlength=280 + (1 << cache_bits if cache_bits else 0))
     others = [np.bincount(kept[:, c], minlength=256) for c in (0, 2, 3)]
-    if not cache_bits and min((c > 0).sum() for c in (counts, *others)) > 8:
-        # Channels of alike samples share one code, which then is made, stored and looked up once.
+    far = np.bincount(copies[:, 4], minlength=40) if len(copies) else None
+    if min((counts[:256] > 0).sum(), *((c > 0).sum() for c in others)) > 8:
+        # Channels of alike samples share one code, which then is made, stored and looked up once, if that takes fewer bits.
         together = counts[:256] + others[0] + others[1] + others[2]
-        counts, others = np.concatenate([together, counts[256:]]), [together] * 3
+        if counts[256:].any():
+            apart = np.stack([counts[:256], *others])
+            if _total(together) <= _total(apart).sum():
+                others = [others[0] + others[1] + others[2]] * 3
+        else:
+            counts, others = np.concatenate([together, counts[256:]]), [together] * 3
     sizes: dict[bytes, np.ndarray] = {}
     lengths = []
-    for c in (counts, *others):
-        key = np.trim_zeros(c, "b").tobytes()
+    for c in (counts, *others, *([far] if far is not None else [])):
+        used = np.flatnonzero(c)
+        key = c[: used[-1] + 1 if len(used) else 0].tobytes()
         if key not in sizes:
             sizes[key] = code_lengths(c)
         own = np.zeros(len(c), np.uint8)
         own[: min(len(c), len(sizes[key]))] = sizes[key][: len(c)]
         lengths.append(own)
-    lengths.append(_BEFORE)
+    if far is None:
+        lengths.append(_ONE)
     for n in lengths:
         _put_code(w, n)
     bits = [np.where((n > 0).sum() == 1, 0, n).astype(np.int64) for n in lengths]
     code = [codes(n) for n in lengths]
-    value, size = code[0][symbol], bits[0][symbol]
-    value = value & ((1 << size) - 1)
-    if extra is not None:
-        value, size = value | (extra << size), size + extra_bits
-    v, s = value[literal], size[literal]
+    size = bits[0][symbol]
+    value = code[0][symbol] & ((1 << size) - 1)
+    at = np.flatnonzero(symbol < 256)
+    v, s = value[at], size[at]
     for k, c in ((1, 0), (2, 2), (3, 3)):
         n = bits[k][kept[:, c]]
         v = v | ((code[k][kept[:, c]] & ((1 << n) - 1)) << s)
         s = s + n
-    value[literal], size[literal] = v, s
+    value[at], size[at] = v, s
+    if len(copies):
+        at, v, s = copies[:, 0], value[copies[:, 0]], size[copies[:, 0]]
+        v, s = v | (copies[:, 2] << s), s + copies[:, 3]
+        n = bits[4][copies[:, 4]]
+        v, s = v | ((code[4][copies[:, 4]] & ((1 << n) - 1)) << s), s + n
+        value[at], size[at] = v | (copies[:, 5] << s), s + copies[:, 6]
     w.put_many(value, size)
 
 
-def _run_tokens(flat: np.ndarray, start: np.ndarray, run: np.ndarray):
-    """(pixel or -1 for a copy, green symbol, extra, its bits) of each token, if the given runs become copies."""
-    skip = np.zeros(len(flat) + 1, np.int64)
-    skip[start + 1] += 1
-    skip[start + run] -= 1
-    keep = np.flatnonzero(np.cumsum(skip[:-1]) == 0)
-    where, symbols, extras, bits = [], [], [], []
-    for s, n in zip(start.tolist(), (run - 1).tolist(), strict=True):
-        while n:
-            k = min(n, 4096)
-            symbol, extra, b = _prefix(k)
-            where.append(s)
-            symbols.append(256 + symbol)
-            extras.append(extra)
-            bits.append(b)
-            n -= k
-    order = np.argsort(np.concatenate([keep * 2, np.array(where, np.int64) * 2 + 1]), kind="stable")
-    copies = np.zeros(len(where), np.int64)
-    at = np.concatenate([keep, copies - 1])[order]
-    symbol = np.concatenate([flat[keep, 1].astype(np.int64), np.array(symbols, np.int64)])[order]
-    extra = np.concatenate([np.zeros(len(keep), np.int64), np.array(extras, np.int64)])[order]
-    return at, symbol, extra, np.concatenate([np.zeros(len(keep), np.int64), np.array(bits, np.int64)])[order]
-
-
-def _cache_tokens(flat: np.ndarray, symbol: np.ndarray, literal: np.ndarray, at, extra, cache_bits: int):
-    """Symbols in which pixels that the colour cache holds are its entries."""
-    words = flat.view("<u4").ravel().astype(np.uint64)
-    r, g, b, a = words & np.uint64(255), (words >> np.uint64(8)) & np.uint64(255), (words >> np.uint64(16)) & np.uint64(255), words >> np.uint64(24)
-    key = (a << np.uint64(24)) | (r << np.uint64(16)) | (g << np.uint64(8)) | b
-    slot = (((key * np.uint64(0x1E35A7BD)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
-    cache: dict[int, int] = {}
-    symbol, literal = symbol.copy(), literal.copy()
-    for i in range(len(symbol)):
-        p = i if at is None else int(at[i])
-        if p < 0:
-            continue  # a copy repeats a pixel that the cache has
-        if cache.get(int(slot[p]), 0 if slot[p] not in cache else None) == int(key[p]):
-            symbol[i], literal[i] = 280 + slot[p], False
-        cache[int(slot[p])] = int(key[p])
-    return symbol, literal
+#: Lengths of a code that isn't used.
+_ONE = np.ones(1, np.uint8)
+#: A row for each copy: its place among the symbols; symbol, extra and bits of the extra of its length; the same of its distance.
+_NO_COPIES = np.zeros((0, 7), np.int64)
+
+
+def _tokens(flat: np.ndarray, width: int, cache_bits: int | None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(bits of the colour cache, which pixels are literal, green symbols, copies): the way that takes the fewest bits.
+
+    A colour cache of given bits is used in any case.
+    """
+    words = flat.view("<u4").ravel()
+    plain = 0, np.ones(len(flat), bool), flat[:, 1].astype(np.int64), _NO_COPIES
+    if cache_bits:
+        return _cached(flat, words, cache_bits)
+    least, best = WORTH * float(_cost(_histograms(flat))), plain
+    found = _matches(words)
+    if found[:, 1].sum() > (1 - WORTH) * len(flat):
+        literal, symbol, copies = _copied(flat, found, width)
+        cost = float(_cost(_histograms(flat[literal]))) + float(_total(np.bincount(copies[:, 1])) + _total(np.bincount(copies[:, 4]))) + int(copies[:, [3, 6]].sum()) + 2 * len(copies)
+        if cost < least:
+            best, least = (0, literal, symbol, copies), cost
+    if cache_bits is None and len(flat) >= 64:
+        bits = min(10, len(flat).bit_length() - 2)
+        slot, held = _held(flat, words, bits)
+        if int(np.count_nonzero(held)) * 8 > len(flat):
+            counts = _histograms(flat[~held])
+            together = np.concatenate([counts[1], np.bincount(slot[held])])
+            if float(_total(together) + _total(counts[0] + counts[2] + counts[3])) < least:
+                best = _cached(flat, words, bits)
+    return best
+
+
+def _matches(words: np.ndarray) -> np.ndarray:
+    """(place, pixels, distance) of copies, in order: where two pixels stood before, as long as the nearest such place goes on."""
+    if len(words) < SHORTEST + 1:
+        return np.zeros((0, 3), np.int64)
+    key = (words[:-1].astype(np.uint64) << np.uint64(32)) | words[1:]
+    order = np.argsort(key, kind="stable")
+    again = key[order[1:]] == key[order[:-1]]
+    if not again.any():
+        return np.zeros((0, 3), np.int64)
+    distance = np.zeros(len(key), np.int64)
+    distance[order[1:][again]] = (order[1:] - order[:-1])[again]
+    distance[distance > WINDOW] = 0
+    start = np.flatnonzero(np.diff(distance, prepend=-1))
+    end = np.append(start[1:], len(key)) + 1  # the last pair's second pixel is copied as well
+    some = distance[start] > 0
+    rows, covered = [], 0
+    for a, b, d in zip(start[some].tolist(), end[some].tolist(), distance[start[some]].tolist(), strict=True):
+        a = max(a, covered)
+        while b - a >= SHORTEST:
+            n = min(b - a, 4096)
+            rows.append((a, n, d))
+            a = covered = a + n
+    return np.array(rows, np.int64).reshape(-1, 3)
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """The lowest distance code of each distance that has one of the two-dimensional codes."""
+    return {_distance(code, width): code for code in range(len(NEAR), 0, -1)}
+
+
+def _copied(flat: np.ndarray, found: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which pixels are literal, green symbols, copies) with the given copies."""
+    edge = np.zeros(len(flat) + 1, np.int64)
+    edge[found[:, 0]] += 1
+    np.add.at(edge, found[:, 0] + found[:, 1], -1)
+    literal = np.cumsum(edge[:-1]) == 0
+    head = literal.copy()
+    head[found[:, 0]] = True
+    near = _near(width)
+    rows = [(*_prefix(n), *_prefix(near.get(d) or d + len(NEAR))) for _, n, d in found.tolist()]
+    copies = np.concatenate([(np.cumsum(head) - 1)[found[:, :1]], np.array(rows, np.int64)], axis=1)
+    symbol = flat[head, 1].astype(np.int64)
+    symbol[copies[:, 0]] = 256 + copies[:, 1]
+    return literal, symbol, copies
+
+
+def _held(flat: np.ndarray, words: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot in the colour cache, whether the cache holds it) of each pixel: the last one of its slot is the same."""
+    slot = _slots(flat, cache_bits).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    held = np.zeros(len(flat), bool)
+    held[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (words[order[1:]] == words[order[:-1]])
+    return slot, held
+
+
+def _cached(flat: np.ndarray, words: np.ndarray, cache_bits: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    slot, held = _held(flat, words, cache_bits)
+    return cache_bits, ~held, np.where(held, 280 + slot, flat[:, 1]), _NO_COPIES
