@@ -125,6 +125,91 @@ def test_wrapped_licenses(spark):
     assert got[3]["sentence_ids"] == "|bsd-grant||bsd-source||bsd-binary||bsd-names|"
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+
+
+def test_license_variants(spark):
+    hashes = lambda t: "".join(f"# {line}".rstrip() + "\n" for line in t.splitlines())
+    rows = [
+        ("This file is released under the MIT license.", "MIT"), ("This project is licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("This software is distributed under the\nterms of the MIT License.", "MIT"),
+        ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"), ("# spdx-license-identifier:   BSD-3-Clause", "BSD-3-Clause"),
+        ("SPDX-License-Identifier: Unknown-1.0", None), (APACHE, "Apache-2.0"), (hashes(APACHE), "Apache-2.0"), (hashes(MIT), "MIT"), (LGPL, "LGPL-2.1-or-later"), (GPL.replace("General", "Affero General"), "AGPL-3.0-or-later"),
+        (GPL.replace("either version 3 of the License, or\n(at your option) any later version", "version 3 of the License"), "GPL-3.0-only"), (BSD + NAMES.replace("the copyright holder", "Some Company, Inc"), "BSD-3-Clause"),
+        (" ".join(MIT.split("\n\n", 1)[1].split()), "MIT"), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0-only"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", None), ("Apache License\nVersion 2.0, January 2004\n\nTerms", "Apache-2.0"),
+        ("It was licensed under the MIT license", None), ("This file is not released under the MIT license", None),
+    ]
+    got = licenses.scan(spark.createDataFrame([(t, w) for t, w in rows], "text string, want string")).collect()
+    assert [(r["text"], r["license"]) for r in got] == rows
+
+
+def brute_scan(text):
+    """The same by loops: pieces, one form, the longest known sentence at each piece, rules as subsequences."""
+    low = re.sub(r"(spdx-license-identifier)[ \t]*:", r"\1", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    low = re.sub(r"([.!?;:])[\x20\x09-\x0d]+", r"\1\n\n", low)
+    lines = [" ".join(re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", line).split(" ")).strip() for line in low.split("\n")]
+    lines = [" ".join(x for x in line.split(" ") if x) for line in lines]
+    paragraphs, n = [[]], 0
+    for line in lines:
+        if line:
+            paragraphs[-1].append(line)
+            n += 1
+        else:
+            paragraphs.append([])
+    ids = []
+    for par in paragraphs:
+        i = 0
+        while i < len(par):
+            for j in range(len(par), i, -1):
+                whole = " ".join(par[i:j])
+                for varying, form in licenses.FORMS:
+                    whole = re.sub("^" + varying.replace("_", " "), form.replace("$1", r"\1"), whole)
+                known = [k for k, v in licenses.SENTENCES.items() if v == whole]
+                if known:
+                    ids.append(known[-1])
+                    i = j
+                    break
+            else:
+                i += 1
+    hits = []
+    for name, rule in licenses.RULES:
+        rest = iter(ids)
+        if all(x in rest for x in rule):
+            hits.append(name)
+    return n, "".join(f"|{i}|" for i in ids), hits[0] if hits else None, " ".join(sorted(set(hits)))
+
+
+def test_scans_equal_brute_force(spark):
+    r = random.Random(12)
+    whole = [MIT, BSD, BSD + NAMES, GPL, LGPL, APACHE, None, "", "\n\n", "é. " * 40]
+    parts = [s for s in licenses.SENTENCES.values()] + ["some other words", "Released under the MIT License", "SPDX-License-Identifier: ISC"]
+    made = whole + [r.choice([" ", "\n", ". ", "\n\n", ";\n"]).join(r.choices(parts, k=r.randint(1, 9))) for _ in range(150)] + ["|".join(parts) * 3, ("\n".join(parts) + "\n") * 20]
+    got = licenses.scan(spark.createDataFrame([(t, "x", i) for i, t in enumerate(made)], "text string, __scan string, i int")).orderBy("i").collect()
+    for row, text in zip(got, made, strict=True):
+        assert (row["n_sentences"], row["sentence_ids"], row["license"], row["licenses"]) == brute_scan(text)
+        assert row["__scan"] == "x"
+
+
+def test_every_rule_can_match(spark):
+    """The sentences of each rule, in order, give its license among those found; alone they come first but for a more specific rule of their own."""
+    assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
+    rows = [(name, ".\n".join(licenses.SENTENCES[i] for i in rule).replace("spdx license identifier", "SPDX-License-Identifier:"), "".join(f"|{i}|" for i in rule)) for name, rule in licenses.RULES]
+    for r in licenses.scan(spark.createDataFrame(rows, "want string, text string, ids string")).collect():
+        assert r["sentence_ids"] == r["ids"] and r["license"] == r["want"]
+    assert {i for _, rule in licenses.RULES for i in rule} | {"apache-copy"} == set(licenses.SENTENCES)
+
+
 def fill(sizes, weights=(1, 2, 3), cap=3):
     """Targets by sharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
