@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch between the JVM and Python, unless the session sets its own number; texts may be long.
 BATCH_ROWS = 1000
 
+#: Rows of a few numbers that a task should have at least.
+TASK_ROWS = 20_000
+
 #: Texts are handled in slices of about so many characters, which bounds what a Python worker holds at once.
 SLICE_CHARS = 1_000_000
 
@@ -31,13 +34,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it again.
 
-    This cuts the lineage: what comes after reads files that survive the loss of any executor.
+    This cuts the lineage: what comes after reads files that survive the loss of any executor.  Where it is known that there are
+    no more than about ``rows``, a table of few rows is made and written by few tasks.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(1 + rows // TASK_ROWS)  # never more tasks than there would be
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

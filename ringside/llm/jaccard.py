@@ -206,13 +206,13 @@ def components(edges: DataFrame) -> DataFrame:
     neighbourhood is ever gathered.  Loops (a = b) are left out; no edges give no rows.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, rows: int) -> DataFrame:
         out = e.select(F.col("a").alias("u"), F.col("b").alias("w"))
         back = e.select(F.col("b").alias("u"), F.col("a").alias("w"))
         near = out.union(back) if large else out.union(back).filter("w < u")
         low = near.groupBy("u").agg(F.min("w").alias("m"))
         # What has no smaller neighbour keeps its edges: of stars that are done nothing is looked up.
-        low = materialize(low.filter("m < u") if large else low, "lowest")
+        low = materialize(low.filter("m < u") if large else low, "lowest", rows)
         moved = near.filter("w > u") if large else near
         moved = moved.join(low, "u", "left").select(F.col("w").alias("a"), F.coalesce("m", "u").alias("b"))
         if not large:
@@ -225,7 +225,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(_ordered(edges.filter("a <> b"), "a", "b").select(F.col("b").alias("a"), F.col("a").alias("b")), "edges")
     before, found = None, mark(now)
     while found != before and found[0]:
-        now = materialize(star(star(now, True), False), "stars")
+        now = materialize(star(star(now, True, found[0]), False, found[0]), "stars", found[0])
         before, found = found, mark(now)
     return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
@@ -266,16 +266,17 @@ def _lists(sets: DataFrame, t: Threshold) -> DataFrame:
 
 def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) -> DataFrame:
     """The edges, with those that scanning the lists adds to them, as stars (v, root)."""
-    comp, k = components(edges), PIVOTS
+    comp, k, n = components(edges), PIVOTS, lists.count()
     tested = None
     while True:
-        labelled = materialize(lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root")), "labelled")
-        live = materialize(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "live")
-        lists = materialize(labelled.join(live, "token"), "lists")
-        if lists.isEmpty():
+        labelled = materialize(lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root")), "labelled", n)
+        live = materialize(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "live", n)
+        lists = materialize(labelled.join(live, "token"), "lists", n)
+        n = lists.count()
+        if not n:
             return comp
         order = F.row_number().over(_by_token())
-        pivots = materialize(lists.withColumn("k", order).filter(F.col("k") <= k).drop("k"), "pivots")
+        pivots = materialize(lists.withColumn("k", order).filter(F.col("k") <= k).drop("k"), "pivots", n)
         other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("other"))
         # By size; and at the first member that both have, which is in both prefixes, what is left of either must be enough.
         fits = (F.col("root") != F.col("other")) & (F.lit(t.den) * F.least("n", "m") >= F.lit(t.num) * F.greatest("n", "m")) & (F.lit(t.num + t.den) * F.least("rest", "left") >= F.lit(t.num) * (F.col("n") + F.col("m")))
@@ -284,7 +285,7 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        links = materialize(_verified(pairs, sets, t), "links")
+        links = materialize(_verified(pairs, sets, t), "links", pairs.count())
         if not links.isEmpty():
             comp = components(links.union(comp.select(F.col("v").alias("a"), F.col("root").alias("b"))))
         lists = lists.join(pivots.select("token", "v"), ["token", "v"], "left_anti").select("token", "v", "n", "rest")
