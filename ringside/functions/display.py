@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 DASH, NO_DATA = "—", "sem dado"
 #: Labels of methods, stances and results.
 METHOD_LABELS = {"ko_tko": "KO/TKO", "submission": "Finalização", "decision": "Decisão", "dq": "Desqualificação", "no_contest": "No contest"}
+STANCE_LABELS = {"orthodox": "Ortodoxa", "southpaw": "Canhota", "switch": "Alternada"}
+WON, LOST, WITHOUT_RESULT = "Vitória", "Derrota", "Sem resultado"
 
 
 def label(x: Column, labels: dict[str, str]) -> Column:
@@ -15,7 +17,7 @@ def label(x: Column, labels: dict[str, str]) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    return F.coalesce(F.format_string("%d:%02d", F.floor(seconds / 60).cast("int"), (seconds % 60).cast("int")), F.lit(DASH)) if seconds is not None else F.lit(DASH)
+    return F.when(seconds.isNull(), DASH).otherwise(F.format_string("%d:%02d", F.floor(seconds / 60).cast("int"), (seconds % 60).cast("int")))
 
 
 def ending_time(rnd: Column, seconds: Column) -> Column:
@@ -33,9 +35,9 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def average(x: Column) -> Column:
-    """One decimal, after a comma."""
+    """One decimal, after a comma; a dash for none."""
     shown = F.replace(half_up(x, 1).cast("decimal(20,1)").cast("string"), F.lit("."), F.lit(","))
-    return F.when(x.isNull() | F.isnan(x), NO_DATA).otherwise(shown)
+    return F.when(x.isNull() | F.isnan(x), DASH).otherwise(shown)
 
 
 def percent(x: Column) -> Column:
@@ -55,3 +57,23 @@ def probability(p: Column) -> Column:
     """A percentage of a number put between 0 and 1; what is no number is 0."""
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(p, F.lit(0.0)), F.lit(0.0))))
     return F.concat(half_up(inside * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def result(won: Column, method: Column) -> Column:
+    return F.when(won, WON).when(method == "no_contest", WITHOUT_RESULT).otherwise(LOST)
+
+
+def centimetres(x: Column) -> Column:
+    return F.coalesce(F.concat(x.cast("string"), F.lit(" cm")), F.lit(DASH))
+
+
+def kilograms(x: Column) -> Column:
+    """One decimal after a comma, none for a whole number."""
+    rounded = half_up(x, 1)
+    shown = F.when(rounded == F.floor(rounded), rounded.cast("long").cast("string")).otherwise(F.replace(rounded.cast("decimal(20,1)").cast("string"), F.lit("."), F.lit(",")))
+    return F.coalesce(F.concat(shown, F.lit(" kg")), F.lit(DASH))
+
+
+def average_control(seconds: Column) -> Column:
+    """Minutes and seconds of an average, to the whole second."""
+    return duration(half_up(seconds).cast("long"))

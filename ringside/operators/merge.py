@@ -56,16 +56,18 @@ def with_ids(new: DataFrame, old: DataFrame, order: list, key: str = "id") -> Da
     return sorted_rows.withColumn(key, F.element_at(base, F.col("__p")) + F.col("__i") + 1).drop("__p", "__i")
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], key: str = "id") -> DataFrame:
-    """Get-or-create: the old rows and, with new ids in the order of their keys, the new ones whose key is not there yet.
+def fresh(old: DataFrame, new: DataFrame, keys: list[str], key: str = "id") -> DataFrame:
+    """The new rows whose key is not among the old ones, with ids after the old ones in the order of their keys.
 
     Of new rows with the same key the first by ORDINAL is taken, where there is one.
     """
-    if ORDINAL in new.columns:
-        new = first_by_key(new, keys).drop(ORDINAL)
-    else:
-        new = new.dropDuplicates(keys)
-    return old.unionByName(with_ids(absent(new, old, keys), old, [F.col(k).asc_nulls_first() for k in keys], key), allowMissingColumns=True)
+    new = first_by_key(new, keys).drop(ORDINAL) if ORDINAL in new.columns else new.dropDuplicates(keys)
+    return with_ids(absent(new, old, keys), old, [F.col(k).asc_nulls_first() for k in keys], key)
+
+
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], key: str = "id") -> DataFrame:
+    """Get-or-create: the old rows and the fresh ones."""
+    return old.unionByName(fresh(old, new, keys, key), allowMissingColumns=True)
 
 
 def update_only(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

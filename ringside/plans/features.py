@@ -109,3 +109,8 @@ def add_features(frame: DataFrame, fighters: DataFrame, rounds: DataFrame, order
         "career_bouts_before": (F.col("__nth") - 1).cast("int"),
     })
     return rows.select(*frame.columns, *FEATURES)
+
+
+def debuts(rows: DataFrame) -> DataFrame:
+    """(debuts): how many fighters have a first bout, which has no form to look back on."""
+    return rows.agg(F.countDistinct("fighter_id").alias("debuts"))

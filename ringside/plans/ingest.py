@@ -1,12 +1,13 @@
 """From CSV rows and JSON documents to the granular tables.
 
-Every load is get-or-create by natural key and can be run again without effect.  A load computes whole new tables; ``publish``
-writes them beside the old ones and then swaps, so that an event is taken in wholly or not at all.
+Every load is get-or-create by natural key and can be run again without effect.  Loads of files compute whole new tables; an event's
+documents give only the rows that are new, which the store appends.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,21 +162,32 @@ def no_ambiguous(matches: DataFrame) -> DataFrame:
     return matches.filter(F.when(F.col("status") == "ambiguous", F.raise_error(F.concat(F.lit("more than one fighter may be "), F.col("name_normalized"))).cast("boolean")).otherwise(True))
 
 
+def absent_events(events: DataFrame, heads: DataFrame) -> DataFrame:
+    """The heads (name, date, ...) with ids whose normalised name and date no event has."""
+    keyed = lambda rows: rows.withColumn("name_key", normalize_name(F.col("name")))
+    return merge.fresh(keyed(events), keyed(heads), ["name_key", "date"])
+
+
 def take_in_event(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataFrame, source: str = "documents") -> Tables:
-    """The tables with one event's documents: its event, new fighters, bouts and corners; what is there already stays as it is.
+    """The tables with one event's documents: its event, new fighters, bouts and corners; what is there already stays as it is."""
+    new = event_rows_to_add(t, event, fighters, stats, source)
+    return Tables(*[getattr(t, f.name).unionByName(getattr(new, f.name), allowMissingColumns=True) for f in dataclasses.fields(t)])
+
+
+def event_rows_to_add(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataFrame, source: str = "documents") -> Tables:
+    """The rows that one event's documents add to the tables.
 
     event: event_documents; fighters: fighter_documents of its slugs; stats: bout_stats_documents.
     """
     heads = event.select(F.trim("event_name").alias("name"), F.col("event_date").alias("date"), F.lit(None).cast("string").alias("location"), F.lit(source).alias("source")).distinct()
-    keyed_events = t.events.withColumn("name_key", normalize_name(F.col("name")))
-    events = merge.insert_absent(keyed_events, heads.withColumn("name_key", normalize_name(F.col("name"))), ["name_key", "date"])
-    events = cut(events)
+    new_events = cut(absent_events(t.events, heads))
+    events = t.events.withColumn("name_key", normalize_name(F.col("name"))).unionByName(new_events, allowMissingColumns=True)
     candidates = fighters.select(F.col("slug").alias("candidate"), normalize_name(F.col("name")).alias("name_normalized"), "date_of_birth", F.struct("*").alias("doc")).dropDuplicates(["candidate"])
     matched = no_ambiguous(match_fighters(candidates.drop("doc"), t.fighters)).join(candidates.select("candidate", "doc"), "candidate")
     matched = cut(matched)
     fresh = matched.filter("status = 'new'").select(F.trim("doc.name").alias("name"), "name_normalized", "doc.nickname", "date_of_birth", "doc.height_cm", "doc.reach_cm", expr.stance_of(F.col("doc.stance")).alias("stance"), F.lit(None).cast("double").alias("weight_kg"), "doc.wins", "doc.losses", "doc.draws", F.lit(source).alias("source"))
-    all_fighters = cut(merge.insert_absent(t.fighters, fresh, ["name_normalized", "date_of_birth"]))
-    new_ids = all_fighters.select("name_normalized", F.col("date_of_birth").alias("__born"), F.col("id").alias("new_id"))
+    new_fighters = cut(merge.fresh(t.fighters, fresh, ["name_normalized", "date_of_birth"]))
+    new_ids = new_fighters.select("name_normalized", F.col("date_of_birth").alias("__born"), F.col("id").alias("new_id"))
     slugs = matched.join(new_ids, (matched["name_normalized"] == new_ids["name_normalized"]) & matched["date_of_birth"].eqNullSafe(new_ids["__born"]) & (matched["status"] == "new"), "left").select(F.col("candidate").alias("slug"), F.coalesce("fighter_id", "new_id").alias("fighter_id"))
     rows = event.select("event_name", "event_date", "bout.*").withColumn("red_slug", F.col("corners")[0]["slug"]).withColumn("blue_slug", F.col("corners")[1]["slug"]).withColumn("name_key", normalize_name(F.col("event_name"))).withColumn(ORDINAL, F.monotonically_increasing_id())
     rows = rows.join(events.select("name_key", F.col("date").alias("event_date"), F.col("id").alias("__event")), ["name_key", "event_date"])
@@ -193,16 +205,35 @@ def take_in_event(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataF
     seats = placed.select("own_bout", "bout_id", F.explode(F.array(F.struct(F.lit("red").alias("corner"), F.col("red_id").alias("fighter_id")), F.struct(F.lit("blue").alias("corner"), F.col("blue_id").alias("fighter_id")))).alias("c")).select("own_bout", "bout_id", "c.*")
     corners = seats.join(stats.select("bout_id", "corner", *BASE_STATS), ["bout_id", "corner"], "left").select(F.col("own_bout").alias("bout_id"), "fighter_id", "corner", *BASE_STATS, *[F.lit(None).cast("int").alias(s) for s in SPLIT_STATS], F.lit(source).alias("source"))
     new_corners = merge.with_ids(merge.absent(corners, t.bout_fighters, ["bout_id", "fighter_id"]), t.bout_fighters, ["bout_id", "fighter_id"])
-    return Tables(all_fighters, events.drop("name_key"), t.bouts.unionByName(core.drop("low_id", "high_id"), allowMissingColumns=True), t.bout_fighters.unionByName(new_corners, allowMissingColumns=True), t.rounds)
+    return as_rows_of(t, new_fighters, new_events.drop("name_key"), core.drop("low_id", "high_id"), new_corners)
+
+
+def as_rows_of(t: Tables, *rows: DataFrame) -> Tables:
+    """Rows in the columns and types of the tables, which are named in their order; of tables that aren't given, none."""
+    out = []
+    for f, new in zip(dataclasses.fields(t), (*rows, *[None] * 5), strict=False):
+        table = getattr(t, f.name)
+        if new is None:
+            out.append(table.limit(0))
+        else:
+            out.append(new.select(*[(F.col(c.name) if c.name in new.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in table.schema]))
+    return Tables(*out)
 
 
 def matched_lines(t: Tables, event_id, lines: DataFrame) -> DataFrame:
-    """Statistics lines with the bout_fighter_id of the fighter of that name in the event, null if there is none; several raise."""
-    names = t.bout_fighters.select(F.col("id").alias("bout_fighter_id"), "bout_id", "fighter_id").join(t.bouts.filter(F.col("event_id") == event_id).select(F.col("id").alias("bout_id")), "bout_id").join(t.fighters.select(F.col("id").alias("fighter_id"), "name_normalized"), "fighter_id")
-    index = names.groupBy("name_normalized").agg(F.collect_list("bout_fighter_id").alias("ids"))  # the corners of one event and name
+    """Statistics lines of an event with the bout_fighter_id of its fighter of that name, null if there is none; several raise."""
+    return matched_lines_of(t, lines.withColumn("__event", F.lit(event_id))).drop("__event")
+
+
+def matched_lines_of(t: Tables, lines: DataFrame, event: str = "__event") -> DataFrame:
+    """Lines of any events (their ids are in column ``event``) with bout_fighter_id."""
+    asked = lines.select(F.col(event).alias("event_id")).distinct()
+    bouts = t.bouts.join(asked, "event_id", "left_semi").select(F.col("id").alias("bout_id"), "event_id")
+    names = t.bout_fighters.select(F.col("id").alias("bout_fighter_id"), "bout_id", "fighter_id").join(bouts, "bout_id").join(t.fighters.select(F.col("id").alias("fighter_id"), "name_normalized"), "fighter_id")
+    index = names.groupBy(F.col("event_id").alias(event), "name_normalized").agg(F.min("bout_fighter_id").alias("__one"), F.count(F.lit(1)).alias("__n"))
     keyed = lines.withColumn("name_normalized", normalize_name(F.translate("fighter_slug", "-", " ")))
-    one = F.when(F.size("ids") > 1, F.raise_error(F.concat(F.lit("more than one corner is "), F.col("name_normalized"))).cast("long")).otherwise(F.get("ids", F.lit(0)))
-    return keyed.join(index, "name_normalized", "left").withColumn("bout_fighter_id", one).drop("ids", "name_normalized")
+    one = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("more than one corner is "), F.col("name_normalized"))).cast("long")).otherwise(F.col("__one"))
+    return keyed.join(index, [event, "name_normalized"], "left").withColumn("bout_fighter_id", one).drop("__one", "__n", "name_normalized")
 
 
 def coverage(matched: DataFrame) -> DataFrame:
@@ -214,34 +245,24 @@ def coverage(matched: DataFrame) -> DataFrame:
 
 def backfill_rounds(t: Tables, event_id, lines: DataFrame, source: str = "documents") -> Tables:
     """The tables with an event's round lines, by corner and round; known rounds stay, lines of unknown fighters are left out."""
-    known = matched_lines(t, event_id, lines).filter("bout_fighter_id is not null")
+    return dataclasses.replace(t, rounds=t.rounds.unionByName(rounds_to_add(t, matched_lines(t, event_id, lines), source), allowMissingColumns=True))
+
+
+def rounds_to_add(t: Tables, matched: DataFrame, source: str = "documents") -> DataFrame:
+    """The rounds of matched lines that the table doesn't have."""
+    known = matched.filter("bout_fighter_id is not null")
     have = set(known.columns)
     rows = known.select("bout_fighter_id", "round", *[(F.col(s) if s in have else F.lit(None).cast("int")).alias(s) for s in STATS], F.lit(source).alias("source"))
-    return dataclasses.replace(t, rounds=merge.insert_absent(t.rounds, rows, ["bout_fighter_id", "round"]))
+    return merge.fresh(t.rounds, rows, ["bout_fighter_id", "round"])
 
 
 def events_between(events: DataFrame, first: str = "2019-01-01", last: str = "2025-12-31") -> DataFrame:
-    """Events of the period, both ends in it, with their slugs, in order; events without a slug are left out."""
-    found = events.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).withColumn("slug", expr.event_slug(F.col("name")))
-    return found.filter("slug is not null").orderBy("date", "id")
-
-
-def publish(t: Tables, folder: str) -> None:
-    """Write the five tables beside those in ``folder`` and swap when all are whole."""
-    spark = t.fighters.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    staged = f"{folder}.new"
-    for f in dataclasses.fields(t):
-        getattr(t, f.name).write.mode("overwrite").parquet(f"{staged}/{f.name}")
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(f"{folder}.old"), True)
-    if fs.exists(path(folder)):
-        fs.rename(path(folder), path(f"{folder}.old"))
-    fs.rename(path(staged), path(folder))
-    fs.delete(path(f"{folder}.old"), True)
+    """Events of the period, both ends in it, with their slugs (null for names without one), in order."""
+    found = events.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return found.withColumn("slug", expr.event_slug(F.col("name"))).orderBy("date", "id")
 
 
 def table_changes(old: Tables, new: Tables) -> dict[str, int]:
-    """Rows that each table has more than before."""
-    return {f.name: getattr(new, f.name).count() - getattr(old, f.name).count() for f in dataclasses.fields(old)}
+    """Rows that each table has more than before, counted in one job."""
+    each = [getattr(x, f.name).agg(F.count(F.lit(sign)).alias("n")).select(F.lit(f.name).alias("k"), (F.col("n") * sign).alias("n")) for x, sign in ((old, -1), (new, 1)) for f in dataclasses.fields(old)]
+    return {r["k"]: r["n"] for r in functools.reduce(DataFrame.union, each).groupBy("k").agg(F.sum("n").alias("n")).collect()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringside.schema import NO_FEATURES
+from ringside.sources.scratch import cut
 
 TARGET = "winner_corner"
 
@@ -92,7 +92,7 @@ def materialize(m: Matrix, path: str, source: str = "files") -> int:
     The merged table is written beside the old one and takes its place only when it is whole.
     """
     spark = m.frame.sparkSession
-    rows = payloads(m, source).withColumn("generated_at", F.current_timestamp()).persist()
+    rows = cut(payloads(m, source).withColumn("generated_at", F.current_timestamp()))
     n = rows.count()
     if n:
         jvm = spark.sparkContext._jvm
@@ -106,9 +106,4 @@ def materialize(m: Matrix, path: str, source: str = "files") -> int:
             fs.rename(here, backup)
         fs.rename(staged, here)
         fs.delete(backup, True)
-    rows.unpersist()
     return n
-
-
-def parse_payload(text: str) -> dict:
-    return json.loads(text)

@@ -18,6 +18,7 @@ from ringside.plans.features import add_features
 from ringside.plans.longframe import long_frame, round_rows
 from ringside.plans.matchup import TARGET, add_differentials, pivot_corners
 from ringside.schema import Tables
+from ringside.sources.scratch import cut
 
 TEST_SHARE, SEED = 0.2, 0
 #: Probabilities are kept this far from 0 and 1 in the log-loss.
@@ -38,15 +39,75 @@ def dataset(frame: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]
     return rows.select("bout_id", "event_date", "label", *kept), kept
 
 
+def read_bout_features(stored: DataFrame, bouts: DataFrame, events: DataFrame) -> DataFrame:
+    """(bout_id, event_date, target_winner_corner, features): stored features, as text, of known bouts with their events' dates."""
+    dates = bouts.select(F.col("id").alias("bout_id"), "event_id").join(events.select(F.col("id").alias("event_id"), F.col("date").alias("event_date")), "event_id")
+    return stored.join(dates, "bout_id").select("bout_id", "event_date", "target_winner_corner", "features")
+
+
+def expand(raw: DataFrame, schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
+    """The features as columns, read by their schema, or by what one pass over the texts finds in them: numbers, truth values, texts."""
+    if schema is None:
+        kinds = F.explode(F.map_entries(F.from_json("features", "map<string,string>"))).alias("e")
+        number = F.col("e.value").isNull() | F.col("e.value").rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$")
+        truth = F.col("e.value").isNull() | F.col("e.value").isin("true", "false")
+        found = raw.select(kinds).groupBy("e.key").agg(F.bool_and(number).alias("number"), F.bool_and(truth & F.col("e.value").isNotNull()).alias("truth")).orderBy("key").collect()  # a row per feature
+        schema = T.StructType([T.StructField(r["key"], T.BooleanType() if r["truth"] else T.DoubleType() if r["number"] else T.StringType()) for r in found])
+    names = [f.name for f in schema]
+    rows = raw.withColumn("__f", F.from_json("features", schema))
+    return rows.select("bout_id", "event_date", "target_winner_corner", *[F.col(f"__f.`{n}`").alias(n) for n in names]), names
+
+
+def stored_dataset(raw: DataFrame, schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
+    """dataset() of stored features: decided bouts, numbers only, without features that are always missing."""
+    rows, names = expand(raw.filter("target_winner_corner is not null"), schema)
+    winner = F.when(F.col("target_winner_corner") == "red", "R").when(F.col("target_winner_corner") == "blue", "B").otherwise(F.raise_error(F.lit("unknown corner")))
+    return dataset(rows.withColumnRenamed("event_date", "event_date_a").withColumn(TARGET, winner), names)
+
+
 def half_even(x: float) -> int:
     return round(x)
 
 
-def temporal_split(rows: DataFrame, share: float = TEST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """The earlier and the later rows by date and bout id; the later ones are ``share`` of all, one at least.
+#: Ranges of ids that are counted at a time, and rows that may be put in order in one place.
+RANGES, FEW = 1024, 100_000
+
+
+def _nth_id(ids: DataFrame, n: int) -> int:
+    """The n-th smallest bout_id: counted by ranges, and the range that has it by finer ones, until it has few rows or one id."""
+    low, high = ids.agg(F.min("bout_id"), F.max("bout_id")).first()
+    while True:
+        width = max(1, -(-(high - low + 1) // RANGES))
+        part = F.floor((F.col("bout_id") - F.lit(low)) / width)
+        counts = sorted((r["part"], r["n"]) for r in ids.filter(F.col("bout_id").between(low, high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # at most RANGES rows
+        for k, size in counts:
+            if n <= size:
+                break
+            n -= size
+        low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+        if low == high:
+            return low
+        if size <= FEW:
+            found = ids.filter(F.col("bout_id").between(low, high)).orderBy("bout_id").limit(n).agg(F.max("bout_id")).first()
+            return found[0]
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Where the later rows begin: after this date and id."""
+
+    event_date: object
+    bout_id: int
 
-    Rows of the boundary date can be on both sides.  The boundary row is found from counts per date and the order within one date,
-    so no task sorts all rows.
+    def is_later(self) -> Column:
+        day = F.lit(self.event_date)
+        return (F.col("event_date") > day) | ((F.col("event_date") == day) & (F.col("bout_id") > F.lit(self.bout_id)))
+
+
+def temporal_cut(rows: DataFrame, share: float = TEST_SHARE) -> Cut:
+    """The last of the earlier rows by date and bout id; the later ones are ``share`` of all, one at least.
+
+    The boundary row is found from counts per date and, within that date, per range of ids, so no task sorts all rows.
     """
     if not 0 < share < 1:
         raise ValueError("the share of test rows is between 0 and 1")
@@ -61,11 +122,13 @@ def temporal_split(rows: DataFrame, share: float = TEST_SHARE) -> tuple[DataFram
         if before + n >= n_train:
             break
         before += n
-    ranked = rows.filter(F.col("event_date") == F.lit(boundary)).withColumn("__k", F.row_number().over(Window.partitionBy("event_date").orderBy("bout_id")))
-    at = ranked.withColumn("__train", F.col("__k") <= n_train - before).drop("__k")
-    rest = rows.filter(F.col("event_date") != F.lit(boundary)).withColumn("__train", F.col("event_date") < F.lit(boundary))
-    both = rest.unionByName(at)
-    return both.filter("__train").drop("__train"), both.filter("not __train").drop("__train")
+    return Cut(boundary, _nth_id(rows.filter(F.col("event_date") == F.lit(boundary)).select("bout_id"), n_train - before))
+
+
+def temporal_split(rows: DataFrame, share: float = TEST_SHARE) -> tuple[DataFrame, DataFrame]:
+    """The earlier and the later rows; those of the boundary date can be on both sides."""
+    later = temporal_cut(rows, share).is_later()
+    return rows.filter(~later), rows.filter(later)
 
 
 def clipped(p: Column) -> Column:
@@ -75,18 +138,20 @@ def clipped(p: Column) -> Column:
 def metrics(scored: DataFrame, label: str = "label", p: str = "probability", prediction: str = "prediction") -> DataFrame:
     """(n, accuracy, log_loss, roc_auc) of binary predictions.
 
-    The area is exact: ranks of equal probabilities are averaged.  Rows are counted per distinct probability first, and running
-    counts over those are made per range of probabilities, so no task orders all rows.
+    The area is exact: ranks of equal probabilities are averaged.  Rows are read once and counted per distinct probability, and
+    running counts over those are made per range of probabilities, so no task orders all rows.
     """
     y, q = F.col(label), clipped(F.col(p))
-    simple = scored.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(prediction) == y).cast("double")).alias("accuracy"), F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"))
-    per = scored.groupBy(F.col(p).alias("p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")).withColumn("range", F.floor(F.col("p") * 1024))
-    bases = per.groupBy("range").agg(F.sum("neg").alias("all_neg"))
-    bases = bases.withColumn("below", F.coalesce(F.sum("all_neg").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("range", "below")  # at most 1025 rows
+    loss, hit = -(y * F.log(q) + (1 - y) * F.log(1 - q)), (F.col(prediction) == y).cast("long")
+    per = scored.groupBy(F.col(p).alias("p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), F.sum(loss).alias("loss"))
+    # In order of ranges of probabilities, and in each by probability: rows of a lower range are counted once for the whole range.
+    ranged = per.withColumn("range", F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.col("p"), F.lit(1.0))) * 1024), F.lit(-1)))
     w = Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.join(bases, "range").withColumn("under", F.col("below") + F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    area = ranked.agg(ratio(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
-    return simple.crossJoin(area)  # one row by one row
+    inside = ranged.withColumn("under", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
+    sums = inside.groupBy("range").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n", "hits", "loss")], F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("area"))  # at most 1026 rows
+    below = F.coalesce(F.sum("neg").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = sums.withColumn("below", below).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n", "hits", "loss")], F.sum(F.col("area") + F.col("pos") * F.col("below")).alias("area"))
+    return total.select(F.coalesce("n", F.lit(0)).alias("n"), ratio(F.col("hits"), F.col("n")).alias("accuracy"), ratio(F.col("loss"), F.col("n")).alias("log_loss"), ratio(F.col("area"), F.col("pos") * F.col("neg")).alias("roc_auc"))
 
 
 def baseline(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -95,8 +160,39 @@ def baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     return metrics(test.select("label").crossJoin(F.broadcast(share)).withColumn("prediction", F.lit(1.0)))  # one row
 
 
-def delta(current: dict, reference: dict) -> dict:
-    return {k: current[k] - reference[k] for k in reference if k in current}
+@dataclass(frozen=True)
+class Metrics:
+    n: int
+    accuracy: float
+    log_loss: float
+    roc_auc: float | None
+
+
+#: The recorded metrics of the model before the present features, which later ones are compared with.
+RECORDED = Metrics(1634, 0.6009791921664627, 0.6860892556792704, 0.6180559786979942)
+
+
+@dataclass(frozen=True)
+class MetricsDelta:
+    """Current less reference; of accuracy and area more is better, of log-loss less."""
+
+    accuracy: float
+    log_loss: float
+    roc_auc: float | None
+
+    @property
+    def improves_accuracy(self) -> bool:
+        """Only if it is truly above."""
+        return self.accuracy > 0.0
+
+
+def measured(scored: DataFrame) -> Metrics:
+    return Metrics(**metrics(scored).first().asDict())
+
+
+def metrics_delta(current: Metrics, reference: Metrics) -> MetricsDelta:
+    area = None if None in (current.roc_auc, reference.roc_auc) else current.roc_auc - reference.roc_auc
+    return MetricsDelta(current.accuracy - reference.accuracy, current.log_loss - reference.log_loss, area)
 
 
 @dataclass
@@ -157,15 +253,45 @@ def train(rows: DataFrame, features: list[str], iterations: int = 20, depth: int
     return Winner(Pipeline(stages=stages).fit(_indicated(rows, features)), features)
 
 
-def run_training(frame: DataFrame, features: list[str], share: float = TEST_SHARE, **options) -> tuple[Winner, DataFrame]:
-    """Train on the earlier bouts; returns the model and the scored later ones."""
-    rows, kept = dataset(frame, features)
-    rows = rows.persist()
+@dataclass
+class TrainingResult:
+    """A trained model, its scored later bouts, and how it does on these beside always saying red."""
+
+    winner: Winner
+    scored: DataFrame
+    model: Metrics
+    baseline: Metrics
+    boundary: object
+    n_samples: int
+    n_train: int
+    n_test: int
+
+
+def run_training(rows: DataFrame, features: list[str], share: float = TEST_SHARE, **options) -> TrainingResult:
+    """Train on the earlier bouts of a dataset and measure on the later ones.  Rows are written to the shared folder once."""
+    rows = cut(rows)
     if rows.isEmpty():
         raise ValueError("no decided bouts to learn from")
-    earlier, later = temporal_split(rows, share)
-    winner = train(earlier, kept, **options)
-    return winner, winner.score(later)
+    where = temporal_cut(rows, share)
+    earlier, later = rows.filter(~where.is_later()), rows.filter(where.is_later())
+    winner = train(earlier, features, **options)
+    scored = cut(winner.score(later).select("bout_id", "event_date", "label", "probability", "prediction"))
+    n_train, n_test = earlier.count(), scored.count()
+    return TrainingResult(winner, scored, measured(scored), measured_baseline(earlier, later), where.event_date, n_train + n_test, n_train, n_test)
+
+
+def measured_baseline(earlier: DataFrame, later: DataFrame) -> Metrics:
+    return Metrics(**baseline(earlier, later).first().asDict())
+
+
+@dataclass(frozen=True)
+class TrainingComparison:
+    vs_baseline: MetricsDelta
+    vs_recorded: MetricsDelta
+
+
+def compare_training(result: TrainingResult, recorded: Metrics = RECORDED) -> TrainingComparison:
+    return TrainingComparison(metrics_delta(result.model, result.baseline), metrics_delta(result.model, recorded))
 
 
 # ---------------------------------------------------------------- prediction
@@ -195,6 +321,16 @@ def hypothetical(t: Tables, a, b, on: str) -> DataFrame:
     return add_differentials(pivot_corners(enriched.unionByName(swapped))).withColumn("red_is", F.when(F.col("bout_id") == SYNTHETIC, "a").otherwise("b"))
 
 
+class UnknownFighter(LookupError):
+    """A fighter that isn't in the tables."""
+
+
+def require_fighters(t: Tables, *fighter_ids) -> None:
+    have = {r["id"] for r in t.fighters.filter(F.col("id").isin(*fighter_ids)).select("id").collect()}
+    if missing := [f for f in fighter_ids if f not in have]:
+        raise UnknownFighter(f"no fighters {missing}")
+
+
 def require_history(t: Tables, *fighter_ids) -> None:
     have = {r["fighter_id"] for r in t.bout_fighters.filter(F.col("fighter_id").isin(*fighter_ids)).select("fighter_id").distinct().collect()}
     if missing := [f for f in fighter_ids if f not in have]:
@@ -208,6 +344,18 @@ def neutral(scored: DataFrame, a, b) -> DataFrame:
     return out.withColumn("winner_id", F.when(F.col("probability_a") > 0.5, F.lit(a)).when(F.col("probability_a") < 0.5, F.lit(b)).otherwise(F.lit(min(a, b))))
 
 
+def predict_matchup(t: Tables, path: str, a, b, on: str) -> DataFrame:
+    """The neutral prediction of the model stored at ``path``.
+
+    Checked in this order: the fighters differ (ValueError), they are known (UnknownFighter), there is a model
+    (FileNotFoundError), both have bouts (ValueError).
+    """
+    if a == b:
+        raise ValueError("two different fighters are needed")
+    require_fighters(t, a, b)
+    return predict(t, Winner.load(path), a, b, on)
+
+
 def predict(t: Tables, winner: Winner, a, b, on: str) -> DataFrame:
     require_history(t, a, b)
     return neutral(winner.score(hypothetical(t, a, b, on)), a, b)

@@ -124,6 +124,20 @@ def bout_detail(t: Tables, bout_id) -> DataFrame:
     return bout.join(nested, "bout_id", "left")
 
 
+def bout_results(t: Tables) -> DataFrame:
+    """(bout_id, kind, winner_name): no_contest by the method, draw without a winner, else winner, with the name of the winner's corner
+    (null if no corner has the winner)."""
+    names = corners(t).select("bout_id", F.col("fighter_id").alias("winner_id"), F.col("fighter_name").alias("winner_name"))
+    bouts = t.bouts.select(F.col("id").alias("bout_id"), "winner_id", "method").join(names, ["bout_id", "winner_id"], "left")
+    kind = F.when(F.col("method") == "no_contest", "no_contest").when(F.col("winner_id").isNull(), "draw").otherwise("winner")
+    return bouts.select("bout_id", kind.alias("kind"), F.when(kind == "winner", F.col("winner_name")).alias("winner_name"))
+
+
+def known_history(t: Tables, fighter_id) -> DataFrame | None:
+    """A fighter's history, which may be empty; None for an id that no fighter has."""
+    return None if by_id(t.fighters, fighter_id).isEmpty() else history(t, fighter_id)
+
+
 def _career(rows: DataFrame) -> DataFrame:
     sums = {k: F.coalesce(F.sum(f"{k}_landed"), F.lit(0)) for k in ("head", "body", "leg", "distance", "clinch", "ground")}
     targets, positions = [sums[k] for k in ("head", "body", "leg")], [sums[k] for k in ("distance", "clinch", "ground")]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringside.functions import display, expr
@@ -15,6 +16,7 @@ from ringside.plans.longframe import long_frame, round_rows
 from ringside.schema import LONG_FRAME, METHODS, STATS, Tables
 from ringside.sources import adapter
 from ringside.sources.files import ORDINAL
+from ringside.sources.scratch import cut
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +40,12 @@ DATES = {
     "event_upsert": ["date"],
     "temporal_split": ["event_date"],
     "gbt_train_predict": ["event_date"],
+    "events_window": ["date"],
+    "csv_fighters_load": ["date_of_birth"],
+    "csv_events_load": ["date"],
+    "csv_fields": ["born"],
+    "features_read_back": ["event_date"],
+    "split_boundary": ["boundary"],
 }
 
 
@@ -90,9 +98,9 @@ def fighter_lookup(t):
     return reads.by_id(t.fighters, A).select("id", "name", "height_cm", "reach_cm", "stance", "date_of_birth")
 
 
-@query("SELECT id, name FROM fighters WHERE id IN (SELECT fighter_id FROM bout_fighters WHERE bout_id < 100)")
+@query("SELECT id, name FROM fighters WHERE id IN (SELECT fighter_id FROM bout_fighters)")
 def fighters_exist_semi(t):
-    return reads.existing(t, t.bout_fighters.filter("bout_id < 100").select(F.col("fighter_id").alias("id"))).select("id", "name")
+    return reads.existing(t, t.bout_fighters.select(F.col("fighter_id").alias("id"))).select("id", "name")
 
 
 @query("SELECT f.id, f.name FROM fighters f WHERE NOT EXISTS (SELECT 1 FROM bout_fighters b WHERE b.fighter_id = f.id AND b.corner = 'blue')")
@@ -134,21 +142,21 @@ def head_to_head(t):
     return reads.head_to_head(t, A, B).select("bout_id", "event_date", "winner_id", "method", "corner_a", "corner_b", "sig_strikes_landed_a", "sig_strikes_landed_b")
 
 
-_SOME_EVENT = "(SELECT max(event_id) FROM bouts WHERE id <= 100)"
+_SOME_EVENT = "(SELECT max(event_id) FROM bouts)"
 
 
 @query(f"""SELECT b.id AS bout_id, b.winner_id, b.method, c.corner, c.fighter_id, f.name AS fighter_name, CASE c.corner WHEN 'red' THEN 0 ELSE 1 END AS place
 FROM bouts b LEFT JOIN bout_fighters c ON c.bout_id = b.id LEFT JOIN fighters f ON f.id = c.fighter_id WHERE b.event_id = {_SOME_EVENT} ORDER BY b.id, place""")
 def event_card(t):
-    event = t.bouts.filter("id <= 100").agg(F.max("event_id")).first()[0]
+    event = t.bouts.agg(F.max("event_id")).first()[0]
     return reads.event_card(t, event).select("bout_id", "winner_id", "method", F.explode_outer("corners").alias("c")).select("bout_id", "winner_id", "method", "c.corner", "c.fighter_id", "c.fighter_name", F.col("c.place").alias("place"))
 
 
-_SOME_BOUT = "(SELECT min(id) FROM bouts WHERE id % 7 <> 0)"
+_SOME_BOUT = "(SELECT min(bout_id) FROM bout_fighters WHERE head_landed IS NOT NULL)"
 
 
 def _some_bout(t):
-    return t.bouts.filter("id % 7 <> 0").agg(F.min("id")).first()[0]
+    return t.bout_fighters.filter("head_landed is not null").agg(F.min("bout_id")).first()[0]
 
 
 @query(f"""SELECT b.id AS bout_id, e.name AS event_name, e.date AS event_date, c.corner, c.fighter_id, {', '.join('c.' + s for s in STATS)}
@@ -394,11 +402,11 @@ def bout_key_index(t):
     return ingest.bout_index(t.bouts, t.bout_fighters)
 
 
-@query(""", old AS (SELECT id, name_normalized, date_of_birth FROM fighters WHERE id % 3 <> 0), fresh AS (SELECT name_normalized, date_of_birth FROM fighters WHERE id % 2 = 0 AND id % 3 = 0),
+@query(""", old AS (SELECT id, name_normalized, date_of_birth FROM fighters WHERE id % 3 <> 0), fresh AS (SELECT name_normalized, date_of_birth FROM fighters WHERE id % 3 = 0),
 n AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY name_normalized, date_of_birth) AS id, * FROM fresh)""" + MAIN + """SELECT CAST(id AS BIGINT) AS id, name_normalized, date_of_birth FROM (SELECT * FROM old UNION ALL SELECT * FROM n)""")
 def insert_absent(t):
     cols = ["id", "name_normalized", "date_of_birth"]
-    old, new = t.fighters.filter("id % 3 <> 0").select(*cols), t.fighters.filter("id % 2 = 0").select(*cols[1:])
+    old, new = t.fighters.filter("id % 3 <> 0").select(*cols), t.fighters.select(*cols[1:])
     return merge.insert_absent(old, new, cols[1:])
 
 
@@ -409,10 +417,11 @@ def update_only_backfill(t):
     return merge.update_only(t.bout_fighters, new.union(extra), ["bout_id", "fighter_id"], ["head_landed", "source"]).select("bout_id", "fighter_id", "head_landed", "source")
 
 
-@query(""", old AS (SELECT id, name, date FROM events_ WHERE id % 2 = 0), fresh AS (SELECT name, date FROM events_ WHERE id % 2 <> 0), n AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY name, date) AS id, * FROM fresh)""" + MAIN + """SELECT CAST(id AS BIGINT) AS id, name, date FROM (SELECT * FROM old UNION ALL SELECT * FROM n)""")
+@query(""", old AS (SELECT id, name, date FROM events_ WHERE id % 2 = 0), fresh AS (SELECT upper(name) AS name, date FROM events_ WHERE id % 2 <> 0), n AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY name, date) AS id, * FROM fresh)""" + MAIN + """SELECT CAST(id AS BIGINT) AS id, name, date FROM (SELECT * FROM old UNION ALL SELECT * FROM n)""")
 def event_upsert(t):
-    cols = ["id", "name", "date"]
-    return merge.insert_absent(t.events.filter("id % 2 = 0").select(*cols), t.events.select("name", "date"), ["name", "date"])
+    """All events once more in capitals: those that are there already are found by their normalised names."""
+    old, heads = t.events.filter("id % 2 = 0").select("id", "name", "date"), t.events.select(F.upper("name").alias("name"), "date")
+    return old.unionByName(ingest.absent_events(old, heads).drop("name_key"))
 
 
 def _fight_names(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -444,16 +453,79 @@ def entity_match_status(t):
     return ingest.match_fighters(candidates, known).select("candidate", "status", "fighter_id")
 
 
-@query(f""", own AS (SELECT DISTINCT fighter_id FROM bout_fighters c JOIN bouts b ON b.id = c.bout_id WHERE b.event_id = {_SOME_EVENT}), asked AS (SELECT id FROM fighters WHERE id % 2 = 0 OR id IN (SELECT fighter_id FROM own)){MAIN}SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(own.fighter_id) AS BIGINT) AS matched, CAST(count(own.fighter_id) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS coverage FROM asked LEFT JOIN own ON own.fighter_id = asked.id""")
+@query(f""", own AS (SELECT DISTINCT fighter_id FROM bout_fighters c JOIN bouts b ON b.id = c.bout_id WHERE b.event_id = {_SOME_EVENT}){MAIN}SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(own.fighter_id) AS BIGINT) AS matched, CAST(count(own.fighter_id) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS coverage FROM fighters f LEFT JOIN own ON own.fighter_id = f.id""")
 def match_coverage(t):
-    event = t.bouts.filter("id <= 100").agg(F.max("event_id")).first()[0]
-    own = t.bout_fighters.join(t.bouts.filter(F.col("event_id") == event).select(F.col("id").alias("bout_id")), "bout_id").select("fighter_id").distinct()
-    asked = t.fighters.join(own, t.fighters["id"] == own["fighter_id"], "left").filter("id % 2 = 0 or fighter_id is not null")
-    lines = asked.select(F.lower(F.replace(F.replace("name", F.lit("#"), F.lit("-")), F.lit(" "), F.lit("-"))).alias("fighter_slug"))
+    """Lines of all fighters against one event's corners."""
+    event = t.bouts.agg(F.max("event_id")).first()[0]
+    lines = t.fighters.select(_slug(F.col("name")).alias("fighter_slug"))
     # A fighter may have several corners in these events, which the matching of real cards rejects: one corner each is kept.
     single = merge.first_by_key(t.bout_fighters.join(t.bouts.filter(F.col("event_id") == event).select(F.col("id").alias("bout_id")), "bout_id").withColumn(ORDINAL, F.col("id")), ["fighter_id"]).drop(ORDINAL)
-    keyed = Tables(t.fighters.withColumn("name_normalized", normalize_name(F.replace("name", F.lit("#"), F.lit(" ")))), t.events, t.bouts, single, t.rounds)
-    return ingest.coverage(ingest.matched_lines(keyed, event, lines))
+    return ingest.coverage(ingest.matched_lines(Tables(_keyed(t.fighters), t.events, t.bouts, single, t.rounds), event, lines))
+
+
+def _slug(name):
+    return F.lower(F.replace(F.replace(name, F.lit("#"), F.lit("-")), F.lit(" "), F.lit("-")))
+
+
+def _keyed(fighters: DataFrame) -> DataFrame:
+    return fighters.withColumn("name_normalized", normalize_name(F.replace("name", F.lit("#"), F.lit(" "))))
+
+
+_ONCE = """, seats AS (SELECT c.id, c.bout_id, c.fighter_id, c.corner, b.event_id, count(*) OVER (PARTITION BY b.event_id, c.fighter_id) AS n FROM bout_fighters c JOIN bouts b ON b.id = c.bout_id),
+once AS (SELECT * FROM seats WHERE n = 1)"""
+
+
+@query(_ONCE + """, lines AS (SELECT o.id AS bout_fighter_id, r.round, r.sig_strikes_landed FROM once o JOIN rounds r ON r.bout_fighter_id = o.id),
+kept AS (SELECT * FROM rounds WHERE round % 2 = 0), n AS (SELECT (SELECT max(id) FROM kept) + row_number() OVER (ORDER BY bout_fighter_id, round) AS id, *, 'documents' AS source FROM lines l WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.bout_fighter_id = l.bout_fighter_id AND k.round = l.round))""" + MAIN + """SELECT CAST(id AS BIGINT) AS id, bout_fighter_id, round, sig_strikes_landed, source FROM n""")
+def backfill_rounds(t):
+    """Lines of all events, by the slug of their fighter: of rounds that are there already nothing is added."""
+    seats = t.bout_fighters.join(t.bouts.select(F.col("id").alias("bout_id"), "event_id"), "bout_id")
+    once = seats.groupBy("event_id", "fighter_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
+    corners = seats.join(once, ["event_id", "fighter_id"], "left_semi")
+    lines = corners.select(F.col("id").alias("bout_fighter_id"), F.col("event_id").alias("__event"), "fighter_id").join(t.fighters.select(F.col("id").alias("fighter_id"), _slug(F.col("name")).alias("fighter_slug")), "fighter_id")
+    lines = lines.join(t.rounds.select("bout_fighter_id", "round", *STATS), "bout_fighter_id").drop("bout_fighter_id", "fighter_id")
+    own = Tables(_keyed(t.fighters), t.events, t.bouts, corners.select(*t.bout_fighters.columns), t.rounds.filter("round % 2 = 0"))
+    return ingest.rounds_to_add(own, ingest.matched_lines_of(own, lines)).select("id", "bout_fighter_id", "round", "sig_strikes_landed", "source")
+
+
+@query("SELECT id, date, 'ufc-' || CAST(id AS VARCHAR) AS slug FROM events_ WHERE id % 3 <> 0 AND date BETWEEN DATE '1993-01-01' AND DATE '1995-12-31' UNION ALL SELECT id, date, NULL FROM events_ WHERE id % 3 = 0 AND date BETWEEN DATE '1993-01-01' AND DATE '1995-12-31'")
+def events_window(t):
+    named = t.events.withColumn("name", F.when(F.col("id") % 3 != 0, F.concat(F.lit("UFC "), F.col("id").cast("string"))).otherwise(F.col("name")))
+    return ingest.events_between(named, "1993-01-01", "1995-12-31").select("id", "date", "slug")
+
+
+@query("""SELECT row_number() OVER (ORDER BY name_normalized, date_of_birth) AS id, name, name_normalized, date_of_birth, height_cm, reach_cm, stance, CAST(wins AS INTEGER) AS wins
+FROM (SELECT s_name AS name, lower(s_name) AS name_normalized, date_of_birth, height_cm, reach_cm, stance, wins FROM fighters JOIN supplier ON s_suppkey = id)""")
+def csv_fighters_load(t):
+    """Each fighter twice, as rows of the CSV file: the second one differs in spelling and is left out."""
+    text = lambda c: F.coalesce(F.concat(F.col(c).cast("string"), F.lit(".0")), F.lit(""))
+    rows = t.fighters.select(F.concat(F.lit(" "), "name").alias("name"), F.lit("").alias("nick_name"), F.date_format("date_of_birth", "MMM d, yyyy").alias("dob"), text("height_cm").alias("height"), text("reach_cm").alias("reach"), F.initcap(F.coalesce("stance", F.lit("Open"))).alias("stance"), text("wins").alias("wins"), text("losses").alias("losses"), text("draws").alias("draws"), (F.col("id") * 2).alias(ORDINAL))
+    again = rows.withColumn("name", F.concat(F.upper(F.trim("name")), F.lit(" Jr."))).withColumn("height", F.lit("100")).withColumn(ORDINAL, F.col(ORDINAL) + 1)
+    none = t.fighters.limit(0)
+    return ingest.load_fighters(none, rows.union(again)).select("id", "name", "name_normalized", "date_of_birth", "height_cm", "reach_cm", "stance", "wins")
+
+
+@query("""SELECT row_number() OVER (ORDER BY name, date) AS id, name, date, 'Rio, Brazil' AS location FROM (SELECT 'Last ' || name AS name, date FROM events_ WHERE id IN (SELECT event_id FROM bouts))""")
+def csv_events_load(t):
+    """Events by their bouts' rows: the date of the first row, the name of the last one."""
+    rows = t.bouts.join(t.events.select(F.col("id").alias("event_id"), "name", "date"), "event_id").withColumn("last", F.max("id").over(Window.partitionBy("event_id")))
+    fights = rows.select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("id") == F.col("last"), F.concat(F.lit("Last "), "name")).otherwise("An earlier name").alias("event_name"), F.col("id").alias(ORDINAL))
+    first = F.col("id") == F.min("id").over(Window.partitionBy("event_id"))
+    events = rows.select(F.col("event_id").cast("string").alias("event_id"), F.when(first, F.date_format("date", "MMMM d, yyyy")).otherwise("May 1, 2001").alias("date"), F.lit(" Rio, Brazil").alias("location"), F.col("id").alias(ORDINAL))
+    # An event with one bout has its name and date from the same row.
+    return ingest.load_events(t.events.limit(0), fights, events).select("id", "name", "date", "location")
+
+
+@query(""", f AS (SELECT b.id AS bout_id, b.event_id, b.round, b.ending_time_seconds AS secs, b.weight_class, r.fighter_id AS red_id, l.fighter_id AS blue_id, least(r.fighter_id, l.fighter_id) AS low_id, greatest(r.fighter_id, l.fighter_id) AS high_id
+FROM bouts b JOIN bout_fighters r ON r.bout_id = b.id AND r.corner = 'red' JOIN bout_fighters l ON l.bout_id = b.id AND l.corner = 'blue' WHERE b.id % 5 <> 0 AND b.id % 7 <> 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY event_id, low_id, high_id ORDER BY bout_id) AS k FROM f)""" + MAIN + """SELECT row_number() OVER (ORDER BY event_id, low_id, high_id) AS id, CAST(event_id AS INTEGER) AS event_id, CAST(blue_id AS INTEGER) AS winner_id, 'ko_tko' AS method, CAST(round AS INTEGER) AS round, CAST(secs AS INTEGER) AS ending_time_seconds, weight_class, CAST(5 AS INTEGER) AS scheduled_rounds FROM g WHERE k = 1""")
+def csv_bouts_load(t):
+    """All resolved fights of the file as bouts, one for each event and pair of fighters."""
+    fights, events = _fight_names(t)
+    more = t.bouts.select(F.col("id").alias("bout_id"), F.col("ending_time_seconds").cast("string").alias("match_time_sec"), F.col("weight_class").alias("division"), F.lit("5.0").alias("total_rounds"))
+    own = Tables(t.fighters.withColumn("name_normalized", normalize_name(F.col("name"))), t.events, t.bouts.limit(0), t.bout_fighters.limit(0), t.rounds.limit(0))
+    loaded, _ = ingest.load_bouts(own, fights.join(more, "bout_id").drop("bout_id"), events)
+    return loaded.bouts.select("id", "event_id", "winner_id", "method", "round", "ending_time_seconds", "weight_class", "scheduled_rounds")
 
 
 # ---------------------------------------------------------------- parsers
@@ -493,7 +565,7 @@ def event_slug(t):
     return t.bouts.select("id", expr.event_slug(name).alias("slug"))
 
 
-@query()
+@query("SELECT id, 'ukasz ' || lower(name) AS name_normalized FROM fighters")
 def name_keys(t):
     return t.fighters.select("id", normalize_name(F.concat(F.lit("Łukász  "), F.col("name"), F.lit(" Jr."))).alias("name_normalized"))
 
@@ -503,6 +575,53 @@ def display_texts(t):
     return t.bouts.select("id", display.ending_time(F.col("round"), F.col("ending_time_seconds")).alias("ending"), display.label(F.col("method"), display.METHOD_LABELS).alias("method"))
 
 
+@query("""SELECT id, wins || '-' || losses || '-' || draws AS record, CASE stance WHEN 'orthodox' THEN 'Ortodoxa' WHEN 'southpaw' THEN 'Canhota' WHEN 'switch' THEN 'Alternada' ELSE '—' END AS stance, height_cm || ' cm' AS height, coalesce(reach_cm || ' cm', '—') AS reach,
+CASE WHEN id % 4 = 0 THEN '—' WHEN id % 4 = 1 THEN CAST(id AS VARCHAR) || ' kg' ELSE CAST(id AS VARCHAR) || ',3 kg' END AS weight FROM fighters""")
+def display_fighters(t):
+    weight = F.when(F.col("id") % 4 == 1, F.col("id") * 1.0).when(F.col("id") % 4 > 1, F.col("id") + 0.25 + 0.01)
+    return t.fighters.select("id", display.record(F.col("wins"), F.col("losses"), F.col("draws")).alias("record"), display.label(F.col("stance"), display.STANCE_LABELS).alias("stance"), display.centimetres(F.col("height_cm")).alias("height"), display.centimetres(F.col("reach_cm")).alias("reach"), display.kilograms(weight).alias("weight"))
+
+
+@query(_HIST + MAIN + """SELECT fighter_id, bout_id, CASE WHEN won THEN 'Vitória' WHEN method = 'no_contest' THEN 'Sem resultado' ELSE 'Derrota' END AS result, CAST(control_time_seconds // 60 AS VARCHAR) || ':' || lpad(CAST(control_time_seconds % 60 AS VARCHAR), 2, '0') AS control,
+coalesce(CAST(head_landed AS VARCHAR), '—') || CASE WHEN head_landed IS NULL AND head_attempted IS NULL THEN '' ELSE ' de ' || coalesce(CAST(head_attempted AS VARCHAR), '—') END AS head FROM hist""")
+def display_bouts(t):
+    return reads.history(t).select("fighter_id", "bout_id", display.result(F.col("won"), F.col("method")).alias("result"), display.average_control(F.col("control_time_seconds")).alias("control"), display.attempts(F.col("head_landed"), F.col("head_attempted")).alias("head"))
+
+
+@query("""SELECT b.id AS bout_id, CASE WHEN b.method = 'no_contest' THEN 'no_contest' WHEN b.winner_id IS NULL THEN 'draw' ELSE 'winner' END AS kind, CASE WHEN b.method <> 'no_contest' THEN f.name END AS winner_name
+FROM bouts b LEFT JOIN fighters f ON f.id = b.winner_id""")
+def bout_results(t):
+    return reads.bout_results(t)
+
+
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS flag, CASE WHEN id % 3 <> 0 THEN date_of_birth END AS born, CASE WHEN id % 5 <> 0 THEN CAST(2 * ((height_cm + 1) // 2) AS INTEGER) END AS height_cm, CASE WHEN stance IN ('orthodox', 'southpaw') THEN stance END AS stance, CASE WHEN id % 3 <> 0 THEN 'n ' || id END AS nickname FROM (SELECT *, CASE WHEN height_cm % 2 = 0 THEN height_cm ELSE height_cm END AS h FROM fighters)""")
+def csv_fields(t):
+    """Fields of the CSV files back into values; heights such as 151.5 go to the even number."""
+    flag = F.element_at(F.array(F.lit("1.0"), F.lit(" 0"), F.lit("yes"), F.lit("")), (F.col("id") % 4 + 1).cast("int"))
+    half = F.when(F.col("height_cm") % 2 == 0, F.col("height_cm").cast("string")).otherwise(F.concat(F.col("height_cm").cast("string"), F.lit(".5")))
+    return t.fighters.select(
+        "id", expr.bool_lenient(flag).alias("flag"), expr.short_date(F.when(F.col("id") % 3 != 0, F.date_format("date_of_birth", "MMM d, yyyy")).otherwise(" ")).alias("born"),
+        expr.int_strict(F.when(F.col("id") % 5 != 0, half).otherwise("")).alias("height_cm"), expr.stance_of(F.when(F.col("stance") != "switch", F.concat(F.lit(" "), F.initcap("stance"))).otherwise("Open Stance")).alias("stance"),
+        expr.text_or_null(F.when(F.col("id") % 3 != 0, F.concat(F.lit(" n "), F.col("id").cast("string"))).otherwise("  ")).alias("nickname"),
+    )
+
+
+_JSON_TOKENS = [*expr.JSON_METHODS, "unknown"]
+
+
+@query(f"""SELECT id, [{', '.join(repr(expr.JSON_METHODS.get(x, 'no_contest')) for x in _JSON_TOKENS)}][CAST(id % {len(_JSON_TOKENS)} AS INTEGER) + 1] AS method,
+CASE WHEN [{', '.join(repr(expr.JSON_METHODS.get(x, 'no_contest')) for x in _JSON_TOKENS)}][CAST(id % {len(_JSON_TOKENS)} AS INTEGER) + 1] = 'no_contest' THEN NULL WHEN id % 3 = 0 THEN 'red' WHEN id % 3 = 1 THEN 'blue' END AS winner FROM bouts""")
+def json_method_and_winner(t):
+    method = expr.method_of(F.element_at(F.array(*[F.lit(x) for x in _JSON_TOKENS]), (F.col("id") % len(_JSON_TOKENS) + 1).cast("int")), expr.JSON_METHODS)
+    slug = F.when(F.col("id") % 3 == 0, "a-a").when(F.col("id") % 3 == 1, "b-b").otherwise("c-c")
+    return t.bouts.select("id", method.alias("method"), ingest.winner_corner(slug, F.lit("a-a"), F.lit("b-b"), method).alias("winner"))
+
+
+@query(_LONG + MAIN + "SELECT CAST(count(DISTINCT fighter_id) AS BIGINT) AS debuts FROM lf")
+def debuts(t):
+    return features.debuts(long_frame(t))
+
+
 # ---------------------------------------------------------------- payloads and models
 
 
@@ -511,6 +630,18 @@ def features_json(t):
     return matchup.payloads(matchup.matrix(enriched(t)), "tables")
 
 
+_READ_BACK = ["win_rate_prior", "win_streak_prior", "takedown_defense_r3", "layoff_days"]
+
+
+@query(_PIVOT + MAIN + f"SELECT a.bout_id, a.event_date, CASE {_T} WHEN 'R' THEN 'red' ELSE 'blue' END AS target_winner_corner, {', '.join(f'CAST(a.{c} AS DOUBLE) AS {c}_a, CAST(a.{c} - b.{c} AS DOUBLE) AS {c}_diff' for c in _READ_BACK)}, a.stance AS stance_a{_ON} WHERE {_T} IS NOT NULL")
+def features_read_back(t):
+    """The stored features of every decided bout, written as JSON and read again as columns."""
+    m = matchup.matrix(enriched(t))
+    stored = cut(matchup.payloads(m, "tables"))
+    rows, _ = model.expand(model.read_bout_features(stored, t.bouts, t.events))
+    return rows.select("bout_id", "event_date", "target_winner_corner", *[c for b in _READ_BACK for c in (f"{b}_a", f"{b}_diff")], "stance_a")
+
+
 def _labelled(t: Tables) -> DataFrame:
     """(bout_id, event_date, label, probability, prediction): red's landed share as its probability."""
     p = matchup.pivot_corners(long_frame(t).select("bout_id", "corner", "result", "event_date", "sig_strikes_attempted"))
@@ -527,13 +658,13 @@ cut AS (SELECT *, row_number() OVER (ORDER BY event_date, bout_id) AS k, count(*
 
 @query(_LABELLED + MAIN + "SELECT bout_id, event_date, k > n_train AS test FROM cut")
 def temporal_split(t):
-    earlier, later = model.temporal_split(_labelled(t).select("bout_id", "event_date"))
-    return earlier.withColumn("test", F.lit(False)).union(later.withColumn("test", F.lit(True)))
+    rows = cut(_labelled(t).select("bout_id", "event_date"))
+    return rows.withColumn("test", model.temporal_cut(rows).is_later())
 
 
 @query(_LABELLED + f", p AS (SELECT label, greatest({model.CLIP}, least(1 - {model.CLIP}, (SELECT avg(label) FROM cut WHERE k <= n_train))) AS p FROM cut WHERE k > n_train){MAIN}SELECT CAST(count(*) AS BIGINT) AS n, round(avg(label), 9) AS accuracy, round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 9) AS log_loss, 0.5::DOUBLE AS roc_auc FROM p")
 def baseline_metrics(t):
-    earlier, later = model.temporal_split(_labelled(t))
+    earlier, later = model.temporal_split(cut(_labelled(t)))
     return model.baseline(earlier, later).select("n", *[F.round(c, 9).alias(c) for c in ("accuracy", "log_loss", "roc_auc")])
 
 
@@ -557,19 +688,36 @@ def hypothetical_matchup_features(t):
     return model.hypothetical(t, A, B, _DAY).select("red_is", "win_rate_prior_a", "win_rate_prior_b", "career_bouts_before_a", "career_bouts_before_b", "sig_strikes_landed_pm_r3_a", "sig_strikes_landed_pm_r3_b", "layoff_days_a", "career_bouts_before_diff")
 
 
+@query(_LABELLED + MAIN + "SELECT max(CASE WHEN k <= n_train THEN event_date END) AS boundary, CAST(count(CASE WHEN k <= n_train THEN 1 END) AS BIGINT) AS n_train, CAST(count(CASE WHEN k > n_train THEN 1 END) AS BIGINT) AS n_test FROM cut")
+def split_boundary(t):
+    rows = cut(_labelled(t).select("bout_id", "event_date"))
+    where = model.temporal_cut(rows)
+    return rows.agg(F.max(F.when(~where.is_later(), F.col("event_date"))).alias("boundary"), F.count_if(~where.is_later()).alias("n_train"), F.count_if(where.is_later()).alias("n_test"))
+
+
+def _trained(t: Tables) -> model.TrainingResult:
+    m = matchup.matrix(enriched(t))
+    return model.run_training(*model.dataset(cut(m.frame), m.features))
+
+
 @query()
 def gbt_train_predict(t):
-    m = matchup.matrix(enriched(t))
-    _, scored = model.run_training(m.frame, m.features, iterations=5, depth=3)
-    return scored.select("bout_id", "event_date", "label", "probability", "prediction")
+    return _trained(t).scored
+
+
+@query()
+def training_report(t):
+    """The metrics of the model and of always saying red, and the model's beside the recorded ones."""
+    result = _trained(t)
+    compared = model.compare_training(result)
+    rows = [("model", *dataclasses.astuple(result.model)), ("always red", *dataclasses.astuple(result.baseline))]
+    rows += [(k, None, *dataclasses.astuple(d)) for k, d in (("beside always red", compared.vs_baseline), ("beside the recorded model", compared.vs_recorded))]
+    return t.bouts.sparkSession.createDataFrame(rows, "what string, n long, accuracy double, log_loss double, roc_auc double")
 
 
 @query()
 def neutral_matchup_prob(t):
-    m = matchup.matrix(enriched(t))
-    rows, kept = model.dataset(m.frame, m.features)
-    earlier, _ = model.temporal_split(rows.persist())
-    return model.predict(t, model.train(earlier, kept, iterations=3, depth=3), A, B, _DAY)
+    return model.predict(t, _trained(t).winner, A, B, _DAY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

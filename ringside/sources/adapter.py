@@ -6,10 +6,14 @@ two suppliers of an order are the red and the blue corner; orders with one suppl
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringside.schema import SPLIT_STATS, STATS, Tables
+from ringside.sources.scratch import shared_dir
 
 EPOCH = "1990-01-01"
 
@@ -43,8 +47,39 @@ def _measured(df: DataFrame) -> DataFrame:
     return df.withColumns({s: F.when(~unknown, F.col(s).cast("int")) if s in SPLIT_STATS else F.col(s).cast("int") for s in STATS})
 
 
+#: Folders of tables that a session has written, by the folder of the order tables.
+_written: dict[tuple[str, str], str] = {}
+
+
 def read(spark: SparkSession, sf_dir: str) -> Tables:
-    """The five tables.  Line items move once, by order; corners, stats and winners are computed where they then are."""
+    """The five tables, which are made once for a session and folder and kept as Parquet files in the shared folder.
+
+    Queries then read only the columns that they need of files whose sizes Spark knows, as of any stored tables.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        folder = f"{shared_dir(spark)}/granular-{uuid.uuid4().hex}"
+        made = derive(spark, sf_dir)
+        # Bouts and rounds are made of the corners, so these are written first and read again.
+        corners = _stored(made.bout_fighters, f"{folder}/bout_fighters")
+        made = derive(spark, sf_dir, corners)
+        for name in ("fighters", "events", "bouts", "rounds"):
+            getattr(made, name).write.parquet(f"{folder}/{name}")
+        _written[key] = folder
+    folder = _written[key]
+    return Tables(*[spark.read.parquet(f"{folder}/{f.name}") for f in dataclasses.fields(Tables)])
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def derive(spark: SparkSession, sf_dir: str, stored: DataFrame | None = None) -> Tables:
+    """The five tables.  Line items move once, by order; corners, stats and winners are computed where they then are.
+
+    stored: the table bout_fighters, if it is there already.
+    """
     table = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     stats = _stat_columns()
     lines = table("lineitem").select(F.col("l_orderkey").alias("bout_id"), F.col("l_suppkey").alias("fighter_id"), F.col("l_linenumber").alias("ln"), F.col("l_quantity").cast("long").alias("q"), "l_returnflag", "l_linestatus").repartition("bout_id")
@@ -54,6 +89,8 @@ def read(spark: SparkSession, sf_dir: str) -> Tables:
     corners = lines.groupBy("bout_id", "fighter_id").agg(*[c.alias(s) for s, c in stats.items()])
     corners = corners.withColumn("seat", F.row_number().over(by_bout)).withColumn("seats", F.count(F.lit(1)).over(whole)).filter("seat <= 2 and seats >= 2")
     corners = _measured(corners).withColumn("corner", F.when(F.col("seat") == 1, "red").otherwise("blue"))
+    if stored is not None:
+        corners = stored.withColumn("seat", F.when(F.col("corner") == "red", 1).otherwise(2))
     bout_fighters = corners.select((F.col("bout_id") * 2 + F.col("seat") - 1).alias("id"), "bout_id", "fighter_id", "corner", *STATS, F.lit("tables").alias("source"))
     # A bout's winner landed more.
     landed = lambda seat: F.max(F.when(F.col("seat") == seat, F.col("sig_strikes_landed")))

@@ -24,14 +24,14 @@ def dataset_dir(given: str | None, env: str | None = None) -> str:
     return found
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, line_ends_in_fields: bool = False) -> DataFrame:
     """All columns as text, an empty field as an empty text, and the row's ordinal in ORDINAL.
 
     First-wins and last-wins rules depend on the order of rows in a file: the ordinal is taken from the scan, which numbers rows by
-    partition and place.  A file is a partition of its own only if it isn't larger than the session's partition size; partitions
-    of one file follow one another, so the order holds for larger ones too.
+    partition and place, and partitions of one file follow one another.  Files with line ends inside fields can't be divided: they
+    are read by one task each, and only if the caller says so.
     """
-    df = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True)
+    df = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=line_ends_in_fields)
     return df.na.fill("").withColumn(ORDINAL, F.monotonically_increasing_id())
 
 
@@ -77,13 +77,19 @@ def _line(c: str) -> list:
     return own
 
 
-def event_stats_documents(spark: SparkSession, path: str, rounds: bool = False) -> DataFrame:
-    """Statistics lines by bout and corner, or by round as well.  A document without success raises."""
+def event_stats_documents(spark: SparkSession, path, rounds: bool = False, with_file: str | None = None) -> DataFrame:
+    """Statistics lines by bout and corner, or by round as well.  A document without success raises.
+
+    with_file: a column for the name of each line's file.
+    """
     docs = _json(spark, path, EVENT_STATS_DOCUMENT)
+    if with_file:
+        docs = docs.withColumn(with_file, F.element_at(F.split(F.input_file_name(), "/"), -1))
     good = docs.filter(F.when(F.coalesce("success", F.lit(False)), True).otherwise(F.raise_error(F.lit("the document reports no success")).cast("boolean")))
     which = "data.roundStats" if rounds else "data.boutStats"
-    lines = good.select(F.explode(which).alias("l"))
-    return lines.select(*_line("l"), *([F.col("l.round").alias("round")] if rounds else []))
+    own = [with_file] if with_file else []
+    lines = good.select(*own, F.explode(which).alias("l"))
+    return lines.select(*own, *_line("l"), *([F.col("l.round").alias("round")] if rounds else []))
 
 
 def to_wire(lines: DataFrame) -> DataFrame:
@@ -93,6 +99,10 @@ def to_wire(lines: DataFrame) -> DataFrame:
     return lines.select(*rest, *pairs, *(["round"] if "round" in lines.columns else []))
 
 
+class BudgetSpent(RuntimeError):
+    """No calls are left."""
+
+
 @dataclass
 class CallBudget:
     """A hard cap on calls, charged before each."""
@@ -102,7 +112,7 @@ class CallBudget:
 
     def charge(self) -> None:
         if self.used >= self.most:
-            raise RuntimeError(f"the budget of {self.most} calls is used up")
+            raise BudgetSpent(f"the budget of {self.most} calls is used up")
         self.used += 1
 
 
@@ -112,14 +122,41 @@ class LandingZone:
     def __init__(self, spark: SparkSession, folder: str, budget: CallBudget | None = None):
         self.spark, self.folder, self.budget = spark, folder.rstrip("/"), budget
 
-    def get_or_fetch(self, key: str, fetch) -> str:
-        """The path of the document; ``fetch`` returns its JSON text."""
+    def _at(self, key: str):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{key}.json")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def holds(self, key: str) -> bool:
+        fs, path = self._at(key)
+        return fs.exists(path)
+
+    def get_or_fetch(self, key: str, fetch) -> str:
+        """The path of the document; ``fetch`` returns its JSON text.  A fetch that fails leaves nothing behind."""
+        fs, path = self._at(key)
         if not fs.exists(path):
             if self.budget is not None:
                 self.budget.charge()
-            out = fs.create(path, True)
-            out.write(bytearray(fetch(key).encode()))
+            text = fetch(key)
+            part = path.suffix(".part")
+            out = fs.create(part, True)
+            out.write(bytearray(text.encode()))
             out.close()
+            fs.rename(part, path)
         return str(path)
+
+
+class SourceError(RuntimeError):
+    """A source can't give a document."""
+
+
+class OverLimit(SourceError):
+    """A source refuses further calls for now."""
+
+
+def checked_response(status: int, body: str) -> str:
+    """The body of a source's answer, by its HTTP status; another one than 200 raises."""
+    if status == 429:
+        raise OverLimit("too many calls")
+    if status != 200:
+        raise SourceError(f"the source answers with status {status}")
+    return body

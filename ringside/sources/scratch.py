@@ -1,18 +1,21 @@
-"""Cutting lineage in the folder shared by all executors."""
+"""The folder shared by the driver and all executors, and cutting lineage there."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; an error where that is unset, as no other folder is known to be shared."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found.rstrip("/")
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as checkpointed rows: computed once, and read from the shared folder if executors are lost.
 
-    The folder is ``spark.checkpoint.dir`` of the session, or, where that is unset, a local one.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as checkpointed rows: computed once, and read from the shared folder if executors are lost."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ringside-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ringside.plans import ingest
-from ringside.schema import EVENT_DOCUMENT, Tables
+from ringside.schema import EVENT_DOCUMENT
 from ringside.sources import files
-
-
-def read_tables(spark: SparkSession, folder: str) -> Tables:
-    return Tables(*[spark.read.parquet(f"{folder}/{n}") for n in ("fighters", "events", "bouts", "bout_fighters", "rounds")])
+from ringside.sources.store import TableStore
 
 
 def follow_events(spark: SparkSession, arrivals: str, fighters: str, stats: str, tables: str, checkpoint: str) -> StreamingQuery:
-    """Merge the event documents that arrive in ``arrivals`` into the tables at ``tables``; ends when all that is there is taken in.
+    """Merge the event documents that arrive in ``arrivals`` into the store at ``tables``; ends when all that is there is taken in.
 
-    fighters and stats hold the documents of fighters and of bout statistics that events refer to.  A batch is taken in wholly or
-    not at all, and as every load is get-or-create, a batch that is run again after a failure changes nothing.
+    fighters and stats hold the documents of fighters and of bout statistics that events refer to.  A batch appends the rows that are
+    new, wholly or not at all; as every load is get-or-create, a batch that is run again after a failure changes nothing.
     """
-    events = spark.readStream.schema(EVENT_DOCUMENT).option("multiLine", True).json(arrivals)
+    events, store = spark.readStream.schema(EVENT_DOCUMENT).option("multiLine", True).json(arrivals), TableStore(spark, tables)
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         rows = batch.select("event_id", F.col("name").alias("event_name"), F.col("date").alias("event_date"), F.explode("bouts").alias("bout"))
         slugs = rows.select(F.explode("bout.corners").alias("c")).select("c.slug").distinct()
         known = files.fighter_documents(spark, fighters).join(slugs, "slug", "left_semi")
-        ingest.publish(ingest.take_in_event(read_tables(spark, tables), rows, known, files.bout_stats_documents(spark, stats)), tables)
+        bouts = files.bout_stats_documents(spark, stats).join(rows.select("bout.bout_id").distinct(), "bout_id", "left_semi")
+        store.append(ingest.event_rows_to_add(store.read(), rows, known, bouts), f"{number:09d}-{uuid.uuid4().hex}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
