@@ -1,13 +1,14 @@
 """Point-in-time features against hand-computed values, and their leakage."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from ringside.functions.expr import age_years
 from ringside.operators.checks import assert_unique
-from ringside.plans import features, matchup
+from ringside.plans import features, matchup, model
 from ringside.plans.features import add_features, with_opponent
 from ringside.schema import LONG_FRAME, STATS
 
@@ -141,7 +142,20 @@ def test_materialize(spark, bio, rounds, tmp_path):
     assert matchup.materialize(early, path) == 2
     stored = {r["bout_id"]: r for r in spark.read.parquet(path).collect()}
     assert sorted(stored) == [101, 102, 103, 104, 105]
-    payload = matchup.parse_payload(stored[101]["features"])
+    payload = json.loads(stored[101]["features"])
     assert payload["height_cm_a"] == 1 and payload["win_rate_prior_a"] is None and set(payload) == set(m.features)
     assert stored[102]["target_winner_corner"] == "blue"
     assert matchup.materialize(matchup.Matrix(m.frame.limit(0), m.features), path) == 0
+    # Read back, with the events' dates.
+    bouts = spark.createDataFrame([(i, i * 10) for i in range(101, 106)], "id int, event_id int")
+    events = spark.createDataFrame([(i * 10, dt.date(2020, 1, i - 100)) for i in range(101, 105)], "id int, date date")
+    raw = model.read_bout_features(spark.read.parquet(path), bouts, events)
+    assert raw.count() == 4  # the last bout's event isn't known
+    rows, names = model.expand(raw)
+    assert set(names) == set(m.features) and dict(rows.dtypes)["height_cm_a"] == "double" and dict(rows.dtypes)["stance_a"] == "string"
+    back = {r["bout_id"]: r for r in rows.collect()}
+    for r in m.frame.filter("bout_id in (103, 104)").collect():
+        assert all(back[r["bout_id"]][f] == r[f] for f in m.features)
+    data, kept = model.stored_dataset(raw)
+    assert "stance_a" not in kept and "height_cm_b" in kept and {r["bout_id"]: r["label"] for r in data.collect()}[102] == 0.0
+    assert features.debuts(enriched).first()["debuts"] == enriched.select("fighter_id").distinct().count()

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ringside.functions import display, expr
 from ringside.functions.names import name_key, normalize_name
-from ringside.plans import ingest, reads
+from ringside.plans import ingest, reads, runs
 from ringside.schema import Tables, empty_tables
 from ringside.sources import files
 from ringside.sources.scratch import cut
+from ringside.sources.store import TableStore
 
 D = dt.date
 
@@ -51,7 +52,10 @@ def test_display(spark):
     df = spark.createDataFrame([(2, 255, 0.425, 3.25, D(2024, 5, 1)), (None, None, None, None, None)], "r int, s int, p double, a double, d date")
     got = df.select(display.ending_time(F.col("r"), F.col("s")), display.percent(F.col("p")), display.average(F.col("a")), display.day(F.col("d")), display.attempts(F.col("r"), F.col("s")), display.probability(F.col("p"))).collect()
     assert tuple(got[0]) == ("R2 4:15", "43%", "3,3", "01/05/2024", "2 de 255", "43%")
-    assert tuple(got[1]) == ("—", "sem dado", "sem dado", "—", "—", "0%")
+    assert tuple(got[1]) == ("—", "sem dado", "—", "—", "—", "0%")
+    df = spark.createDataFrame([(True, "decision", 93.0, 62.5, 180, "southpaw"), (False, "no_contest", 70.3, None, None, None), (False, "dq", None, 59.6, 1, "x")], "won boolean, m string, kg double, s double, cm int, st string")
+    got = df.select(display.result(F.col("won"), F.col("m")), display.kilograms(F.col("kg")), display.average_control(F.col("s")), display.centimetres(F.col("cm")), display.label(F.col("st"), display.STANCE_LABELS)).collect()
+    assert [tuple(r) for r in got] == [("Vitória", "93 kg", "1:03", "180 cm", "Canhota"), ("Sem resultado", "70,3 kg", "—", "—", "—"), ("Derrota", "—", "1:00", "1 cm", "—")]
 
 
 FIGHTERS = '''id,name,nick_name,wins,losses,draws,height,weight,reach,stance,dob
@@ -163,8 +167,102 @@ def test_documents(spark, loaded, tmp_path):
     (tmp_path / "failed.json").write_text(json.dumps({"success": False, "data": {"boutStats": [line]}}))
     with pytest.raises(Exception, match="no success"):
         files.event_stats_documents(spark, f"{tmp_path}/failed.json").collect()
-    ingest.publish(after, f"{tmp_path}/tables")
-    assert spark.read.parquet(f"{tmp_path}/tables/bouts").count() == 2
+    store = TableStore(spark, f"{tmp_path}/tables")
+    assert store.append(after)["bouts"] == 2 and store.read().bouts.count() == 2
+
+
+def test_store(spark, tmp_path):
+    """A batch counts once it is whole; batches can be put together; nothing that was written before is touched."""
+    store, none = TableStore(spark, str(tmp_path / "s")), empty_tables(spark)
+    assert store.read().events.count() == 0 and store.append(none) == dict.fromkeys(("fighters", "events", "bouts", "bout_fighters", "rounds"), 0) and store.batches() == []
+    event = lambda i: Tables(none.fighters, spark.createDataFrame([(i, f"E{i}", D(2020, 1, i))], "id int, name string, date date"), none.bouts, none.bout_fighters, none.rounds)
+    assert store.append(event(1), "a")["events"] == 1
+    event(9).events.write.parquet(str(tmp_path / "s" / "events" / "half"))  # of a batch that failed
+    store.append(event(2), "b")
+    assert store.batches() == ["a", "b"] and sorted(r["id"] for r in store.read().events.collect()) == [1, 2]
+    name = store.compact()
+    assert store.batches() == [name] and sorted(r["id"] for r in store.read().events.collect()) == [1, 2]
+    store.append(event(3), "c")
+    assert sorted(r["id"] for r in store.read().events.collect()) == [1, 2, 3]
+
+
+class Documents:
+    """A transport that counts its calls."""
+
+    def __init__(self, **texts):
+        self.texts, self.calls = texts, 0
+
+    def _get(self, kind, key):
+        self.calls += 1
+        return files.checked_response(200 if (kind, key) in self.texts["all"] else 404, json.dumps(self.texts["all"].get((kind, key))))
+
+    def event(self, key):
+        return self._get("event", key)
+
+    def fighter(self, key):
+        return self._get("fighter", key)
+
+    def bout_stats(self, key):
+        return self._get("bout", key)
+
+    def event_stats(self, key):
+        return self._get("stats", key)
+
+
+def card(event, day, bouts, fighters):
+    docs = {("event", event): {"event_id": event, "name": event.replace("ufc-", "UFC "), "date": day, "bouts": [{"bout_id": b, "method": "KO/TKO", "winner_slug": x, "corners": [{"slug": x, "name": x}, {"slug": y, "name": y}]} for b, x, y in bouts]}}
+    docs |= {("bout", b): {"bout_id": b, "fighters": [{"corner": "red", "fighter_slug": x, "knockdowns": 1}, {"corner": "blue", "fighter_slug": y}]} for b, x, y in bouts}
+    docs |= {("fighter", f): {"slug": f, "name": f.replace("-", " ").title(), "date_of_birth": f"19{80 + i}-01-01"} for i, f in enumerate(fighters)}
+    line = lambda b, c, f: {"boutId": b, "corner": c, "fighterSlug": f, "sigStrikes": "3 of 9"}
+    lines = [line(b, c, f) for b, x, y in bouts for c, f in (("red", x), ("blue", y))] + [line("zz", "red", "no-body")]
+    docs[("stats", event)] = {"success": True, "data": {"boutStats": lines, "roundStats": [x | {"round": n} for x in lines for n in (1, 2)]}}
+    return docs
+
+
+def test_whole_runs(spark, tmp_path):
+    names = ["a-a", "b-b", "c-c", "d-d"]
+    source = Documents(all=card("ufc-1", "2020-05-01", [("x1", "a-a", "b-b"), ("x2", "c-c", "d-d")], names) | card("ufc-2", "2021-05-01", [("x3", "b-b", "c-c")], names))
+    store = TableStore(spark, str(tmp_path / "store"))
+    zone = lambda most: files.LandingZone(spark, str(tmp_path / "zone"), files.CallBudget(most))
+    with pytest.raises(runs.NotConfirmed):
+        runs.gated(source, False)
+    with pytest.raises(files.BudgetSpent):  # seven documents are needed
+        runs.run_incremental(store, "ufc-1", zone(4), runs.gated(source, True))
+    assert store.batches() == [] and source.calls == 4
+    got = runs.run_incremental(store, "ufc-1", zone(500), source)
+    assert (got.events, got.fighters, got.bouts, got.bout_fighters, got.calls_used) == (runs.Delta(1, 0), runs.Delta(4, 0), runs.Delta(2, 0), runs.Delta(4, 0), 3)
+    again = runs.run_incremental(store, "ufc-1", zone(500), source)
+    assert (again.events, again.fighters, again.bouts, again.bout_fighters, again.calls_used) == (runs.Delta(0, 1), runs.Delta(0, 4), runs.Delta(0, 2), runs.Delta(0, 4), 0)
+    more = runs.run_incremental(store, "ufc-2", zone(500), source)
+    assert (more.fighters, more.bouts, more.bout_fighters) == (runs.Delta(0, 2), runs.Delta(1, 0), runs.Delta(2, 0)) and len(store.batches()) == 2
+    with pytest.raises(files.SourceError):
+        runs.run_incremental(store, "ufc-3", zone(500), source)
+
+    none = empty_tables(spark)
+    store.append(Tables(none.fighters, spark.createDataFrame([(77, "Fight Night", D(2020, 6, 1))], "id int, name string, date date"), none.bouts, none.bout_fighters, none.rounds))
+    first = store.read().events.filter("name = 'UFC 1'").first()["id"]
+    report = runs.run_match_dry_run(store, first, zone(1), source)
+    assert (report.matched, report.total, report.unmatched_slugs, report.coverage) == (4, 5, ("no-body",), 0.8)
+    with pytest.raises(ValueError):
+        runs.run_match_dry_run(store, 77, zone(1), source)
+    pauses = []
+    with pytest.raises(files.BudgetSpent):  # the first event's lines are there already, the second's are not
+        runs.run_backfill_rounds(store, zone(0), source, pause=lambda: pauses.append(1))
+    assert store.read().rounds.count() == 8 and pauses == []
+    done = runs.run_backfill_rounds(store, zone(5), source)
+    assert (done.events_processed, done.events_skipped, done.rounds_inserted, done.cache_hits, done.calls_used) == (2, 1, 4, 1, 1)
+    assert runs.run_backfill_rounds(store, zone(5), source).rounds_inserted == 0
+    assert runs.run_backfill_rounds(store, zone(5), source, "2021-01-01", "2021-12-31").events_processed == 1
+    rounds = store.read().rounds
+    assert rounds.count() == rounds.select("id").distinct().count() == 12 and rounds.filter("sig_strikes_landed = 3 and sig_strikes_attempted = 9").count() == 12
+
+
+def test_answers_of_sources():
+    assert files.checked_response(200, "{}") == "{}"
+    with pytest.raises(files.OverLimit):
+        files.checked_response(429, "")
+    with pytest.raises(files.SourceError):
+        files.checked_response(500, "")
 
 
 def test_landing_zone(spark, tmp_path):
@@ -184,11 +282,10 @@ def test_pages():
 
 
 def test_events_as_they_arrive(spark, tmp_path):
-    from ringside.streaming.documents import follow_events, read_tables
+    from ringside.streaming.documents import follow_events
 
     for d in ("events", "fighters", "stats"):
         (tmp_path / d).mkdir()
-    ingest.publish(empty_tables(spark), str(tmp_path / "tables"))
     for i, slug in enumerate(("a-a", "b-b", "c-c")):
         (tmp_path / "fighters" / f"{slug}.json").write_text(json.dumps({"slug": slug, "name": slug.replace("-", " "), "date_of_birth": f"199{i}-01-01"}))
     (tmp_path / "stats" / "s.json").write_text(json.dumps({"bout_id": "x1", "fighters": [{"corner": "red", "fighter_slug": "a-a", "knockdowns": 2}]}))
@@ -196,7 +293,7 @@ def test_events_as_they_arrive(spark, tmp_path):
     def arrive(name, day, a, b):
         (tmp_path / "events" / f"{name}.json").write_text(json.dumps({"event_id": name, "name": name, "date": day, "bouts": [{"bout_id": "x1", "method": "KO/TKO", "winner_slug": a, "corners": [{"slug": a, "name": a}, {"slug": b, "name": b}]}]}))
         follow_events(spark, *[str(tmp_path / x) for x in ("events", "fighters", "stats", "tables", "checkpoint")]).awaitTermination()
-        return read_tables(spark, str(tmp_path / "tables"))
+        return TableStore(spark, str(tmp_path / "tables")).read()
 
     t = arrive("one", "2024-01-01", "a-a", "b-b")
     assert (t.fighters.count(), t.bouts.count(), t.bout_fighters.filter("knockdowns = 2").count()) == (2, 1, 1)

@@ -122,3 +122,51 @@ def test_prediction(spark, t, tmp_path):
     assert abs(out["probability_a"] - 0.55) < 1e-12 and out["winner_id"] == 5
     tie = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "red_is string, probability double")
     assert model.neutral(tie, 5, 3).first()["winner_id"] == 3
+
+
+def test_training_report(spark, tmp_path):
+    """What a run reports, beside always saying red and beside recorded metrics."""
+    data = spark.createDataFrame([(i, D(2020, 1, 1 + i // 2), float(i % 3 > 0), float(i % 3 > 0)) for i in range(40)], "bout_id int, event_date date, label double, x double")
+    result = model.run_training(data, ["x"], iterations=2, depth=2)
+    assert (result.n_samples, result.n_train, result.n_test, result.boundary) == (40, 32, 8, D(2020, 1, 16))
+    assert result.model.accuracy == 1.0 and result.model.n == 8 and result.baseline.accuracy < 1 and result.baseline.roc_auc == 0.5
+    compared = model.compare_training(result)
+    assert compared.vs_baseline.improves_accuracy and compared.vs_baseline.log_loss < 0
+    assert abs(compared.vs_recorded.accuracy - (1 - model.RECORDED.accuracy)) < 1e-12
+    assert not model.metrics_delta(result.model, result.model).improves_accuracy
+    with pytest.raises(ValueError):
+        model.run_training(data.limit(0), ["x"])
+
+
+def test_prediction_checks_in_order(spark, t, tmp_path):
+    path = str(tmp_path / "none")
+    for a, b, error in ((1, 1, ValueError), (1, 99, model.UnknownFighter), (1, 2, FileNotFoundError), (1, 4, FileNotFoundError)):
+        with pytest.raises(error):
+            model.predict_matchup(t, path, a, b, "2022-01-01")
+    data = spark.createDataFrame([(i, D(2020, 1, 1 + i), float(i % 2), float(i % 2)) for i in range(20)], "bout_id int, event_date date, label double, career_bouts_before_diff double")
+    model.train(data, ["career_bouts_before_diff"], iterations=1, depth=1).save(str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="no bouts"):
+        model.predict_matchup(t, str(tmp_path / "m"), 1, 4, "2022-01-01")
+    one, two = (model.predict_matchup(t, str(tmp_path / "m"), a, b, "2022-01-01").first() for a, b in ((1, 2), (2, 1)))
+    assert abs(one["probability_a"] + two["probability_a"] - 1) < 1e-9 and one["winner_id"] == two["winner_id"]
+
+
+def test_results_and_unknown_fighters(t):
+    kinds = {r["bout_id"]: (r["kind"], r["winner_name"]) for r in reads.bout_results(t).collect()}
+    for b in t.bouts.collect():
+        kind, name = kinds[b["id"]]
+        assert kind == ("no_contest" if b["method"] == "no_contest" else "winner" if b["winner_id"] else "draw")
+        assert (name is not None) == (kind == "winner")
+    assert reads.known_history(t, 99) is None and reads.known_history(t, 4).count() == 0
+
+
+def test_cut_within_a_date(spark, monkeypatch):
+    """The boundary is found by ranges of ids, however they lie."""
+    monkeypatch.setattr(model, "RANGES", 4)
+    monkeypatch.setattr(model, "FEW", 2)
+    ids = [1, 2, 3, 1000, 1001, 5_000_000_000, 7, 8, 900, 901, 902, 903]
+    rows = spark.createDataFrame([(i, D(2020, 1, 1)) for i in ids], "bout_id long, event_date date")
+    for share in (0.1, 0.3, 0.5, 0.9):
+        early, late = model.temporal_split(rows, share)
+        n = len(ids) - max(1, round(len(ids) * share))
+        assert sorted(r["bout_id"] for r in early.collect()) == sorted(ids)[:n] and late.count() == len(ids) - n
