@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ringside.sources.scratch import shared_dir
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,14 +28,6 @@ TASK_ROWS = 20_000
 SLICE_CHARS = 1_000_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors, ``spark.checkpoint.dir`` of the session; an error where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it again.
 
@@ -41,7 +35,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     no more than about ``rows``, a table of few rows is made and written by few tasks.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(1 + rows // TASK_ROWS)  # never more tasks than there would be
     df.write.parquet(path)
