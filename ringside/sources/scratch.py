@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; an error where that is unset, as no other folder is known to be shared."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where that is unset, a temporary folder if all of Spark runs in this one process, and an error on a cluster, whose machines don't
+    share such a folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="ringside-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

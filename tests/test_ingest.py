@@ -257,6 +257,23 @@ def test_whole_runs(spark, tmp_path):
     assert rounds.count() == rounds.select("id").distinct().count() == 12 and rounds.filter("sig_strikes_landed = 3 and sig_strikes_attempted = 9").count() == 12
 
 
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from ringside.sources.scratch import shared_dir
+
+    def session(master, folder=None):
+        conf = {"spark.checkpoint.dir": folder}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k) or d, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    one = session("local[4]")
+    assert shared_dir(one) == shared_dir(one)
+    for master in ("local-cluster[3,2,1000]", "yarn", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+
+
 def test_answers_of_sources():
     assert files.checked_response(200, "{}") == "{}"
     with pytest.raises(files.OverLimit):
