@@ -32,9 +32,9 @@ def paths(spark):
 
 def test_a_page(spark, paths):
     rows = [(0, PAGE), (1, None), (2, ""), (3, "<p>"), (4, PAGE[: PAGE.index("Short.")]), (5, "<article>1 < 2 &amp &quot;a</article>"), (6, PAGE.upper()), (0, PAGE)]
-    df = spark.createDataFrame([(i, h, "u", "old") for i, h in rows], "page_id long, html string, url string, text string")
+    df = spark.createDataFrame([(i, h, "u", "old", "own") for i, h in rows], "page_id long, html string, url string, text string, __page string")
     got = html_text.extract(df, paths)
-    assert got.columns == ["page_id", "html", "url", "text", "n_chars"]
+    assert got.columns == ["page_id", "html", "url", "__page", "text", "n_chars"] and got.filter("__page = 'own'").count() == len(rows)
     found = {(r["page_id"], r["text"], r["n_chars"]) for r in got.drop("html").collect()}
     texts = {i: t for i, t, _ in found}
     assert texts[0] == WANT and texts[1] == texts[2] == texts[3] == ""
@@ -194,3 +194,9 @@ def test_long_bad_pages_take_linear_time():
 
     seconds(100)
     assert seconds(40_000) < 12 * max(seconds(8_000), 0.05)
+
+
+def test_very_long_page(spark, paths):
+    page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    got = html_text.extract(spark.createDataFrame([(1, page), (2, page)], "page_id long, html string"), paths).collect()
+    assert all(r["text"] == "\n\n".join([LONG] * 20_000) and r["n_chars"] == len(r["text"]) for r in got)

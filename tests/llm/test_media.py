@@ -122,8 +122,9 @@ def test_bad_files():
 def test_columns(spark):
     r = random.Random(1)
     texts = [None, "", "a", "x" * 63, "y" * 64, "z" * 70_000, "日本 é" * 50, "".join(r.choice("abc def\n") for _ in range(90_000)), "\0" * 200, "a"] * 2
-    df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int").repartition(3)
+    df = spark.createDataFrame([(i, t, 9, f"own {i}") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, __fields string").repartition(3)
     rows = {x["doc_id"]: x for x in media.digests(df).collect()}
+    assert all(x["__fields"] == f"own {i}" for i, x in rows.items())  # a column of any name stays
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         data = raw + b"\0" * (64 - len(raw) % 64)
