@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from ringside.llm.common import kept, with_fields
 
-BUCKETS = (4, 8, 16, 32, 64, 128)
+BUCKETS = (4, 8, 16, 32, 64, 128, 256, 512)
 LONGEST_ROW = BUCKETS[-1]
 #: A worker forgets its known pieces beyond this number, which bounds its memory.
 MEMO = 200_000
