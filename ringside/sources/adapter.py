@@ -57,7 +57,7 @@ def read(spark: SparkSession, sf_dir: str) -> Tables:
     Queries then read only the columns that they need of files whose sizes Spark knows, as of any stored tables.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
+    if key not in _written or not _exists(spark, f"{_written[key]}/rounds/_SUCCESS"):  # the shared folder may have been cleared
         folder = f"{shared_dir(spark)}/granular-{uuid.uuid4().hex}"
         made = derive(spark, sf_dir)
         # Bouts and rounds are made of the corners, so these are written first and read again.
@@ -70,6 +70,11 @@ def read(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(*[spark.read.parquet(f"{folder}/{f.name}") for f in dataclasses.fields(Tables)])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(here)
+
+
 def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
