@@ -18,6 +18,8 @@ repeated rows give equal results; other columns stay, but for the four that the
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,16 +176,24 @@ def pieces(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(cut, _OTHER, " "), " ?\n ?", "\n"))
 
 
+#: Every known sentence and every form has one of these in it: texts without them aren't searched.
+_SIGNS = ["licens", "permi", "redistribut", "neither", "notice", "unencumbered", "cc0", "_under_", "later_version"]
+
+
 def in_one_form(pieces: Column) -> Column:
     """The pieces with the openings of FORMS in their one form."""
     for varying, form in FORMS:
-        pieces = F.regexp_replace(pieces, "(?<![^\n])" + varying.replace("_", "[ \n]"), form)
+        pieces = F.regexp_replace(pieces, "(?md)^" + varying.replace("_", "[ \n]"), form)
     return pieces
 
 
 def _known() -> str:
     """Matches a known sentence over one or more lines of a paragraph, the longest first."""
-    return "(?<![^\n])(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")(?![^\n])"
+    return "(?md)^(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")$"
+
+
+def _may_match(pieces: Column) -> Column:
+    return reduce(or_, [pieces.contains(x) for sign in _SIGNS for x in ([sign] if "_" not in sign else [sign.replace("_", a, 1).replace("_", b, 1) for a in " \n" for b in " \n"])])
 
 
 def _follows(found: Column, ids: list[str]) -> Column:
@@ -200,7 +210,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     by_sentence = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
     rest = docs.drop(*[c for c in ADDED if c != text_col])
     found = rest.withColumn(own, pieces(F.col(f"`{text_col}`")))
-    matched = F.regexp_extract_all(in_one_form(F.col(own)), F.lit(_known()), F.lit(0))
+    matched = F.when(_may_match(F.col(own)), F.regexp_extract_all(in_one_form(F.col(own)), F.lit(_known()), F.lit(0))).otherwise(F.array().cast("array<string>"))
     ids = F.transform(matched, lambda s: F.element_at(by_sentence, F.translate(s, "\n", " ")))
     n_pieces = F.size(F.array_remove(F.split(own, "\n+"), "")).cast("long")
     found = found.withColumn(own, F.struct(n_pieces.alias("n"), ids.alias("ids")))

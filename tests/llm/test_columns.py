@@ -147,7 +147,7 @@ def test_license_variants(spark):
         ("SPDX-License-Identifier: Unknown-1.0", None), (APACHE, "Apache-2.0"), (hashes(APACHE), "Apache-2.0"), (hashes(MIT), "MIT"), (LGPL, "LGPL-2.1-or-later"), (GPL.replace("General", "Affero General"), "AGPL-3.0-or-later"),
         (GPL.replace("either version 3 of the License, or\n(at your option) any later version", "version 3 of the License"), "GPL-3.0-only"), (BSD + NAMES.replace("the copyright holder", "Some Company, Inc"), "BSD-3-Clause"),
         (" ".join(MIT.split("\n\n", 1)[1].split()), "MIT"), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0-only"),
-        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", None), ("Apache License\nVersion 2.0, January 2004\n\nTerms", "Apache-2.0"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0"), ("Apache License\nVersion 2.0, January 2004\n\nTerms", "Apache-2.0"),
         ("It was licensed under the MIT license", None), ("This file is not released under the MIT license", None),
     ]
     got = licenses.scan(spark.createDataFrame([(t, w) for t, w in rows], "text string, want string")).collect()
@@ -204,6 +204,7 @@ def test_scans_equal_brute_force(spark):
 def test_every_rule_can_match(spark):
     """The sentences of each rule, in order, give its license among those found; alone they come first but for a more specific rule of their own."""
     assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
+    assert all(any(sign.replace("_", " ") in f" {s} " for sign in licenses._SIGNS) for s in licenses.SENTENCES.values())
     rows = [(name, ".\n".join(licenses.SENTENCES[i] for i in rule).replace("spdx license identifier", "SPDX-License-Identifier:"), "".join(f"|{i}|" for i in rule)) for name, rule in licenses.RULES]
     for r in licenses.scan(spark.createDataFrame(rows, "want string, text string, ids string")).collect():
         assert r["sentence_ids"] == r["ids"] and r["license"] == r["want"]
