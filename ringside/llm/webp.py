@@ -703,8 +703,8 @@ def encode(pixels: np.ndarray, *, palette: bool = True, subtract_green: bool = F
 CODE_BITS = 4
 
 
-#: What other tokens than literal pixels must save, as their codes take time: a twentieth of the bits.
-WORTH = 0.95
+#: What other tokens than literal pixels must save, as their codes take time to make and to read: 15 % of the bits.
+WORTH = 0.85
 _N_LOG_N = np.concatenate([[0.0], np.arange(1, 1 << 16) * np.log2(np.arange(1, 1 << 16))])
 
 
@@ -731,8 +731,21 @@ def _cost(counts: np.ndarray) -> np.ndarray:
     return np.minimum(every[..., :4].sum(axis=-1), every[..., 4])
 
 
+def _smooth(pixels: np.ndarray) -> bool:
+    """Whether samples differ less from their neighbours, or from the green one, than they vary: else no transform pays."""
+    f = pixels.astype(np.float32)
+    spread = f - f.mean(axis=(0, 1))
+    least = float(np.vdot(spread, spread)) / f.size
+    for d in (f[:, 1:] - f[:, :-1], f[1:] - f[:-1], f[:, :, 0::2] - f[:, :, 1:2]):
+        if d.size and float(np.vdot(d, d)) / d.size < least:
+            return True
+    return False
+
+
 def _transforms(pixels: np.ndarray) -> tuple[int | None, tuple[int, int, int] | None, bool]:
     """(predictor, cross-colour, subtract-green): what takes the fewest bits, none of them included."""
+    if not _smooth(pixels):
+        return None, None, False
 
     def best(candidates):
         """The cheapest of (pixels, predictor, cross-colour, subtract-green); a transform takes some 64 bits."""
@@ -839,22 +852,21 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int | None
                 others = [others[0] + others[1] + others[2]] * 3
         else:
             counts, others = np.concatenate([together, counts[256:]]), [together] * 3
-    sizes: dict[bytes, np.ndarray] = {}
-    lengths = []
-    for c in (counts, *others, *([far] if far is not None else [])):
+    made: dict[bytes, tuple] = {}  # of each code: what is stored of it, its bits and its codes
+
+    def code_of(c: np.ndarray) -> tuple:
         used = np.flatnonzero(c)
-        key = c[: used[-1] + 1 if len(used) else 0].tobytes()
-        if key not in sizes:
-            sizes[key] = code_lengths(c)
-        own = np.zeros(len(c), np.uint8)
-        own[: min(len(c), len(sizes[key]))] = sizes[key][: len(c)]
-        lengths.append(own)
-    if far is None:
-        lengths.append(_ONE)
-    for n in lengths:
-        _put_code(w, n)
-    bits = [np.where((n > 0).sum() == 1, 0, n).astype(np.int64) for n in lengths]
-    code = [codes(n) for n in lengths]
+        last = int(used[-1]) + 1 if len(used) else 1
+        key = c[:last].tobytes()  # of green first, whose alphabet is the longest
+        if key not in made:
+            n = code_lengths(c)
+            made[key] = _stored(n[: int(np.flatnonzero(n)[-1]) + 1].tobytes()), np.zeros(len(n), np.int64) if len(used) < 2 else n.astype(np.int64), codes(n)
+        return made[key]
+
+    found = [code_of(c) for c in (counts, *others)] + [code_of(far) if far is not None else _ONE]
+    for stored, _, _ in found:
+        w.put(*stored)
+    bits, code = [f[1] for f in found], [f[2] for f in found]
     size = bits[0][symbol]
     value = code[0][symbol] & ((1 << size) - 1)
     at = np.flatnonzero(symbol < 256)
@@ -873,8 +885,8 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int | None
     w.put_many(value, size)
 
 
-#: Lengths of a code that isn't used.
-_ONE = np.ones(1, np.uint8)
+#: A code that isn't used, of one symbol: what is stored of it, its bits and its codes.
+_ONE = (0b101, 11), np.zeros(1, np.int64), np.zeros(1, np.int64)
 #: A row for each copy: its place among the symbols; symbol, extra and bits of the extra of its length; the same of its distance.
 _NO_COPIES = np.zeros((0, 7), np.int64)
 
@@ -888,6 +900,9 @@ def _tokens(flat: np.ndarray, width: int, cache_bits: int | None) -> tuple[int,
     plain = 0, np.ones(len(flat), bool), flat[:, 1].astype(np.int64), _NO_COPIES
     if cache_bits:
         return _cached(flat, words, cache_bits)
+    again = len(words) - len(set(words.tolist()))  # pixels that were there before
+    if again < (1 - WORTH) * len(words):
+        return plain
     least, best = WORTH * float(_cost(_histograms(flat))), plain
     found = _matches(words)
     if found[:, 1].sum() > (1 - WORTH) * len(flat):
@@ -895,10 +910,10 @@ def _tokens(flat: np.ndarray, width: int, cache_bits: int | None) -> tuple[int,
         cost = float(_cost(_histograms(flat[literal]))) + float(_total(np.bincount(copies[:, 1])) + _total(np.bincount(copies[:, 4]))) + int(copies[:, [3, 6]].sum()) + 2 * len(copies)
         if cost < least:
             best, least = (0, literal, symbol, copies), cost
-    if cache_bits is None and len(flat) >= 64:
+    if cache_bits is None and len(flat) >= 64 and again * 10 > 3 * len(flat):  # one from the cache takes about half of a literal pixel
         bits = min(10, len(flat).bit_length() - 2)
         slot, held = _held(flat, words, bits)
-        if int(np.count_nonzero(held)) * 8 > len(flat):
+        if int(np.count_nonzero(held)) * 6 > len(flat):
             counts = _histograms(flat[~held])
             together = np.concatenate([counts[1], np.bincount(slot[held])])
             if float(_total(together) + _total(counts[0] + counts[2] + counts[3])) < least:
@@ -911,6 +926,8 @@ def _matches(words: np.ndarray) -> np.ndarray:
     if len(words) < SHORTEST + 1:
         return np.zeros((0, 3), np.int64)
     key = (words[:-1].astype(np.uint64) << np.uint64(32)) | words[1:]
+    if len(set(key.tolist())) * SHORTEST > (SHORTEST - 1 + WORTH) * len(key):  # too few pairs are there twice for copies to pay
+        return np.zeros((0, 3), np.int64)
     order = np.argsort(key, kind="stable")
     again = key[order[1:]] == key[order[:-1]]
     if not again.any():
