@@ -264,9 +264,9 @@ def _lists(sets: DataFrame, t: Threshold) -> DataFrame:
     return lists.join(smallest, "token").filter(enough).drop("smallest")
 
 
-def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) -> DataFrame:
+def scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold, pivots: int | None = None) -> DataFrame:
     """The edges, with those that scanning the lists adds to them, as stars (v, root)."""
-    comp, k, n = components(edges), PIVOTS, lists.count()
+    comp, k, n = components(edges), pivots or PIVOTS, lists.count()
     tested = None
     while True:
         labelled = materialize(lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root")), "labelled", n)
@@ -276,11 +276,11 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
         if not n:
             return comp
         order = F.row_number().over(_by_token())
-        pivots = materialize(lists.withColumn("k", order).filter(F.col("k") <= k).drop("k"), "pivots", n)
+        heads = materialize(lists.withColumn("k", order).filter(F.col("k") <= k).drop("k"), "pivots", n)
         other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("other"))
         # By size; and at the first member that both have, which is in both prefixes, what is left of either must be enough.
         fits = (F.col("root") != F.col("other")) & (F.lit(t.den) * F.least("n", "m") >= F.lit(t.num) * F.greatest("n", "m")) & (F.lit(t.num + t.den) * F.least("rest", "left") >= F.lit(t.num) * (F.col("n") + F.col("m")))
-        pairs = _ordered(pivots.join(other, "token").filter(fits), "v", "w")
+        pairs = _ordered(heads.join(other, "token").filter(fits), "v", "w")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -288,7 +288,7 @@ def _scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) ->
         links = materialize(_verified(pairs, sets, t), "links")
         if not links.isEmpty():
             comp = components(links.union(comp.select(F.col("v").alias("a"), F.col("root").alias("b"))))
-        lists = lists.join(pivots.select("token", "v"), ["token", "v"], "left_anti").select("token", "v", "n", "rest")
+        lists = lists.join(heads.select("token", "v"), ["token", "v"], "left_anti").select("token", "v", "n", "rest")
         k *= GROWTH
 
 
@@ -321,7 +321,7 @@ def _large_sets(docs: DataFrame, own: DataFrame, classes: DataFrame, x: int, wor
     large = classes.filter(F.col("n") >= t.least(x)).select("sig", "low", "v", "n")
     probes = own.filter("n_shingles > 0").select("doc_id", "sig", "probe").join(large, "sig").filter(F.col("doc_id").eqNullSafe(F.col("low"))).select("v", "n", "probe")
     stay = materialize(_survivors(probes, t).join(large.select("v", "sig", "low"), "v").select("v", "n", "sig", "low"), "survivors")
-    return materialize(_full_sets(docs, stay, words), "sets")
+    return materialize(full_sets(docs, stay, words), "sets")
 
 
 def links(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -346,6 +346,11 @@ def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     t = Threshold(*threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own, classes, roots = _rooted(docs, words, t)
+    return documents(own, classes, roots)
+
+
+def documents(own: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
     found = classes.select("sig", "v", "low").join(roots, "v", "left").select("sig", "low", F.coalesce("root", "v").alias("root"))
     lows = found.groupBy("root").agg(F.min("low").alias("component_id"))
     found = found.join(lows, "root").select("sig", "component_id")
@@ -387,10 +392,10 @@ def _rooted(docs: DataFrame, words: int, t: Threshold) -> tuple[DataFrame, DataF
     edges = materialize(_verified(_small_pairs(classes, x, t), small_sets, t), "small-links")
     # Large sets and their possible partners.
     sets = _large_sets(docs.select("doc_id", "text"), own, classes, x, words, t)
-    return own, classes, _scan(materialize(_lists(sets, t), "lists"), sets, edges, t)
+    return own, classes, scan(materialize(_lists(sets, t), "lists"), sets, edges, t)
 
 
-def _full_sets(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
+def full_sets(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
     """(v, n, members) of the classes that stay, from the texts of their first documents."""
     ids = stay.select(F.col("low").alias("doc_id")).distinct()
     if stay.count() <= BROADCAST_IDS:

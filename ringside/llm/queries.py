@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringside.llm import bpe, fingerprint, html_text, jaccard, licenses, media, mixing, quality, token_files, toxicity
+from ringside.llm import bpe, fim, fingerprint, html_text, jaccard, kmeans, licenses, media, minhash, mixing, quality, token_files, toxicity
 from ringside.llm.common import fold, read_table
 
 
@@ -68,6 +68,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(files)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, threshold=(80, 100))
+
+
+def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.report(*kmeans.cluster(read_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -80,8 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_webp_media": op9_webp_media,
         "op10_token_files": op10_token_files,
+        "op11_fim": op11_fim,
+        "op12_minhash": op12_minhash,
+        "op13_yinyang": op13_yinyang,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.SQL, "op8_license_scan": licenses.sql()}
+    return {"op7_mix_sources": mixing.SQL, "op8_license_scan": licenses.sql(), "op11_fim": fim.SQL, "op13_yinyang": kmeans.sql()}
