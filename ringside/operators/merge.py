@@ -38,13 +38,13 @@ def absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(known, same, "left_anti")
 
 
-def with_ids(new: DataFrame, old: DataFrame, order: list, key: str = "id") -> DataFrame:
-    """New rows with ids after the largest old one, in the given order.
+def with_ids(new: DataFrame, old: DataFrame, order: list, key: str = "id", last: int | None = None) -> DataFrame:
+    """New rows with ids after the largest old one, in the given order.  ``last`` is that id, where it is known.
 
     The order over all new rows is found without gathering them: they are range-partitioned, each partition is numbered, and what
     stands before it is added.  One number per partition goes to the driver.
     """
-    start = old.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
+    start = last if last is not None else old.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
     sorted_rows = new.drop(key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
     sorted_rows = cut(sorted_rows.withColumn("__i", F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))))
     before, sizes = start, {}
@@ -56,13 +56,13 @@ def with_ids(new: DataFrame, old: DataFrame, order: list, key: str = "id") -> Da
     return sorted_rows.withColumn(key, F.element_at(base, F.col("__p")) + F.col("__i") + 1).drop("__p", "__i")
 
 
-def fresh(old: DataFrame, new: DataFrame, keys: list[str], key: str = "id") -> DataFrame:
+def fresh(old: DataFrame, new: DataFrame, keys: list[str], key: str = "id", last: int | None = None) -> DataFrame:
     """The new rows whose key is not among the old ones, with ids after the old ones in the order of their keys.
 
     Of new rows with the same key the first by ORDINAL is taken, where there is one.
     """
     new = first_by_key(new, keys).drop(ORDINAL) if ORDINAL in new.columns else new.dropDuplicates(keys)
-    return with_ids(absent(new, old, keys), old, [F.col(k).asc_nulls_first() for k in keys], key)
+    return with_ids(absent(new, old, keys), old, [F.col(k).asc_nulls_first() for k in keys], key, last)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], key: str = "id") -> DataFrame:

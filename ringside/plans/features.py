@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ringside.functions.expr import age_years, fight_seconds, is_finish, ratio
 from ringside.operators.checks import assert_unique
+from ringside.schema import Tables
 
 RECENT = ["win_rate_prior", "finish_rate_prior", "win_streak_prior", "sig_strikes_landed_pm_r3", "sig_strikes_absorbed_pm_r3", "takedowns_landed_avg_r3", "takedown_defense_r3", "control_time_avg_r3"]
 TARGETS, POSITIONS = ["head", "body", "leg"], ["distance", "clinch", "ground"]
@@ -34,24 +35,27 @@ class Frames:
         self.to_current = self.all.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+#: What the opponent's numbers are taken from.
+OPPONENT = ["sig_strikes_landed", "takedowns_landed", "takedowns_attempted"]
+
+
 def with_opponent(frame: DataFrame, columns: list[str]) -> DataFrame:
     """``frame`` with opp_* columns of the first other fighter of the bout by fighter id; null without one.
 
-    A window by bout finds it: the first row, or for the first fighter the first of another one.  Bouts with more than two corners
-    therefore give the lowest other id, as a self-join with fighter_id <> opponent would.
+    One window by bout finds it: the first row, or for the first fighter the next one.  Bouts with more than two corners therefore give
+    the lowest other id, as a self-join with fighter_id <> opponent would.  A fighter stands once in a bout.
     """
-    by_bout = Window.partitionBy("bout_id").orderBy("fighter_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_bout = Window.partitionBy("bout_id").orderBy("fighter_id")
     pack = F.struct("fighter_id", *columns)
-    lowest = F.first(pack).over(by_bout)
-    lows = frame.withColumn("__low", lowest)
-    later = F.min_by(pack, F.when(F.col("fighter_id") != F.col("__low.fighter_id"), F.col("fighter_id"))).over(Window.partitionBy("bout_id"))
-    packed = lows.withColumn("__opp", F.when(F.col("fighter_id") != F.col("__low.fighter_id"), F.col("__low")).otherwise(later))
-    return packed.select(*frame.columns, *[F.col(f"__opp.{c}").alias(f"opp_{c}") for c in columns])
+    rows = frame.withColumns({"__low": F.first(pack).over(by_bout), "__next": F.lead(pack).over(by_bout)})
+    packed = rows.withColumn("__opp", F.when(F.col("fighter_id") != F.col("__low.fighter_id"), F.col("__low")).otherwise(F.col("__next")))
+    return packed.selectExpr(*[f"`{c}`" for c in frame.columns], *[f"__opp.`{c}` AS `opp_{c}`" for c in columns])
 
 
-def streak(f: Frames) -> Column:
+def streak() -> Column:
     """The signed run of decided bouts before this one; draws and no contests neither count nor break it; null before any."""
-    return F.when(F.col("__decided_prior") == 0, None).when(F.coalesce("__last_win", F.lit(0)) > F.coalesce("__last_loss", F.lit(0)), F.col("__decided_prior") - F.coalesce("__last_loss", F.lit(0))).otherwise(-(F.col("__decided_prior") - F.coalesce("__last_win", F.lit(0))))
+    win, loss = F.coalesce("__last_win", F.lit(0)), F.coalesce("__last_loss", F.lit(0))
+    return F.when(F.col("__decided_prior") == 0, None).when(win > loss, F.col("__decided_prior") - loss).otherwise(-(F.col("__decided_prior") - win))
 
 
 def round1_shares(rounds: DataFrame) -> DataFrame:
@@ -61,29 +65,41 @@ def round1_shares(rounds: DataFrame) -> DataFrame:
     return sums.select("bout_id", "fighter_id", ratio(F.col("first"), F.col("total")).alias("round1_share"))
 
 
-def add_features(frame: DataFrame, fighters: DataFrame, rounds: DataFrame, order: list[Column] | None = None, trajectory_order: list[Column] | None = None) -> DataFrame:
-    """The frame's columns and FEATURES.
+def corner_shares(t: Tables) -> DataFrame:
+    """round1_shares() of the tables: rounds are added up by corner before they meet the corners."""
+    landed = F.col("sig_strikes_landed")
+    sums = t.rounds.groupBy("bout_fighter_id").agg(F.sum(F.when(F.col("round") == 1, landed)).alias("first"), F.sum(landed).alias("total"))
+    corners = t.bout_fighters.select(F.col("id").alias("bout_fighter_id"), "bout_id", "fighter_id")
+    return corners.join(sums, "bout_fighter_id").select("bout_id", "fighter_id", ratio(F.col("first"), F.col("total")).alias("round1_share"))
+
 
-    frame: a long frame.  ``order`` sorts a fighter's bouts for form and shares, ``trajectory_order`` for layoff, experience and
-    round dynamics (as ``order``, if not given); without either both go by date and bout id.
+def prepared(frame: DataFrame, shares: DataFrame) -> DataFrame:
+    """The frame with all that the windows over a fighter's bouts look at: opp_*, round1_share and the bout's __seconds."""
+    rows = with_opponent(frame, OPPONENT).join(shares, ["bout_id", "fighter_id"], "left")
+    return rows.withColumn("__seconds", fight_seconds(F.col("round"), F.col("ending_time_seconds")))
+
+
+def with_form(rows: DataFrame, f: Frames, g: Frames, carried: bool = False) -> DataFrame:
+    """Prepared rows with the features that look back.
+
+    carried: rows with __old are known bouts that only the last-three frames look at; all before and of them is in the columns __base_*
+    (bouts, kept, decided, wins, finishes, last_win, last_loss; kept is how many of the old rows there are).
     """
-    f = Frames(order)
-    g = Frames(trajectory_order or order)
+    new = (lambda c: F.when(~F.col("__old"), c)) if carried else (lambda c: c)
+    plus = (lambda n, c: F.col(f"__base_{n}") + c) if carried else (lambda n, c: c)
+    latest = (lambda n, c: F.greatest(F.col(f"__base_{n}"), c)) if carried else (lambda n, c: c)
     win, loss = F.col("result") == "win", F.col("result") == "loss"
     decided = F.when(win | loss, 1)
-    fought = fight_seconds(F.col("round"), F.col("ending_time_seconds"))
-    rows = with_opponent(frame, ["sig_strikes_landed", "takedowns_landed", "takedowns_attempted"])
-    rows = rows.join(round1_shares(rounds), ["bout_id", "fighter_id"], "left")
-    bio = assert_unique(fighters.select(F.col("id").alias("fighter_id"), "date_of_birth", "height_cm", "reach_cm", "stance"), ["fighter_id"], "fighters")
-    rows = rows.join(bio, "fighter_id", "left")
-    counted = F.count(decided).over(f.to_current)
-    rows = rows.withColumn("__seconds", fought).withColumn("__n", counted)
+    counted = plus("decided", F.count(new(decided)).over(f.to_current))
+    rows = rows.withColumn("__n", counted)
+    none = lambda c: F.coalesce(c, F.lit(0))
     rows = rows.withColumns({
-        "__decided_prior": F.count(decided).over(f.prior),
-        "__last_win": F.max(F.when(win, F.col("__n"))).over(f.prior),
-        "__last_loss": F.max(F.when(loss, F.col("__n"))).over(f.prior),
-        "win_rate_prior": F.avg(F.when(win, 1.0).when(loss, 0.0)).over(f.prior),
-        "finish_rate_prior": F.avg(F.when(win & is_finish(F.col("method")), 1.0).otherwise(0.0)).over(f.prior),
+        "__decided_prior": plus("decided", F.count(new(decided)).over(f.prior)),
+        "__wins_prior": plus("wins", F.count(new(F.when(win, 1))).over(f.prior)),
+        "__bouts_prior": plus("bouts", F.count(new(F.lit(1))).over(f.prior)),
+        "__finishes_prior": plus("finishes", F.count(new(F.when(win & is_finish(F.col("method")), 1))).over(f.prior)),
+        "__last_win": latest("last_win", none(F.max(new(F.when(win, F.col("__n")))).over(f.prior))),
+        "__last_loss": latest("last_loss", none(F.max(new(F.when(loss, F.col("__n")))).over(f.prior))),
         "__minutes": F.sum("__seconds").over(f.last3) / 60.0,
         "__landed": F.sum("sig_strikes_landed").over(f.last3),
         "__absorbed": F.sum("opp_sig_strikes_landed").over(f.last3),
@@ -94,20 +110,37 @@ def add_features(frame: DataFrame, fighters: DataFrame, rounds: DataFrame, order
         **{f"__{k}": F.sum(f"{k}_landed").over(f.last3) for k in TARGETS + POSITIONS},
         ROUND1: F.avg("round1_share").over(g.last3),
         "__before": F.lag("event_date").over(g.all),
-        "__nth": F.row_number().over(g.all),
+        "__nth": F.row_number().over(g.all) + ((F.col("__base_bouts") - F.col("__base_kept")) if carried else F.lit(0)),
     })
     targets, positions = (F.col("__head") + F.col("__body") + F.col("__leg")), (F.col("__distance") + F.col("__clinch") + F.col("__ground"))
-    rows = rows.withColumns({
-        "win_streak_prior": streak(f).cast("int"),
+    return rows.withColumns({
+        "win_rate_prior": ratio(F.col("__wins_prior"), F.col("__decided_prior")),
+        "finish_rate_prior": ratio(F.col("__finishes_prior"), F.col("__bouts_prior")),
+        "win_streak_prior": streak().cast("int"),
         "sig_strikes_landed_pm_r3": ratio(F.col("__landed"), F.col("__minutes")),
         "sig_strikes_absorbed_pm_r3": ratio(F.col("__absorbed"), F.col("__minutes")),
         "takedown_defense_r3": 1.0 - ratio(F.col("__opp_td"), F.col("__opp_tried")),
         **{f"share_{k}_r3": ratio(F.col(f"__{k}"), targets) for k in TARGETS},
         **{f"share_{k}_r3": ratio(F.col(f"__{k}"), positions) for k in POSITIONS},
-        "age_years": age_years(F.col("event_date"), F.col("date_of_birth")),
         "layoff_days": F.datediff("event_date", "__before"),
         "career_bouts_before": (F.col("__nth") - 1).cast("int"),
     })
+
+
+def with_bio(rows: DataFrame, fighters: DataFrame) -> DataFrame:
+    bio = assert_unique(fighters.select(F.col("id").alias("fighter_id"), "date_of_birth", "height_cm", "reach_cm", "stance"), ["fighter_id"], "fighters")
+    return rows.join(bio, "fighter_id", "left").withColumn("age_years", age_years(F.col("event_date"), F.col("date_of_birth")))
+
+
+def add_features(frame: DataFrame, fighters: DataFrame, rounds: DataFrame | None = None, order: list[Column] | None = None, trajectory_order: list[Column] | None = None, shares: DataFrame | None = None) -> DataFrame:
+    """The frame's columns and FEATURES.
+
+    frame: a long frame.  rounds: its rounds (longframe.round_rows), or shares: what round1_shares() makes of them.  ``order`` sorts a
+    fighter's bouts for form and shares, ``trajectory_order`` for layoff, experience and round dynamics (as ``order``, if not given);
+    without either both go by date and bout id.
+    """
+    rows = prepared(frame, round1_shares(rounds) if shares is None else shares)
+    rows = with_form(with_bio(rows, fighters), Frames(order), Frames(trajectory_order or order))
     return rows.select(*frame.columns, *FEATURES)
 
 

@@ -18,12 +18,17 @@ from ringside.operators import merge
 from ringside.schema import BASE_STATS, SPLIT_KINDS, SPLIT_STATS, STATS, Tables
 from ringside.sources.files import ORDINAL
 from ringside.sources.scratch import cut
+from ringside.sources.store import Snapshot
 
 #: Suffixes of the CSV columns of a corner, by statistic.
 STAT_SUFFIX = {"knockdowns": "kd", "sig_strikes_landed": "sig_str_landed", "sig_strikes_attempted": "sig_str_atmpted", "takedowns_landed": "td_landed", "takedowns_attempted": "td_atmpted", "submission_attempts": "sub_att", "control_time_seconds": "ctrl"}
 SPLIT_SUFFIX = {f"{k}_{what}": f"{ {'total_strikes': 'total_str', 'distance': 'dist'}.get(k, k)}_{short}" for k in SPLIT_KINDS for what, short in (("landed", "landed"), ("attempted", "atmpted"))}
 
 
+#: Beyond so many events, files are not chosen by their keys.
+MANY_EVENTS = 50
+
+
 def fighters_from_csv(rows: DataFrame, source: str = "files") -> DataFrame:
     """Typed fighters, one for each normalised name and date of birth: the first."""
     out = rows.select(
@@ -162,10 +167,10 @@ def no_ambiguous(matches: DataFrame) -> DataFrame:
     return matches.filter(F.when(F.col("status") == "ambiguous", F.raise_error(F.concat(F.lit("more than one fighter may be "), F.col("name_normalized"))).cast("boolean")).otherwise(True))
 
 
-def absent_events(events: DataFrame, heads: DataFrame) -> DataFrame:
+def absent_events(events: DataFrame, heads: DataFrame, last: int | None = None) -> DataFrame:
     """The heads (name, date, ...) with ids whose normalised name and date no event has."""
     keyed = lambda rows: rows.withColumn("name_key", normalize_name(F.col("name")))
-    return merge.fresh(keyed(events), keyed(heads), ["name_key", "date"])
+    return merge.fresh(keyed(events), keyed(heads), ["name_key", "date"], last=last)
 
 
 def take_in_event(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataFrame, source: str = "documents") -> Tables:
@@ -174,19 +179,45 @@ def take_in_event(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataF
     return Tables(*[getattr(t, f.name).unionByName(getattr(new, f.name), allowMissingColumns=True) for f in dataclasses.fields(t)])
 
 
-def event_rows_to_add(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataFrame, source: str = "documents") -> Tables:
+def names_of(fighters: DataFrame) -> list[str]:
+    """The normalised names of one event's fighters, some dozens."""
+    return [r[0] for r in fighters.select(normalize_name(F.col("name"))).distinct().collect()]
+
+
+def tables_for(view: Snapshot, event: DataFrame, fighters: DataFrame) -> Tables:
+    """What a store holds of the names and the day of one event's documents: all that its intake compares them with.
+
+    Files are chosen by the event's date, its fighters' names, and the ids of its event and bouts, if these are there already.  Documents
+    of very many events at once are compared with the whole tables.
+    """
+    heads = event.select(normalize_name(F.col("event_name")).alias("name_key"), F.col("event_date").alias("date")).distinct()
+    days = [r["date"] for r in heads.limit(MANY_EVENTS + 1).collect()]
+    if len(days) > MANY_EVENTS:
+        return view.read()
+    asked = {"events": days, "fighters": names_of(fighters), "bouts": [], "bout_fighters": [], "rounds": []}
+    t = view.read(asked)
+    known = t.events.withColumn("name_key", normalize_name(F.col("name"))).join(heads, ["name_key", "date"], "left_semi")
+    asked["bouts"] = [r["id"] for r in known.select("id").collect()]
+    if asked["bouts"]:
+        asked["bout_fighters"] = [r["id"] for r in view.read(asked).bouts.select("id").collect()]  # of one card
+    return view.read(asked)
+
+
+def event_rows_to_add(t: Tables, event: DataFrame, fighters: DataFrame, stats: DataFrame, source: str = "documents", last: dict[str, int] | None = None) -> Tables:
     """The rows that one event's documents add to the tables.
 
-    event: event_documents; fighters: fighter_documents of its slugs; stats: bout_stats_documents.
+    event: event_documents; fighters: fighter_documents of its slugs; stats: bout_stats_documents.  last: the largest id of each
+    table, where ``t`` is only a part of the tables (tables_for).
     """
+    last = last or {}
     heads = event.select(F.trim("event_name").alias("name"), F.col("event_date").alias("date"), F.lit(None).cast("string").alias("location"), F.lit(source).alias("source")).distinct()
-    new_events = cut(absent_events(t.events, heads))
+    new_events = cut(absent_events(t.events, heads, last.get("events")))
     events = t.events.withColumn("name_key", normalize_name(F.col("name"))).unionByName(new_events, allowMissingColumns=True)
     candidates = fighters.select(F.col("slug").alias("candidate"), normalize_name(F.col("name")).alias("name_normalized"), "date_of_birth", F.struct("*").alias("doc")).dropDuplicates(["candidate"])
     matched = no_ambiguous(match_fighters(candidates.drop("doc"), t.fighters)).join(candidates.select("candidate", "doc"), "candidate")
     matched = cut(matched)
     fresh = matched.filter("status = 'new'").select(F.trim("doc.name").alias("name"), "name_normalized", "doc.nickname", "date_of_birth", "doc.height_cm", "doc.reach_cm", expr.stance_of(F.col("doc.stance")).alias("stance"), F.lit(None).cast("double").alias("weight_kg"), "doc.wins", "doc.losses", "doc.draws", F.lit(source).alias("source"))
-    new_fighters = cut(merge.fresh(t.fighters, fresh, ["name_normalized", "date_of_birth"]))
+    new_fighters = cut(merge.fresh(t.fighters, fresh, ["name_normalized", "date_of_birth"], last=last.get("fighters")))
     new_ids = new_fighters.select("name_normalized", F.col("date_of_birth").alias("__born"), F.col("id").alias("new_id"))
     slugs = matched.join(new_ids, (matched["name_normalized"] == new_ids["name_normalized"]) & matched["date_of_birth"].eqNullSafe(new_ids["__born"]) & (matched["status"] == "new"), "left").select(F.col("candidate").alias("slug"), F.coalesce("fighter_id", "new_id").alias("fighter_id"))
     rows = event.select("event_name", "event_date", "bout.*").withColumn("red_slug", F.col("corners")[0]["slug"]).withColumn("blue_slug", F.col("corners")[1]["slug"]).withColumn("name_key", normalize_name(F.col("event_name"))).withColumn(ORDINAL, F.monotonically_increasing_id())
@@ -199,12 +230,12 @@ def event_rows_to_add(t: Tables, event: DataFrame, fighters: DataFrame, stats: D
     keyed = merge.first_by_key(rows, ["__event", "low_id", "high_id"])
     new = merge.absent(keyed, index.withColumnRenamed("event_id", "__event"), ["__event", "low_id", "high_id"])
     core = new.select(F.col("__event").cast("int").alias("event_id"), F.col("winner_id").cast("int").alias("winner_id"), F.col("method_kind").alias("method"), F.col("finish_round").alias("round"), F.col("finish_time_seconds").alias("ending_time_seconds"), "weight_class", F.lit(source).alias("source"), "low_id", "high_id")
-    core = cut(merge.with_ids(core, t.bouts, ["event_id", "low_id", "high_id"]))
+    core = cut(merge.with_ids(core, t.bouts, ["event_id", "low_id", "high_id"], last=last.get("bouts")))
     every = index.union(core.select(F.col("id").alias("bout_id"), "event_id", "low_id", "high_id")).withColumnRenamed("event_id", "__event").withColumnRenamed("bout_id", "own_bout")
     placed = keyed.join(every, ["__event", "low_id", "high_id"])
     seats = placed.select("own_bout", "bout_id", F.explode(F.array(F.struct(F.lit("red").alias("corner"), F.col("red_id").alias("fighter_id")), F.struct(F.lit("blue").alias("corner"), F.col("blue_id").alias("fighter_id")))).alias("c")).select("own_bout", "bout_id", "c.*")
     corners = seats.join(stats.select("bout_id", "corner", *BASE_STATS), ["bout_id", "corner"], "left").select(F.col("own_bout").alias("bout_id"), "fighter_id", "corner", *BASE_STATS, *[F.lit(None).cast("int").alias(s) for s in SPLIT_STATS], F.lit(source).alias("source"))
-    new_corners = merge.with_ids(merge.absent(corners, t.bout_fighters, ["bout_id", "fighter_id"]), t.bout_fighters, ["bout_id", "fighter_id"])
+    new_corners = merge.with_ids(merge.absent(corners, t.bout_fighters, ["bout_id", "fighter_id"]), t.bout_fighters, ["bout_id", "fighter_id"], last=last.get("bout_fighters"))
     return as_rows_of(t, new_fighters, new_events.drop("name_key"), core.drop("low_id", "high_id"), new_corners)
 
 
@@ -226,14 +257,32 @@ def matched_lines(t: Tables, event_id, lines: DataFrame) -> DataFrame:
 
 
 def matched_lines_of(t: Tables, lines: DataFrame, event: str = "__event") -> DataFrame:
-    """Lines of any events (their ids are in column ``event``) with bout_fighter_id."""
+    """Lines of any events (their ids are in column ``event``) with bout_fighter_id; a name of several corners raises."""
+    found = with_candidates(t, lines, event)
+    one = F.when(F.col("corners_of_name") > 1, F.raise_error(F.concat(F.lit("more than one corner is "), F.col("name_normalized"))).cast("long")).otherwise(F.col("bout_fighter_id"))
+    return found.withColumn("bout_fighter_id", one).drop("corners_of_name", "name_normalized")
+
+
+def with_candidates(t: Tables, lines: DataFrame, event: str = "__event") -> DataFrame:
+    """Lines with name_normalized, corners_of_name (how many corners of their event have that name, null for none) and the first one's bout_fighter_id."""
     asked = lines.select(F.col(event).alias("event_id")).distinct()
     bouts = t.bouts.join(asked, "event_id", "left_semi").select(F.col("id").alias("bout_id"), "event_id")
     names = t.bout_fighters.select(F.col("id").alias("bout_fighter_id"), "bout_id", "fighter_id").join(bouts, "bout_id").join(t.fighters.select(F.col("id").alias("fighter_id"), "name_normalized"), "fighter_id")
-    index = names.groupBy(F.col("event_id").alias(event), "name_normalized").agg(F.min("bout_fighter_id").alias("__one"), F.count(F.lit(1)).alias("__n"))
-    keyed = lines.withColumn("name_normalized", normalize_name(F.translate("fighter_slug", "-", " ")))
-    one = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("more than one corner is "), F.col("name_normalized"))).cast("long")).otherwise(F.col("__one"))
-    return keyed.join(index, [event, "name_normalized"], "left").withColumn("bout_fighter_id", one).drop("__one", "__n", "name_normalized")
+    index = names.groupBy(F.col("event_id").alias(event), "name_normalized").agg(F.min("bout_fighter_id").alias("bout_fighter_id"), F.count(F.lit(1)).alias("corners_of_name"))
+    return lines.withColumn("name_normalized", slug_name(F.col("fighter_slug"))).join(index, [event, "name_normalized"], "left")
+
+
+def slug_name(slug: Column) -> Column:
+    return normalize_name(F.translate(slug, "-", " "))
+
+
+def tables_of_events(view: Snapshot, event_ids: list[int], lines: DataFrame) -> Tables:
+    """What a store holds of a few events and of the names in their lines."""
+    names = [r[0] for r in lines.select(slug_name(F.col("fighter_slug"))).distinct().collect()]  # of the events that were asked for
+    asked = {"events": [], "fighters": names, "bouts": event_ids, "bout_fighters": [], "rounds": []}
+    asked["bout_fighters"] = [r["id"] for r in view.read(asked).bouts.filter(F.col("event_id").isin(event_ids)).select("id").collect()]
+    asked["rounds"] = [r["id"] for r in view.read(asked).bout_fighters.select("id").collect()]
+    return view.read(asked)
 
 
 def coverage(matched: DataFrame) -> DataFrame:
@@ -248,12 +297,12 @@ def backfill_rounds(t: Tables, event_id, lines: DataFrame, source: str = "docume
     return dataclasses.replace(t, rounds=t.rounds.unionByName(rounds_to_add(t, matched_lines(t, event_id, lines), source), allowMissingColumns=True))
 
 
-def rounds_to_add(t: Tables, matched: DataFrame, source: str = "documents") -> DataFrame:
+def rounds_to_add(t: Tables, matched: DataFrame, source: str = "documents", last: int | None = None) -> DataFrame:
     """The rounds of matched lines that the table doesn't have."""
     known = matched.filter("bout_fighter_id is not null")
     have = set(known.columns)
     rows = known.select("bout_fighter_id", "round", *[(F.col(s) if s in have else F.lit(None).cast("int")).alias(s) for s in STATS], F.lit(source).alias("source"))
-    return merge.fresh(t.rounds, rows, ["bout_fighter_id", "round"])
+    return merge.fresh(t.rounds, rows, ["bout_fighter_id", "round"], last=last)
 
 
 def events_between(events: DataFrame, first: str = "2019-01-01", last: str = "2025-12-31") -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringside.schema import NO_FEATURES
-from ringside.sources.scratch import cut
+from ringside.schema import BOUT_FEATURES, METHODS, NO_FEATURES, RESULTS, STANCES
+from ringside.sources.keyed_store import KeyedStore
 
 TARGET = "winner_corner"
 
@@ -25,15 +25,37 @@ class Matrix:
 def pivot_corners(rows: DataFrame) -> DataFrame:
     """One row per bout with both corners: bout_id, then every other column but corner with suffix _a (red) and _b (blue).
 
-    Corners meet in one aggregation by bout instead of a join of the frame with itself.  A bout with two corners of a colour
-    raises; one without either colour is left out.
+    Corners meet in one aggregation by bout instead of a join of the frame with itself.  Columns are aggregated one by one, so those
+    that nobody asks for are never moved, and numbers need no sorting.  A bout with two corners of a colour raises; one without either
+    colour is left out.
     """
+    texts = {f.name for f in rows.schema if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))}
     columns = [c for c in rows.columns if c not in ("bout_id", "corner")]
-    red, blue = F.col("corner") == "red", F.col("corner") == "blue"
-    pack = F.struct(*columns)
-    both = rows.groupBy("bout_id").agg(F.count(F.when(red, 1)).alias("reds"), F.count(F.when(blue, 1)).alias("blues"), F.first(F.when(red, pack), ignorenulls=True).alias("a"), F.first(F.when(blue, pack), ignorenulls=True).alias("b"))
-    single = F.when((F.col("reds") > 1) | (F.col("blues") > 1), F.raise_error(F.concat(F.lit("two corners of one colour in bout "), F.col("bout_id").cast("string"))).cast("boolean")).otherwise((F.col("reds") == 1) & (F.col("blues") == 1))
-    return both.filter(single).select("bout_id", *[F.col(f"a.{c}").alias(f"{c}_a") for c in columns], *[F.col(f"b.{c}").alias(f"{c}_b") for c in columns])
+    one = lambda c, side: f"{f'first(if(corner = {side!r}, `{c}`, null), true)' if c in texts else f'max(if(corner = {side!r}, `{c}`, null))'}"
+    sides = [(s, side) for s, side in (("a", "red"), ("b", "blue"))]
+    both = rows.groupBy("bout_id").agg(F.expr("count_if(corner = 'red')").alias("__reds"), F.expr("count_if(corner = 'blue')").alias("__blues"), *[F.expr(f"{one(c, side)} AS `{c}_{s}`") for s, side in sides for c in columns])
+    single = F.expr("if(__reds > 1 OR __blues > 1, cast(raise_error(concat('two corners of one colour in bout ', cast(bout_id AS string))) AS boolean), __reds = 1 AND __blues = 1)")
+    return both.filter(single).drop("__reds", "__blues")
+
+
+#: Texts of few values, which are numbers while they move.
+CODED = {"result": RESULTS, "method": METHODS, "stance": STANCES}
+
+
+def _listed(values: list[str]) -> str:
+    return f"array({', '.join(map(repr, values))})"
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """Columns of CODED as the places of their values; another value raises."""
+    place = lambda c: f"CASE WHEN `{c}` IS NULL THEN NULL WHEN array_position({_listed(CODED[c])}, `{c}`) = 0 THEN cast(raise_error(concat('unknown {c} ', `{c}`)) AS int) ELSE cast(array_position({_listed(CODED[c])}, `{c}`) AS int) END AS `{c}`"
+    return rows.selectExpr(*[place(c) if c in CODED else f"`{c}`" for c in rows.columns])
+
+
+def decoded(pivoted: DataFrame) -> DataFrame:
+    base = lambda c: c[:-2] if c.endswith(("_a", "_b")) else None
+    text = lambda c: f"CASE `{c}` {' '.join(f'WHEN {i} THEN {v!r}' for i, v in enumerate(CODED[base(c)], 1))} END AS `{c}`"
+    return pivoted.selectExpr(*[text(c) if base(c) in CODED else f"`{c}`" for c in pivoted.columns])
 
 
 def feature_bases(schema: T.StructType) -> list[str]:
@@ -44,7 +66,7 @@ def feature_bases(schema: T.StructType) -> list[str]:
 
 
 def add_differentials(pivoted: DataFrame) -> DataFrame:
-    return pivoted.select("*", *[(F.col(f"{b}_a") - F.col(f"{b}_b")).alias(f"{b}_diff") for b in feature_bases(pivoted.schema)])
+    return pivoted.selectExpr("*", *[f"`{b}_a` - `{b}_b` AS `{b}_diff`" for b in feature_bases(pivoted.schema)])
 
 
 def target():
@@ -63,7 +85,7 @@ def feature_columns(columns: list[str]) -> list[str]:
 
 def matrix(enriched: DataFrame) -> Matrix:
     """Pivot, differences and target of an enriched long frame; bouts without a winner are left out."""
-    frame = add_differentials(pivot_corners(enriched)).withColumn(TARGET, target())
+    frame = add_differentials(decoded(pivot_corners(coded(enriched)))).withColumn(TARGET, target())
     return Matrix(frame.filter(F.col(TARGET).isNotNull()), feature_columns(frame.columns))
 
 
@@ -81,29 +103,19 @@ def payloads(m: Matrix, source: str) -> DataFrame:
     return m.frame.select("bout_id", F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("features"), corner.alias("target_winner_corner"), F.lit(source).alias("source"))
 
 
-def merge_features(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """The stored features after an upsert by bout: new rows replace old ones, no row is deleted."""
-    return new if old is None else new.unionByName(old.join(new.select("bout_id"), "bout_id", "left_anti"))
+def feature_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedStore:
+    return KeyedStore(spark, path, BOUT_FEATURES, "bout_id", buckets)
 
 
 def materialize(m: Matrix, path: str, source: str = "files") -> int:
-    """Upsert the matrix into the Parquet table at ``path``; returns the number of rows upserted.
+    """Upsert the matrix into the feature store at ``path``; returns the number of rows upserted.
 
-    The merged table is written beside the old one and takes its place only when it is whole.
+    Only the buckets of the matrix's bouts are written; readers find the state before or after, whole.
     """
     spark = m.frame.sparkSession
-    rows = cut(payloads(m, source).withColumn("generated_at", F.current_timestamp()))
-    n = rows.count()
-    if n:
-        jvm = spark.sparkContext._jvm
-        here = jvm.org.apache.hadoop.fs.Path(path)
-        fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        staged, backup = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path + ".old")
-        old = spark.read.parquet(path) if fs.exists(here) else None
-        merge_features(old, rows).write.mode("overwrite").parquet(path + ".new")
-        if old is not None:
-            fs.delete(backup, True)
-            fs.rename(here, backup)
-        fs.rename(staged, here)
-        fs.delete(backup, True)
-    return n
+    return feature_store(spark, path).upsert(payloads(m, source).withColumn("generated_at", F.current_timestamp()))
+
+
+def stored_features(spark: SparkSession, path: str) -> DataFrame:
+    """The stored features: (bout_id, features, target_winner_corner, source, generated_at), one row a bout."""
+    return feature_store(spark, path).read()

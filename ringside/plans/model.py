@@ -1,26 +1,33 @@
 """Winner model: dataset, temporal split, training, metrics and prediction.
 
-Predictions of gradient-boosted trees with imputed values and missing-value indicators stand in for a booster with built-in
-handling of missing values; they are not expected to be equal to those of any other library.
+The model is a histogram booster that learns where missing values go (boosting.py).  It grows by level, in fewer and larger steps and with
+fewer bins than is usual on one machine, so predictions are not expected to be equal to those of any other library.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import logging
+from dataclasses import asdict, dataclass, field
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringside.functions.expr import ratio
+from ringside.operators.prefix import running_sums
+from ringside.plans import boosting
+from ringside.plans.boosting import Booster
 from ringside.plans.features import add_features
 from ringside.plans.longframe import long_frame, round_rows
 from ringside.plans.matchup import TARGET, add_differentials, pivot_corners
 from ringside.schema import Tables
-from ringside.sources.scratch import cut
+from ringside.sources.scratch import cut, stored
 
-TEST_SHARE, SEED = 0.2, 0
+log = logging.getLogger(__name__)
+
+TEST_SHARE = 0.2
 #: Probabilities are kept this far from 0 and 1 in the log-loss.
 CLIP = 2.220446049250313e-16
 
@@ -28,7 +35,7 @@ CLIP = 2.220446049250313e-16
 def dataset(frame: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
     """(bout_id, event_date, label, features as doubles), and the features left: numbers with at least one value.
 
-    One aggregation over all columns finds those without any.
+    One aggregation over all columns finds those without any, whose names are logged.
     """
     kinds = {f.name: f.dataType for f in frame.schema}
     numeric = [c for c in features if isinstance(kinds[c], (T.NumericType, T.BooleanType))]
@@ -36,6 +43,8 @@ def dataset(frame: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]
     rows = frame.filter(F.col(TARGET).isNotNull()).select("bout_id", F.col("event_date_a").alias("event_date"), label.alias("label"), *[F.col(c).cast("double").alias(c) for c in numeric])
     counts = rows.agg(*[F.count(c).alias(c) for c in numeric]).first()
     kept = [c for c in numeric if counts[c]]
+    if dropped := [c for c in numeric if not counts[c]]:
+        log.warning("features without any value are left out: %s", ", ".join(dropped))
     return rows.select("bout_id", "event_date", "label", *kept), kept
 
 
@@ -138,19 +147,13 @@ def clipped(p: Column) -> Column:
 def metrics(scored: DataFrame, label: str = "label", p: str = "probability", prediction: str = "prediction") -> DataFrame:
     """(n, accuracy, log_loss, roc_auc) of binary predictions.
 
-    The area is exact: ranks of equal probabilities are averaged.  Rows are read once and counted per distinct probability, and
-    running counts over those are made per range of probabilities, so no task orders all rows.
+    The area is exact: ranks of equal probabilities are averaged.  Rows are read once and counted per distinct probability; running
+    counts over those are made in ranges between sampled quantiles, so tasks are even however probabilities crowd.
     """
     y, q = F.col(label), clipped(F.col(p))
     loss, hit = -(y * F.log(q) + (1 - y) * F.log(1 - q)), (F.col(prediction) == y).cast("long")
     per = scored.groupBy(F.col(p).alias("p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), F.sum(loss).alias("loss"))
-    # In order of ranges of probabilities, and in each by probability: rows of a lower range are counted once for the whole range.
-    ranged = per.withColumn("range", F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.col("p"), F.lit(1.0))) * 1024), F.lit(-1)))
-    w = Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("under", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    sums = inside.groupBy("range").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n", "hits", "loss")], F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("area"))  # at most 1026 rows
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    total = sums.withColumn("below", below).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n", "hits", "loss")], F.sum(F.col("area") + F.col("pos") * F.col("below")).alias("area"))
+    total = running_sums(per, ["p"], ["neg"]).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n", "hits", "loss")], F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("area"))
     return total.select(F.coalesce("n", F.lit(0)).alias("n"), ratio(F.col("hits"), F.col("n")).alias("accuracy"), ratio(F.col("loss"), F.col("n")).alias("log_loss"), ratio(F.col("area"), F.col("pos") * F.col("neg")).alias("roc_auc"))
 
 
@@ -197,60 +200,45 @@ def metrics_delta(current: Metrics, reference: Metrics) -> MetricsDelta:
 
 @dataclass
 class Winner:
-    """A fitted pipeline and the features it was trained on."""
+    """A fitted model; what was found when it was trained is kept with it."""
+
+    booster: Booster
+    facts: dict = field(default_factory=dict)
 
-    pipeline: object
-    features: list[str]
+    @property
+    def features(self) -> list[str]:
+        return self.booster.features
 
     def score(self, rows: DataFrame) -> DataFrame:
         """rows with probability (of red) and prediction; features that rows don't have are missing."""
-        from pyspark.ml.functions import vector_to_array
-
         aligned = rows.select(*[c for c in rows.columns if c not in self.features], *[(F.col(c).cast("double") if c in rows.columns else F.lit(None).cast("double")).alias(c) for c in self.features])
-        out = self.pipeline.transform(_indicated(aligned, self.features))
-        made = [c for c in out.columns if c.endswith(("__missing", "__filled")) or c in ("features", "rawPrediction")]
-        return out.drop(*made).withColumn("probability", vector_to_array("probability")[1])
+        return self.booster.probability(aligned).withColumn("prediction", F.when(F.col("probability") >= 0.5, 1.0).otherwise(0.0))
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        spark = self.pipeline.stages[0]._java_obj and self._spark()
-        spark.createDataFrame([(json.dumps({"features": self.features}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-
-    @staticmethod
-    def _spark():
-        from pyspark.sql import SparkSession
-
-        return SparkSession.getActiveSession()
+        """One line of text in a folder, which is replaced."""
+        text = json.dumps({"model": self.booster.to_json(), "facts": self.facts}, default=str)
+        _session().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, path: str) -> Winner:
         from pyspark.errors import AnalysisException
-        from pyspark.ml import PipelineModel
 
         try:
-            text = cls._spark().read.text(f"{path}/metadata").first()["value"]
+            found = json.loads(_session().read.text(path).first()["value"])
         except AnalysisException as e:
             raise FileNotFoundError(path) from e
-        return cls(PipelineModel.load(f"{path}/pipeline"), json.loads(text)["features"])
+        return cls(Booster.from_json(found["model"]), found["facts"])
 
 
-def _indicated(rows: DataFrame, features: list[str]) -> DataFrame:
-    return rows.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in features])
+def _session():
+    from pyspark.sql import SparkSession
 
+    return SparkSession.getActiveSession()
 
-def train(rows: DataFrame, features: list[str], iterations: int = 20, depth: int = 4) -> Winner:
-    """Gradient-boosted trees over imputed features and indicators of what was missing."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
 
-    filled = [f"{c}__filled" for c in features]
-    stages = [
-        Imputer(inputCols=features, outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=[*filled, *[f"{c}__missing" for c in features]], outputCol="features"),
-        GBTClassifier(maxIter=iterations, maxDepth=depth, seed=SEED),
-    ]
-    return Winner(Pipeline(stages=stages).fit(_indicated(rows, features)), features)
+def train(rows: DataFrame, features: list[str], **options) -> Winner:
+    """Boosted trees over the features as they are, missing values included; options are those of boosting.Options."""
+    return Winner(boosting.fit(rows, features, "label", boosting.Options(**options)))
 
 
 @dataclass
@@ -275,9 +263,11 @@ def run_training(rows: DataFrame, features: list[str], share: float = TEST_SHARE
     where = temporal_cut(rows, share)
     earlier, later = rows.filter(~where.is_later()), rows.filter(where.is_later())
     winner = train(earlier, features, **options)
-    scored = cut(winner.score(later).select("bout_id", "event_date", "label", "probability", "prediction"))
+    scored = stored(winner.score(later).select("bout_id", "event_date", "label", "probability", "prediction"), "scored")
     n_train, n_test = earlier.count(), scored.count()
-    return TrainingResult(winner, scored, measured(scored), measured_baseline(earlier, later), where.event_date, n_train + n_test, n_train, n_test)
+    model, base = measured(scored), measured_baseline(earlier, later)
+    winner.facts = {"metrics": {"model": asdict(model), "baseline": asdict(base)}, "trained_at": datetime.now(UTC).isoformat(), "boundary": str(where.event_date), "n_samples": n_train + n_test, "n_train": n_train, "n_test": n_test, "test_fraction": share}
+    return TrainingResult(winner, scored, model, base, where.event_date, n_train + n_test, n_train, n_test)
 
 
 def measured_baseline(earlier: DataFrame, later: DataFrame) -> Metrics:

@@ -87,7 +87,12 @@ def history(t: Tables, fighter_id=None) -> DataFrame:
     won is whether the fighter is the winner; without a winner it is false.
     """
     all_corners = corners(t)
-    own = all_corners if fighter_id is None else all_corners.filter(F.col("fighter_id") == fighter_id)
+    own = all_corners
+    if fighter_id is not None:
+        own = all_corners.filter(F.col("fighter_id") == fighter_id)
+        # The other side of a few bouts: all else is left out by a semi-join with their ids before anything is moved.
+        mine = t.bout_fighters.filter(F.col("fighter_id") == fighter_id).select("bout_id")
+        all_corners = corners(Tables(t.fighters, t.events, t.bouts, t.bout_fighters.join(mine, "bout_id", "left_semi"), t.rounds))
     other = all_corners.select("bout_id", F.col("fighter_id").alias("opponent_id"), F.col("fighter_name").alias("opponent_name"), F.col("corner").alias("opponent_corner"))
     # Both sides are distributed by bout, so that the other corners of a bout are met where the bout is.
     paired = own.join(other, "bout_id", "left").withColumn("is_other", F.col("opponent_id") != F.col("fighter_id"))

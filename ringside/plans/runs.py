@@ -1,8 +1,8 @@
 """Whole ingestion runs: an event with all that it refers to, rounds of a period's events, and a dry run of matching.
 
 Documents come through a landing zone, which fetches each once and charges the budget; a run has all of its documents before it
-computes anything.  What a run adds is appended as one batch, so a failure, a spent budget too, leaves nothing half done, and a run
-that is repeated adds nothing.
+computes anything.  What a run adds is appended as one batch of whole events, so a failure, a spent budget too, leaves no event half
+done, and a run that is repeated adds nothing.  Runs may go on side by side.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringside.plans import ingest
+from ringside.schema import Tables
 from ringside.sources import files
-from ringside.sources.store import TableStore
+from ringside.sources.scratch import cut
+from ringside.sources.store import Snapshot, TableStore
 
 
 class Transport(Protocol):
@@ -58,8 +60,11 @@ class IncrementalSummary:
 
 
 def run_incremental(store: TableStore, event_id: str, landing: files.LandingZone, transport: Transport, source: str = "documents") -> IncrementalSummary:
-    """Take in one event: its documents are fetched, resolved and appended.  The ids of one card pass through the driver, which asks for
-    their documents."""
+    """Take in one event: its documents are fetched, resolved and appended.
+
+    The ids and names of one card pass through the driver, which asks for their documents and chooses the files of the store that may
+    hold them; other rows aren't read.  If another run commits meanwhile, the event is compared with the tables once more.
+    """
     spark = store.spark
     event = files.event_documents(spark, landing.get_or_fetch(f"event_{event_id}", lambda _: transport.event(event_id)))
     card = event.select("bout.bout_id", F.transform("bout.corners", lambda c: c["slug"]).alias("slugs")).collect()
@@ -67,7 +72,7 @@ def run_incremental(store: TableStore, event_id: str, landing: files.LandingZone
     fighters = files.fighter_documents(spark, [landing.get_or_fetch(f"fighter_{s}", lambda _, s=s: transport.fighter(s)) for s in slugs])
     stats = files.bout_stats_documents(spark, [landing.get_or_fetch(f"bout_{r['bout_id']}", lambda _, b=r["bout_id"]: transport.bout_stats(b)) for r in card])
     lines = stats.select("bout_id", "corner").distinct().count()
-    added = store.append(ingest.event_rows_to_add(store.read(), event, fighters, stats, source))
+    added = store.update(lambda view: ingest.event_rows_to_add(ingest.tables_for(view, event, fighters), event, fighters, stats, source, view.last_ids()))
     delta = lambda table, seen: Delta(added[table], max(0, seen - added[table]))
     used = landing.budget.used if landing.budget else 0
     return IncrementalSummary(delta("events", 1), delta("fighters", len(slugs)), delta("bouts", len(card)), delta("bout_fighters", lines), used, source)
@@ -83,14 +88,23 @@ class RoundsSummary:
     source: str
 
 
+class EventsFailed(RuntimeError):
+    """Events whose documents are faulty or whose lines can't be told apart; all others are stored.  problems: by event id."""
+
+    def __init__(self, problems: dict[int, str]):
+        super().__init__("; ".join(f"event {i}: {p}" for i, p in sorted(problems.items())))
+        self.problems = problems
+
+
 def run_backfill_rounds(store: TableStore, landing: files.LandingZone, transport: Transport, first: str = "2019-01-01", last: str = "2025-12-31", pause: Callable[[], None] | None = None, source: str = "documents") -> RoundsSummary:
     """Append the rounds of the period's events.  Events without a slug are skipped and counted.
 
     Documents are fetched one after the other, with a ``pause`` between real fetches; the lines of all events are then matched in one
-    job.  If the budget is spent on the way, the events fetched so far are taken in before the error goes on.
+    job, which carries an event's fault as a row instead of failing.  Every event without a fault is stored, wholly; then the faults of
+    the others are raised, and after them that the budget was spent on the way.
     """
-    spark, t = store.spark, store.read()
-    events = [(r["id"], r["slug"]) for r in ingest.events_between(t.events, first, last).select("id", "slug").collect()]  # one row per event
+    spark = store.spark
+    events = [(r["id"], r["slug"]) for r in ingest.events_between(store.read().events, first, last).select("id", "slug").collect()]  # one row per event
     asked = [(i, s) for i, s in events if s]
     hits, paths, spent = 0, [], None
     for n, (_, slug) in enumerate(asked):
@@ -103,11 +117,24 @@ def run_backfill_rounds(store: TableStore, landing: files.LandingZone, transport
         hits += held
         if not held and pause and n + 1 < len(asked):
             pause()
-    added = 0
+    added, problems = 0, {}
     if paths:
         of = spark.createDataFrame([(i, f"stats_{s}.json") for i, s in asked[: len(paths)]], "__event int, __file string")
-        lines = files.event_stats_documents(spark, paths, rounds=True, with_file="__file").join(of, "__file").drop("__file")
-        added = store.append(ingest.as_rows_of(t, None, None, None, None, ingest.rounds_to_add(t, ingest.matched_lines_of(t, lines), source)))["rounds"]
+        lines, faults = files.event_stats_checked(spark, paths, "__file", rounds=True)
+        lines = cut(lines.join(of, "__file").drop("__file"))
+        problems = {r["__event"]: r["fault"] for r in faults.join(of, "__file").collect()}
+
+        def rounds(view: Snapshot) -> Tables:
+            t = ingest.tables_of_events(view, [i for i, _ in asked[: len(paths)]], lines)
+            found = cut(ingest.with_candidates(t, lines))
+            several = found.filter("corners_of_name > 1").groupBy("__event").agg(F.min("name_normalized").alias("name")).collect()  # a row for each event at most
+            problems.update({r["__event"]: f"more than one corner is {r['name']}" for r in several})
+            good = found.filter(~F.col("__event").isin(list(problems))) if problems else found
+            return ingest.as_rows_of(t, None, None, None, None, ingest.rounds_to_add(t, good.drop("corners_of_name", "name_normalized"), source, view.last_ids()["rounds"]))
+
+        added = store.update(rounds)["rounds"]
+    if problems:
+        raise EventsFailed(problems) from spent
     if spent:
         raise spent
     return RoundsSummary(len(asked), len(events) - len(asked), added, hits, landing.budget.used if landing.budget else 0, source)
@@ -130,12 +157,13 @@ class MatchReport:
 
 def run_match_dry_run(store: TableStore, event_id: int, landing: files.LandingZone, transport: Transport) -> MatchReport:
     """Which of an event's statistics lines find their corner; nothing is written."""
-    t = store.read()
-    slug = ingest.events_between(t.events, "0001-01-01", "9999-12-31").filter(F.col("id") == event_id).select("slug").first()
+    view = store.snapshot()
+    slug = ingest.events_between(view.read().events, "0001-01-01", "9999-12-31").filter(F.col("id") == event_id).select("slug").first()
     if slug is None or slug["slug"] is None:
         raise ValueError(f"event {event_id} has no slug")
     path = landing.get_or_fetch(f"stats_{slug['slug']}", lambda _: transport.event_stats(slug["slug"]))
-    return report(event_id, ingest.matched_lines(t, event_id, files.event_stats_documents(store.spark, path)))
+    lines = files.event_stats_documents(store.spark, path)
+    return report(event_id, ingest.matched_lines(ingest.tables_of_events(view, [event_id], lines), event_id, lines))
 
 
 def report(event_id: int, matched: DataFrame) -> MatchReport:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from ringside.functions import display, expr
 from ringside.functions.names import normalize_name
 from ringside.operators import merge
-from ringside.plans import features, ingest, matchup, model, reads
+from ringside.plans import features, ingest, matchup, model, reads, state
 from ringside.plans.longframe import long_frame, round_rows
 from ringside.schema import LONG_FRAME, METHODS, STATS, Tables
 from ringside.sources import adapter
 from ringside.sources.files import ORDINAL
-from ringside.sources.scratch import cut
+from ringside.sources.scratch import cut, exists, stored
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -271,8 +271,11 @@ enriched AS (SELECT {', '.join(LONG_FRAME)}, {', '.join(f'{v} AS {k}' if k != v
 )
 
 
+_ROUNDED = {"round1_sig_strike_share_r3"}
+
+
 def enriched(t: Tables) -> DataFrame:
-    return features.add_features(long_frame(t), t.fighters, round_rows(t))
+    return features.add_features(long_frame(t), t.fighters, shares=features.corner_shares(t))
 
 
 @query(_LONG + MAIN + "SELECT * FROM lf")
@@ -285,8 +288,6 @@ def round_stats(t):
     return round_rows(t)
 
 
-_ROUNDED = {"round1_sig_strike_share_r3"}
-
 
 def _feature_query(name: str, columns: list[str]):
     def f(t):
@@ -315,6 +316,18 @@ for _name, _columns in {
 }.items():
     _feature_query(_name, _columns)
 
+_SINCE = "1995-06-17"
+
+
+@query(_ENRICHED + MAIN + f"SELECT fighter_id, bout_id, {', '.join(features.FEATURES)} FROM enriched WHERE event_date >= DATE '{_SINCE}'")
+def features_after_append(t):
+    """The features of all later bouts from the states of their fighters after the earlier ones; no earlier corner is read for them."""
+    frame, shares, later = long_frame(t), features.corner_shares(t), F.col("event_date") >= F.lit(_SINCE).cast("date")
+    states = stored(state.states_of(frame.filter(~later), shares), "states")
+    out = state.advance(states, frame.filter(later), t.fighters, shares).features
+    return out.select("fighter_id", "bout_id", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in features.FEATURES])
+
+
 # ---------------------------------------------------------------- matchups
 
 _PIVOT = _ENRICHED + ", red AS (SELECT * FROM enriched WHERE corner = 'red'), blue AS (SELECT * FROM enriched WHERE corner = 'blue')"
@@ -695,9 +708,18 @@ def split_boundary(t):
     return rows.agg(F.max(F.when(~where.is_later(), F.col("event_date"))).alias("boundary"), F.count_if(~where.is_later()).alias("n_train"), F.count_if(where.is_later()).alias("n_test"))
 
 
+#: What a session has trained, by the files that hold the bouts.
+_models: dict[tuple, model.TrainingResult] = {}
+
+
 def _trained(t: Tables) -> model.TrainingResult:
-    m = matchup.matrix(enriched(t))
-    return model.run_training(*model.dataset(cut(m.frame), m.features))
+    """The model of these tables, which is trained once for all queries that ask for it."""
+    spark = t.bouts.sparkSession
+    key = (spark.sparkContext.applicationId, *sorted(t.bouts.inputFiles()))
+    if key not in _models or not all(exists(spark, f) for f in _models[key].scored.inputFiles()):
+        m = matchup.matrix(enriched(t))
+        _models[key] = model.run_training(*model.dataset(cut(m.frame), m.features))
+    return _models[key]
 
 
 @query()
@@ -720,9 +742,16 @@ def neutral_matchup_prob(t):
     return model.predict(t, _trained(t).winner, A, B, _DAY)
 
 
+def _all() -> None:
+    """Register the queries of the other modules, which use this one."""
+    from ringside import index_queries, source_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

@@ -11,6 +11,7 @@ CORNERS = ["red", "blue"]
 METHODS = ["ko_tko", "submission", "decision", "dq", "no_contest"]
 FINISHES = ["ko_tko", "submission"]
 STANCES = ["orthodox", "southpaw", "switch"]
+RESULTS = ["win", "loss", "draw", "no_contest"]
 
 BASE_STATS = ["knockdowns", "sig_strikes_landed", "sig_strikes_attempted", "takedowns_landed", "takedowns_attempted", "submission_attempts", "control_time_seconds"]
 SPLIT_KINDS = ["total_strikes", "head", "body", "leg", "distance", "clinch", "ground"]
@@ -34,7 +35,7 @@ EVENTS = "id int, name string, date date, location string, source string"
 BOUTS = "id int, event_id int, winner_id int, method string, round int, ending_time_seconds int, weight_class string, title_bout boolean, scheduled_rounds int, referee string, source string"
 BOUT_FIGHTERS = f"id int, bout_id int, fighter_id int, corner string, {_STATS}, source string"
 ROUNDS = f"id int, bout_fighter_id int, round int, {_STATS}, source string"
-BOUT_FEATURES = "bout_id int, features string, target_winner_corner string, source string, generated_at timestamp"
+BOUT_FEATURES = "bout_id long, features string, target_winner_corner string, source string, generated_at timestamp"
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringside.schema import SPLIT_STATS, STATS, Tables
-from ringside.sources.scratch import shared_dir
+from ringside.sources.scratch import exists, shared_dir
 
 EPOCH = "1990-01-01"
 
@@ -47,17 +47,26 @@ def _measured(df: DataFrame) -> DataFrame:
     return df.withColumns({s: F.when(~unknown, F.col(s).cast("int")) if s in SPLIT_STATS else F.col(s).cast("int") for s in STATS})
 
 
-#: Folders of tables that a session has written, by the folder of the order tables.
-_written: dict[tuple[str, str], str] = {}
+#: Folders of tables that a session has written, by the files of the order tables.
+_written: dict[tuple, str] = {}
+
+INPUTS = ["lineitem", "orders", "supplier"]
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple]:
+    """Name, size and time of each file of a table: other ones are another table."""
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(here))
 
 
 def read(spark: SparkSession, sf_dir: str) -> Tables:
-    """The five tables, which are made once for a session and folder and kept as Parquet files in the shared folder.
+    """The five tables, which are made once for a session and the files of the order tables, and kept as Parquet files in the shared folder.
 
     Queries then read only the columns that they need of files whose sizes Spark knows, as of any stored tables.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written or not _exists(spark, f"{_written[key]}/rounds/_SUCCESS"):  # the shared folder may have been cleared
+    key = (spark.sparkContext.applicationId, *(f for n in INPUTS for f in _files(spark, f"{sf_dir}/{n}.parquet")))
+    if key not in _written or not exists(spark, f"{_written[key]}/rounds/_SUCCESS"):  # the shared folder may have been cleared
         folder = f"{shared_dir(spark)}/granular-{uuid.uuid4().hex}"
         made = derive(spark, sf_dir)
         # Bouts and rounds are made of the corners, so these are written first and read again.
@@ -70,11 +79,6 @@ def read(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(*[spark.read.parquet(f"{folder}/{f.name}") for f in dataclasses.fields(Tables)])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(here)
-
-
 def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -92,6 +92,16 @@ def event_stats_documents(spark: SparkSession, path, rounds: bool = False, with_
     return lines.select(*own, *_line("l"), *([F.col("l.round").alias("round")] if rounds else []))
 
 
+def event_stats_checked(spark: SparkSession, paths: list[str], file_column: str, rounds: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(lines, faults): as event_stats_documents(), with the name of each line's file, and (file, fault) of the documents that can't be read or report no success."""
+    docs = spark.read.schema(EVENT_STATS_DOCUMENT + ", __faulty string").json(paths, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__faulty")
+    docs = docs.withColumn(file_column, F.element_at(F.split(F.input_file_name(), "/"), -1))
+    fault = F.when(F.col("__faulty").isNotNull(), "the document can't be read").when(~F.coalesce("success", F.lit(False)), "the document reports no success")
+    docs = docs.select(file_column, "data", fault.alias("fault"))
+    lines = docs.filter("fault is null").select(file_column, F.explode("data.roundStats" if rounds else "data.boutStats").alias("l"))
+    return lines.select(file_column, *_line("l"), *([F.col("l.round").alias("round")] if rounds else [])), docs.filter("fault is not null").select(file_column, "fault")
+
+
 def to_wire(lines: DataFrame) -> DataFrame:
     """Statistics lines in the text forms of the documents."""
     pairs = [stat_text(F.col(f"{n}_landed"), F.col(f"{n}_attempted")).alias(w) for w, n in _PAIRS.items()]
@@ -116,6 +126,17 @@ class CallBudget:
         self.used += 1
 
 
+def call_budget(given: int | None = None, env: str | None = None) -> CallBudget:
+    """The cap given, else that of the environment variable ``env``, else the usual one."""
+    raw = os.environ.get(env) if env else None
+    if given is None and raw:
+        try:
+            given = int(raw)
+        except ValueError:
+            raise ValueError(f"{env}={raw!r} is no number of calls") from None
+    return CallBudget() if given is None else CallBudget(given)
+
+
 class LandingZone:
     """Documents kept by key in a folder: fetched once, read from there afterwards."""
 

@@ -27,6 +27,6 @@ def follow_events(spark: SparkSession, arrivals: str, fighters: str, stats: str,
         slugs = rows.select(F.explode("bout.corners").alias("c")).select("c.slug").distinct()
         known = files.fighter_documents(spark, fighters).join(slugs, "slug", "left_semi")
         bouts = files.bout_stats_documents(spark, stats).join(rows.select("bout.bout_id").distinct(), "bout_id", "left_semi")
-        store.append(ingest.event_rows_to_add(store.read(), rows, known, bouts), f"{number:09d}-{uuid.uuid4().hex}")
+        store.update(lambda view: ingest.event_rows_to_add(ingest.tables_for(view, rows, known), rows, known, bouts, last=view.last_ids()), f"{number:09d}-{uuid.uuid4().hex}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

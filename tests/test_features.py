@@ -140,7 +140,7 @@ def test_materialize(spark, bio, rounds, tmp_path):
     assert matchup.materialize(m, path) == 5
     early = matchup.Matrix(m.frame.filter("bout_id <= 102").withColumn("height_cm_a", F.lit(1)), m.features)
     assert matchup.materialize(early, path) == 2
-    stored = {r["bout_id"]: r for r in spark.read.parquet(path).collect()}
+    stored = {r["bout_id"]: r for r in matchup.stored_features(spark, path).collect()}
     assert sorted(stored) == [101, 102, 103, 104, 105]
     payload = json.loads(stored[101]["features"])
     assert payload["height_cm_a"] == 1 and payload["win_rate_prior_a"] is None and set(payload) == set(m.features)
@@ -149,7 +149,7 @@ def test_materialize(spark, bio, rounds, tmp_path):
     # Read back, with the events' dates.
     bouts = spark.createDataFrame([(i, i * 10) for i in range(101, 106)], "id int, event_id int")
     events = spark.createDataFrame([(i * 10, dt.date(2020, 1, i - 100)) for i in range(101, 105)], "id int, date date")
-    raw = model.read_bout_features(spark.read.parquet(path), bouts, events)
+    raw = model.read_bout_features(matchup.stored_features(spark, path), bouts, events)
     assert raw.count() == 4  # the last bout's event isn't known
     rows, names = model.expand(raw)
     assert set(names) == set(m.features) and dict(rows.dtypes)["height_cm_a"] == "double" and dict(rows.dtypes)["stance_a"] == "string"
