@@ -14,7 +14,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int | N
     """(doc_id, text, y) of about ``most`` labelled documents at most, outside the held-out fold.
 
     y is 0 or 1; documents with no label, a null or both labels, or without a text are left out.  If there are more labelled
-    ids than ``most``, those with the lowest hashes of id are taken.  As ``most`` bounds them, the ids are broadcast.
+    ids than ``most``, those with the lowest hashes of id are taken.  As ``most`` bounds them, the ids are broadcast.  Of rows with one
+    id that with the smallest hash of its text is taken, so ``most`` bounds rows too.
     """
     ids = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id"), F.col(label).alias("y"))
     if folds is not None:
@@ -24,4 +25,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int | N
     if n > most:
         ids = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) < int(PARTS * most / n))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    mine = texts.join(F.broadcast(ids), "doc_id")
+    one = F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "text"))
+    return mine.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.text", "r.y")
