@@ -85,7 +85,7 @@ def test_an_event_opens_its_own_files(spark, tmp_path, monkeypatch):
     store.append(Tables(fighters, events, bouts, corners, none.rounds), "base")
     store.compact()
     opened = {}
-    for i, key in enumerate(("ufc-9001", "ufc-9002", "ufc-9003")):
+    for i, key in enumerate(("ufc-9001", "ufc-9002")):
         mine = docs(spark, tmp_path, key, f"2030-01-0{i + 1}", [("x1", "n0005-x", f"new-{i}")], ["n0005-x", f"new-{i}"])
         view = store.snapshot()
         part = ingest.tables_for(view, mine[0], mine[1])
@@ -101,7 +101,7 @@ def test_an_event_opens_its_own_files(spark, tmp_path, monkeypatch):
     assert sum(len(getattr(part, t).inputFiles()) for t in ("fighters", "events", "bouts", "bout_fighters")) <= 6
     assert not any(getattr(ingest.event_rows_to_add(part, *again, last=view.last_ids()), t).count() for t in ("fighters", "events", "bouts", "bout_fighters"))
     # Files that no commit names any more go; readers still find all rows.
-    assert store.vacuum(3600) == [] and len(store.vacuum(-1)) == 4 and store.read().bouts.count() == 1203 and store.read().fighters.count() == 903
+    assert store.vacuum(3600) == [] and len(store.vacuum(-1)) == 4 and store.read().bouts.count() == 1202 and store.read().fighters.count() == 902
 
 
 def test_compaction_beside_an_append(spark, tmp_path):
@@ -173,7 +173,7 @@ def test_feature_upserts(spark, tmp_path):
     want = dict.fromkeys(range(200), "first")
     assert store.upsert(rows(spark, range(200), "first")) == 200 and texts(store.read()) == want
     before = store.log.state()
-    for n in range(12):  # of one bout: one bucket is written each time, and rewritten once it has more than MOST sets
+    for n in range(9):  # of one bout: one bucket is written each time, and rewritten once it has more than MOST sets
         assert store.upsert(rows(spark, [17], f"again {n}")) == 1
         want[17] = f"again {n}"
         assert texts(store.read()) == want
