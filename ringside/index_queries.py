@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringside.operators.name_index import NameIndex
-from ringside.operators.pages import PagedTable
 from ringside.operators.prefix import running_sums
-from ringside.plans import features, matchup, state
+from ringside.plans import features, matchup, reads, state
 from ringside.plans.longframe import long_frame
 from ringside.queries import _LABELLED, _ON, _PIVOT, _T, MAIN, _labelled, query
 from ringside.schema import Tables
@@ -30,7 +29,7 @@ def name_search(t: Tables) -> DataFrame:
     """All fighters whose names match some patterns, by an index of grams."""
     index = NameIndex(t.fighters.sparkSession, _folder(t, "names"))
     index.write(t.fighters.select("id", "name"))
-    return functools.reduce(DataFrame.union, [index.search(s).select(F.lit(s).alias("asked"), "id", "name") for s in _SEARCHES])
+    return functools.reduce(DataFrame.union, [reads.named(t.fighters, s, index).select(F.lit(s).alias("asked"), "id", "name") for s in _SEARCHES])
 
 
 _OFFSETS = [0, 24, 1000, 100_000_000]
@@ -39,10 +38,10 @@ _OFFSETS = [0, 24, 1000, 100_000_000]
 @query(" UNION ALL ".join(f"SELECT {o} AS skipped, (SELECT CAST(count(*) AS BIGINT) FROM events_) AS total, id, CAST(date AS VARCHAR) AS date FROM (SELECT * FROM events_ ORDER BY date DESC, id DESC LIMIT 24 OFFSET {o})" for o in _OFFSETS))
 def deep_event_pages(t: Tables) -> DataFrame:
     """Pages of events, newest first, at any offset, each from one range of the ordered table."""
-    pages = PagedTable(t.events.sparkSession, _folder(t, "pages"), [F.col("date").desc(), F.col("id").desc()], "date")
-    pages.write(t.events.select("id", "name", "date"))
-    total = F.lit(pages.total()).cast("long").alias("total")
-    return functools.reduce(DataFrame.union, [pages.page(24, o).select(F.lit(o).alias("skipped"), total, "id", F.col("date").cast("string").alias("date")) for o in _OFFSETS])
+    pages = reads.event_pages(t.events.sparkSession, _folder(t, "pages"))
+    pages.write(t.events)
+    found = [reads.list_events(t, 24, o, pages) for o in _OFFSETS]
+    return functools.reduce(DataFrame.union, [p.items.select(F.lit(p.offset).alias("skipped"), F.lit(p.total).cast("long").alias("total"), "id", F.col("date").cast("string").alias("date")) for p in found])
 
 
 @query(_LABELLED + MAIN + "SELECT bout_id, CAST(k - 1 AS BIGINT) AS one_before, CAST(coalesce(sum(label) OVER (ORDER BY event_date, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS label_before FROM cut")

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.expr import corner_order, method_order, share
+from ringside.operators.name_index import NameIndex
+from ringside.operators.pages import PagedTable
 from ringside.schema import METHODS, STATS, Tables
 
 PAGE, LARGEST_PAGE = 50, 100
@@ -29,30 +31,44 @@ class Page:
     limit: int
     offset: int
 
+    known: int | None = None
+
     @property
     def total(self) -> int:
         """All that match, whatever the page."""
-        return self.matching.count()
+        return self.matching.count() if self.known is None else self.known
+
 
+def named(fighters: DataFrame, name: str | None, index: NameIndex | None = None) -> DataFrame:
+    """Fighters whose name contains ``name`` in any case; % and _ in it are wildcards, none or an empty one matches all.
 
-def named(fighters: DataFrame, name: str | None) -> DataFrame:
-    """Fighters whose name contains ``name`` in any case; % and _ in it are wildcards, none or an empty one matches all."""
-    return fighters.filter(F.col("name").ilike(f"%{name}%")) if name else fighters
+    With an index of the names only the lists of the name's grams are read, and then the fighters with the ids that are found.
+    """
+    if not name:
+        return fighters
+    return fighters.join(index.search(name).select("id"), "id", "left_semi") if index else fighters.filter(F.col("name").ilike(f"%{name}%"))
 
 
-def list_fighters(t: Tables, name: str | None = None, limit: int = PAGE, offset: int = 0) -> Page:
+def list_fighters(t: Tables, name: str | None = None, limit: int = PAGE, offset: int = 0, index: NameIndex | None = None) -> Page:
     limit, offset = page_bounds(limit, offset)
-    found = named(t.fighters, name)
+    found = named(t.fighters, name, index)
     return Page(found.orderBy("name", "id").offset(offset).limit(limit), found, limit, offset)
 
 
-def suggest_fighters(t: Tables, name: str, most: int = 8) -> DataFrame:
-    return named(t.fighters, name).orderBy("name", "id").limit(most)
+def suggest_fighters(t: Tables, name: str, most: int = 8, index: NameIndex | None = None) -> DataFrame:
+    return named(t.fighters, name, index).orderBy("name", "id").limit(most)
+
+
+def event_pages(spark: SparkSession, folder: str) -> PagedTable:
+    """The events in the order of list_events(), written by its write(t.events)."""
+    return PagedTable(spark, folder, [F.col("date").desc(), F.col("id").desc()], "date")
 
 
-def list_events(t: Tables, limit: int = PAGE, offset: int = 0) -> Page:
-    """Newest first."""
+def list_events(t: Tables, limit: int = PAGE, offset: int = 0, pages: PagedTable | None = None) -> Page:
+    """Newest first.  With event_pages() one range of these is read, and the total is known."""
     limit, offset = page_bounds(limit, offset)
+    if pages:
+        return Page(pages.page(limit, offset), t.events, limit, offset, pages.total())
     return Page(t.events.orderBy(F.col("date").desc(), F.col("id").desc()).offset(offset).limit(limit), t.events, limit, offset)
 
 

@@ -423,10 +423,11 @@ def insert_absent(t):
     return merge.insert_absent(old, new, cols[1:])
 
 
-@query("SELECT bout_id, fighter_id, CASE WHEN bout_id % 2 = 0 THEN CASE WHEN bout_id % 4 = 0 THEN NULL ELSE sig_strikes_landed END ELSE head_landed END AS head_landed, CASE WHEN bout_id % 2 = 0 THEN 'files' ELSE source END AS source FROM bout_fighters")
+@query("SELECT bout_id, fighter_id, CASE WHEN corner = 'red' THEN CASE WHEN knockdowns = 0 THEN NULL ELSE sig_strikes_landed END ELSE head_landed END AS head_landed, CASE WHEN corner = 'red' THEN 'files' ELSE source END AS source FROM bout_fighters")
 def update_only_backfill(t):
-    new = t.bout_fighters.filter("bout_id % 2 = 0").select("bout_id", "fighter_id", F.when(F.col("bout_id") % 4 != 0, F.col("sig_strikes_landed")).alias("head_landed"), F.lit("files").alias("source"))
-    extra = new.withColumn("bout_id", -F.col("bout_id") - 1)  # of no known bout: not inserted
+    """The file has all red corners, some without a number, and as many of unknown bouts, which are not inserted."""
+    new = t.bout_fighters.filter("corner = 'red'").select("bout_id", "fighter_id", F.when(F.col("knockdowns") != 0, F.col("sig_strikes_landed")).alias("head_landed"), F.lit("files").alias("source"))
+    extra = new.withColumn("bout_id", -F.col("bout_id") - 1)
     return merge.update_only(t.bout_fighters, new.union(extra), ["bout_id", "fighter_id"], ["head_landed", "source"]).select("bout_id", "fighter_id", "head_landed", "source")
 
 
