@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -264,23 +264,32 @@ def _lists(sets: DataFrame, t: Threshold) -> DataFrame:
     return lists.join(smallest, "token").filter(enough).drop("smallest")
 
 
-def scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold, pivots: int | None = None) -> DataFrame:
-    """The edges, with those that scanning the lists adds to them, as stars (v, root)."""
+def scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold, pivots: int | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The edges, with those that scanning the lists adds to them, as stars (v, root).
+
+    narrow: leaves out, after the first round, entries of which it knows that no other set of their lists is similar.  It may give
+    each entry ``tokens``, all lists of its set: then two sets that are in several lists together are compared in one of them.
+    """
     comp, k, n = components(edges), pivots or PIVOTS, lists.count()
     tested = None
     while True:
-        labelled = materialize(lists.join(comp, "v", "left").select("token", "v", "n", "rest", F.coalesce("root", "v").alias("root")), "labelled", n)
+        columns = lists.columns
+        labelled = materialize(lists.join(comp, "v", "left").select(*columns, F.coalesce("root", "v").alias("root")), "labelled", n)
         live = materialize(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "live", n)
-        lists = materialize(labelled.join(live, "token"), "lists", n)
+        lists = materialize(labelled.join(live, "token").select(*columns, "root"), "lists", n)
         n = lists.count()
         if not n:
             return comp
         order = F.row_number().over(_by_token())
         heads = materialize(lists.withColumn("k", order).filter(F.col("k") <= k).drop("k"), "pivots", n)
-        other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("other"))
+        other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("other"), *[F.col("tokens").alias("others")] * ("tokens" in columns))
         # By size; and at the first member that both have, which is in both prefixes, what is left of either must be enough.
         fits = (F.col("root") != F.col("other")) & (F.lit(t.den) * F.least("n", "m") >= F.lit(t.num) * F.greatest("n", "m")) & (F.lit(t.num + t.den) * F.least("rest", "left") >= F.lit(t.num) * (F.col("n") + F.col("m")))
-        pairs = _ordered(heads.join(other, "token").filter(fits), "v", "w")
+        own = heads
+        if "tokens" in columns:
+            mine = materialize(heads.groupBy("v").agg(F.collect_set("token").alias("mine")), "pivots-lists", n)  # of the lists of one set
+            own, fits = heads.drop("tokens").join(mine, "v"), fits & (F.array_min(F.array_intersect("mine", "others")) == F.col("token"))
+        pairs = _ordered(own.join(other, "token").filter(fits), "v", "w")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -288,7 +297,9 @@ def scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold, pivo
         links = materialize(_verified(pairs, sets, t), "links")
         if not links.isEmpty():
             comp = components(links.union(comp.select(F.col("v").alias("a"), F.col("root").alias("b"))))
-        lists = lists.join(heads.select("token", "v"), ["token", "v"], "left_anti").select("token", "v", "n", "rest")
+        lists = lists.join(heads.select("token", "v"), ["token", "v"], "left_anti").select(*columns)
+        if narrow:
+            lists = narrow(materialize(lists, "rest", n))
         k *= GROWTH
 
 

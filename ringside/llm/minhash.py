@@ -10,6 +10,11 @@ other set of it that is not yet known to be connected with the hub.  Edges are c
 is not dropped: the hub leaves the bucket, and further hubs follow (8 times as many in each round) until all that is left of a bucket
 is connected, so buckets of copies cost one edge a copy and any others are searched to the end, without a cap.
 
+Before further hubs, the members that the sets left in buckets have in common with any other of them are counted.  Two sets can't share
+more members than either of them shares with all, which is exact and ends most of these searches: a text with a passage that many have,
+or one that was changed too much to be a near copy, has too many members of its own.  Two sets that are in several buckets together
+are compared in one of them.
+
 Exact copies of a set are one vertex throughout.  Hubs, confirmation and components are those of the exact join (jaccard.py); all
 steps are joins and aggregations by bucket or vertex, over tables in the shared folder.
 
@@ -91,6 +96,17 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
     return with_fields(docs, "text", "n_shingles long, sig binary, bands array<long>", make).drop("text")
 
 
+def _narrowed(lists: DataFrame, sets: DataFrame, t: jaccard.Threshold) -> DataFrame:
+    """The entries of sets that hold enough members that another set of any list holds too; rest is how many these are, tokens the set's lists."""
+    here = materialize(lists.groupBy("v").agg(F.collect_list("token").alias("tokens")), "left")  # of the bands of one set
+    members = sets.join(here.select("v"), "v", "left_semi").select("v", F.explode("members").alias("member"))
+    common = materialize(members.groupBy("member").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("member"), "common")
+    shared = materialize(members.join(common, "member").groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("shared")), "shared-members")
+    enough = F.lit(t.den) * F.col("shared") >= F.lit(t.num) * F.col("n")
+    left = materialize(here.join(shared, "v"), "narrowed")
+    return lists.select("token", "v", "n").join(left, "v").filter(enough).select("token", "v", "n", F.col("shared").alias("rest"), "tokens")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that its links reach, its own included), kept."""
     t = jaccard.Threshold(*threshold)
@@ -104,6 +120,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     stay = classes.join(buckets.select("v").distinct(), "v", "left_semi").select("v", "n", "sig", "low")
     sets = materialize(jaccard.full_sets(docs, materialize(stay, "shared-classes"), words), "sets")
     none = buckets.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
-    roots = jaccard.scan(buckets, sets, none, t, pivots=1)
+    roots = jaccard.scan(buckets, sets, none, t, pivots=1, narrow=lambda lists: _narrowed(lists, sets, t))
     found = jaccard.documents(own, classes, roots)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

