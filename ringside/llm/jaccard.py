@@ -268,7 +268,9 @@ def scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold, pivo
     """The edges, with those that scanning the lists adds to them, as stars (v, root).
 
     narrow: leaves out, after the first round, entries of which it knows that no other set of their lists is similar.  It may give
-    each entry ``tokens``, all lists of its set: then two sets that are in several lists together are compared in one of them.
+    each entry ``tokens``, all lists of its set: then two sets that are in several lists together are compared in one of them.  And it
+    may give ``bits`` and ``outside``: which members of a set of the list, the same for all entries, the entry has, and how many others it
+    can have in common with any; then only pairs are candidates that can have enough members in common by that.
     """
     comp, k, n = components(edges), pivots or PIVOTS, lists.count()
     tested = None
@@ -282,13 +284,16 @@ def scan(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold, pivo
             return comp
         order = F.row_number().over(_by_token())
         heads = materialize(lists.withColumn("k", order).filter(F.col("k") <= k).drop("k"), "pivots", n)
-        other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("other"), *[F.col("tokens").alias("others")] * ("tokens" in columns))
+        other = lists.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("tokens", "bits", "outside") if c in columns])
         # By size; and at the first member that both have, which is in both prefixes, what is left of either must be enough.
         fits = (F.col("root") != F.col("other")) & (F.lit(t.den) * F.least("n", "m") >= F.lit(t.num) * F.greatest("n", "m")) & (F.lit(t.num + t.den) * F.least("rest", "left") >= F.lit(t.num) * (F.col("n") + F.col("m")))
+        if "bits" in columns:
+            both = F.aggregate(F.zip_with("bits", "other_bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, k: n + k)
+            fits = fits & (F.lit(t.num + t.den) * (both + F.least("outside", "other_outside")) >= F.lit(t.num) * (F.col("n") + F.col("m")))
         own = heads
         if "tokens" in columns:
             mine = materialize(heads.groupBy("v").agg(F.collect_set("token").alias("mine")), "pivots-lists", n)  # of the lists of one set
-            own, fits = heads.drop("tokens").join(mine, "v"), fits & (F.array_min(F.array_intersect("mine", "others")) == F.col("token"))
+            own, fits = heads.drop("tokens").join(mine, "v"), fits & (F.array_min(F.array_intersect("mine", "other_tokens")) == F.col("token"))
         pairs = _ordered(own.join(other, "token").filter(fits), "v", "w")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

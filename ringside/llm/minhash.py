@@ -13,7 +13,8 @@ is connected, so buckets of copies cost one edge a copy and any others are searc
 Before further hubs, the members that the sets left in buckets have in common with any other of them are counted.  Two sets can't share
 more members than either of them shares with all, which is exact and ends most of these searches: a text with a passage that many have,
 or one that was changed too much to be a near copy, has too many members of its own.  Two sets that are in several buckets together
-are compared in one of them.
+are compared in one of them.  Of each bucket one set is the reference, of whose members every other set has a bitmap: two bitmaps and what
+the sets hold beside it bound what two sets can have in common, exactly again, so that few pairs but the similar ones are fetched.
 
 Exact copies of a set are one vertex throughout.  Hubs, confirmation and components are those of the exact join (jaccard.py); all
 steps are joins and aggregations by bucket or vertex, over tables in the shared folder.
@@ -28,12 +29,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ringside.llm import jaccard
-from ringside.llm.common import materialize, with_fields
+from ringside.llm.common import materialize, small_batches, with_fields
 
 BANDS, ROWS = 32, 5
 #: Bins that an empty bin asks at once.
@@ -96,15 +99,38 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
     return with_fields(docs, "text", "n_shingles long, sig binary, bands array<long>", make).drop("text")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bits(reference: pd.Series, members: pd.Series) -> pd.Series:
+    """Which members of the reference a set has, 64 in a number."""
+    out = []
+    for r, m in zip(reference, members, strict=True):
+        packed = np.packbits(np.isin(r, m, assume_unique=True))
+        out.append(np.pad(packed, (0, -len(packed) % 8)).view(np.int64))
+    return pd.Series(out)
+
+
 def _narrowed(lists: DataFrame, sets: DataFrame, t: jaccard.Threshold) -> DataFrame:
-    """The entries of sets that hold enough members that another set of any list holds too; rest is how many these are, tokens the set's lists."""
+    """The entries of sets that hold enough members that another set of any list holds too; rest is how many these are, tokens the set's lists.
+
+    At first, one set of each list is its reference: bits are the members that an entry has of it, and outside is how many of its
+    others another set holds.
+    """
     here = materialize(lists.groupBy("v").agg(F.collect_list("token").alias("tokens")), "left")  # of the bands of one set
     members = sets.join(here.select("v"), "v", "left_semi").select("v", F.explode("members").alias("member"))
     common = materialize(members.groupBy("member").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("member"), "common")
     shared = materialize(members.join(common, "member").groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("shared")), "shared-members")
-    enough = F.lit(t.den) * F.col("shared") >= F.lit(t.num) * F.col("n")
     left = materialize(here.join(shared, "v"), "narrowed")
-    return lists.select("token", "v", "n").join(left, "v").filter(enough).select("token", "v", "n", F.col("shared").alias("rest"), "tokens")
+    first = "bits" not in lists.columns
+    enough = F.lit(t.den) * F.col("shared") >= F.lit(t.num) * F.col("n")
+    rows = lists.select("token", "v", "n", *[] if first else ["bits", "outside"]).join(left, "v").filter(enough)
+    if first:
+        rows = materialize(rows, "narrowed-lists")
+        own = sets.select("v", "members")
+        reference = materialize(rows.groupBy("token").agg(F.min("v").alias("v")).join(own, "v").select("token", F.col("members").alias("reference")), "references")
+        rows = rows.join(own, "v").join(reference, "token").withColumn("bits", _bits.asNondeterministic()("reference", "members")).drop("reference", "members")
+        # What an entry has of the reference is held by both; the reference has all of its own members.
+        rows = rows.withColumn("outside", F.greatest(F.lit(0), F.col("shared") - F.aggregate("bits", F.lit(0), lambda n, b: n + F.bit_count(b))))
+    return rows.select("token", "v", "n", F.col("shared").alias("rest"), "tokens", "bits", "outside")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,6 +145,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     buckets = materialize(entries.join(shared, "token").select("token", "v", "n", F.col("n").alias("rest")), "buckets")
     stay = classes.join(buckets.select("v").distinct(), "v", "left_semi").select("v", "n", "sig", "low")
     sets = materialize(jaccard.full_sets(docs, materialize(stay, "shared-classes"), words), "sets")
+    small_batches(docs.sparkSession)
     none = buckets.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
     roots = jaccard.scan(buckets, sets, none, t, pivots=1, narrow=lambda lists: _narrowed(lists, sets, t))
     found = jaccard.documents(own, classes, roots)
