@@ -207,6 +207,9 @@ def word_encoder(config: str) -> WordEncoder:
     return kept(("words", config), lambda: WordEncoder(config))
 
 
+#: Rows of one id go to ranges by so much of their texts, in whose order they are written.
+RANGE_CHARS = 64
+
 FILES = "shard int, seq int, doc_ids binary, nulls binary, first long, n_ids long, content binary"
 
 
@@ -258,7 +261,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS).asc_nulls_first())  # null ids, and one of many rows, are divided too
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .withColumn("shard", F.spark_partition_id())
     )
