@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ringside.llm.common import free_name, with_struct
 
 #: Elements of HTML whose text is not shown, or is no text.
-HIDDEN = {"script", "style", "head", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "canvas", "audio", "video", "map"}
+HIDDEN = {"script", "style", "head", "noscript", "template", "svg", "annotation", "annotation-xml", "iframe", "object", "textarea", "select", "canvas", "audio", "video", "map"}
 #: Of these, up to the end tag everything is text.
 RAW = {"script", "style", "textarea", "iframe", "noscript"}
 _RAW_ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
