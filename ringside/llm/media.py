@@ -1,6 +1,7 @@
 """Media columns: texts or samples kept in lossless WebP images, and read back as pixel arrays.
 
-A payload is a text's UTF-8 bytes and 1 to 64 bytes of 0, up to a multiple of 64.  Its bytes are the samples of an image, four
+A payload is a text's UTF-8 bytes and bytes of 0, up to a positive multiple of 64: 1 to 64 of them, so that there is always an end, or
+only as many as are needed, if ``least`` is 0.  Its bytes are the samples of an image, four
 to a pixel in the order red, green, blue, alpha, in rows of 16 pixels; payloads too long for 16,384 such rows take rows of 32,
 64, ... pixels, so that an image holds up to 1 GiB, more than a row of a Spark table can.
 
@@ -23,9 +24,10 @@ UNIT = 64
 ROW = 16  # pixels
 
 
-def payload(text: str | None) -> bytes:
+def payload(text: str | None, least: int = 1) -> bytes:
+    """The bytes of a text, with ``least`` bytes of 0 or more."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    return raw + b"\0" * (UNIT - len(raw) % UNIT)
+    return raw.ljust(max(1, -(-(len(raw) + least) // UNIT)) * UNIT, b"\0")
 
 
 def to_pixels(data: bytes) -> np.ndarray:
@@ -82,11 +84,11 @@ def read(df: DataFrame, media_col: str = "media") -> DataFrame:
 DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digests(df: DataFrame, text_col: str = "text") -> DataFrame:
+def digests(df: DataFrame, text_col: str = "text", least: int = 1) -> DataFrame:
     """``df`` with digests of what each text's image gives when it is read: the image needn't leave the worker."""
 
     def one(text):
-        media = webp.encode(to_pixels(payload(text)))
+        media = webp.encode(to_pixels(payload(text, least)))
         pixels = webp.decode(media)
         data = from_pixels(pixels)
         n = len((text or "").encode("utf-8", "surrogatepass"))

@@ -57,7 +57,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return media.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), least=0).drop("text")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from ringside.llm import media, webp
+from ringside.llm.queries import op9_webp_media
 
 OPTIONS = [
     {},
@@ -140,6 +141,18 @@ def test_columns(spark):
     assert media.digests(df.limit(0)).count() == 0
 
 
+def test_query_pads_to_the_next_multiple(spark, tmp_path):
+    """Texts of a multiple of 64 bytes are payloads as they are; only empty ones are filled up from nothing."""
+    texts = [None, "", "x" * 63, "y" * 64, "z" * 65, "\0" * 128, "é" * 32, "q" * 4096]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {x["doc_id"]: x for x in op9_webp_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        data = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        x = rows[i]
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+
+
 def test_wide_images(monkeypatch):
     monkeypatch.setattr(webp, "MOST", 8)
     for n in (1, 511, 512, 513, 1500, 2048):
