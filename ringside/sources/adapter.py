@@ -52,6 +52,27 @@ _written: dict[tuple, str] = {}
 
 INPUTS = ["lineitem", "orders", "supplier"]
 
+#: Rows of the largest table that a shuffle's task should have at most before small ones are joined, and MB that joined ones should have.
+#: A shuffled row of statistics takes some 20 bytes and ten times as much while it is grouped or sorted.
+TASK_ROWS, TASK_MB = 250_000, 8
+SIZE, NUMBER = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: Numbers of partitions that small_tasks() has set, by session.
+_numbers: dict[str, str] = {}
+
+
+def small_tasks(spark: SparkSession, rows: int) -> None:
+    """Let shuffles have tasks of a size that doesn't grow with the tables, of which the largest has ``rows``; what the user has set stays.
+
+    Spark's defaults are a fixed number of partitions, and 64 MB of compressed rows for joined ones, which are gigabytes in memory here.
+    """
+    own = spark.sparkContext.applicationId
+    if spark.conf.get(SIZE, None) is None:
+        spark.conf.set(SIZE, f"{TASK_MB}m")
+    if spark.conf.get(NUMBER, None) == _numbers.get(own):  # not set, or set here for other tables
+        number = str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)))
+        spark.conf.set(NUMBER, number)
+        _numbers[own] = number
+
 
 def _files(spark: SparkSession, path: str) -> list[tuple]:
     """Name, size and time of each file of a table: other ones are another table."""
@@ -65,6 +86,7 @@ def read(spark: SparkSession, sf_dir: str) -> Tables:
 
     Queries then read only the columns that they need of files whose sizes Spark knows, as of any stored tables.
     """
+    small_tasks(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())  # of the files' footers
     key = (spark.sparkContext.applicationId, *(f for n in INPUTS for f in _files(spark, f"{sf_dir}/{n}.parquet")))
     if key not in _written or not exists(spark, f"{_written[key]}/rounds/_SUCCESS"):  # the shared folder may have been cleared
         folder = f"{shared_dir(spark)}/granular-{uuid.uuid4().hex}"
@@ -140,9 +162,10 @@ def derive(spark: SparkSession, sf_dir: str, stored: DataFrame | None = None) ->
         (key % 3).cast("int").alias("draws"),
         F.lit("tables").alias("source"),
     )
-    per_round = lines.groupBy("bout_id", "fighter_id", "ln").agg(*[c.alias(s) for s, c in stats.items()])
-    seats = corners.select("bout_id", "fighter_id", "seat")
-    per_round = _measured(per_round.join(seats, ["bout_id", "fighter_id"]))
+    # A round's lines meet the two of their bout by the bout alone, as they lie, so statistics don't move once more.
+    pairs = corners.groupBy("bout_id").agg(who(1).alias("red"), who(2).alias("blue"))
+    own = lines.join(pairs, "bout_id").withColumn("seat", F.when(F.col("fighter_id") == F.col("red"), 1).when(F.col("fighter_id") == F.col("blue"), 2)).filter("seat is not null")
+    per_round = _measured(own.groupBy("bout_id", "seat", "ln").agg(*[c.alias(s) for s, c in stats.items()]))
     rounds = per_round.select((F.col("bout_id") * 20 + F.col("seat") * 10 + F.col("ln")).alias("id"), (F.col("bout_id") * 2 + F.col("seat") - 1).alias("bout_fighter_id"), F.col("ln").alias("round"), *STATS, F.lit("tables").alias("source"))
     return Tables(fighters, events, bouts, bout_fighters, rounds)
 
