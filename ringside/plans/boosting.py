@@ -71,15 +71,19 @@ class Tree:
         return self.left[node], self.right[node]
 
     def place(self, bins: np.ndarray, missing: int) -> np.ndarray:
-        """The leaf of each row."""
-        feature, at, low = np.array(self.feature), np.array(self.bin), np.array(self.missing_left)
-        left, right = np.array(self.left), np.array(self.right)
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while len(rows):
-            n = node[rows]
-            rows, n = rows[feature[n] >= 0], n[feature[n] >= 0]
-            b = bins[rows, feature[n]]
-            node[rows] = np.where(np.where(b == missing, low[n], b <= at[n]), left[n], right[n])
+        """The leaf of each row: a step for each level, by a table of where each node sends each bin; leaves keep their rows."""
+        nodes, every = np.arange(len(self.feature)), missing + 1
+        inner = np.array(self.feature) >= 0
+        left, right = np.where(inner, self.left, nodes), np.where(inner, self.right, nodes)
+        following = np.where(np.arange(every) <= np.array(self.bin)[:, None], left[:, None], right[:, None])
+        following[:, missing] = np.where(self.missing_left, left, right)
+        level = [0] * len(nodes)
+        for n in np.flatnonzero(inner):  # children stand after their parents
+            level[self.left[n]] = level[self.right[n]] = level[n] + 1
+        feature, following, values = np.where(inner, self.feature, 0), following.ravel(), bins.ravel()
+        row, node = np.arange(len(bins)) * bins.shape[1], np.zeros(len(bins), np.int64)
+        for _ in range(max(level)):
+            node = following.take(node * every + values.take(row + feature.take(node)))
         return node
 
     def values(self, bins: np.ndarray, missing: int) -> np.ndarray:
@@ -162,11 +166,18 @@ BINNED = "y int, score double, bins binary"
 
 
 def _bytes(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    """The rows of bins as a matrix, which lie one after another as Arrow has them."""
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(data, np.uint8, len(column) * width, int(first)).reshape(-1, width)
 
 
 def _batch(y: pa.Array, score: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
-    data = pa.array([r.tobytes() for r in bins], pa.binary())
+    n, width = bins.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * width
+    data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bins))])
     return pa.RecordBatch.from_arrays([y, pa.array(score, pa.float64()), data], ["y", "score", "bins"])
 
 
@@ -195,20 +206,21 @@ def histograms(state: DataFrame, trees: list[Tree], tree: Tree, nodes: list[int]
     every = bins + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, len(nodes) * width * every), np.int64)
+        total = np.zeros((3, len(nodes), width, every), np.int64)
         slot_of = np.full(len(tree.feature), -1)
         slot_of[nodes] = np.arange(len(nodes))
-        offset = np.arange(width) * every
         for b in batches:
             rows = _bytes(b.column("bins"), width)
             score = sum((t.values(rows, bins) for t in trees), b.column("score").to_numpy())
             g, h = gradients(b.column("y").to_numpy(), score)
             slot = slot_of[tree.place(rows, bins)]
             mine = slot >= 0
-            at = (slot[mine, None] * (width * every) + offset + rows[mine]).ravel()
-            for k, weight in enumerate((g[mine], h[mine])):
-                total[k] += np.bincount(at, np.repeat(weight, width), total.shape[1]).astype(np.int64)  # exact: a batch's sums are below 2**53
-            total[2] += np.bincount(at, minlength=total.shape[1])
+            at, g, h = slot[mine] * every, g[mine], h[mine]
+            for i, own in enumerate(np.ascontiguousarray(rows[mine].T)):
+                one = at + own
+                for k, weight in enumerate((g, h, None)):
+                    total[k, :, i] += np.bincount(one, weight, len(nodes) * every).astype(np.int64).reshape(-1, every)  # exact: a batch's sums are below 2**53
+        total = total.reshape(3, -1)
         key = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(t[key], pa.int64()) for t in total]], ["key", "g", "h", "n"])
 
