@@ -15,6 +15,7 @@ of transparent pixels too.
 
 from __future__ import annotations
 
+import array
 import heapq
 from functools import lru_cache
 from itertools import groupby
@@ -403,16 +404,21 @@ def _all_at_once(r: Reader, tables: list, cache_bits: int, width: int, height: i
         if not table[0]:
             return None
         if id(table) not in known:
-            known[id(table)] = np.minimum(here + table[2][peek & np.uint32((1 << table[0]) - 1)], last)
+            known[id(table)] = np.minimum(here + table[2].take(peek & np.uint32((1 << table[0]) - 1)), last)
         return known[id(table)]
 
     def then(at, end):
-        return at if end is None else end if at is here else end[at]
+        return at if end is None else end if at is here else end.take(at)
 
     at_red = then(here, ends(green))
-    at_blue = then(at_red, ends(red))
-    at_alpha = then(at_blue, ends(blue))
-    following = then(at_alpha, ends(alpha))
+    if green is red and green is blue and green is alpha:  # one code: two symbols on, twice
+        at_blue = at_alpha = None
+        two = then(at_red, ends(red))
+        following = then(two, two)
+    else:
+        at_blue = then(at_red, ends(red))
+        at_alpha = then(at_blue, ends(blue))
+        following = then(at_alpha, ends(alpha))
     following = following.copy() if following is here or any(following is e for e in known.values()) else following
     first = green[1][peek & np.uint32((1 << green[0]) - 1)] if green[0] else np.full(len(peek), green[1][0]) if green[1][0] >= 256 else None
     others = np.flatnonzero(first >= 256) if first is not None else here[:0]
@@ -428,7 +434,7 @@ def _all_at_once(r: Reader, tables: list, cache_bits: int, width: int, height: i
             farther = np.zeros(len(peek), np.int64)
             farther[copies] = distance
     # Follow the ends.
-    hop, p, starts, done = memoryview(following), r.at - 8 * base, [], 0
+    hop, p, starts, done = array.array("q", following.tobytes()), r.at - 8 * base, [], 0
     if longer is not None:
         lengths = memoryview(longer)
         while done < n:
@@ -436,8 +442,9 @@ def _all_at_once(r: Reader, tables: list, cache_bits: int, width: int, height: i
             done += lengths[p] or 1
             p = hop[p]
     else:
+        put = starts.append
         for _ in range(n):
-            starts.append(p)
+            put(p)
             p = hop[p]
     r.at = 8 * base + p
     if r.at > 8 * len(r.data):
@@ -445,17 +452,27 @@ def _all_at_once(r: Reader, tables: list, cache_bits: int, width: int, height: i
     s = np.array(starts, np.int64)
 
     def values(table, at):
-        return table[1][peek[at] & np.uint32((1 << table[0]) - 1)] if table[0] else np.full(len(at), table[1][0])
+        return table[1].take(peek.take(at) & np.uint32((1 << table[0]) - 1)) if table[0] else np.full(len(at), table[1][0])
+
+    def places(s):
+        """Where red, blue and alpha of the pixels that start at ``s`` begin."""
+        if at_blue is not None:
+            return at_red.take(s), at_blue.take(s), at_alpha.take(s)
+        second = at_red.take(s)
+        third = at_red.take(second)
+        return second, third, at_red.take(third)
 
     if not len(others):
-        out[:, 1], out[:, 0], out[:, 2], out[:, 3] = values(green, s), values(red, at_red[s]), values(blue, at_blue[s]), values(alpha, at_alpha[s])
+        second, third, fourth = places(s)
+        out[:, 1], out[:, 0], out[:, 2], out[:, 3] = values(green, s), values(red, second), values(blue, third), values(alpha, fourth)
         return out.reshape(height, width, 4)
     symbol = first[s]
     long = longer[s] if longer is not None else np.zeros(len(s), np.int64)
     place = np.cumsum(np.maximum(long, 1)) - np.maximum(long, 1)
     lit = symbol < 256
     q, to = s[lit], place[lit]
-    out[to, 1], out[to, 0], out[to, 2], out[to, 3] = values(green, q), values(red, at_red[q]), values(blue, at_blue[q]), values(alpha, at_alpha[q])
+    second, third, fourth = places(q)
+    out[to, 1], out[to, 0], out[to, 2], out[to, 3] = values(green, q), values(red, second), values(blue, third), values(alpha, fourth)
     held = symbol >= 280
     if held.any() and not long.any() and _fill_held(out, lit, np.where(held, symbol - 280, 0), cache_bits):
         return out.reshape(height, width, 4)
