@@ -74,9 +74,12 @@ class Advance:
     late: DataFrame
 
 
-def advance(states: DataFrame, frame: DataFrame, fighters: DataFrame, shares: DataFrame) -> Advance:
-    """Features of a long frame's rows, all of them new, and the states after them.  Both corners of a bout come together."""
-    rows = prepared(frame, shares)
+def advance(states: DataFrame, frame: DataFrame, fighters: DataFrame, shares: DataFrame, rows: DataFrame | None = None) -> Advance:
+    """Features of a long frame's rows, all of them new, and the states after them.  Both corners of a bout come together.
+
+    rows: prepared() of them, where it is a table already.
+    """
+    rows = prepared(frame, shares) if rows is None else rows
     last = states.select("fighter_id", F.element_at("recent", -1).alias("__last"))
     behind = F.struct(F.col("event_date"), F.col("bout_id").cast("long")) <= F.struct(F.col("__last.event_date"), F.col("__last.bout_id"))
     late = rows.select("fighter_id", *ORDER).join(last, "fighter_id").filter(behind).select("fighter_id").distinct()
@@ -104,7 +107,7 @@ def take_up(states: KeyedStore, features: KeyedStore, frame: DataFrame, fighters
     that was killed between the two is repeated from the old states.
     """
     known = cut(states.read_keys(frame.select("fighter_id")))
-    step = advance(known, frame, fighters, shares)
+    step = advance(known, frame, fighters, shares, cut(prepared(frame, shares)))  # which is read for each of the three
     late, rows, after = cut(step.late), step.features, step.states
     if not late.isEmpty():
         if history is None:

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringside.sources.commits import CommitLog, Conflict, State
-from ringside.sources.scratch import cut
 
 #: Sets of files that a bucket may have before it is rewritten.
 MOST = 8
@@ -78,11 +77,12 @@ class KeyedStore:
         state = self.log.state()
         number = self.buckets(state)
         empty = self.spark.createDataFrame([], self.schema)
-        rows = cut(empty.unionByName(rows, allowMissingColumns=True).to(empty.schema).withColumn("bucket", self._bucket(number)))
-        counts = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each bucket
-        if not counts:
+        rows = empty.unionByName(rows, allowMissingColumns=True).to(empty.schema).withColumn("bucket", self._bucket(number))
+        path = self._new_folder()
+        added = self._write(rows, path)
+        if not added:
+            self.log.delete(path)
             return 0
-        added = self._write(rows, counts)
         while True:
             try:
                 self.log.put(state, added, most={"buckets": number})
@@ -90,15 +90,20 @@ class KeyedStore:
             except Conflict:  # upserts follow one another in the order of their commits
                 state = self.log.state()
                 if self.buckets(state) != number:
-                    self.log.delete(added[0]["path"].rsplit("/", 1)[0])
-                    return self.upsert(rows.drop("bucket"))
+                    done = self.upsert(self.spark.read.schema(self.schema).parquet(path))
+                    self.log.delete(path)
+                    return done
         self.compact()
-        return sum(counts.values())
+        return sum(f["rows"] for f in added)
 
-    def _write(self, rows: DataFrame, counts: dict[int, int]) -> list[dict]:
-        path = f"{self.folder}/{uuid.uuid4().hex}"
+    def _new_folder(self) -> str:
+        return f"{self.folder}/{uuid.uuid4().hex}"
+
+    def _write(self, rows: DataFrame, path: str) -> list[dict]:
+        """Write the rows, once, and return the log's entries for them, counted from the files."""
         rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        return [{"path": f"{path}/bucket={b}", "bucket": b, "rows": n} for b, n in sorted(counts.items())]
+        found = self.spark.read.schema(f"{self.schema}, bucket int").parquet(path).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each bucket
+        return [{"path": f"{path}/bucket={b}", "bucket": b, "rows": n} for b, n in sorted((r["bucket"], r["n"]) for r in found)]
 
     def compact(self, most: int = MOST) -> list[int]:
         """Rewrite each bucket that has more than ``most`` sets of files; returns these buckets.
@@ -110,9 +115,8 @@ class KeyedStore:
         if not full:
             return []
         rows = self.read(state, set(full))
-        rows = cut(rows.withColumn("bucket", self._bucket(self.buckets(state))))
-        counts = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-        added = self._write(rows, counts)
+        path = self._new_folder()
+        added = self._write(rows.withColumn("bucket", self._bucket(self.buckets(state))), path)
         old = [p for s in full.values() for p in s]
         while True:
             try:
@@ -125,7 +129,7 @@ class KeyedStore:
             except Conflict:
                 state = self.log.state()
             except LookupError:
-                self.log.delete(added[0]["path"].rsplit("/", 1)[0])
+                self.log.delete(path)
                 return []
 
     def vacuum(self, seconds: float = 7 * 86400, keep: int = 1) -> list[str]:

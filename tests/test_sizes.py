@@ -3,6 +3,7 @@
 from pathlib import Path
 
 from ringside.sources import adapter, scratch
+from ringside.sources.keyed_store import KeyedStore
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -42,3 +43,12 @@ def test_rounds_meet_corners_by_bout(spark):
     made = adapter.derive(spark, SMALL, corners).rounds
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(bout_id" in plan and not [p for p in plan.splitlines() if "Exchange hashpartitioning" in p and "fighter_id" in p]
+
+
+def test_an_upsert_writes_its_rows_once(spark, tmp_path):
+    """Nothing but the rows' own files is written on the way into a keyed store."""
+    files = lambda: sorted(str(p) for p in Path(scratch.shared_dir(spark)).rglob("*"))
+    spark.range(1).count()
+    store, before = KeyedStore(spark, str(tmp_path / "store"), "id long, text string", "id", 4), files()
+    assert store.upsert(spark.range(100).selectExpr("id", "'t' AS text")) == 100 and store.upsert(store.read().limit(0)) == 0
+    assert files() == before and store.read().count() == 100
