@@ -32,7 +32,8 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it again.
 
     This cuts the lineage: what comes after reads files that survive the loss of any executor.  Where it is known that there are
-    no more than about ``rows``, a table of few rows is made and written by few tasks.
+    no more than about ``rows``, a table of few rows is made and written by few tasks; such a ``df`` has no Python function, which would
+    hold memory for each partition that a task takes until the task ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

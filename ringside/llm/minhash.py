@@ -130,6 +130,7 @@ def _narrowed(lists: DataFrame, sets: DataFrame, t: jaccard.Threshold) -> DataFr
         rows = rows.join(own, "v").join(reference, "token").withColumn("bits", _bits.asNondeterministic()("reference", "members")).drop("reference", "members")
         # What an entry has of the reference is held by both; the reference has all of its own members.
         rows = rows.withColumn("outside", F.greatest(F.lit(0), F.col("shared") - F.aggregate("bits", F.lit(0), lambda n, b: n + F.bit_count(b))))
+        rows = materialize(rows, "narrowed-bits")  # by itself: what follows joins partitions in tasks
     return rows.select("token", "v", "n", F.col("shared").alias("rest"), "tokens", "bits", "outside")
 
 

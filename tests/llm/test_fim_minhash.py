@@ -108,6 +108,25 @@ def test_edges_are_stars(spark, monkeypatch):
     assert sum(counted) < 40 * len(rows)
 
 
+def test_joined_partitions_run_no_python(spark, monkeypatch):
+    """A task that takes many partitions keeps a page for each in which a Python function runs: such tables are written partition by partition."""
+    joined, seen = [], []
+    for module in (jaccard, minhash):
+
+        def write(df, name, rows=None, own=module.materialize):
+            seen.append(name)
+            if rows is not None and "EvalPython" in df._jdf.queryExecution().optimizedPlan().toString():
+                joined.append(name)
+            return own(df, name, rows)
+
+        monkeypatch.setattr(module, "materialize", write)
+    monkeypatch.setattr(minhash.Sketcher, "band_hashes", lambda self, h: [1] if len(h) else [])
+    rows = corpus(31)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOC).repartition(3), 4, (80, 100)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 4, 80, 100)
+    assert "references" in seen and "labelled" in seen and not joined
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], DOC)
     assert minhash.near_duplicates(none).count() == 0
