@@ -15,10 +15,8 @@ of transparent pixels too.
 
 from __future__ import annotations
 
-import array
 import heapq
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 
@@ -120,7 +118,7 @@ def _table(lengths: bytes) -> tuple[int, np.ndarray, np.ndarray]:
         raise ValueError("not a complete prefix code")
     # In the order of codes the table is runs of symbols; it is looked up by mirrored bits.
     mirrored = _MIRROR[: 1 << bits] >> (LONGEST - bits)
-    return bits, np.repeat(order, spread)[mirrored].astype(np.int32), np.repeat(own, spread)[mirrored].astype(np.int32)
+    return bits, np.repeat(order.astype(np.int32), spread).take(mirrored, mode="clip"), np.repeat(own.astype(np.int32), spread).take(mirrored, mode="clip")
 
 
 # ---------------------------------------------------------------- bits
@@ -148,7 +146,7 @@ class Writer:
         out = np.zeros(n_words, np.uint64)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[starts]] = np.bitwise_or.reduceat(values << shift, starts)
-        over = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        over = (values >> np.uint64(1)) >> (np.uint64(63) - shift)
         out[word[starts] + 1] |= np.bitwise_or.reduceat(over, starts)
         self.value |= int.from_bytes(out.tobytes(), "little") << self.n
         self.n += total
@@ -198,8 +196,10 @@ def _stored(lengths: bytes) -> tuple[int, int]:
         return 0b101 | (len(own) - 1) << 3, 11
     items: list[tuple[int, int, int]] = []  # (symbol, extra, its bits)
     add = items.append
-    for v, group in groupby(own):
-        n = len(list(group))
+    edges = np.flatnonzero(np.diff(np.frombuffer(lengths, np.uint8))) + 1
+    begins = [0, *edges.tolist()]
+    for a, b in zip(begins, [*begins[1:], len(own)], strict=True):
+        v, n = own[a], b - a
         if v:
             add((v, 0, 0))
             n -= 1
@@ -234,12 +234,18 @@ def _stored(lengths: bytes) -> tuple[int, int]:
     w.put(more, wide)
     if len(items) < 2:
         items.append((0, 0, 0))
-    code = codes(np.array(size, np.uint8)).tolist()
-    value, at = w.value, w.n
-    for s, extra, n in items:
-        value |= (code[s] | extra << size[s]) << at
-        at += size[s] + n
-    return value, at
+    code = _few_codes(size)
+    bits = "".join([f"{extra:0{n}b}{code[s]}" if n else code[s] for s, extra, n in reversed(items)])
+    return w.value | int("0" + bits, 2) << w.n, w.n + len(bits)
+
+
+def _few_codes(size: list[int]) -> list[str]:
+    """codes() of some lengths as bits, last bit first."""
+    out, code = [""] * len(size), 0
+    for s in sorted((s for s, n in enumerate(size) if n), key=size.__getitem__):
+        out[s] = f"{code >> (LONGEST - size[s]):0{size[s]}b}"[::-1]
+        code += 1 << (LONGEST - size[s])
+    return out
 
 
 def _short(size: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -394,47 +400,52 @@ def _all_at_once(r: Reader, tables: list, cache_bits: int, width: int, height: i
     size = len(raw) - 8
     word = raw[: size + 4].astype(np.uint32)
     word = word[:size] | (word[1 : size + 1] << 8) | (word[2 : size + 2] << 16) | (word[3 : size + 3] << 24)
-    peek = (word[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # at least 25 bits from each bit on
+    peek = np.empty((size, 8), np.uint32)  # at least 25 bits from each bit on
+    for i in range(8):
+        np.right_shift(word, np.uint32(i), out=peek[:, i])
+    peek = peek.ravel()
     last = len(peek) - 1
     here = np.arange(len(peek))
     known: dict[int, np.ndarray] = {}
 
     def ends(table):
-        """Where a symbol of this code that starts at each position ends."""
+        """Where a symbol of this code that starts at each position ends; beyond the last position counts as there."""
         if not table[0]:
             return None
         if id(table) not in known:
-            known[id(table)] = np.minimum(here + table[2].take(peek & np.uint32((1 << table[0]) - 1)), last)
+            known[id(table)] = table[2].astype(np.int64).take(peek & np.uint32((1 << table[0]) - 1), mode="clip") + here
         return known[id(table)]
 
     def then(at, end):
-        return at if end is None else end if at is here else end.take(at)
+        return at if end is None else end if at is here else end.take(at, mode="clip")
 
     at_red = then(here, ends(green))
     if green is red and green is blue and green is alpha:  # one code: two symbols on, twice
         at_blue = at_alpha = None
         two = then(at_red, ends(red))
-        following = then(two, two)
+        following = two.take(two, mode="clip")
     else:
         at_blue = then(at_red, ends(red))
         at_alpha = then(at_blue, ends(blue))
         following = then(at_alpha, ends(alpha))
-    following = following.copy() if following is here or any(following is e for e in known.values()) else following
-    first = green[1][peek & np.uint32((1 << green[0]) - 1)] if green[0] else np.full(len(peek), green[1][0]) if green[1][0] >= 256 else None
+    following = np.minimum(following, last)
+    first = None
+    if green[1].max() >= 256:
+        first = green[1][peek & np.uint32((1 << green[0]) - 1)] if green[0] else np.full(len(peek), green[1][0])
     others = np.flatnonzero(first >= 256) if first is not None else here[:0]
     longer = None
     if len(others):
-        following[others] = at_red[others]
+        following[others] = np.minimum(at_red[others], last)
         copies = others[first[others] < 280]
         if len(copies):
-            length, distance, end = _copies(peek, at_red[copies], first[copies] - 256, far, last)
+            length, distance, end = _copies(peek, np.minimum(at_red[copies], last), first[copies] - 256, far, last)
             following[copies] = end
             longer = np.zeros(len(peek), np.int64)
             longer[copies] = length
             farther = np.zeros(len(peek), np.int64)
             farther[copies] = distance
     # Follow the ends.
-    hop, p, starts, done = array.array("q", following.tobytes()), r.at - 8 * base, [], 0
+    hop, p, starts, done = memoryview(following), r.at - 8 * base, [], 0
     if longer is not None:
         lengths = memoryview(longer)
         while done < n:
@@ -442,25 +453,34 @@ def _all_at_once(r: Reader, tables: list, cache_bits: int, width: int, height: i
             done += lengths[p] or 1
             p = hop[p]
     else:
+        # Four pixels at a time: those between follow from the first one of each four.
+        four = memoryview(_twice(_twice(following)))
         put = starts.append
-        for _ in range(n):
+        for _ in range(-(-n // 4)):
             put(p)
-            p = hop[p]
+            p = four[p]
+    s = np.array(starts, np.int64)
+    if longer is None:
+        each = np.empty((len(s), 4), np.int64)
+        each[:, 0] = s
+        for i in range(3):
+            each[:, i + 1] = following.take(each[:, i], mode="clip")
+        s = each.ravel()[:n]
+        p = hop[int(s[-1])]
     r.at = 8 * base + p
     if r.at > 8 * len(r.data):
         raise ValueError("the image ends early")
-    s = np.array(starts, np.int64)
 
     def values(table, at):
-        return table[1].take(peek.take(at) & np.uint32((1 << table[0]) - 1)) if table[0] else np.full(len(at), table[1][0])
+        return table[1].take(peek.take(at, mode="clip") & np.uint32((1 << table[0]) - 1), mode="clip") if table[0] else np.full(len(at), table[1][0])
 
     def places(s):
         """Where red, blue and alpha of the pixels that start at ``s`` begin."""
         if at_blue is not None:
-            return at_red.take(s), at_blue.take(s), at_alpha.take(s)
-        second = at_red.take(s)
-        third = at_red.take(second)
-        return second, third, at_red.take(third)
+            return tuple(x.take(s, mode="clip") for x in (at_red, at_blue, at_alpha))
+        second = at_red.take(s, mode="clip")
+        third = at_red.take(second, mode="clip")
+        return second, third, at_red.take(third, mode="clip")
 
     if not len(others):
         second, third, fourth = places(s)
@@ -488,6 +508,10 @@ def _all_at_once(r: Reader, tables: list, cache_bits: int, width: int, height: i
     return out.reshape(height, width, 4)
 
 
+def _twice(following: np.ndarray) -> np.ndarray:
+    return following.take(following, mode="clip")
+
+
 def _slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
     """Where the colour cache holds pixels."""
     p = pixels.astype(np.uint32)
@@ -751,7 +775,7 @@ def _cost(counts: np.ndarray) -> np.ndarray:
 def _smooth(pixels: np.ndarray) -> bool:
     """Whether samples differ less from their neighbours, or from the green one, than they vary: else no transform pays."""
     f = pixels.astype(np.float32)
-    spread = f - f.mean(axis=(0, 1))
+    spread = f - f.reshape(-1, 4).mean(axis=0)
     least = float(np.vdot(spread, spread)) / f.size
     for d in (f[:, 1:] - f[:, :-1], f[1:] - f[:-1], f[:, :, 0::2] - f[:, :, 1:2]):
         if d.size and float(np.vdot(d, d)) / d.size < least:
@@ -804,10 +828,16 @@ def _less_green(pixels: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(values: np.ndarray) -> int:
+    """How many different values there are; a set of them takes ten times as long."""
+    own = np.sort(values)
+    return int(np.count_nonzero(own[1:] != own[:-1])) + (len(own) > 0)
+
+
 def _palette(words: np.ndarray):
     """The colours and each pixel's index, where a palette pays: at most 256 colours, and each for four pixels on average."""
     flat = words.ravel()
-    if len(set(flat[:1025].tolist())) > min(256, len(flat) // 4):
+    if _distinct(flat[:1025]) > min(256, len(flat) // 4):
         return None
     colours, index = np.unique(flat, return_inverse=True)
     return (colours.astype("<u4").view(np.uint8).reshape(-1, 4), index) if len(colours) <= min(256, max(1, len(flat) // 4)) else None
@@ -856,7 +886,8 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int | None
         w.put(cache_bits, 4)
     if main:
         w.put(0, 1)  # one group of codes
-    kept = flat[literal]
+    every = not len(copies) and not cache_bits  # all pixels are literal
+    kept = flat if every else flat[literal]
     counts = np.bincount(symbol, minlength=280 + (1 << cache_bits if cache_bits else 0))
     others = [np.bincount(kept[:, c], minlength=256) for c in (0, 2, 3)]
     far = np.bincount(copies[:, 4], minlength=40) if len(copies) else None
@@ -877,27 +908,26 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int | None
         key = c[:last].tobytes()  # of green first, whose alphabet is the longest
         if key not in made:
             n = code_lengths(c)
-            made[key] = _stored(n[: int(np.flatnonzero(n)[-1]) + 1].tobytes()), np.zeros(len(n), np.int64) if len(used) < 2 else n.astype(np.int64), codes(n)
+            size = np.zeros(len(n), np.int64) if len(used) < 2 else n.astype(np.int64)
+            made[key] = _stored(n[: int(np.flatnonzero(n)[-1]) + 1].tobytes()), size, codes(n) & ((1 << size) - 1)
         return made[key]
 
     found = [code_of(c) for c in (counts, *others)] + [code_of(far) if far is not None else _ONE]
     for stored, _, _ in found:
         w.put(*stored)
     bits, code = [f[1] for f in found], [f[2] for f in found]
-    size = bits[0][symbol]
-    value = code[0][symbol] & ((1 << size) - 1)
-    at = np.flatnonzero(symbol < 256)
+    size, value = bits[0].take(symbol, mode="clip"), code[0].take(symbol, mode="clip")
+    at = slice(None) if every else np.flatnonzero(symbol < 256)
     v, s = value[at], size[at]
     for k, c in ((1, 0), (2, 2), (3, 3)):
-        n = bits[k][kept[:, c]]
-        v = v | ((code[k][kept[:, c]] & ((1 << n) - 1)) << s)
-        s = s + n
+        own = kept[:, c].astype(np.int64)
+        v = v | (code[k].take(own, mode="clip") << s)
+        s = s + bits[k].take(own, mode="clip")
     value[at], size[at] = v, s
     if len(copies):
         at, v, s = copies[:, 0], value[copies[:, 0]], size[copies[:, 0]]
         v, s = v | (copies[:, 2] << s), s + copies[:, 3]
-        n = bits[4][copies[:, 4]]
-        v, s = v | ((code[4][copies[:, 4]] & ((1 << n) - 1)) << s), s + n
+        v, s = v | (code[4][copies[:, 4]] << s), s + bits[4][copies[:, 4]]
         value[at], size[at] = v | (copies[:, 5] << s), s + copies[:, 6]
     w.put_many(value, size)
 
@@ -917,7 +947,7 @@ def _tokens(flat: np.ndarray, width: int, cache_bits: int | None) -> tuple[int,
     plain = 0, np.ones(len(flat), bool), flat[:, 1].astype(np.int64), _NO_COPIES
     if cache_bits:
         return _cached(flat, words, cache_bits)
-    again = len(words) - len(set(words.tolist()))  # pixels that were there before
+    again = len(words) - _distinct(words)  # pixels that were there before
     if again < (1 - WORTH) * len(words):
         return plain
     least, best = WORTH * float(_cost(_histograms(flat))), plain
@@ -943,7 +973,7 @@ def _matches(words: np.ndarray) -> np.ndarray:
     if len(words) < SHORTEST + 1:
         return np.zeros((0, 3), np.int64)
     key = (words[:-1].astype(np.uint64) << np.uint64(32)) | words[1:]
-    if len(set(key.tolist())) * SHORTEST > (SHORTEST - 1 + WORTH) * len(key):  # too few pairs are there twice for copies to pay
+    if _distinct(key) * SHORTEST > (SHORTEST - 1 + WORTH) * len(key):  # too few pairs are there twice for copies to pay
         return np.zeros((0, 3), np.int64)
     order = np.argsort(key, kind="stable")
     again = key[order[1:]] == key[order[:-1]]

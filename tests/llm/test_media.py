@@ -374,3 +374,31 @@ def test_choices_by_cost(monkeypatch):
 
     data = stream(put)
     assert (webp.decode(data) == slow_decode(data)).all()
+
+
+def test_distinct_values_and_codes_of_few_symbols():
+    r = np.random.default_rng(11)
+    for n in (0, 1, 2, 5, 300):
+        for dtype in (np.uint32, np.uint64):
+            values = r.integers(0, 60, n).astype(dtype)
+            assert webp._distinct(values) == len(set(values.tolist()))
+    for _ in range(200):
+        counts = r.integers(0, 50, 19) * (r.random(19) < 0.6)
+        size = webp.code_lengths(counts)
+        want = [f"{c:0{n}b}" if n else "" for c, n in zip(webp.codes(size).tolist(), size.tolist(), strict=True)]
+        assert webp._few_codes(size.tolist()) == want
+
+
+def test_damaged_images_raise_or_give_pixels():
+    """Positions beyond the last bit count as the last one: no damage leads outside of the image."""
+    r = random.Random(12)
+    data = webp.encode(media.to_pixels(media.payload("".join(r.choice("etaoin shrdlu.") for _ in range(3000)), 0)))
+    for _ in range(300):
+        bad = bytearray(data)
+        for _ in range(r.randint(1, 4)):
+            bad[r.randrange(60, len(bad))] ^= 1 << r.randrange(8)
+        cut = bytes(bad[: r.randrange(60, len(bad))]) if r.random() < 0.5 else bytes(bad)
+        try:
+            assert webp.decode(cut).shape[2] == 4
+        except ValueError:
+            pass
