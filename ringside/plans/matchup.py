@@ -103,6 +103,12 @@ def payloads(m: Matrix, source: str) -> DataFrame:
     return m.frame.select("bout_id", F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("features"), corner.alias("target_winner_corner"), F.lit(source).alias("source"))
 
 
+def payload_schema(m: Matrix, names: list[str] | None = None) -> T.StructType:
+    """The schema by which the features of payloads(), or those of the names, are read: doubles, truth values and texts."""
+    kind = lambda t: T.DoubleType() if isinstance(t, T.NumericType) else t
+    return T.StructType([T.StructField(c, kind(m.frame.schema[c].dataType)) for c in (m.features if names is None else names)])
+
+
 def feature_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedStore:
     return KeyedStore(spark, path, BOUT_FEATURES, "bout_id", buckets)
 

@@ -50,12 +50,18 @@ def dataset(frame: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]
 
 def read_bout_features(stored: DataFrame, bouts: DataFrame, events: DataFrame) -> DataFrame:
     """(bout_id, event_date, target_winner_corner, features): stored features, as text, of known bouts with their events' dates."""
+    return with_dates(stored, bouts, events).select("bout_id", "event_date", "target_winner_corner", "features")
+
+
+def with_dates(rows: DataFrame, bouts: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows of known bouts with event_date.  All columns of the rows move by bout, so texts are better read before."""
     dates = bouts.select(F.col("id").alias("bout_id"), "event_id").join(events.select(F.col("id").alias("event_id"), F.col("date").alias("event_date")), "event_id")
-    return stored.join(dates, "bout_id").select("bout_id", "event_date", "target_winner_corner", "features")
+    return rows.join(dates, "bout_id")
 
 
 def expand(raw: DataFrame, schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
-    """The features as columns, read by their schema, or by what one pass over the texts finds in them: numbers, truth values, texts."""
+    """The features as columns beside the other ones, read by their schema (or that of some of them), or by what one pass over the texts finds in
+    them: numbers, truth values, texts."""
     if schema is None:
         kinds = F.explode(F.map_entries(F.from_json("features", "map<string,string>"))).alias("e")
         number = F.col("e.value").isNull() | F.col("e.value").rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$")
@@ -64,7 +70,7 @@ def expand(raw: DataFrame, schema: T.StructType | None = None) -> tuple[DataFram
         schema = T.StructType([T.StructField(r["key"], T.BooleanType() if r["truth"] else T.DoubleType() if r["number"] else T.StringType()) for r in found])
     names = [f.name for f in schema]
     rows = raw.withColumn("__f", F.from_json("features", schema))
-    return rows.select("bout_id", "event_date", "target_winner_corner", *[F.col(f"__f.`{n}`").alias(n) for n in names]), names
+    return rows.select(*[c for c in ("bout_id", "event_date", "target_winner_corner") if c in raw.columns], *[F.col(f"__f.`{n}`").alias(n) for n in names]), names
 
 
 def stored_dataset(raw: DataFrame, schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:

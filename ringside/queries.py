@@ -649,11 +649,11 @@ _READ_BACK = ["win_rate_prior", "win_streak_prior", "takedown_defense_r3", "layo
 
 @query(_PIVOT + MAIN + f"SELECT a.bout_id, a.event_date, CASE {_T} WHEN 'R' THEN 'red' ELSE 'blue' END AS target_winner_corner, {', '.join(f'CAST(a.{c} AS DOUBLE) AS {c}_a, CAST(a.{c} - b.{c} AS DOUBLE) AS {c}_diff' for c in _READ_BACK)}, a.stance AS stance_a{_ON} WHERE {_T} IS NOT NULL")
 def features_read_back(t):
-    """The stored features of every decided bout, written as JSON and read again as columns."""
+    """The stored features of every decided bout, written as JSON and read again as columns, by the schema they were written with."""
     m = matchup.matrix(enriched(t))
     stored = cut(matchup.payloads(m, "tables"))
-    rows, _ = model.expand(model.read_bout_features(stored, t.bouts, t.events))
-    return rows.select("bout_id", "event_date", "target_winner_corner", *[c for b in _READ_BACK for c in (f"{b}_a", f"{b}_diff")], "stance_a")
+    rows, names = model.expand(stored, matchup.payload_schema(m, [*[c for b in _READ_BACK for c in (f"{b}_a", f"{b}_diff")], "stance_a"]))
+    return model.with_dates(rows, t.bouts, t.events).select("bout_id", "event_date", "target_winner_corner", *names)
 
 
 def _labelled(t: Tables) -> DataFrame:

@@ -6,11 +6,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ringside import queries
 from ringside.functions.expr import age_years
 from ringside.operators.checks import assert_unique
 from ringside.plans import features, matchup, model
 from ringside.plans.features import add_features, with_opponent
 from ringside.schema import LONG_FRAME, STATS
+from ringside.sources import adapter
+from ringside.sources.scratch import cut
 
 D = dt.date
 
@@ -159,3 +162,17 @@ def test_materialize(spark, bio, rounds, tmp_path):
     data, kept = model.stored_dataset(raw)
     assert "stance_a" not in kept and "height_cm_b" in kept and {r["bout_id"]: r["label"] for r in data.collect()}[102] == 0.0
     assert features.debuts(enriched).first()["debuts"] == enriched.select("fighter_id").distinct().count()
+
+
+def test_features_are_read_by_the_schema_they_were_written_with(spark):
+    """Reading by schema gives what one pass over the texts finds, and texts are read before rows meet their dates: they don't move."""
+    t = adapter.read(spark, "/root/testdata/sf0.001")
+    m = matchup.matrix(queries.enriched(t))
+    stored = cut(matchup.payloads(m, "tables"))
+    found, names = model.expand(model.read_bout_features(stored, t.bouts, t.events))
+    schema = matchup.payload_schema(m)
+    assert {f.name: f.dataType for f in schema} == {n: found.schema[n].dataType for n in names}
+    read, _ = model.expand(stored, schema)
+    assert model.with_dates(read, t.bouts, t.events).select(found.columns).exceptAll(found).isEmpty() and read.count() == found.count() == stored.count()
+    plan = queries.features_read_back(t)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(i for i, p in enumerate(plan) if "from_json" in p) > min(i for i, p in enumerate(plan) if "Join" in p)
