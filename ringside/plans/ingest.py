@@ -220,13 +220,16 @@ def event_rows_to_add(t: Tables, event: DataFrame, fighters: DataFrame, stats: D
     new_fighters = cut(merge.fresh(t.fighters, fresh, ["name_normalized", "date_of_birth"], last=last.get("fighters")))
     new_ids = new_fighters.select("name_normalized", F.col("date_of_birth").alias("__born"), F.col("id").alias("new_id"))
     slugs = matched.join(new_ids, (matched["name_normalized"] == new_ids["name_normalized"]) & matched["date_of_birth"].eqNullSafe(new_ids["__born"]) & (matched["status"] == "new"), "left").select(F.col("candidate").alias("slug"), F.coalesce("fighter_id", "new_id").alias("fighter_id"))
-    rows = event.select("event_name", "event_date", "bout.*").withColumn("red_slug", F.col("corners")[0]["slug"]).withColumn("blue_slug", F.col("corners")[1]["slug"]).withColumn("name_key", normalize_name(F.col("event_name"))).withColumn(ORDINAL, F.monotonically_increasing_id())
-    rows = rows.join(events.select("name_key", F.col("date").alias("event_date"), F.col("id").alias("__event")), ["name_key", "event_date"])
+    rows = event.select("event_name", "event_date", "bout.*").withColumn("red_slug", F.col("corners")[0]["slug"]).withColumn("blue_slug", F.col("corners")[1]["slug"]).withColumn(ORDINAL, F.monotonically_increasing_id())
+    # The key of a name is made once for an event, not for each of its bouts.
+    named = event.select("event_name", "event_date").distinct().withColumn("name_key", normalize_name(F.col("event_name")))
+    named = cut(named.join(events.select("name_key", F.col("date").alias("event_date"), F.col("id").alias("__event")), ["name_key", "event_date"]))
+    rows = rows.join(named.select("event_name", "event_date", "__event"), ["event_name", "event_date"])
     rows = rows.join(slugs.select(F.col("slug").alias("red_slug"), F.col("fighter_id").alias("red_id")), "red_slug").join(slugs.select(F.col("slug").alias("blue_slug"), F.col("fighter_id").alias("blue_id")), "blue_slug")
     rows = rows.withColumn("method_kind", expr.method_of(F.col("method"), expr.JSON_METHODS)).withColumn("low_id", F.least("red_id", "blue_id")).withColumn("high_id", F.greatest("red_id", "blue_id"))
     side = winner_corner(F.col("winner_slug"), F.col("red_slug"), F.col("blue_slug"), F.col("method_kind"))
     rows = cut(rows.withColumn("winner_id", F.when(side == "red", F.col("red_id")).when(side == "blue", F.col("blue_id"))))
-    index = bout_index(t.bouts, t.bout_fighters)
+    index = cut(bout_index(t.bouts, t.bout_fighters))
     keyed = merge.first_by_key(rows, ["__event", "low_id", "high_id"])
     new = merge.absent(keyed, index.withColumnRenamed("event_id", "__event"), ["__event", "low_id", "high_id"])
     core = new.select(F.col("__event").cast("int").alias("event_id"), F.col("winner_id").cast("int").alias("winner_id"), F.col("method_kind").alias("method"), F.col("finish_round").alias("round"), F.col("finish_time_seconds").alias("ending_time_seconds"), "weight_class", F.lit(source).alias("source"), "low_id", "high_id")

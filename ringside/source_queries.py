@@ -12,7 +12,7 @@ from ringside.queries import MAIN, query
 from ringside.schema import BASE_STATS, SPLIT_STATS, Tables
 from ringside.sources import files
 from ringside.sources.files import ORDINAL
-from ringside.sources.scratch import shared_dir
+from ringside.sources.scratch import cut, shared_dir
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -115,7 +115,7 @@ def _intake(t: Tables) -> Tables:
     new_fighter = lambda c: F.col(c) % 7 == 0
     later = F.col("event_date") >= F.lit(_FROM).cast("date")
     first = Window.partitionBy("event_id", "low", "high").orderBy("bout_id")
-    cards = _cards(t).withColumn("k", F.row_number().over(first)).filter("k = 1").filter(later | (~new_fighter("low") & ~new_fighter("high")))
+    cards = cut(_cards(t).withColumn("k", F.row_number().over(first)).filter("k = 1").filter(later | (~new_fighter("low") & ~new_fighter("high"))))  # read several times
     fighters = t.fighters.select(_slug(F.col("id")).alias("slug"), "name", "date_of_birth", "nickname", "height_cm", "reach_cm", "stance", "wins", "losses", "draws")
     people = cards.select(F.explode("bout.corners").alias("c")).select("c.slug").distinct()
     old_fighters = t.fighters.filter(~new_fighter("id")).withColumn("name_normalized", ingest.normalize_name(F.col("name")))

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+from ringside import source_queries
 from ringside.sources import adapter, scratch
 from ringside.sources.keyed_store import KeyedStore
 
@@ -52,3 +53,12 @@ def test_an_upsert_writes_its_rows_once(spark, tmp_path):
     store, before = KeyedStore(spark, str(tmp_path / "store"), "id long, text string", "id", 4), files()
     assert store.upsert(spark.range(100).selectExpr("id", "'t' AS text")) == 100 and store.upsert(store.read().limit(0)) == 0
     assert files() == before and store.read().count() == 100
+
+
+def test_intake_reads_its_cards_from_a_table(spark, monkeypatch):
+    """What the intake's steps take again and again is no chain of joins that is run each time."""
+    seen = []
+    monkeypatch.setattr(source_queries.ingest, "event_rows_to_add", lambda known, event, fighters, stats: seen.append(event))
+    source_queries._intake(adapter.read(spark, SMALL))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and seen[0].count() > 0
