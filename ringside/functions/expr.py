@@ -118,7 +118,11 @@ def parse_stat(x: Column) -> Column:
     """'66 of 125' as struct(landed, attempted); blank gives nulls, anything else raises."""
     t, p = text_or_null(x), r"^(\d+)\s+of\s+(\d+)$"
     part = lambda i: _checked(t, p, F.regexp_extract(t, p, i).try_cast("int"), "landed of attempted")
-    return F.struct(part(1).alias("landed"), part(2).alias("attempted"))
+    pair = lambda a, b: F.struct(a.alias("landed"), b.alias("attempted"))
+    # Texts as stat_text() writes them take no pattern.  One conditional gives both numbers, so generated code has it once for each pair and
+    # stays small enough to be compiled.
+    a, b = (F.substring_index(x, " ", i).try_cast("int") for i in (1, -1))
+    return F.when((a >= 0) & (b >= 0) & (stat_text(a, b) == x), pair(a, b)).otherwise(pair(part(1), part(2)))
 
 
 def parse_clock(x: Column) -> Column:
@@ -134,7 +138,9 @@ def stat_text(landed: Column, attempted: Column) -> Column:
 
 def clock_text(seconds: Column) -> Column:
     """The inverse of parse_clock."""
-    return F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(seconds / 60).cast("int"), (seconds % 60).cast("int")))
+    rest = (seconds % 60).cast("int")
+    two = F.concat(F.when((rest >= 0) & (rest < 10), F.lit("0")).otherwise(F.lit("")), rest.cast("string"))
+    return F.concat(F.floor(seconds / 60).cast("int").cast("string"), F.lit(":"), two)
 
 
 def event_slug(name: Column) -> Column:

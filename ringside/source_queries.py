@@ -19,15 +19,26 @@ def _folder(df: DataFrame, name: str) -> str:
     return f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
-def _written(docs: DataFrame, key: str, name: str) -> str:
-    """The rows of ``docs`` as JSON documents, in files with an array of those of 256 keys each; returns the folder."""
+#: Column of documents: those with the same number stand in one file.
+CHUNK = "chunk"
+#: Bouts of one file of statistics, of some 500 bytes a round: 2 MB, so that files don't become more than a driver can list and move.
+FILE_BOUTS = 4096
+
+
+def _written(docs: DataFrame, name: str) -> str:
+    """The rows of ``docs`` as JSON documents, in files with an array of those of one CHUNK each; returns the folder."""
     path = _folder(docs, name)
-    texts = docs.select(F.floor(F.col(key) / 256).alias("chunk"), F.to_json(F.struct(*[c for c in docs.columns if c != key])).alias("doc"))
-    arrays = texts.groupBy("chunk").agg(F.collect_list("doc").alias("docs")).select(F.concat(F.lit("["), F.array_join("docs", ","), F.lit("]")).alias("value"))
+    texts = docs.select(CHUNK, F.to_json(F.struct(*[c for c in docs.columns if c != CHUNK])).alias("doc"))
+    arrays = texts.groupBy(CHUNK).agg(F.collect_list("doc").alias("docs")).select(F.concat(F.lit("["), F.array_join("docs", ","), F.lit("]")).alias("value"))
     arrays.write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
+def _by_file(rows: DataFrame) -> DataFrame:
+    """Rows of bouts with the CHUNK of their file, all of which lie together: they become lines, documents and files there."""
+    return rows.withColumn(CHUNK, F.floor(F.col("bout_id") / FILE_BOUTS)).repartition(CHUNK)
+
+
 def _slug(fighter: Column) -> Column:
     return F.concat(F.lit("f-"), fighter.cast("string"))
 
@@ -67,16 +78,16 @@ FROM bouts b {_SIDES} JOIN events_ e ON e.id = b.event_id""")
 def event_documents_read(t: Tables) -> DataFrame:
     """All bouts as documents of events and read again; a document holds 256 bouts at most."""
     docs = _cards(t).groupBy(F.floor(F.col("bout_id") / 256).alias("part"), "event_id", "event_name", "event_date").agg(F.collect_list("bout").alias("bouts"))
-    docs = docs.select(F.col("event_id").alias("key"), F.col("event_id").cast("string").alias("event_id"), F.col("event_name").alias("name"), F.col("event_date").alias("date"), "bouts")
-    back = files.event_documents(t.bouts.sparkSession, _written(docs.withColumn("key", F.col("key") * 64), "key", "events"))
+    docs = docs.select(F.floor(F.col("event_id") / 4).alias(CHUNK), F.col("event_id").cast("string").alias("event_id"), F.col("event_name").alias("name"), F.col("event_date").alias("date"), "bouts")
+    back = files.event_documents(t.bouts.sparkSession, _written(docs, "events"))
     return back.select("event_id", "event_name", F.col("event_date").cast("string").alias("event_date"), "bout.bout_id", "bout.finish_round", "bout.finish_time_seconds", "bout.winner_slug", F.col("bout.corners")[0]["slug"].alias("red_slug"), F.col("bout.corners")[1]["slug"].alias("blue_slug"))
 
 
 @query("SELECT 'f-' || id AS slug, name, CASE WHEN id % 4 <> 0 THEN CAST(date_of_birth AS VARCHAR) END AS date_of_birth, height_cm, reach_cm, stance, CASE WHEN id % 3 = 0 THEN 0 ELSE wins END AS wins, losses, draws FROM fighters")
 def fighter_documents_read(t: Tables) -> DataFrame:
     """Fighters as documents, some without a date of birth or wins, and read again: missing counts are 0."""
-    docs = t.fighters.select(F.col("id").alias("key"), _slug(F.col("id")).alias("slug"), "name", F.when(F.col("id") % 4 != 0, F.col("date_of_birth")).alias("date_of_birth"), "height_cm", "reach_cm", "stance", F.when(F.col("id") % 3 != 0, F.col("wins")).alias("wins"), "losses", "draws")
-    back = files.fighter_documents(t.fighters.sparkSession, _written(docs, "key", "fighters"))
+    docs = t.fighters.select(F.floor(F.col("id") / 256).alias(CHUNK), _slug(F.col("id")).alias("slug"), "name", F.when(F.col("id") % 4 != 0, F.col("date_of_birth")).alias("date_of_birth"), "height_cm", "reach_cm", "stance", F.when(F.col("id") % 3 != 0, F.col("wins")).alias("wins"), "losses", "draws")
+    back = files.fighter_documents(t.fighters.sparkSession, _written(docs, "fighters"))
     return back.select("slug", "name", F.col("date_of_birth").cast("string").alias("date_of_birth"), "height_cm", "reach_cm", "stance", "wins", "losses", "draws")
 
 
@@ -84,8 +95,8 @@ def fighter_documents_read(t: Tables) -> DataFrame:
 def bout_stats_read(t: Tables) -> DataFrame:
     """Base statistics as documents of bouts, in some of which a key is absent, and read again."""
     line = F.struct("corner", _slug(F.col("fighter_id")).alias("fighter_slug"), F.when(F.col("bout_id") % 5 != 0, F.col("knockdowns")).alias("knockdowns"), *BASE_STATS[1:])
-    docs = t.bout_fighters.groupBy("bout_id").agg(F.collect_list(line).alias("fighters")).select(F.col("bout_id").alias("key"), F.col("bout_id").cast("string").alias("bout_id"), "fighters")
-    return files.bout_stats_documents(t.bouts.sparkSession, _written(docs, "key", "stats")).select("bout_id", "corner", "fighter_slug", *BASE_STATS)
+    docs = _by_file(t.bout_fighters).groupBy(CHUNK, "bout_id").agg(F.collect_list(line).alias("fighters")).withColumn("bout_id", F.col("bout_id").cast("string"))
+    return files.bout_stats_documents(t.bouts.sparkSession, _written(docs, "stats")).select("bout_id", "corner", "fighter_slug", *BASE_STATS)
 
 
 _WIRE = ["sig_strikes", "takedowns", "head", "body", "leg", "distance", "clinch", "ground"]
@@ -96,9 +107,10 @@ _READ = [f"{k}_{what}" for k in _WIRE for what in ("landed", "attempted")]
 def round_stats_read(t: Tables) -> DataFrame:
     """All rounds as envelopes of statistics with pairs and clocks as texts, and read again."""
     corners = t.bout_fighters.select(F.col("id").alias("bout_fighter_id"), "bout_id", "corner", _slug(F.col("fighter_id")).alias("fighter_slug"))
-    lines = files.to_wire(t.rounds.join(corners, "bout_fighter_id").withColumn("bout_id", F.col("bout_id").cast("string")))
-    docs = lines.groupBy(F.col("boutId").cast("long").alias("key")).agg(F.collect_list(F.struct(*lines.columns)).alias("roundStats")).select("key", F.lit(True).alias("success"), F.struct("roundStats").alias("data"))
-    back = files.event_stats_documents(t.bouts.sparkSession, _written(docs, "key", "envelopes"), rounds=True)
+    rows = _by_file(t.rounds.join(corners, "bout_fighter_id")).withColumn("bout_id", F.col("bout_id").cast("string"))
+    lines = files.to_wire(rows, [CHUNK])
+    docs = lines.groupBy(CHUNK, "boutId").agg(F.collect_list(F.struct(*lines.drop(CHUNK).columns)).alias("roundStats")).select(CHUNK, F.lit(True).alias("success"), F.struct("roundStats").alias("data"))
+    back = files.event_stats_documents(t.bouts.sparkSession, _written(docs, "envelopes"), rounds=True)
     return back.select("bout_id", "corner", "fighter_slug", "round", "knockdowns", "submission_attempts", "reversals", "control_time_seconds", *_READ)
 
 

@@ -102,11 +102,11 @@ def event_stats_checked(spark: SparkSession, paths: list[str], file_column: str,
     return lines.select(file_column, *_line("l"), *([F.col("l.round").alias("round")] if rounds else [])), docs.filter("fault is not null").select(file_column, "fault")
 
 
-def to_wire(lines: DataFrame) -> DataFrame:
-    """Statistics lines in the text forms of the documents."""
+def to_wire(lines: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """Statistics lines in the text forms of the documents.  kept: columns that stay as they are."""
     pairs = [stat_text(F.col(f"{n}_landed"), F.col(f"{n}_attempted")).alias(w) for w, n in _PAIRS.items()]
     rest = [F.col("bout_id").alias("boutId"), "corner", F.col("fighter_slug").alias("fighterSlug"), "knockdowns", F.col("submission_attempts").alias("submissionAttempts"), "reversals", clock_text(F.col("control_time_seconds")).alias("controlTime")]
-    return lines.select(*rest, *pairs, *(["round"] if "round" in lines.columns else []))
+    return lines.select(*(kept or []), *rest, *pairs, *(["round"] if "round" in lines.columns else []))
 
 
 class BudgetSpent(RuntimeError):

@@ -43,6 +43,26 @@ def test_parsers(spark):
     assert one(spark, expr.event_slug, " ufc 300: A vs B") == "ufc-300" and one(spark, expr.event_slug, "UFC Fight Night") is None and one(spark, expr.event_slug, "UFC 300x") is None
 
 
+def test_pairs_and_clocks_of_all_forms(spark):
+    """Pairs as they are written and in other forms that the pattern allows; clocks as by a format of two digits."""
+    forms = {"0 of 0": (0, 0), "007  of 9": (7, 9), " 6 of\t7 ": (6, 7), "3000000000 of 1": (None, 1), "2147483647 of 2": (2147483647, 2)}
+    got = spark.createDataFrame([(t,) for t in forms], "x string").select("x", expr.parse_stat(F.col("x")).alias("p")).collect()
+    assert {r["x"]: tuple(r["p"]) for r in got} == forms
+    for bad in ("-1 of 2", "+1 of 2", "1 of 2 of 3", "1 of", "1.0 of 2", "1 2"):
+        with pytest.raises(Exception):
+            one(spark, expr.parse_stat, bad)
+    clocks = spark.createDataFrame([(i,) for i in (None, 0, 9, 60, 433, 3599, 36000, -5, -70)], "x int").select("x", expr.clock_text(F.col("x")).alias("t"), F.when(F.col("x").isNotNull(), F.format_string("%d:%02d", F.floor(F.col("x") / 60).cast("int"), F.col("x") % 60)).alias("want"))
+    assert clocks.filter("not t <=> want").isEmpty()
+
+
+def test_the_reading_of_lines_is_compiled(spark, tmp_path):
+    """The code that Spark makes for a line of statistics has no method of more than 8,000 bytes, which the JVM would interpret."""
+    lines = files.event_stats_documents(spark, str(tmp_path), rounds=True)
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(lines._jdf.queryExecution().executedPlan())
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    assert sizes and max(sizes) <= 8000
+
+
 def test_results(spark):
     df = spark.createDataFrame([(1, 1, "dq"), (2, 1, "no_contest"), (None, 1, "no_contest"), (None, 1, "decision")], "w int, f int, m string")
     assert [r[0] for r in df.select(expr.result_of(F.col("w"), F.col("f"), F.col("m"))).collect()] == ["win", "loss", "no_contest", "draw"]

@@ -62,3 +62,14 @@ def test_intake_reads_its_cards_from_a_table(spark, monkeypatch):
     source_queries._intake(adapter.read(spark, SMALL))
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and seen[0].count() > 0
+
+
+def test_files_of_statistics_are_few_and_their_rows_move_once(spark, monkeypatch):
+    """1,500 bouts' rounds stand in one file, and between their join and their files there is one shuffle."""
+    seen, written = [], source_queries._written
+    monkeypatch.setattr(source_queries, "_written", lambda docs, *a: seen.append(docs) or written(docs, *a))
+    t = adapter.read(spark, SMALL)
+    back = source_queries.round_stats_read(t)
+    assert len(back.inputFiles()) == 1 and back.count() == t.rounds.count()
+    exchanges = [p for p in seen[0]._jdf.queryExecution().executedPlan().toString().split("Join")[0].splitlines() if "Exchange" in p]
+    assert len(exchanges) == 1
