@@ -73,9 +73,19 @@ def corner_shares(t: Tables) -> DataFrame:
     return corners.join(sums, "bout_fighter_id").select("bout_id", "fighter_id", ratio(F.col("first"), F.col("total")).alias("round1_share"))
 
 
+#: What prepared() and the windows take from a long frame.
+LOOKED_AT = ["fighter_id", *ORDER, "result", "method", "round", "ending_time_seconds", *OPPONENT, "control_time_seconds", *[f"{k}_landed" for k in TARGETS + POSITIONS]]
+
+
 def prepared(frame: DataFrame, shares: DataFrame) -> DataFrame:
-    """The frame with all that the windows over a fighter's bouts look at: opp_*, round1_share and the bout's __seconds."""
-    rows = with_opponent(frame, OPPONENT).join(shares, ["bout_id", "fighter_id"], "left")
+    """The frame with all that the windows over a fighter's bouts look at: opp_*, round1_share and the bout's __seconds.
+
+    Shares are joined by the bout, where the rows lie after the opponents were found, and compared by fighter there: a join by both ids
+    would move all rows once more.
+    """
+    of_bout = shares.select(F.col("bout_id").alias("__bout"), F.col("fighter_id").alias("__who"), "round1_share")
+    same = (F.col("bout_id") == F.col("__bout")) & (F.col("fighter_id") <= F.col("__who")) & (F.col("fighter_id") >= F.col("__who"))
+    rows = with_opponent(frame, OPPONENT).join(of_bout, same, "left").drop("__bout", "__who")
     return rows.withColumn("__seconds", fight_seconds(F.col("round"), F.col("ending_time_seconds")))
 
 

@@ -28,10 +28,10 @@ def state_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedStore
     return KeyedStore(spark, path, STATE, "fighter_id", buckets)
 
 
-def _carried(new: DataFrame, states: DataFrame) -> DataFrame:
-    """New prepared rows with the last bouts of their fighters as rows with __old, and the states' counts as __base_*."""
+def _carried(new: DataFrame, people: DataFrame, states: DataFrame) -> DataFrame:
+    """New prepared rows with the last bouts of their fighters, ``people``, as rows with __old, and the states' counts as __base_*."""
     base = states.select(F.col("fighter_id"), *[F.col(c).alias(f"__base_{c}") for c in COUNTS], F.size("recent").cast("long").alias("__base_kept"))
-    known = states.join(new.select("fighter_id").distinct(), "fighter_id", "left_semi").select("fighter_id", F.explode("recent").alias("r")).select("fighter_id", "r.*")
+    known = states.join(people, "fighter_id", "left_semi").select("fighter_id", F.explode("recent").alias("r")).select("fighter_id", "r.*")
     rows = new.withColumn("__old", F.lit(False)).unionByName(known.withColumn("__old", F.lit(True)), allowMissingColumns=True)
     zero = {f"__base_{c}": F.coalesce(f"__base_{c}", F.lit(0)) for c in [*COUNTS, "kept"]}
     return rows.join(base, "fighter_id", "left").withColumns(zero)
@@ -59,9 +59,9 @@ def _summary(rows: DataFrame, carried: bool) -> DataFrame:
     return out.selectExpr("cast(fighter_id AS bigint) AS fighter_id", *[f"cast({c} AS bigint) AS {c}" for c in COUNTS], "recent")
 
 
-def states_of(frame: DataFrame, shares: DataFrame) -> DataFrame:
-    """The states of a long frame's fighters, from all of their bouts.  shares: as of add_features()."""
-    return _summary(prepared(frame, shares), carried=False)
+def states_of(frame: DataFrame, shares: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The states of a long frame's fighters, from all of their bouts.  shares: as of add_features().  rows: as of advance()."""
+    return _summary(prepared(frame, shares) if rows is None else rows, carried=False)
 
 
 @dataclass(frozen=True)
@@ -79,11 +79,13 @@ def advance(states: DataFrame, frame: DataFrame, fighters: DataFrame, shares: Da
 
     rows: prepared() of them, where it is a table already.
     """
+    ids = (frame if rows is None else rows).select("fighter_id", *ORDER)  # those of the rows, without their preparation
     rows = prepared(frame, shares) if rows is None else rows
     last = states.select("fighter_id", F.element_at("recent", -1).alias("__last"))
     behind = F.struct(F.col("event_date"), F.col("bout_id").cast("long")) <= F.struct(F.col("__last.event_date"), F.col("__last.bout_id"))
-    late = rows.select("fighter_id", *ORDER).join(last, "fighter_id").filter(behind).select("fighter_id").distinct()
-    good = _carried(rows.join(late, "fighter_id", "left_anti"), states)
+    late = ids.join(last, "fighter_id").filter(behind).select("fighter_id").distinct()
+    people = ids.select("fighter_id").distinct().join(late, "fighter_id", "left_anti")
+    good = _carried(rows.join(late, "fighter_id", "left_anti"), people, states)
     formed = with_form(good, Frames(), Frames(), carried=True).filter(~F.col("__old"))
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in frame.schema]  # the states' numbers are doubles
     return Advance(with_bio(formed, fighters).select(*typed, *FEATURES), _summary(good, carried=True), late)

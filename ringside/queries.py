@@ -322,9 +322,10 @@ _SINCE = "1995-06-17"
 @query(_ENRICHED + MAIN + f"SELECT fighter_id, bout_id, {', '.join(features.FEATURES)} FROM enriched WHERE event_date >= DATE '{_SINCE}'")
 def features_after_append(t):
     """The features of all later bouts from the states of their fighters after the earlier ones; no earlier corner is read for them."""
-    frame, shares, later = long_frame(t), features.corner_shares(t), F.col("event_date") >= F.lit(_SINCE).cast("date")
-    states = stored(state.states_of(frame.filter(~later), shares), "states")
-    out = state.advance(states, frame.filter(later), t.fighters, shares).features
+    frame, shares, later = long_frame(t).select(*features.LOOKED_AT), features.corner_shares(t), F.col("event_date") >= F.lit(_SINCE).cast("date")
+    rows = stored(features.prepared(frame, shares), "prepared")  # corners, bouts and rounds meet once for all
+    states = stored(state.states_of(frame, shares, rows.filter(~later)), "states")
+    out = state.advance(states, frame, t.fighters, shares, rows.filter(later)).features
     return out.select("fighter_id", "bout_id", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in features.FEATURES])
 
 

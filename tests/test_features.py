@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,31 @@ def test_features_are_read_by_the_schema_they_were_written_with(spark):
     assert model.with_dates(read, t.bouts, t.events).select(found.columns).exceptAll(found).isEmpty() and read.count() == found.count() == stored.count()
     plan = queries.features_read_back(t)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert min(i for i, p in enumerate(plan) if "from_json" in p) > min(i for i, p in enumerate(plan) if "Join" in p)
+
+
+def test_prepared_rows_move_by_bout_alone(spark):
+    """Where nothing is broadcast, corners meet opponents and shares in one place, and later bouts are prepared once for all that reads them."""
+    t = adapter.read(spark, "/root/testdata/sf0.001")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        frame, shares = queries.long_frame(t).select(*features.LOOKED_AT), features.corner_shares(t)
+        rows = features.prepared(frame, shares)
+        by = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", rows._jdf.queryExecution().executedPlan().toString())
+        assert by and not [k for k in by if "," in k]  # none by bout and fighter
+        want = features.with_opponent(frame, features.OPPONENT).join(shares, ["bout_id", "fighter_id"], "left").select("bout_id", "fighter_id", "round1_share", "opp_sig_strikes_landed")
+        got = rows.select(*want.columns)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+        read = queries.Q["features_after_append"](spark, "/root/testdata/sf0.001").inputFiles()
+        assert read and not [f for f in read if "/rounds/" in f or "/bout_fighters/" in f]  # neither is gone through again
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_shares_of_no_fighter_or_bout_stay_away(spark):
+    """Rows without a share, or without a known fighter, get none; those of others in the bout aren't taken."""
+    stats = ", ".join(f"{c} int" for c in features.OPPONENT)
+    frame = spark.createDataFrame([(1, 7, 1, 1, 1, 1, 1), (1, 8, 1, 1, 1, 1, 1), (2, 7, 1, 1, 1, 1, 1), (3, None, 1, 1, 1, 1, 1)], f"bout_id int, fighter_id int, {stats}, round int, ending_time_seconds int")
+    shares = spark.createDataFrame([(1, 8, 0.5), (1, 9, 0.1), (3, 7, 0.2), (4, 7, 0.3)], "bout_id long, fighter_id long, round1_share double")
+    got = {(r["bout_id"], r["fighter_id"]): r["round1_share"] for r in features.prepared(frame, shares).collect()}
+    assert got == {(1, 7): None, (1, 8): 0.5, (2, 7): None, (3, None): None}
