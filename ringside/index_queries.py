@@ -14,7 +14,7 @@ from ringside.plans import features, matchup, reads, state
 from ringside.plans.longframe import long_frame
 from ringside.queries import _LABELLED, _ON, _PIVOT, _T, MAIN, _labelled, query
 from ringside.schema import Tables
-from ringside.sources.scratch import shared_dir
+from ringside.sources.scratch import shared_dir, stored
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -58,10 +58,11 @@ _LAST = "1998-01-01"
 def sink_after_events(t: Tables) -> DataFrame:
     """Stored matchups after the earlier bouts were taken up, and then all later ones: as many and the same as of a full recompute."""
     spark = t.bouts.sparkSession
-    frame, shares = long_frame(t), features.corner_shares(t)
+    frame, shares = long_frame(t).select(*features.LOOKED_AT, "corner"), features.corner_shares(t)
+    rows = stored(features.prepared(frame, shares), "prepared")  # corners, bouts and rounds meet once for both
     states, sink = state.state_store(spark, _folder(t, "states")), matchup.feature_store(spark, _folder(t, "matchups"))
     earlier = F.col("event_date") < F.lit(_LAST).cast("date")
-    state.take_up(states, sink, frame.filter(earlier), t.fighters, shares, source="tables")
-    state.take_up(states, sink, frame.filter(~earlier), t.fighters, shares, source="tables")
-    value = lambda c: F.get_json_object("features", f"$.{c}").cast("double").alias(c)
-    return sink.read().select("bout_id", "target_winner_corner", *[value(c) for c in ("win_rate_prior_a", "win_streak_prior_b", "layoff_days_diff", "sig_strikes_landed_pm_r3_a")])
+    for own in (earlier, ~earlier):
+        state.take_up(states, sink, frame.filter(own), t.fighters, shares, source="tables", rows=rows.filter(own))
+    values = ["win_rate_prior_a", "win_streak_prior_b", "layoff_days_diff", "sig_strikes_landed_pm_r3_a"]
+    return sink.read().withColumn("f", F.from_json("features", ", ".join(f"{c} double" for c in values))).select("bout_id", "target_winner_corner", *[f"f.{c}" for c in values])

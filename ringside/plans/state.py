@@ -79,12 +79,13 @@ def advance(states: DataFrame, frame: DataFrame, fighters: DataFrame, shares: Da
 
     rows: prepared() of them, where it is a table already.
     """
-    ids = (frame if rows is None else rows).select("fighter_id", *ORDER)  # those of the rows, without their preparation
+    ids = (frame if rows is None else rows).select("fighter_id", F.struct("event_date", F.col("bout_id").cast("long")).alias("__at"))  # without their preparation
     rows = prepared(frame, shares) if rows is None else rows
     last = states.select("fighter_id", F.element_at("recent", -1).alias("__last"))
-    behind = F.struct(F.col("event_date"), F.col("bout_id").cast("long")) <= F.struct(F.col("__last.event_date"), F.col("__last.bout_id"))
-    late = ids.join(last, "fighter_id").filter(behind).select("fighter_id").distinct()
-    people = ids.select("fighter_id").distinct().join(late, "fighter_id", "left_anti")
+    people = ids.groupBy("fighter_id").agg(F.min("__at").alias("__at"))  # a fighter's first new row tells whether any is late
+    behind = F.col("__at") <= F.struct(F.col("__last.event_date"), F.col("__last.bout_id"))
+    late = cut(people.join(last, "fighter_id").filter(behind).select("fighter_id"))  # few, as a table of known size: no row moves to be told
+    people = people.select("fighter_id").join(late, "fighter_id", "left_anti")
     good = _carried(rows.join(late, "fighter_id", "left_anti"), people, states)
     formed = with_form(good, Frames(), Frames(), carried=True).filter(~F.col("__old"))
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in frame.schema]  # the states' numbers are doubles
@@ -101,16 +102,16 @@ def recomputed(late: DataFrame, history: DataFrame, shares: DataFrame, fighters:
     return again.join(mine, "bout_id", "left_semi").select(*history.columns, *FEATURES), _summary(rows.join(late, "fighter_id", "left_semi"), carried=False)
 
 
-def take_up(states: KeyedStore, features: KeyedStore, frame: DataFrame, fighters: DataFrame, shares: DataFrame, history: tuple[DataFrame, DataFrame] | None = None, source: str = "files") -> int:
+def take_up(states: KeyedStore, features: KeyedStore, frame: DataFrame, fighters: DataFrame, shares: DataFrame, history: tuple[DataFrame, DataFrame] | None = None, source: str = "files", rows: DataFrame | None = None) -> int:
     """Bring stored states and stored matchups up to an event whose rows are ``frame``; returns how many matchups were upserted.
 
     Only the states of its fighters are read.  history: the long frame and the shares of all bouts, the new ones too; it is read for late
     fighters only, whose later matchups are upserted again.  Without it late fighters raise ValueError.  States are written last: a run
-    that was killed between the two is repeated from the old states.
+    that was killed between the two is repeated from the old states.  rows: as of advance().
     """
-    known = cut(states.read_keys(frame.select("fighter_id")))
-    step = advance(known, frame, fighters, shares, cut(prepared(frame, shares)))  # which is read for each of the three
-    late, rows, after = cut(step.late), step.features, step.states
+    rows = cut(prepared(frame, shares)) if rows is None else rows  # which is read for each of the three
+    step = advance(cut(states.read_keys(rows.select("fighter_id"))), frame, fighters, shares, rows)
+    late, rows, after = step.late, step.features, step.states
     if not late.isEmpty():
         if history is None:
             raise ValueError("bouts not after the last known ones of their fighters need all bouts of these")
@@ -119,6 +120,7 @@ def take_up(states: KeyedStore, features: KeyedStore, frame: DataFrame, fighters
         rows = rows.join(again.select("bout_id").distinct(), "bout_id", "left_anti").unionByName(again.select(*rows.columns))
         after = after.unionByName(of_late)
     after = cut(after)
-    done = features.upsert(matchup.payloads(matchup.matrix(rows), source).withColumn("generated_at", F.current_timestamp()))
+    made = matchup.matrix(rows.withColumn("bout_id", F.col("bout_id").cast("long")), parts=features.parts())
+    done = features.upsert(matchup.payloads(made, source).withColumn("generated_at", F.current_timestamp()), placed=True)
     states.upsert(after)
     return done

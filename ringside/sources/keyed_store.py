@@ -3,8 +3,8 @@
     folder/<write>/bucket=<b>/    the rows that one upsert has for a bucket
     folder/_log/<number>          which of these count, in their order (commits.py)
 
-Readers see the state of one commit: all of an upsert or nothing.  Of a bucket with one set of files the rows are read as they are; only
-buckets with several are grouped by key.  Once a bucket has more than MOST sets it is rewritten, alone, as one.
+Readers see the state of one commit: all of an upsert or nothing.  Of a bucket with one set of files the rows are read as they are; of
+buckets with several, keys are counted, and only rows of those that stand there more than once are grouped by key.  Once a bucket has more than MOST sets it is rewritten, alone, as one.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringside.sources.commits import CommitLog, Conflict, State
+from ringside.sources.scratch import stored
 
 #: Sets of files that a bucket may have before it is rewritten.
 MOST = 8
+#: So many rows are grouped by key without asking which keys stand there more than once.
+FEW = 100_000
 
 
 class KeyedStore:
@@ -55,9 +58,18 @@ class KeyedStore:
             out.setdefault(f["bucket"], []).append(path)
         return out
 
+    @staticmethod
+    def rows_of(state: State, paths: list[str]) -> int:
+        return sum(state.files[p]["rows"] for p in paths)
+
+    def parts(self) -> int:
+        """Into how many parts rows are moved by their key, a long, to lie by buckets."""
+        return self.buckets(self.log.state())
+
     def read(self, state: State | None = None, only: set[int] | None = None) -> DataFrame:
         """The rows, one of each key; of some buckets only, if these are given."""
-        sets = {b: s for b, s in self._sets(state or self.log.state()).items() if only is None or b in only}
+        state = state or self.log.state()
+        sets = {b: s for b, s in self._sets(state).items() if only is None or b in only}
         if not sets:
             return self.spark.createDataFrame([], self.schema)
         load = lambda paths: self.spark.read.schema(self.schema).parquet(*paths)
@@ -67,19 +79,26 @@ class KeyedStore:
         if several := [s for s in sets.values() if len(s) > 1]:
             deep = max(map(len, several))
             stacked = functools.reduce(DataFrame.union, [load([s[i] for s in several if len(s) > i]).withColumn("__n", F.lit(i)) for i in range(deep)])
+            if sum(self.rows_of(state, s) for s in several) > FEW:
+                again = stored(stacked.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(self.key), "again")  # keys alone move
+                parts.append(stacked.join(again, self.key, "left_anti").select(*[c for c in stacked.columns if c != "__n"]))
+                stacked = stacked.join(again, self.key, "left_semi").select(*stacked.columns)
             columns = [c for c in stacked.columns if c not in (self.key, "__n")]
             latest = stacked.groupBy(self.key).agg(F.max_by(F.struct(*columns), F.col("__n")).alias("r"))
             parts.append(latest.select(*[F.col(self.key) if c == self.key else F.col(f"r.{c}").alias(c) for c in stacked.columns if c != "__n"]))
         return functools.reduce(DataFrame.union, parts)
 
-    def upsert(self, rows: DataFrame) -> int:
-        """Insert rows of new keys and replace those of known ones; returns how many rows there are.  One row a key is expected."""
+    def upsert(self, rows: DataFrame, placed: bool = False) -> int:
+        """Insert rows of new keys and replace those of known ones; returns how many rows there are.  One row a key is expected.
+
+        placed: rows come as repartition(parts(), key) has left them, a bucket in each task, and needn't move again.
+        """
         state = self.log.state()
         number = self.buckets(state)
         empty = self.spark.createDataFrame([], self.schema)
         rows = empty.unionByName(rows, allowMissingColumns=True).to(empty.schema).withColumn("bucket", self._bucket(number))
         path = self._new_folder()
-        added = self._write(rows, path)
+        added = self._write(rows, path, placed)
         if not added:
             self.log.delete(path)
             return 0
@@ -99,9 +118,10 @@ class KeyedStore:
     def _new_folder(self) -> str:
         return f"{self.folder}/{uuid.uuid4().hex}"
 
-    def _write(self, rows: DataFrame, path: str) -> list[dict]:
+    def _write(self, rows: DataFrame, path: str, placed: bool = False) -> list[dict]:
         """Write the rows, once, and return the log's entries for them, counted from the files."""
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        rows = rows if placed else rows.repartition("bucket")
+        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
         found = self.spark.read.schema(f"{self.schema}, bucket int").parquet(path).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each bucket
         return [{"path": f"{path}/bucket={b}", "bucket": b, "rows": n} for b, n in sorted((r["bucket"], r["n"]) for r in found)]
 

@@ -2,8 +2,12 @@
 
 from pathlib import Path
 
-from ringside import source_queries
-from ringside.sources import adapter, scratch
+from pyspark.sql import functions as F
+
+from ringside import queries, source_queries
+from ringside.plans import features, matchup, state
+from ringside.plans.longframe import long_frame
+from ringside.sources import adapter, keyed_store, scratch
 from ringside.sources.keyed_store import KeyedStore
 
 SMALL = "/root/testdata/sf0.001"
@@ -73,3 +77,38 @@ def test_files_of_statistics_are_few_and_their_rows_move_once(spark, monkeypatch
     assert len(back.inputFiles()) == 1 and back.count() == t.rounds.count()
     exchanges = [p for p in seen[0]._jdf.queryExecution().executedPlan().toString().split("Join")[0].splitlines() if "Exchange" in p]
     assert len(exchanges) == 1
+
+
+def test_rows_of_one_set_do_not_move_when_they_are_read(spark, tmp_path, monkeypatch):
+    """Of a store with several upserts only the rows of keys that stand there twice are grouped."""
+    monkeypatch.setattr(keyed_store, "FEW", 0)
+    store = KeyedStore(spark, str(tmp_path / "store"), "id long, text string", "id", 4)
+    rows = lambda low, high, text: spark.range(low, high).selectExpr("id", f"'{text}' AS text").repartition(store.parts(), "id")
+    store.upsert(rows(0, 100, "old"), placed=True)
+    store.upsert(rows(100, 200, "old"), placed=True)
+    plan = store.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan.split("Aggregate")[1]
+    assert store.read().filter("text = 'old'").count() == 200 and len(list((tmp_path / "store").glob("*/bucket=*/*.parquet"))) == 8
+    store.upsert(rows(90, 110, "new"), placed=True)
+    assert sorted((r["id"], r["text"]) for r in store.read().collect()) == [(i, "new" if 90 <= i < 110 else "old") for i in range(200)]
+
+
+def test_corners_move_once_into_the_matrix(spark):
+    """Rows move by bout as they are, and not as both corners' columns, of which half are empty."""
+    m = matchup.matrix(queries.enriched(adapter.read(spark, SMALL)))
+    plan = m.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [bout_id" in plan.split("Aggregate [bout_id")[1]
+
+
+def test_late_fighters_are_told_from_their_first_new_rows(spark):
+    """advance() finds late fighters once, as a table, and its features' plan has no join that moves rows for them."""
+    t = adapter.read(spark, SMALL)
+    frame, shares = long_frame(t), features.corner_shares(t)
+    rows = scratch.cut(features.prepared(frame, shares))
+    earlier = F.col("event_date") < F.lit("1998-01-01").cast("date")
+    states = scratch.cut(state.states_of(frame, shares, rows.filter(earlier)))
+    step = state.advance(states, frame, t.fighters, shares, rows.filter(~earlier))
+    assert "Join" not in step.late._jdf.queryExecution().optimizedPlan().toString() and step.late.isEmpty()
+    again = state.advance(states, frame, t.fighters, shares, rows)
+    want = {r["fighter_id"] for r in rows.filter(earlier).select("fighter_id").collect()}
+    assert {r["fighter_id"] for r in again.late.collect()} == want
