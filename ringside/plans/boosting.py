@@ -1,9 +1,10 @@
 """Histogram gradient boosting of a binary outcome, with a learned direction for missing values at each split.
 
-Values become bins once, at quantiles of each feature; a missing value (null or NaN) has a bin of its own.  The binned rows, one
-byte a feature, are a table in the shared folder.  A level of a tree is one job: every task adds up gradients, curvatures and rows by
-node, feature and bin, sums meet by key, and the driver gets the histograms of the level's nodes, whose size is set by parameters and
-not by rows.  Of two siblings only the one with fewer rows is counted; the other is what their parent has more.
+Values become bins once, at quantiles of each feature; a missing value (null or NaN) has a bin of its own.  Rows are kept in blocks, feature
+by feature: their values, read once from the columns, and then their bins, one byte a feature, are tables in the shared folder.  A level
+of a tree is one job: every task adds up gradients, curvatures and rows by node, feature and bin, sums meet by key, and the driver gets
+the histograms of the level's nodes, whose size is set by parameters and not by rows.  Of two siblings only the one with fewer rows is
+counted; the other is what their parent has more.
 
 Gradients are rounded to integers before they are added, so a model does not depend on the order of rows, on partitions or on tasks that
 ran twice.  For each split both directions of the missing rows are tried; where a node has none, later ones go with the larger
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ UNIT = float(1 << 30)
 REFRESH = 10
 #: Error of ranks in the quantiles, as 1 / accuracy.
 ACCURACY = 10_000
+#: Rows of a block of values and of one of bins; sums over a block are exact in doubles.
+VALUES, BINS = 1 << 13, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -71,23 +73,23 @@ class Tree:
         return self.left[node], self.right[node]
 
     def place(self, bins: np.ndarray, missing: int) -> np.ndarray:
-        """The leaf of each row: a step for each level, by a table of where each node sends each bin; leaves keep their rows."""
-        nodes, every = np.arange(len(self.feature)), missing + 1
-        inner = np.array(self.feature) >= 0
-        left, right = np.where(inner, self.left, nodes), np.where(inner, self.right, nodes)
-        following = np.where(np.arange(every) <= np.array(self.bin)[:, None], left[:, None], right[:, None])
-        following[:, missing] = np.where(self.missing_left, left, right)
-        level = [0] * len(nodes)
-        for n in np.flatnonzero(inner):  # children stand after their parents
-            level[self.left[n]] = level[self.right[n]] = level[n] + 1
-        feature, following, values = np.where(inner, self.feature, 0), following.ravel(), bins.ravel()
-        row, node = np.arange(len(bins)) * bins.shape[1], np.zeros(len(bins), np.int64)
-        for _ in range(max(level)):
-            node = following.take(node * every + values.take(row + feature.take(node)))
-        return node
+        """The leaf of each row of bins by feature: of both children's leaves each row takes one, by masks."""
+        kind = np.int16 if len(self.feature) < 1 << 15 else np.int32
+
+        def below(node: int):
+            if self.feature[node] < 0:
+                return kind(node)
+            own = bins[self.feature[node]]
+            right = own > self.bin[node]
+            if self.missing_left[node]:
+                right &= own != missing
+            left, other = below(self.left[node]), below(self.right[node])
+            return left ^ ((left ^ other) & -right.astype(kind))
+
+        return np.broadcast_to(below(0), bins.shape[1])
 
     def values(self, bins: np.ndarray, missing: int) -> np.ndarray:
-        return np.array(self.value)[self.place(bins, missing)]
+        return np.array(self.value).take(self.place(bins, missing))
 
 
 @dataclass
@@ -101,23 +103,24 @@ class Booster:
     trees: list[Tree] = field(default_factory=list)
 
     def binned(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Values as bins: how many edges are below; missing ones have the last bin."""
-        out = np.empty((len(columns[0]) if columns else 0, len(columns)), np.uint8)
-        for i, (v, e) in enumerate(zip(columns, self.edges, strict=True)):
-            out[:, i] = np.where(np.isnan(v), self.bins, np.searchsorted(np.array(e), v, side="left"))
+        """Values as bins, by feature: how many edges are below; missing ones have the last bin."""
+        out = np.empty((len(columns), len(columns[0]) if len(columns) else 0), np.uint8)
+        for own, v, e in zip(out, columns, self.edges, strict=True):
+            own[:] = np.searchsorted(np.array(e), v, side="left")
+            own[np.isnan(v)] = self.bins
         return out
 
     def log_odds(self, bins: np.ndarray) -> np.ndarray:
-        return sum((t.values(bins, self.bins) for t in self.trees), np.full(len(bins), self.start))
+        return sum((t.values(bins, self.bins) for t in self.trees), np.full(bins.shape[1], self.start))
 
     def probability(self, rows: DataFrame) -> DataFrame:
         """rows with probability, from their columns of the features' names."""
         booster = self
 
-        @F.pandas_udf("double")
-        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for b in batches:
-                yield pd.Series(sigmoid(booster.log_odds(booster.binned([b[str(i)].to_numpy(np.float64, na_value=np.nan) for i in range(len(booster.features))]))))
+                yield pa.array(sigmoid(booster.log_odds(booster.binned([_doubles(c) for c in b.flatten()]))))
 
         values = F.struct(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(self.features)])
         return rows.withColumn("probability", apply(values) if self.features else F.lit(float(sigmoid(np.array(self.start)))))
@@ -138,69 +141,255 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def gradients(y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivative of the loss, in units."""
     p = sigmoid(score)
-    return np.rint((p - y) * UNIT).astype(np.int64), np.rint(p * (1 - p) * UNIT).astype(np.int64)
+    return np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT)
 
 
-def edges_of(rows: DataFrame, features: list[str], bins: int) -> list[list[float]]:
+def _doubles(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)  # nulls as NaN
+
+
+# ---------------------------------------------------------------- blocks of rows
+
+Columns = tuple[np.ndarray, np.ndarray]  # of each row a number, and a matrix by feature
+
+
+def _blocks(parts: Iterator[Columns], rows: int) -> Iterator[Columns]:
+    """The parts, joined or cut to blocks of so many rows, the last one of fewer."""
+    held, count = [], 0
+    for part in parts:
+        while part[0].size:
+            now = rows - count
+            held.append((part[0][:now], part[1][:, :now]))
+            count += len(held[-1][0])
+            part = part[0][now:], part[1][:, now:]
+            if count == rows:
+                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
+                held, count = [], 0
+    if held:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
+
+
+def _table(rows: DataFrame, name: str, **options: str) -> DataFrame:
+    """A table of blocks, eight of which are read at a time."""
+    return stored(rows, name, **{"parquet.block.row.count.limit": "8"}, **options)
+
+
+def _packed(**arrays: np.ndarray) -> pa.RecordBatch:
+    """One row, a block, with arrays as bytes."""
+    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays.values()], list(arrays))
+
+
+def _values(rows: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """Labels and values in blocks, NaN for what is missing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((b.column(0).to_numpy().astype(np.uint8), np.stack([_doubles(c) for c in b.columns[1:]])) for b in batches if b.num_rows)
+        for y, values in _blocks(parts, VALUES):
+            yield _packed(y=y, data=values + 0.0)  # no negative zeros
+
+    return rows.select(F.col(label).cast("int").alias("y"), *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)]).mapInArrow(run, "y binary, data binary")
+
+
+def _read_values(b: pa.RecordBatch, width: int) -> Iterator[Columns]:
+    for y, data in zip(b.column("y"), b.column("data")):
+        yield np.frombuffer(y.as_buffer(), np.uint8), np.frombuffer(data.as_buffer(), np.float64).reshape(width, -1)
+
+
+# ---------------------------------------------------------------- edges
+
+
+def _key(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the values."""
+    bits = values.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+
+def _value(key: int) -> float:
+    return float(np.array([key ^ ((key >> 63) & ((1 << 63) - 1))], np.int64).view(np.float64)[0])
+
+
+#: Bits of a key by which values are counted first, and how many more each further pass looks at.
+FIRST, MORE = 16, 8
+
+
+def _counted(blocks: DataFrame, width: int, run) -> dict[str, np.ndarray]:
+    found = blocks.mapInArrow(run, "feature int, kind int, key long, n long").groupBy("feature", "kind", "key").agg(F.sum("n").alias("n")).orderBy("feature", "kind", "key").toArrow()  # sizes are set by the number of bins
+    return {c: found[c].to_numpy() for c in found.column_names}
+
+
+def _long_rows(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(p[2]) for p in parts]
+    many = lambda i, kind: np.repeat(np.array([p[i] for p in parts], kind), sizes)
+    join = lambda i: np.concatenate([np.asarray(p[i], np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(many(0, np.int32)), pa.array(many(1, np.int32)), pa.array(join(2)), pa.array(join(3))], ["feature", "kind", "key", "n"])
+
+
+def _first_counts(blocks: DataFrame, width: int, bins: int):
+    """Of each feature: its values' keys, if it has few, else None; the largest key; numbers of rows by the first bits of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, few = np.zeros((width, 1 << FIRST), np.int64), [np.zeros(0, np.int64)] * width
+        top: list[int | None] = [None] * width
+        for _, values in _blocks((part for b in batches for part in _read_values(b, width)), BINS):
+            for i, v in enumerate(values):
+                key = _key(v[~np.isnan(v)])
+                if not key.size:
+                    continue
+                total[i] += np.bincount((key >> (64 - FIRST)) + (1 << (FIRST - 1)), minlength=1 << FIRST)
+                top[i] = max(int(key.max()), int(key[0]) if top[i] is None else top[i])
+                if len(few[i]) <= bins:
+                    few[i] = np.union1d(few[i], key)[: bins + 1]  # one more says that there are many
+        parts = []
+        for i in range(width):
+            at = np.flatnonzero(total[i])
+            parts += [(i, 0, at, total[i][at]), (i, 1, few[i], np.ones(len(few[i]))), (i, 2, [] if top[i] is None else [top[i]], [] if top[i] is None else [1])]
+        yield _long_rows(parts)
+
+    found = _counted(blocks, width, run)
+    out = []
+    for i in range(width):
+        pick = lambda kind: (found["feature"] == i) & (found["kind"] == kind)  # noqa: B023, E731
+        few, top = found["key"][pick(1)], found["key"][pick(2)]
+        out.append((few if len(few) <= bins else None, int(top.max()) if len(top) else None, found["key"][pick(0)] - (1 << (FIRST - 1)), found["n"][pick(0)]))
+    return out
+
+
+def _finer_counts(blocks: DataFrame, width: int, cells: dict[int, np.ndarray], bits: int) -> dict[str, np.ndarray]:
+    """In some of the cells of the first ``bits``: rows by the next bits of the key (kind 0), and how many have one key that a task found there
+    (kind 1), which are all if the cell has one value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {i: np.zeros((len(c), 1 << MORE), np.int64) for i, c in cells.items()}
+        first, like = {i: np.zeros(len(c), np.int64) for i, c in cells.items()}, {i: np.zeros(len(c), np.int64) for i, c in cells.items()}
+        for _, values in _blocks((part for b in batches for part in _read_values(b, width)), BINS):
+            for i, own in cells.items():
+                key = _key(values[i][~np.isnan(values[i])])
+                cell = key >> (64 - bits)
+                at = np.searchsorted(own, cell)
+                mine = np.flatnonzero(own.take(at, mode="clip") == cell)
+                at, key = at.take(mine), key.take(mine)
+                seen = total[i].any(axis=1)
+                new = first[i].copy()
+                new[at] = key
+                first[i] = np.where(seen, first[i], new)
+                like[i] += np.bincount(at[key == first[i].take(at)], minlength=len(own))
+                total[i] += np.bincount((at << MORE) + ((key >> (64 - bits - MORE)) & ((1 << MORE) - 1)), minlength=total[i].size).reshape(total[i].shape)
+        parts = []
+        for i, own in cells.items():
+            cell, low = np.nonzero(total[i])
+            parts += [(i, 0, (own[cell] << MORE) + low, total[i][cell, low]), (i, 1, first[i][like[i] > 0], like[i][like[i] > 0])]
+        yield _long_rows(parts)
+
+    return _counted(blocks, width, run)
+
+
+def _edges(blocks: DataFrame, width: int, bins: int) -> list[list[float]]:
     """Where the bins of each feature end: every value but the last if there are few, else quantiles.
 
-    Two passes: quantiles and approximate numbers of distinct values of all features, then the values of those with few.
+    Rows are counted by the first bits of their values as whole numbers in the same order, then, where a quantile's cell has more than one
+    of ACCURACY rows and more than one value, by further bits of that cell.  Counts are exact, so edges don't depend on partitions; an
+    edge is the largest number of its cell.
     """
-    if not features:
-        return []
-    number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
-    parts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    found = rows.agg(*[F.percentile_approx(number(c), parts, F.lit(ACCURACY)).alias(f"q{i}") for i, c in enumerate(features)], *[F.approx_count_distinct(number(c)).alias(f"n{i}") for i, c in enumerate(features)], *[F.max(number(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
-    few = [i for i in range(len(features)) if found[f"n{i}"] <= 2 * bins]  # approximate numbers err by a few percent
-    sets = rows.agg(*[F.collect_set(number(features[i])).alias(f"s{i}") for i in few]).first() if few else None
-    out = []
-    for i in range(len(features)):
-        values = sorted(sets[f"s{i}"]) if i in few else None
-        if values is None or len(values) > bins:
-            values = [*sorted(set(found[f"q{i}"])), found[f"m{i}"]]
-        out.append([v for v in values if v < values[-1]])
+    out: list[list[float]] = [[] for _ in range(width)]
+    totals, top, ends, pending = {}, {}, {}, {}
+
+    def settle(i: int, cell: np.ndarray, rank: np.ndarray, n: np.ndarray, bits: int) -> None:
+        """Ends of the cells that need no more bits; ``pending`` gets the others, with the quantiles' ranks in them."""
+        fine = (n * ACCURACY <= totals[i]) | (bits == 64)
+        ends[i] |= {(int(c) << (64 - bits)) + (1 << (64 - bits)) - 1 for c in cell[fine]}
+        if not fine.all():
+            pending[i] = cell[~fine], rank[~fine], n[~fine]
+
+    for i, (few, last, key, n) in enumerate(_first_counts(blocks, width, bins)):
+        if few is not None:
+            out[i] = [_value(int(k)) for k in few[:-1]]
+        else:
+            totals[i], top[i], ends[i] = int(n.sum()), last, set()
+            ranks = np.array([-(-totals[i] * k // bins) for k in range(1, bins)], np.int64)
+            upto = np.cumsum(n)
+            at = np.searchsorted(upto, ranks)
+            settle(i, key[at], ranks - (upto - n)[at], n[at], FIRST)
+    bits = FIRST
+    while pending:
+        asked, pending = pending, {}
+        found = _finer_counts(blocks, width, {i: np.unique(cell) for i, (cell, _, _) in asked.items()}, bits)
+        for i, (cell, rank, rows) in asked.items():
+            pick = lambda kind: (found["feature"] == i) & (found["kind"] == kind)  # noqa: B023, E731
+            alone = {int(k) >> (64 - bits): (int(k), int(n)) for k, n in zip(found["key"][pick(1)], found["n"][pick(1)])}
+            single = np.array([alone[int(c)][1] == n for c, n in zip(cell, rows)], bool)
+            ends[i] |= {alone[int(c)][0] for c in cell[single]}
+            cell, rank = cell[~single], rank[~single]
+            key, n = found["key"][pick(0)], found["n"][pick(0)]
+            upto = np.cumsum(n)
+            before = (upto - n)[np.searchsorted(key >> MORE, cell)]  # of the first part of each cell
+            at = np.searchsorted(upto, before + rank)
+            settle(i, key[at], rank + before - (upto - n)[at], n[at], bits + MORE)
+        bits += MORE
+    for i, keys in ends.items():
+        out[i] = [_value(k) for k in sorted(keys) if k < top[i]]
     return out
 
 
-BINNED = "y int, score double, bins binary"
+def edges_of(rows: DataFrame, features: list[str], bins: int) -> list[list[float]]:
+    """Where the bins of the features of some rows end."""
+    if not features:
+        return []
+    return _edges(_table(_values(rows.withColumn("__y", F.lit(0)), "__y", features), "values"), len(features), bins)
+
 
+# ---------------------------------------------------------------- binned rows and trees
 
-def _bytes(column: pa.Array, width: int) -> np.ndarray:
-    """The rows of bins as a matrix, which lie one after another as Arrow has them."""
-    if not len(column):
-        return np.zeros((0, width), np.uint8)
-    _, offsets, data = column.buffers()
-    first = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
-    return np.frombuffer(data, np.uint8, len(column) * width, int(first)).reshape(-1, width)
+BINNED = "y binary, score binary, bins binary"
 
 
-def _batch(y: pa.Array, score: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
-    n, width = bins.shape
-    offsets = np.arange(n + 1, dtype=np.int32) * width
-    data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bins))])
-    return pa.RecordBatch.from_arrays([y, pa.array(score, pa.float64()), data], ["y", "score", "bins"])
+def _read_bins(b: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for y, score, bins in zip(b.column("y"), b.column("score"), b.column("bins")):
+        yield np.frombuffer(y.as_buffer(), np.uint8), np.frombuffer(score.as_buffer(), np.float64), np.frombuffer(bins.as_buffer(), np.uint8).reshape(width, -1)
 
 
-def _binned(rows: DataFrame, label: str, booster: Booster) -> DataFrame:
-    n = len(booster.features)
+def _binned(blocks: DataFrame, booster: Booster) -> DataFrame:
+    width = len(booster.features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b.column(1 + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(n)]
-            yield _batch(b.column(0), np.full(b.num_rows, booster.start), booster.binned(columns))
+        parts = ((y, booster.binned(values)) for b in batches for y, values in _read_values(b, width))
+        for y, bins in _blocks(parts, BINS):
+            yield _packed(y=y, score=np.full(len(y), booster.start), bins=bins)
 
-    return rows.select(F.col(label).cast("int").alias("y"), *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(booster.features)]).mapInArrow(run, BINNED)
+    return blocks.mapInArrow(run, BINNED)
 
 
 def _scored(state: DataFrame, trees: list[Tree], width: int, missing: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = _bytes(b.column("bins"), width)
-            yield _batch(b.column("y"), sum((t.values(bins, missing) for t in trees), b.column("score").to_numpy()), bins)
+            for y, score, bins in _read_bins(b, width):
+                yield _packed(y=y, score=sum((t.values(bins, missing) for t in trees), score), bins=bins)
 
     return state.mapInArrow(run, BINNED)
 
 
+def _sums(bins: np.ndarray, slot: np.ndarray, slots: int, every: int, weights: list[np.ndarray | None]) -> np.ndarray:
+    """Sums of the weights by slot, feature and bin.  Two features are counted at a time, by both bins, where that is a small table."""
+    width = len(bins)
+    out = np.empty((len(weights), slots, width, every), np.int64)
+    by = 2 if slots * every * every <= 1 << 15 and 8 * len(slot) > slots * every * every else 1
+    base = slot * every**by if slots > 1 else 0
+    for i in range(0, width, by):
+        two = by == 2 and i + 1 < width
+        cell = bins[i].astype(np.intp)
+        if two:
+            cell *= every
+            cell += bins[i + 1]
+        cell += base if two or by == 1 else slot * every
+        for k, w in enumerate(weights):
+            sums = np.bincount(cell, w, slots * every ** (1 + two))
+            if two:
+                sums = sums.reshape(slots, every, every)
+                out[k, :, i], out[k, :, i + 1] = sums.sum(axis=2), sums.sum(axis=1)
+            else:
+                out[k, :, i] = sums.reshape(slots, every)
+    return out
+
+
 def histograms(state: DataFrame, trees: list[Tree], tree: Tree, nodes: list[int], width: int, bins: int) -> dict[int, np.ndarray]:
     """For each of the nodes: gradient, curvature and rows by feature and bin, of the rows that ``tree`` places there."""
     every = bins + 1
@@ -210,16 +399,13 @@ def histograms(state: DataFrame, trees: list[Tree], tree: Tree, nodes: list[int]
         slot_of = np.full(len(tree.feature), -1)
         slot_of[nodes] = np.arange(len(nodes))
         for b in batches:
-            rows = _bytes(b.column("bins"), width)
-            score = sum((t.values(rows, bins) for t in trees), b.column("score").to_numpy())
-            g, h = gradients(b.column("y").to_numpy(), score)
-            slot = slot_of[tree.place(rows, bins)]
-            mine = slot >= 0
-            at, g, h = slot[mine] * every, g[mine], h[mine]
-            for i, own in enumerate(np.ascontiguousarray(rows[mine].T)):
-                one = at + own
-                for k, weight in enumerate((g, h, None)):
-                    total[k, :, i] += np.bincount(one, weight, len(nodes) * every).astype(np.int64).reshape(-1, every)  # exact: a batch's sums are below 2**53
+            for y, score, rows in _read_bins(b, width):
+                slot = slot_of.take(tree.place(rows, bins))
+                if len(tree.feature) > 1:
+                    mine = np.flatnonzero(slot >= 0)
+                    y, score, rows, slot = y.take(mine), score.take(mine), rows.take(mine, axis=1), slot.take(mine)
+                g, h = gradients(y, sum((t.values(rows, bins) for t in trees), score))
+                total += _sums(rows, slot, len(nodes), every, [g, h, None])
         total = total.reshape(3, -1)
         key = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(t[key], pa.int64()) for t in total]], ["key", "g", "h", "n"])
@@ -290,16 +476,17 @@ def fit(rows: DataFrame, features: list[str], label: str = "label", options: Opt
     """Boosted trees for a label of 0 or 1.  Rows without a label are left out; without rows of both labels there is no tree."""
     rows = rows.filter(F.col(label).isNotNull())
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))).first()
-    edges = edges_of(rows, features, options.bins)
+    known = features and _table(_values(rows, label, features), "values")
+    edges = _edges(known, len(features), options.bins) if features else []
     if not n or ones in (0, n) or not any(edges):
         share = min(max(ones / n if n else 0.5, 1e-15), 1 - 1e-15)
         return Booster(features, edges, options.bins, math.log(share / (1 - share)))
     booster = Booster(features, edges, options.bins, math.log(ones / (n - ones)))
-    state, since = stored(_binned(rows, label, booster), "binned"), 0
+    state, since = _table(_binned(known, booster), "binned", compression="none"), 0  # bins hardly get smaller, and are read for each level
     for i in range(options.iterations):
         recent = booster.trees[since:]
         if len(recent) == REFRESH:
-            state, since, recent = stored(_scored(state, recent, len(features), options.bins), "binned"), i, []
+            state, since, recent = _table(_scored(state, recent, len(features), options.bins), "binned", compression="none"), i, []
         tree = grow(state, recent, len(features), options)
         booster.trees.append(tree)
         if len(tree.feature) == 1:  # no split gains anything any more

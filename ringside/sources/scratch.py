@@ -37,8 +37,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(here)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of the shared folder, under a name that tells what it is."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder, under a name that tells what it is.  options: of the writer."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

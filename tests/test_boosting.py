@@ -162,3 +162,32 @@ def test_facts_are_kept_with_the_model(spark, tmp_path):
     assert back.features == ["x"] and back.facts["n_test"] == 8 and back.facts["metrics"]["model"]["accuracy"] == 1.0 and back.facts["metrics"]["baseline"]["roc_auc"] == 0.5
     again = model.run_training(data, ["x"], iterations=2, depth=2)
     assert (again.model, again.baseline, again.winner.booster) == (result.model, result.baseline, result.winner.booster)
+
+
+def test_edges_do_not_depend_on_partitions(spark):
+    """Quantiles are counted, not estimated: ties, close values, signs and infinite values give the same edges however rows lie."""
+    r = random.Random(5)
+    rows = [(r.choice([0.5, 0.5, 1 + r.random() * 1e-9, r.gauss(0, 1)]), r.choice([-0.0, 0.0, math.inf, -math.inf, float(r.randint(-90, 90)), None]), 7e9 + r.random()) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    one, two = boosting.edges_of(df.repartition(7), ["a", "b", "c"], 16), boosting.edges_of(df.coalesce(1), ["a", "b", "c"], 16)
+    assert one == two
+    for i, edges in enumerate(one):
+        values = sorted(x[i] for x in rows if x[i] is not None)
+        want = {values[-(-len(values) * k // 16) - 1] for k in range(1, 16)} - {values[-1]}
+        ranks = [sum(v <= e for v in values) for e in edges]
+        assert len(edges) == len(want) and all(0 <= got - sum(v <= w for v in values) <= 2 for got, w in zip(ranks, sorted(want)))
+
+
+def test_rows_of_a_level_are_read_in_blocks(spark, monkeypatch):
+    """What a level reads is a row for each block of rows, not one for each row, and sums of pairs of bins are those of single ones."""
+    seen = []
+    monkeypatch.setattr(boosting, "histograms", lambda state, *a, f=boosting.histograms: seen.append(state.count()) or f(state, *a))
+    boosting.fit(spark.createDataFrame(table(3, 3000), SCHEMA).coalesce(1), NAMES, options=Options(iterations=1, depth=2))
+    assert set(seen) == {1}
+    r = np.random.default_rng(1)
+    bins, slot, w = r.integers(0, 65, (5, 20_000)).astype(np.uint8), r.integers(0, 3, 20_000), np.rint(r.normal(0, 1, 20_000) * UNIT)
+    got = boosting._sums(bins, slot, 3, 65, [w, None])
+    for f in range(5):
+        for s in range(3):
+            mine = slot == s
+            assert (got[0, s, f] == np.bincount(bins[f][mine], w[mine], 65)).all() and (got[1, s, f] == np.bincount(bins[f][mine], minlength=65)).all()
