@@ -21,7 +21,7 @@ from ringside.plans import boosting
 from ringside.plans.boosting import Booster
 from ringside.plans.features import add_features
 from ringside.plans.longframe import long_frame, round_rows
-from ringside.plans.matchup import TARGET, add_differentials, pivot_corners
+from ringside.plans.matchup import TARGET, Matrix, add_differentials, pivot_corners
 from ringside.schema import Tables
 from ringside.sources.scratch import cut, stored
 
@@ -48,6 +48,14 @@ def dataset(frame: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]
     return rows.select("bout_id", "event_date", "label", *kept), kept
 
 
+def live_dataset(m: Matrix) -> tuple[DataFrame, list[str]]:
+    """dataset() of a matrix, whose numbers of both corners are written to the shared folder once; differences are made as they are read."""
+    kinds = {f.name: f.dataType for f in m.frame.schema}
+    sides = [c for c in m.features if not c.endswith("_diff") and isinstance(kinds[c], (T.NumericType, T.BooleanType))]
+    frame = add_differentials(cut(m.frame.select("bout_id", "event_date_a", TARGET, *sides)))
+    return dataset(frame, [c for c in m.features if c in frame.columns])
+
+
 def read_bout_features(stored: DataFrame, bouts: DataFrame, events: DataFrame) -> DataFrame:
     """(bout_id, event_date, target_winner_corner, features): stored features, as text, of known bouts with their events' dates."""
     return with_dates(stored, bouts, events).select("bout_id", "event_date", "target_winner_corner", "features")
@@ -261,9 +269,10 @@ class TrainingResult:
     n_test: int
 
 
-def run_training(rows: DataFrame, features: list[str], share: float = TEST_SHARE, **options) -> TrainingResult:
-    """Train on the earlier bouts of a dataset and measure on the later ones.  Rows are written to the shared folder once."""
-    rows = cut(rows)
+def run_training(rows: DataFrame, features: list[str], share: float = TEST_SHARE, written: bool = False, **options) -> TrainingResult:
+    """Train on the earlier bouts of a dataset and measure on the later ones.  Rows are written to the shared folder once; ``written`` says
+    that they come from a table already."""
+    rows = rows if written else cut(rows)
     if rows.isEmpty():
         raise ValueError("no decided bouts to learn from")
     where = temporal_cut(rows, share)

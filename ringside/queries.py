@@ -719,8 +719,7 @@ def _trained(t: Tables) -> model.TrainingResult:
     spark = t.bouts.sparkSession
     key = (spark.sparkContext.applicationId, *sorted(t.bouts.inputFiles()))
     if key not in _models or not all(exists(spark, f) for f in _models[key].scored.inputFiles()):
-        m = matchup.matrix(enriched(t))
-        _models[key] = model.run_training(*model.dataset(cut(m.frame), m.features))
+        _models[key] = model.run_training(*model.live_dataset(matchup.matrix(enriched(t))), written=True)
     return _models[key]
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from ringside import queries, source_queries
-from ringside.plans import features, matchup, state
+from ringside.plans import features, matchup, model, state
 from ringside.plans.longframe import long_frame
 from ringside.sources import adapter, keyed_store, scratch
 from ringside.sources.keyed_store import KeyedStore
@@ -100,6 +100,15 @@ def test_corners_move_once_into_the_matrix(spark):
     assert "RepartitionByExpression [bout_id" in plan.split("Aggregate [bout_id")[1]
 
 
+def test_training_rows_are_written_once_without_differences(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(model, "cut", lambda df: written.append(df.columns) or scratch.cut(df))
+    rows, names = model.live_dataset(matchup.matrix(queries.enriched(adapter.read(spark, SMALL))))
+    assert any(c.endswith("_diff") for c in names) and len(written) == 1 and not [c for c in written[0] if c.endswith("_diff")]
+    model.run_training(rows, names, written=True, iterations=1, depth=1)
+    assert len(written) == 1
+
+
 def test_late_fighters_are_told_from_their_first_new_rows(spark):
     """advance() finds late fighters once, as a table, and its features' plan has no join that moves rows for them."""
     t = adapter.read(spark, SMALL)
