@@ -312,8 +312,8 @@ def hypothetical(t: Tables, a, b, on: str) -> DataFrame:
     """
     if a == b:
         raise ValueError("two different fighters are needed")
-    both = t.bout_fighters.filter(F.col("fighter_id").isin(a, b)).select("bout_id").distinct()
-    own = Tables(t.fighters, t.events, t.bouts, t.bout_fighters.join(both, "bout_id", "left_semi"), t.rounds)
+    both = cut(t.bout_fighters.filter(F.col("fighter_id").isin(a, b)).select("bout_id").distinct())
+    own = Tables(t.fighters, t.events, t.bouts, cut(t.bout_fighters.join(both, "bout_id", "left_semi")), t.rounds)  # tables of known, small sizes
     frame = long_frame(own)
     pair = t.fighters.filter(F.col("id").isin(a, b)).select(F.col("id").alias("fighter_id"), F.col("name").alias("fighter_name"))
     made = pair.select("fighter_id", "fighter_name", F.lit(SYNTHETIC).cast(frame.schema["bout_id"].dataType).alias("bout_id"), F.lit(on).cast("date").alias("event_date"), F.when(F.col("fighter_id") == a, "red").otherwise("blue").alias("corner"))

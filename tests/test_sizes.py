@@ -109,6 +109,12 @@ def test_training_rows_are_written_once_without_differences(spark, monkeypatch):
     assert len(written) == 1
 
 
+def test_a_hypothetical_bout_looks_at_a_small_table_of_corners(spark):
+    """The two fighters' corners are a table of known size, so that rounds and bouts of all others needn't move to meet them."""
+    t = adapter.read(spark, SMALL)
+    assert not [f for f in model.hypothetical(t, 1, 2, "2030-06-15").inputFiles() if "/bout_fighters/" in f]
+
+
 def test_late_fighters_are_told_from_their_first_new_rows(spark):
     """advance() finds late fighters once, as a table, and its features' plan has no join that moves rows for them."""
     t = adapter.read(spark, SMALL)
